@@ -19,5 +19,22 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
-QUERIES = {"op5_bpe": op5_bpe}
-ORACLE: dict[str, str] = {}
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op7_substring as op
+
+    return op.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT r, i, array_to_string(ws[i:i+34], ' ') AS s FROM d, unnest(range(1, len(ws) - 33)) AS t(i)),
+rep AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT DISTINCT r, i + j AS p FROM win JOIN rep USING (s), range(0, 35) AS k(j)),
+word AS (SELECT r, p, ws[p] AS w FROM d, unnest(range(1, len(ws) + 1)) AS t(p)),
+kept AS (SELECT r, string_agg(w, ' ' ORDER BY p) AS s, count(*) AS n FROM word ANTI JOIN hit USING (r, p) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+QUERIES = {"op5_bpe": op5_bpe, "op7_substring": op7_substring}
+ORACLE: dict[str, str] = {"op7_substring": OP7_SQL}

@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
+from ..session import ship
+
 #: Text bytes handled at once by one Python worker; a longer document is handled alone.
 CHUNK_BYTES = 2 << 20
 #: Rows in one Arrow batch between the JVM and Python.
@@ -26,7 +28,8 @@ LOWER_BYTES = bytes(_LOWER)
 
 
 def bounded_batches(spark) -> None:
-    """Keeps the Arrow batches of this session small, so that long documents fit a worker's memory."""
+    """Keeps the Arrow batches of this session small, so that long documents fit a worker's memory; workers get this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
