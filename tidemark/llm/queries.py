@@ -25,6 +25,12 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op8_secrets as op
+
+    return op.scan(table(spark, sf_dir, "documents"))
+
+
 OP7_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 win AS (SELECT r, i, array_to_string(ws[i:i+34], ' ') AS s FROM d, unnest(range(1, len(ws) - 33)) AS t(i)),
@@ -36,5 +42,5 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS
 FROM d LEFT JOIN kept USING (r)
 """
 
-QUERIES = {"op5_bpe": op5_bpe, "op7_substring": op7_substring}
+QUERIES = {"op5_bpe": op5_bpe, "op7_substring": op7_substring, "op8_secrets": op8_secrets}
 ORACLE: dict[str, str] = {"op7_substring": OP7_SQL}
