@@ -86,11 +86,15 @@ def _fingerprints(df: DataFrame, short: list[int]) -> tuple[DataFrame, Column]:
     return df, F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
+def _placed(n: int) -> Column:
+    both = F.zip_with(f"run{n}_0", f"run{n}_1", lambda a, b: F.struct(a.alias("h"), b.alias("g")))
+    return F.transform(both, lambda x, i: F.struct(F.lit(n).alias("length"), i.alias("place"), x["h"].alias("h"), x["g"].alias("g")))
+
+
 def _windows(df: DataFrame, lengths: list[int]) -> tuple[DataFrame, Column]:
     """Structs of length, place and two hashes for all windows of these lengths."""
     df = with_runs(with_runs(df, set(lengths)), set(lengths), 1)
-    each = [F.zip_with(f"run{n}_0", f"run{n}_1", lambda a, b: F.struct(a.alias("h"), b.alias("g"))) for n in lengths]
-    each = [F.transform(e, lambda x, i, n=n: F.struct(F.lit(n).alias("length"), i.alias("place"), x["h"].alias("h"), x["g"].alias("g"))) for n, e in zip(lengths, each, strict=True)]
+    each = [_placed(n) for n in lengths]
     return df, F.concat(*each) if len(each) > 1 else each[0]
 
 
