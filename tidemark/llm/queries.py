@@ -13,6 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op1_quality as op
+
+    docs = table(spark, sf_dir, "documents")
+    return op.score(docs, op.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import op3_decontaminate as op
 
@@ -70,5 +77,5 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS
 FROM d LEFT JOIN kept USING (r)
 """
 
-QUERIES = {"op3_decontaminate": op3_decontaminate, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op7_substring": op7_substring, "op8_secrets": op8_secrets}
+QUERIES = {"op1_quality": op1_quality, "op3_decontaminate": op3_decontaminate, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op7_substring": op7_substring, "op8_secrets": op8_secrets}
 ORACLE: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op7_substring": OP7_SQL}
