@@ -50,6 +50,12 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op10_lm as op
+
+    return op.score(table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = r"""
 WITH low AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
 d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents, low),
@@ -77,5 +83,5 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS
 FROM d LEFT JOIN kept USING (r)
 """
 
-QUERIES = {"op1_quality": op1_quality, "op3_decontaminate": op3_decontaminate, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op7_substring": op7_substring, "op8_secrets": op8_secrets}
+QUERIES = {"op1_quality": op1_quality, "op3_decontaminate": op3_decontaminate, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op7_substring": op7_substring, "op8_secrets": op8_secrets, "op10_lm": op10_lm}
 ORACLE: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op7_substring": OP7_SQL}
