@@ -20,6 +20,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.score(docs, op.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op2_html as op
+
+    return op.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import op3_decontaminate as op
 
@@ -83,5 +89,5 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS
 FROM d LEFT JOIN kept USING (r)
 """
 
-QUERIES = {"op1_quality": op1_quality, "op3_decontaminate": op3_decontaminate, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op7_substring": op7_substring, "op8_secrets": op8_secrets, "op10_lm": op10_lm}
+QUERIES = {"op1_quality": op1_quality, "op2_html": op2_html, "op3_decontaminate": op3_decontaminate, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op7_substring": op7_substring, "op8_secrets": op8_secrets, "op10_lm": op10_lm}
 ORACLE: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op7_substring": OP7_SQL}
