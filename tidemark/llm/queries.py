@@ -44,6 +44,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op6_neighbours as op
+
+    return op.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import op7_substring as op
 
@@ -98,5 +104,5 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS
 FROM d LEFT JOIN kept USING (r)
 """
 
-QUERIES = {"op1_quality": op1_quality, "op2_html": op2_html, "op3_decontaminate": op3_decontaminate, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op7_substring": op7_substring, "op8_secrets": op8_secrets, "op9_chat": op9_chat, "op10_lm": op10_lm}
+QUERIES = {"op1_quality": op1_quality, "op2_html": op2_html, "op3_decontaminate": op3_decontaminate, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op6_neighbours": op6_neighbours, "op7_substring": op7_substring, "op8_secrets": op8_secrets, "op9_chat": op9_chat, "op10_lm": op10_lm}
 ORACLE: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op7_substring": OP7_SQL}
