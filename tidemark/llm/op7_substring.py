@@ -4,8 +4,8 @@ A window is 35 consecutive words. {3, 6, 7, 12, 14} is a difference cover modulo
 places i and j there is a shift below 21 after which both are cover positions. So if two windows hold
 the same words, an anchor of 15 words at a cover position of either document lies in both at the same
 shift, and it is enough to hash anchors at 5 of 21 positions. An anchor that occurs more than once is
-extended: the windows that contain it are hashed whole (96 bits), and those that occur more than once
-are removed. No pairs are made: both steps count keys. Among the equal keys of one chunk of documents
+extended: the windows that contain it are hashed whole (64 bits and, by its bucket, those of a second
+hash), and those that occur more than once are removed, each after a look at its own text. No pairs are made: both steps count keys. Among the equal keys of one chunk of documents
 only one is dealt out by its key; the others are known to repeat and go anywhere, so a passage that
 fills a third of all rows puts no more than one row for each chunk into a bucket.
 
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,20 +38,22 @@ KNOWN = np.uint32(1 << 31)
 LOW40 = np.uint64((1 << 40) - 1)
 #: Columns of the packed arrays: key, document, place; the first step needs fewer bits, as its errors only cost time.
 ANCHOR_TYPES = ("<u4", "u1", "<u4", "u1", "<u4")
-WINDOW_TYPES = ("<u8", "<u4", "<u8", "<u4", "<u4")
-FLAG_TYPES = {False: ("<u4", "u1", "<u4"), True: ("<u8", "<u4", "<u4")}
+WINDOW_TYPES = ("<u8", "<u4", "<u2", "<u4")
+FLAG_TYPES = {False: ("<u4", "u1", "<u4"), True: ("<u4", "<u2", "<u4", "<u4")}
 
 
-def _documents(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """A key of 96 bits for each row, from doc_id and text."""
-    low, high = np.empty(batch.num_rows, np.uint64), np.empty(batch.num_rows, np.uint32)
+def _documents(batch: pa.RecordBatch) -> np.ndarray:
+    """A key for each row, from doc_id and text: its low 48 bits name it, of which 40 in the first step."""
+    out = np.empty(batch.num_rows, np.uint64)
     raw, at = utf8(batch.column("text"))
     data = memoryview(raw)
     for i, doc in enumerate(batch.column("doc_id").to_pylist()):
-        x = xxhash.xxh3_128_intdigest(data[at[i] : at[i + 1]], 0 if doc is None else doc & 0xFFFFFFFFFFFFFFFF)
-        x ^= doc is None
-        low[i], high[i] = x & 0xFFFFFFFFFFFFFFFF, x >> 64 & 0xFFFFFFFF
-    return low, high
+        out[i] = xxhash.xxh3_64_intdigest(data[at[i] : at[i + 1]], 0 if doc is None else doc & 0xFFFFFFFFFFFFFFFF) ^ (doc is None)
+    return out
+
+
+def _home(doc: np.ndarray, buckets: int) -> np.ndarray:
+    return ((doc & LOW40) % np.uint64(buckets)).astype(np.int32)
 
 
 def _split40(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,17 +64,22 @@ def _join40(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.uint64) | b.astype(np.uint64) << np.uint64(32)
 
 
-def _spread(key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and places in which each key stands once; further copies are marked as known and get keys of their own."""
-    order = np.argsort(key, kind="stable")
-    same = np.append(False, key[order][1:] == key[order][:-1])
+def _spread(key: np.ndarray, other: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and places in which each key stands once; further copies are marked as known and get keys and buckets of their own.
+
+    The low 32 bits of a key stay, so that a place can be checked against its text in the end.
+    """
+    order = np.lexsort((other, key))
+    same = np.append(False, (key[order][1:] == key[order][:-1]) & (other[order][1:] == other[order][:-1]))
     known = same.copy()
     known[:-1] |= same[1:]
-    key, place = key.copy(), place.copy()
+    key, other, place = key.copy(), other.copy(), place.copy()
     place[order[known]] |= KNOWN
     extra = order[same]
-    key[extra] = mix(key[extra] + mix(extra.astype(np.uint64) + np.uint64(0x51ED270B)))
-    return key, place
+    own = mix(key[extra] + mix(extra.astype(np.uint64) + np.uint64(0x51ED270B)))
+    key[extra] = (key[extra] & np.uint64(0xFFFFFFFF)) | (own << np.uint64(32))
+    other[extra] = mix(own)
+    return key, other, place
 
 
 def _anchors(buckets: int):
@@ -90,10 +98,10 @@ def _anchors(buckets: int):
             place = np.arange(len(code)) - np.repeat(of[:-1], size)
             long = np.repeat(size, size)
             at_cover = np.flatnonzero((cover[place % PERIOD] & (place + ANCHOR <= long) & (long >= WINDOW))[: len(key)])
-            key, place, doc = key[at_cover], place[at_cover].astype(np.uint32), np.repeat(_documents(b)[0], size)[at_cover] & LOW40
-            key, place = _spread(key, place)
+            key, place, doc = key[at_cover], place[at_cover].astype(np.uint32), np.repeat(_documents(b), size)[at_cover] & LOW40
             # the bits that choose the bucket are not among the 40 that are kept
-            bucket, payload = pack(((key >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32), *_split40(key & LOW40), *_split40(doc), place)
+            key, other, place = _spread(key, mix(key), place)
+            bucket, payload = pack((other % np.uint64(buckets)).astype(np.int32), *_split40(key & LOW40), *_split40(doc), place)
             for i in range(0, len(bucket), 256):
                 part = bucket[i : i + 256]
                 yield rows(bucket=part, kind=np.full(len(part), ARRAYS, np.int32), payload=payload[i : i + 256])
@@ -106,22 +114,20 @@ def _repeated(buckets: int, exact: bool):
 
     def flags(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
         if exact:
-            low, high, doc, doc_high, place = unpack(payloads, *WINDOW_TYPES)
-            order = np.lexsort((high, low))
-            same = (low[order][1:] == low[order][:-1]) & (high[order][1:] == high[order][:-1])
+            key, doc, doc_high, place = unpack(payloads, *WINDOW_TYPES)
         else:
-            a, b, c, d, place = unpack(payloads, *ANCHOR_TYPES)
-            key, doc = _join40(a, b), _join40(c, d)
-            order = np.argsort(key, kind="stable")
-            same = key[order][1:] == key[order][:-1]
+            a, b, doc, doc_high, place = unpack(payloads, *ANCHOR_TYPES)
+            key = _join40(a, b)
+        order = np.argsort(key, kind="stable")
+        same = key[order][1:] == key[order][:-1]
         group = np.append(0, np.cumsum(~same))
         many = np.bincount(group)[group] > 1
         many |= np.bincount(group, (place[order] & KNOWN) != 0)[group] > 0
         hit = order[many]
         if not len(hit):
             return
-        columns = (doc[hit], doc_high[hit]) if exact else _split40(doc[hit])
-        bucket, payload = pack(((doc[hit] & LOW40) % np.uint64(buckets)).astype(np.int32), *columns, place[hit] & ~KNOWN)
+        check = ((key[hit] & np.uint64(0xFFFFFFFF)).astype(np.uint32),) if exact else ()
+        bucket, payload = pack(_home(_join40(doc[hit], doc_high[hit]), buckets), doc[hit], doc_high[hit], place[hit] & ~KNOWN, *check)
         for i in range(0, len(bucket), 1024):
             part = bucket[i : i + 1024]
             yield rows(bucket=part, kind=np.full(len(part), ARRAYS, np.int32), payload=payload[i : i + 1024])
@@ -147,28 +153,37 @@ class _Flags:
     """The flagged places of one bucket's documents."""
 
     def __init__(self, payloads: list[bytes], exact: bool):
-        columns = unpack(payloads, *FLAG_TYPES[exact])
-        self.exact, place = exact, columns[2]
-        doc = columns[0] if exact else _join40(columns[0], columns[1])
+        low, high, place, *check = unpack(payloads, *FLAG_TYPES[exact])
+        doc = _join40(low, high)
         order = np.argsort(doc, kind="stable")
-        self.doc, self.place, self.high = doc[order], place[order].astype(np.int64), columns[1][order] if exact else None
+        self.mask = np.uint64((1 << 48) - 1) if exact else LOW40
+        self.doc, self.place, self.check = doc[order], place[order].astype(np.int64), check[0][order] if exact else None
 
-    def of(self, low: np.ndarray, high: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Places in a chunk whose documents have these keys, first words and numbers of words."""
-        key = low if self.exact else low & LOW40
+    def of(self, docs: np.ndarray, begin: np.ndarray, size: np.ndarray, hashes: np.ndarray | None = None) -> np.ndarray:
+        """Places in a chunk whose documents have these keys, first words and numbers of words; of those, the ones with the right hash."""
+        key = docs & self.mask
         i, j = np.searchsorted(self.doc, key), np.searchsorted(self.doc, key, "right")
         n = j - i
         who = np.repeat(np.arange(len(key)), n)
         at = np.repeat(i - (np.cumsum(n) - n), n) + np.arange(len(who))
         place = self.place[at]
-        right = place < size[who]
-        if self.exact:
-            right &= self.high[at] == high[who]
-        return (begin[who] + place)[right]
+        fits = place < size[who] - (0 if hashes is None else WINDOW - 1)
+        place, at = (begin[who] + place)[fits], at[fits]
+        return place if hashes is None else place[(hashes[place] & np.uint64(0xFFFFFFFF)) == self.check[at]]
 
 
 def _text_rows(part: pa.RecordBatch) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("payload").cast(pa.string())], ["doc_id", "text"])
+    text = pa.array([unzip(x) for x in part.column("payload").to_pylist()], pa.binary()).cast(pa.string())
+    return pa.RecordBatch.from_arrays([part.column("doc_id"), text], ["doc_id", "text"])
+
+
+def _zipped(column: pa.Array) -> list[bytes]:
+    zip_ = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
+    return [zip_(x) for x in column.cast(pa.binary()).to_pylist()]
+
+
+def unzip(x: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(x)
 
 
 def _marked(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -204,30 +219,31 @@ def _extend(buckets: int):
                 raw, at = utf8(b.column("text"))
                 starts, ends, of = words(raw, at)
                 size = np.diff(of)
-                low, high = _documents(b)
-                place = flags.of(low, high, of[:-1], size)
+                key_of = _documents(b)
+                place = flags.of(key_of, of[:-1], size)
                 doc = np.searchsorted(of, place, "right") - 1
                 has = np.bincount(doc, minlength=len(size)) > 0
                 clean = np.flatnonzero(~has)
-                home = ((low & LOW40) % np.uint64(buckets)).astype(np.int32)
+                home = _home(key_of, buckets)
                 done = _finished(b.column("doc_id"), raw, starts, ends, of, np.zeros(len(starts), bool))
                 take = lambda x, i: x.take(pa.array(i)) if isinstance(x, pa.Array) else np.asarray(x)[i]
                 yield rows(bucket=home[clean], kind=np.full(len(clean), DONE, np.int32), doc_id=take(done["doc_id"], clean), n=done["n_words"][clean], sha=[done["kept_sha256"][i] for i in clean])
                 if not len(place):
                     continue
                 dirty = np.flatnonzero(has)
-                yield rows(bucket=home[dirty], kind=np.full(len(dirty), TEXT, np.int32), doc_id=take(b.column("doc_id"), dirty), payload=b.column("text").take(pa.array(dirty)).cast(pa.binary()))
+                yield rows(bucket=home[dirty], kind=np.full(len(dirty), TEXT, np.int32), doc_id=take(b.column("doc_id"), dirty), payload=_zipped(b.column("text").take(pa.array(dirty))))
                 last = of[1:][doc] - WINDOW
                 first = np.maximum(of[:-1][doc], place + ANCHOR - WINDOW)
                 last = np.minimum(place, last)
                 at = np.flatnonzero(_marked(len(starts), first, np.maximum(first, last + 1)))
                 code, distinct = encode_words(raw, starts, ends)
                 h = hash_words(distinct)[code]
-                key, key2 = window_hashes(h, WINDOW)[at], window_hashes(mix(h ^ np.uint64(0xA5A5A5A55A5A5A5A)), WINDOW, 0xC2B2AE3D27D4EB4F)[at]
+                key, other = window_hashes(h, WINDOW)[at], window_hashes(mix(h ^ np.uint64(0xA5A5A5A55A5A5A5A)), WINDOW, 0xC2B2AE3D27D4EB4F)[at]
                 owner = np.searchsorted(of, at, "right") - 1
                 where = (at - of[owner]).astype(np.uint32)
-                key, where = _spread(key, where)
-                bucket_of, payload = pack((key % np.uint64(buckets)).astype(np.int32), key, key2.astype(np.uint32), low[owner], high[owner], where)
+                key, other, where = _spread(key, other, where)
+                who = key_of[owner]
+                bucket_of, payload = pack((other % np.uint64(buckets)).astype(np.int32), key, who.astype(np.uint32), (who >> np.uint64(32)).astype(np.uint16), where)
                 for i in range(0, len(bucket_of), 256):
                     ids = bucket_of[i : i + 256]
                     yield rows(bucket=ids, kind=np.full(len(ids), ARRAYS, np.int32), payload=payload[i : i + 256])
@@ -251,8 +267,8 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in chunks([_text_rows(part)]):
                 raw, at = utf8(b.column("text"))
                 starts, ends, of = words(raw, at)
-                low, high = _documents(b)
-                place = flags.of(low, high, of[:-1], np.diff(of))
+                code, distinct = encode_words(raw, starts, ends)
+                place = flags.of(_documents(b), of[:-1], np.diff(of), window_hashes(hash_words(distinct)[code], WINDOW))
                 drop = _marked(len(starts), place, place + WINDOW) if len(place) else np.zeros(len(starts), bool)
                 done = _finished(b.column("doc_id"), raw, starts, ends, of, drop)
                 yield pa.RecordBatch.from_arrays([done["doc_id"], *(pa.array(done[c]) for c in names[1:3]), pa.array(done["kept_sha256"], pa.string())], names)
@@ -275,7 +291,7 @@ def _homes(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
-            home = ((_documents(b)[0] & LOW40) % np.uint64(buckets)).astype(np.int32)
-            yield rows(bucket=home, kind=np.full(len(home), TEXT, np.int32), doc_id=b.column("doc_id"), payload=b.column("text").cast(pa.binary()))
+            home = _home(_documents(b), buckets)
+            yield rows(bucket=home, kind=np.full(len(home), TEXT, np.int32), doc_id=b.column("doc_id"), payload=_zipped(b.column("text")))
 
     return run
