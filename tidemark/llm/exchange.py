@@ -2,8 +2,8 @@
 
 Rows are (bucket, kind, doc_id, n, sha, payload). A stage packs what belongs to one bucket into one
 binary payload, Spark deals the rows out by bucket and sorts them, and the next stage streams one
-bucket after another. Buckets are many times the partitions and grow with the input, so one bucket
-fits a worker's memory at any size.
+bucket after another. The number of buckets grows with the input, so one bucket fits a worker's memory
+at any size.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 SCHEMA = "bucket int, kind int, doc_id long, n long, sha string, payload binary"
@@ -19,15 +20,16 @@ NAMES = ["bucket", "kind", "doc_id", "n", "sha", "payload"]
 TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 #: kinds: packed arrays, a document's text, a finished row; arrays come first within a bucket
 ARRAYS, TEXT, DONE = range(3)
-#: Bytes of input for each bucket.
-BUCKET_BYTES = 4 << 20
+#: Bytes of input, as the optimiser estimates them, for each bucket.
+BUCKET_BYTES = 1 << 20
 
 
 def bucket_count(df: DataFrame) -> int:
-    """Buckets for an input of this size: four to a shuffle partition, or one to BUCKET_BYTES."""
+    """Buckets for an input of this size; where the size is unknown, four to a shuffle partition."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    size = size if size < 1 << 60 else 0  # unknown
-    return min(1 << 30, max(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES))
+    if size >= 1 << 60:
+        return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(1 << 30, max(1, size // BUCKET_BYTES))
 
 
 def dealt(df: DataFrame) -> DataFrame:
@@ -75,3 +77,33 @@ def unpack(payloads: list[bytes], *types: np.dtype) -> list[np.ndarray]:
             out[k].append(np.frombuffer(p, t, n, at))
             at += n * np.dtype(t).itemsize
     return [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, types, strict=True)]
+
+
+def pack_texts(bucket: np.ndarray, doc_ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    """Texts with their ids, those of one bucket in one compressed payload."""
+    order = np.argsort(bucket, kind="stable")
+    cut = np.flatnonzero(np.diff(bucket[order])) + 1
+    squeeze = zstandard.ZstdCompressor(level=5).compress
+    ids, data = doc_ids.to_pylist(), texts.cast(pa.binary()).to_pylist()
+    home, payload = [], []
+    for group in np.split(order, cut) if len(order) else []:
+        none = np.array([ids[i] is None for i in group], np.uint8)
+        number = np.array([ids[i] or 0 for i in group], np.int64)
+        size = np.array([len(data[i]) for i in group], np.int64)
+        home.append(int(bucket[group[0]]))
+        payload.append(squeeze(b"".join([np.int64(len(group)).tobytes(), none.tobytes(), number.tobytes(), size.tobytes(), *(data[i] for i in group)])))
+    return rows(bucket=np.array(home, np.int32), kind=np.full(len(home), TEXT, np.int32), payload=payload)
+
+
+def unpack_texts(part: pa.RecordBatch) -> pa.RecordBatch:
+    """(doc_id, text) of all payloads of a run of TEXT rows."""
+    ids, texts = [], []
+    for x in part.column("payload").to_pylist():
+        x = zstandard.ZstdDecompressor().decompress(x)
+        n = int(np.frombuffer(x, np.int64, 1)[0])
+        none, at = np.frombuffer(x, np.uint8, n, 8), 8 + n
+        ids += [None if a else b for a, b in zip(none.tolist(), np.frombuffer(x, np.int64, n, at).tolist(), strict=True)]
+        at += 8 * n
+        end = np.cumsum(np.frombuffer(x, np.int64, n, at)) + at + 8 * n
+        texts += [x[i:j] for i, j in zip([at + 8 * n, *end[:-1].tolist()], end.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "text"])

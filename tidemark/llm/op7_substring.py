@@ -22,11 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import ARRAYS, DONE, SCHEMA, TEXT, bucket_count, dealt, pack, rows, runs, unpack
+from .exchange import ARRAYS, DONE, SCHEMA, bucket_count, dealt, pack, pack_texts, rows, runs, unpack, unpack_texts
 from .textscan import bounded_batches, chunks, encode_words, hash_words, joined_words, mix, utf8, window_hashes, words
 
 #: fixed values: a difference cover modulo 21
@@ -172,20 +171,6 @@ class _Flags:
         return place if hashes is None else place[(hashes[place] & np.uint64(0xFFFFFFFF)) == self.check[at]]
 
 
-def _text_rows(part: pa.RecordBatch) -> pa.RecordBatch:
-    text = pa.array([unzip(x) for x in part.column("payload").to_pylist()], pa.binary()).cast(pa.string())
-    return pa.RecordBatch.from_arrays([part.column("doc_id"), text], ["doc_id", "text"])
-
-
-def _zipped(column: pa.Array) -> list[bytes]:
-    zip_ = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
-    return [zip_(x) for x in column.cast(pa.binary()).to_pylist()]
-
-
-def unzip(x: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(x)
-
-
 def _marked(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Which of n places lie in any of the ranges [first, last)."""
     edge = np.bincount(first, minlength=n + 1) - np.bincount(last, minlength=n + 1)
@@ -215,7 +200,7 @@ def _extend(buckets: int):
                 continue
             if flags is None:
                 flags, payloads = _Flags(payloads, False), []
-            for b in chunks([_text_rows(part)]):
+            for b in chunks([unpack_texts(part)]):
                 raw, at = utf8(b.column("text"))
                 starts, ends, of = words(raw, at)
                 size = np.diff(of)
@@ -231,7 +216,7 @@ def _extend(buckets: int):
                 if not len(place):
                     continue
                 dirty = np.flatnonzero(has)
-                yield rows(bucket=home[dirty], kind=np.full(len(dirty), TEXT, np.int32), doc_id=take(b.column("doc_id"), dirty), payload=_zipped(b.column("text").take(pa.array(dirty))))
+                yield pack_texts(home[dirty], take(b.column("doc_id"), dirty), take(b.column("text"), dirty))
                 last = of[1:][doc] - WINDOW
                 first = np.maximum(of[:-1][doc], place + ANCHOR - WINDOW)
                 last = np.minimum(place, last)
@@ -264,7 +249,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         else:
             if flags is None:
                 flags, payloads = _Flags(payloads, True), []
-            for b in chunks([_text_rows(part)]):
+            for b in chunks([unpack_texts(part)]):
                 raw, at = utf8(b.column("text"))
                 starts, ends, of = words(raw, at)
                 code, distinct = encode_words(raw, starts, ends)
@@ -291,7 +276,6 @@ def _homes(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
-            home = _home(_documents(b), buckets)
-            yield rows(bucket=home, kind=np.full(len(home), TEXT, np.int32), doc_id=b.column("doc_id"), payload=_zipped(b.column("text")))
+            yield pack_texts(_home(_documents(b), buckets), b.column("doc_id"), b.column("text"))
 
     return run
