@@ -1,6 +1,513 @@
-"""The registered queries over the operators of this package, and their SQL."""
+"""The registered queries over the operators of this package, and equivalent SQL.
+
+The tables of the driver stand for the domain's: a user is a subject, a user's n-th event an epoch, the type
+of the event its stage (error wake, view N1, click N2, purchase N3, signup REM) and its value the signal.
+"""
 
 from __future__ import annotations
 
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import kernels as K
+from ..functions.scalars import clean_id, finite, first_max, stage_code
+from ..operators import fits, intervals, relational, sleep, spectra, statistics, validation
+from ..streaming import incremental
+
+# fixed values: events' types as stages
+STAGES = {"error": 0, "view": 1, "click": 2, "purchase": 3, "signup": 4}
+HOURS = 720
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with SQL if there is any."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = intervals.Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.col("user_id").alias("subject_id"), (F.row_number().over(order) - 1).alias("epoch_idx"), "event_type", stage_code("event_type", STAGES).alias("code"), "value")
+
+
+EPOCHS = """e AS (SELECT event_id, user_id AS subject_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS epoch_idx, event_type, value,
+ CASE event_type WHEN 'error' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 END AS code FROM events)"""
+
+
+def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each type in each of the hours, zeros included."""
+    e = table(spark, sf_dir, "events")
+    hour = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)").cast("int")
+    counts = e.groupBy("event_type", hour.alias("i")).agg(F.count("*").cast("double").alias("_x"))
+    grid = e.select("event_type").distinct().select("event_type", F.explode(F.sequence(F.lit(0), F.lit(HOURS - 1))).alias("i"))
+    return grid.join(counts, ["event_type", "i"], "left").select("event_type", "i", F.coalesce("_x", F.lit(0.0)).alias("x"))
+
+
+HOURLY = """c AS (SELECT event_type, date_diff('hour', TIMESTAMP '2024-01-01', ts) AS i, count(*)::DOUBLE AS x FROM events GROUP BY ALL),
+h AS (SELECT t.event_type, g.i, coalesce(c.x, 0) AS x FROM (SELECT DISTINCT event_type FROM events) t CROSS JOIN (SELECT unnest(range(0, 720)) AS i) g LEFT JOIN c ON c.event_type = t.event_type AND c.i = g.i)"""
+WELCH = (
+    HOURLY
+    + """,
+s AS (SELECT event_type, k AS seg, i - 50 * k AS j, x FROM h, (SELECT unnest(range(0, 13)) AS k) WHERE i >= 50 * k AND i < 50 * k + 100),
+l AS (SELECT event_type, seg, regr_slope(x, j) AS b, regr_intercept(x, j) AS a FROM s GROUP BY ALL),
+y AS (SELECT s.event_type, s.seg, j, (x - a - b * j) * (0.5 - 0.5 * cos(2 * pi() * j / 100)) AS y FROM s JOIN l USING (event_type, seg)),
+f AS (SELECT event_type, seg, k, sum(y * cos(2 * pi() * k * j / 100)) AS re, sum(y * sin(2 * pi() * k * j / 100)) AS im FROM y, (SELECT unnest(range(0, 51)) AS k) GROUP BY ALL),
+w AS (SELECT event_type, k, avg((re * re + im * im) / 37.5 * CASE WHEN k IN (0, 50) THEN 1 ELSE 2 END) AS psd, count(*) AS segments, k * 0.01::DOUBLE AS freq FROM f GROUP BY event_type, k),
+ar AS (SELECT event_type, sum((psd + nx) / 2 * 0.01) AS area FROM (SELECT event_type, psd, lead(psd) OVER (PARTITION BY event_type ORDER BY k) AS nx FROM w WHERE k BETWEEN 1 AND 10) GROUP BY event_type),
+r AS (SELECT event_type, k, freq, psd, psd / area AS raw, psd / area - avg(CASE WHEN k BETWEEN 6 AND 10 THEN psd / area END) OVER (PARTITION BY event_type) AS corrected FROM w JOIN ar USING (event_type))"""
+)
+
+
+def welch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectra.welch(hourly(spark, sf_dir), ["event_type"], "i", "x")
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if kind == "double" else F.col(f"`{c}`") for c, kind in df.dtypes))
+
+
+@query("""SELECT coalesce(c.c_custkey, s.s_suppkey) AS id, coalesce(c.c_name, s.s_name) AS name, coalesce(CASE WHEN c_acctbal >= 0 THEN c_acctbal END, s_acctbal) AS balance,
+coalesce(CASE WHEN c_nationkey % 3 > 0 THEN c_nationkey END, s_nationkey) AS nation FROM customer c FULL JOIN supplier s ON c.c_custkey = s.s_suppkey""")
+def metadata_coalesce_union(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).otherwise(F.lit(float("nan"))).alias("balance"), F.when(F.col("c_nationkey") % 3 > 0, F.col("c_nationkey")).alias("nation"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"), F.col("s_nationkey").alias("nation"))
+    return relational.coalesce_union([c, s], "id")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey::VARCHAR END AS id, try_cast(CASE WHEN o_orderkey % 5 = 0 THEN 'abc' ELSE o_custkey::VARCHAR END AS DOUBLE) AS number FROM orders""")
+def id_normalise(spark, d):
+    o = table(spark, d, "orders")
+    text = F.when(F.col("o_orderkey") % 7 == 0, F.lit(" nan ")).when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(" "), F.col("o_orderkey").cast("string"), F.lit(".0"))).otherwise(F.col("o_orderkey").cast("string"))
+    return o.select("o_orderkey", clean_id(text).alias("id"), F.when(F.col("o_orderkey") % 5 == 0, F.lit("abc")).otherwise(F.col("o_custkey").cast("string")).try_cast("double").alias("number"))
+
+
+def _listings(spark, d):
+    o = table(spark, d, "orders")
+    name = lambda suffix: F.concat(F.col("o_custkey").cast("string"), F.lit(suffix)).alias("name")
+    return o.filter("o_orderstatus = 'F'").select(name(".edf")), o.filter("o_totalprice > 200000").select(name("_H.csv"))
+
+
+@query("""SELECT c_custkey::VARCHAR AS "ID", c_mktsegment FROM customer WHERE EXISTS (FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AND EXISTS (FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)""")
+def valid_semi(spark, d):
+    a, b = _listings(spark, d)
+    return relational.with_files(table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("ID"), "c_mktsegment"), [(a, ".edf"), (b, "_H.csv")])
+
+
+@query("""SELECT count(*) AS metadata, count_if(a)::BIGINT AS edf, count_if(b)::BIGINT AS hypnogram, count_if(a AND b)::BIGINT AS valid FROM (SELECT EXISTS (FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS a, EXISTS (FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000) AS b FROM customer)""")
+def availability_counts(spark, d):
+    a, b = _listings(spark, d)
+    return relational.availability(table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("ID")), [(a, ".edf", "edf"), (b, "_H.csv", "hypnogram")])
+
+
+@query("""SELECT c_custkey AS "ID", c_name FROM customer WHERE (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000) < 4""")
+def resume_anti(spark, d):
+    done = table(spark, d, "orders").select(F.col("o_custkey").alias("ID"), (F.col("o_totalprice") > 100000).alias("valid"))
+    return relational.pending(table(spark, d, "customer").select(F.col("c_custkey").alias("ID"), "c_name"), done, needed=4)
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN q >= s AND q >= t THEN 'q' WHEN s >= t THEN 's' ELSE 't' END AS stage FROM (SELECT l_orderkey, l_linenumber, l_quantity / 50 AS q, l_discount * 10 AS s, l_tax * 12.5 AS t FROM lineitem)""")
+def row_argmax(spark, d):
+    x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 50).alias("q"), (F.col("l_discount") * 10).alias("s"), (F.col("l_tax") * 12.5).alias("t"))
+    return x.select("l_orderkey", "l_linenumber", first_max("q", "s", "t").alias("stage"))
+
+
+@query(f"WITH {EPOCHS} SELECT event_id, code::INT AS code FROM e")
+def stage_codes(spark, d):
+    return epochs(spark, d).select("event_id", "code")
+
+
+def _bouts_sql(codes: str, least: int) -> str:
+    return f"""WITH {EPOCHS}, m AS (SELECT subject_id, epoch_idx, epoch_idx - row_number() OVER (PARTITION BY subject_id ORDER BY epoch_idx) AS g FROM e WHERE code IN ({codes})),
+r AS (SELECT subject_id, min(epoch_idx) AS first, max(epoch_idx) AS last, count(*) AS epochs FROM m GROUP BY subject_id, g HAVING count(*) >= {least}),
+b AS (SELECT subject_id, (row_number() OVER (PARTITION BY subject_id ORDER BY first) - 1)::INT AS bout_idx, first::INT AS first, last::INT AS last, epochs, first * 30.0::DOUBLE AS start, (last + 1) * 30.0::DOUBLE AS stop FROM r)"""
+
+
+def _bouts(spark, d, codes, least):
+    return intervals.bouts(epochs(spark, d), F.col("code").isin(*codes), ["subject_id"], min_sec=30.0 * least)
+
+
+@query(_bouts_sql("2", 2) + " SELECT * FROM b")
+def bouts_single(spark, d):
+    return _bouts(spark, d, (2,), 2)
+
+
+@query(_bouts_sql("1, 2, 3", 3) + " SELECT * FROM b")
+def bouts_nrem(spark, d):
+    return _bouts(spark, d, (1, 2, 3), 3)
+
+
+@query(_bouts_sql("1, 2, 3", 3) + " SELECT subject_id, event_id, bout_idx FROM e JOIN b USING (subject_id) WHERE value > 50 AND epoch_idx * 30 + 15 >= start AND epoch_idx * 30 + 15 < stop")
+def event_in_bout(spark, d):
+    points = epochs(spark, d).filter("value > 50").select("subject_id", "event_id", (F.col("epoch_idx") * 30 + 15).cast("double").alias("peak"))
+    return intervals.points_in_intervals(points, _bouts(spark, d, (1, 2, 3), 3), ["subject_id"], "peak").select("subject_id", "event_id", "bout_idx")
+
+
+@query(_bouts_sql("1, 2, 3", 3) + " SELECT subject_id, start, stop, count(*) AS n_points FROM e JOIN b USING (subject_id) WHERE value > 50 AND epoch_idx * 30 + 15 >= start AND epoch_idx * 30 + 15 < stop GROUP BY ALL")
+def bouts_with_event(spark, d):
+    points = epochs(spark, d).filter("value > 50").select("subject_id", (F.col("epoch_idx") * 30 + 15).cast("double").alias("peak"))
+    return intervals.intervals_with_points(_bouts(spark, d, (1, 2, 3), 3), points, ["subject_id"], "peak").select("subject_id", "start", "stop", "n_points")
+
+
+@query(_bouts_sql("1, 2, 3", 3) + """, n AS (SELECT b.subject_id, bout_idx, count(*) AS k, stop - start AS sec FROM e JOIN b ON e.subject_id = b.subject_id AND epoch_idx BETWEEN first AND last AND value > 50 GROUP BY ALL)
+SELECT subject_id, round(sum(k) / (sum(sec) / 60), 6) AS rate, round(CASE WHEN count(*) > 1 THEN stddev_samp(k / (sec / 60)) / sqrt(count(*)) ELSE 0 END, 6) AS rate_sem, count(*) AS bouts FROM n GROUP BY subject_id""")
+def rate_sem(spark, d):
+    b = bouts_with_event(spark, d).withColumnRenamed("n_points", "n_spindles")
+    return rounded(sleep.event_rate(b, ["subject_id"]))
+
+
+@query(f"""WITH {EPOCHS}, v AS (SELECT subject_id, epoch_idx::DOUBLE AS t, value AS v FROM e WHERE code = 1), q AS (SELECT event_id, subject_id, epoch_idx::DOUBLE AS u FROM e WHERE code = 0),
+a AS (SELECT q.*, v.t AS t1, v.v AS v1 FROM q ASOF LEFT JOIN v ON q.subject_id = v.subject_id AND q.u >= v.t),
+z AS (SELECT a.*, v.t AS t2, v.v AS v2 FROM a ASOF LEFT JOIN v ON a.subject_id = v.subject_id AND a.u < v.t)
+SELECT event_id, round(CASE WHEN t1 IS NULL THEN v2 WHEN t2 IS NULL OR t1 = u THEN v1 ELSE v1 + (v2 - v1) * (u - t1) / (t2 - t1) END, 6) AS interpolated FROM z""")
+def asof_interp(spark, d):
+    e = epochs(spark, d)
+    got = intervals.interpolate_at(e.filter("code = 0").select("subject_id", "event_id", F.col("epoch_idx").cast("double").alias("at")), e.filter("code = 1").select("subject_id", F.col("epoch_idx").cast("double").alias("t"), "value"), ["subject_id"], "at", "t", "value")
+    return rounded(got.select("event_id", "interpolated"))
+
+
+@query("""SELECT event_id, count(*) OVER (PARTITION BY user_id, event_type, ts::DATE) > 1 AS duplicated FROM events""")
+def duplicates_all(spark, d):
+    return relational.duplicates(table(spark, d, "events").withColumn("day", F.to_date("ts")), ["user_id", "event_type", "day"]).select("event_id", "duplicated")
+
+
+@query("""SELECT c_custkey, c_name FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS n FROM customer) WHERE n % 4 = 1""")
+def shard_stride(spark, d):
+    return relational.shard(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", 1, 4)
+
+
+@query("""SELECT event_type, date_diff('hour', TIMESTAMP '2024-01-01', ts)::BIGINT AS bin, round(avg(value), 6) AS mean, count(value) AS n FROM events GROUP BY ALL""")
+def hourly_bins(spark, d):
+    e = table(spark, d, "events").withColumn("sec", F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)"))
+    return rounded(spectra.bin_means(e, ["event_type"], "sec", "value", 3600))
+
+
+@query(f"WITH {WELCH} SELECT event_type, k::INT AS k, round(freq, 6) AS freq, round(psd, 6) AS psd, segments FROM w")
+def welch_psd(spark, d):
+    return rounded(welch(spark, d))
+
+
+@query(f"WITH {WELCH} SELECT event_type, k::INT AS k, round(freq, 6) AS freq, round(raw, 6) AS raw, round(corrected, 6) AS corrected FROM r")
+def relative_baseline(spark, d):
+    return rounded(spectra.relative_and_corrected(welch(spark, d), ["event_type"]).select("event_type", "k", "freq", "raw", "corrected"))
+
+
+@query(f"WITH {WELCH} SELECT event_type, round(area, 6) AS area FROM ar")
+def band_power(spark, d):
+    return rounded(spectra.trapezoid(welch(spark, d), ["event_type"], 0.01, 0.1))
+
+
+@query(f"""WITH {WELCH} SELECT event_type, round(arg_max(freq, psd) FILTER (WHERE k BETWEEN 1 AND 10), 6) AS peak_freq, round(max(psd) FILTER (WHERE k BETWEEN 1 AND 10), 6) AS peak_power,
+round(arg_max(freq, psd) FILTER (WHERE k > 0), 6) AS full_peak_freq, round(max(psd) FILTER (WHERE k > 0), 6) AS full_peak_power FROM w GROUP BY event_type""")
+def spectrum_peaks(spark, d):
+    return rounded(spectra.peaks(welch(spark, d), ["event_type"]))
+
+
+@query(f"""WITH {WELCH}, p AS (SELECT *, lead(freq) OVER o AS f2, lead(raw) OVER o AS v2, arg_max(freq, raw) OVER (PARTITION BY event_type) AS pk FROM r WINDOW o AS (PARTITION BY event_type ORDER BY k))
+SELECT event_type, round(coalesce(min(CASE WHEN freq >= pk AND raw >= 5 AND v2 < 5 THEN freq + (raw - 5) / (raw - v2) * (f2 - freq) END), max(freq)), 6) AS crossing FROM p GROUP BY event_type""")
+def threshold_crossing(spark, d):
+    return rounded(spectra.crossing(spectra.relative_and_corrected(welch(spark, d), ["event_type"]), ["event_type"], "raw", 5.0))
+
+
+@query("""SELECT l_returnflag, month(l_shipdate)::INT AS k, round(avg(l_quantity), 6) AS mean, round(CASE WHEN count(*) > 1 THEN stddev_samp(l_quantity) / sqrt(count(*)) ELSE 0 END, 6) AS sem, count(*) AS n FROM lineitem GROUP BY ALL""")
+def group_mean_sem(spark, d):
+    return rounded(spectra.mean_curves(table(spark, d, "lineitem").withColumn("k", F.month("l_shipdate")), ["l_returnflag"], "l_quantity"))
+
+
+DESCRIBE = """q AS (SELECT l_returnflag, count(*) AS n, 0::BIGINT AS missing_n, avg(l_extendedprice) AS mean, stddev_samp(l_extendedprice) AS sd, quantile_cont(l_extendedprice, 0.5) AS median, quantile_cont(l_extendedprice, 0.25) AS q1,
+quantile_cont(l_extendedprice, 0.75) AS q3, min(l_extendedprice) AS min, max(l_extendedprice) AS max FROM lineitem GROUP BY 1)"""
+
+
+@query(f"""WITH {DESCRIBE} SELECT q.l_returnflag, n, missing_n, round(mean, 4) AS mean, round(sd, 4) AS sd, round(median, 4) AS median, round(q1, 4) AS q1, round(q3, 4) AS q3, min, max,
+count_if(l_extendedprice < q1 - 3 * (q3 - q1) OR l_extendedprice > q3 + 3 * (q3 - q1))::BIGINT AS outliers FROM q JOIN lineitem l USING (l_returnflag) GROUP BY ALL""")
+def describe(spark, d):
+    return rounded(statistics.describe(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice").drop("skewness"), 4)
+
+
+@query("""SELECT l_returnflag, round((avg(power(x, 3)) ) / power(avg(x * x), 1.5), 6) AS skewness FROM (SELECT l_returnflag, l_extendedprice - avg(l_extendedprice) OVER (PARTITION BY l_returnflag) AS x FROM lineitem) GROUP BY 1""")
+def skewness_pop(spark, d):
+    return rounded(statistics.describe(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice").select("l_returnflag", "skewness"))
+
+
+RATES = """u AS (SELECT user_id, count(*) / 30.0::DOUBLE AS rate, avg(value) AS amount FROM events GROUP BY user_id),
+g AS (SELECT *, ln(1 + rate) AS log_rate, avg(ln(1 + rate)) OVER () AS mean, stddev_samp(ln(1 + rate)) OVER () AS sd FROM u),
+z AS (SELECT *, CASE WHEN log_rate < mean THEN 'low' WHEN log_rate > mean THEN 'high' ELSE 'mid' END AS "group" FROM g)"""
+
+
+def _rates(spark, d):
+    u = table(spark, d, "events").groupBy("user_id").agg((F.count("*") / 30.0).alias("rate"), F.avg("value").alias("amount"))
+    return statistics.rate_groups(u, "rate")
+
+
+@query(f"""WITH {RATES} SELECT user_id, round(rate, 6) AS rate, round(log_rate, 6) AS log_rate, round(mean, 6) AS mean, round(sd, 6) AS sd, "group" FROM z""")
+def log1p_cutoff(spark, d):
+    return rounded(_rates(spark, d).select("user_id", "rate", "log_rate", "mean", "sd", "group"))
+
+
+SIDES = """s AS (SELECT l_returnflag AS f, count(*)::DOUBLE AS n, avg(l_quantity) AS m, stddev_samp(l_quantity) AS sd FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1),
+p AS (SELECT h.n AS nh, h.m AS mh, h.sd AS sh, l.n AS nl, l.m AS ml, l.sd AS sl FROM s h, s l WHERE h.f = 'R' AND l.f = 'A')"""
+
+
+@query(f"""WITH {SIDES} SELECT 'l_quantity' AS parameter, round((mh - ml) / sqrt(sh * sh / nh + sl * sl / nl), 6) AS t, round(power(sh * sh / nh + sl * sl / nl, 2) / (power(sh * sh / nh, 2) / (nh - 1) + power(sl * sl / nl, 2) / (nl - 1)), 4) AS df,
+round((mh - ml) / sqrt(((nh - 1) * sh * sh + (nl - 1) * sl * sl) / (nh + nl - 2)) * (1 - 3 / (4 * (nh + nl) - 9)), 6) AS hedges_g FROM p""")
+def welch_t(spark, d):
+    x = table(spark, d, "lineitem").withColumn("parameter", F.lit("l_quantity"))
+    s = statistics.welch_t(statistics._sides(x, ["parameter"], "l_returnflag", "l_quantity", "A", "R"))
+    return s.select("parameter", F.round("t", 6).alias("t"), F.round("df", 4).alias("df"), F.round("hedges_g", 6).alias("hedges_g"))
+
+
+@query("""WITH x AS (SELECT o_orderpriority AS p, o_orderstatus AS s, o_totalprice AS v FROM orders WHERE o_orderstatus IN ('O', 'F')),
+q AS (SELECT p, s, count(*) AS n, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3, avg(v) AS m FROM x GROUP BY p, s),
+y AS (SELECT p, s, n, avg(power(v - m, 3)) / power(avg(power(v - m, 2)), 1.5) AS g, count_if((v < q1 - 3 * (q3 - q1) OR v > q3 + 3 * (q3 - q1)) AND q3 > q1) AS o FROM x JOIN q USING (p, s) GROUP BY p, s, n)
+SELECT p AS o_orderpriority, CASE WHEN max(n) FILTER (WHERE s = 'F') < 2 OR max(n) FILTER (WHERE s = 'O') < 2 THEN 'none' WHEN bool_or(n < 8 OR abs(g) >= 1 OR o > 0) THEN 'mannwhitney' ELSE 'welch' END AS test FROM y GROUP BY p""")
+def choose_test(spark, d):
+    s = statistics._sides(table(spark, d, "orders"), ["o_orderpriority"], "o_orderstatus", "o_totalprice", "O", "F")
+    return s.select("o_orderpriority", statistics.choose_test().alias("test"))
+
+
+@query("""WITH x AS (SELECT o_orderstatus AS s, round(o_totalprice / 1000) AS v FROM orders WHERE o_orderstatus IN ('O', 'F')), k AS (SELECT s, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0::DOUBLE AS r FROM x),
+z AS (SELECT count_if(s = 'O') AS n_low, count_if(s = 'F') AS n_high, sum(CASE WHEN s = 'F' THEN r END) AS r FROM k)
+SELECT n_low::BIGINT AS n_low, n_high::BIGINT AS n_high, (r - n_high * (n_high + 1) / 2)::DOUBLE AS u, round(2.0::DOUBLE * (r - n_high * (n_high + 1) / 2) / (n_low * n_high) - 1, 6) AS delta FROM z""")
+def mwu_delta(spark, d):
+    x = table(spark, d, "orders").withColumn("v", F.round(F.col("o_totalprice") / 1000))
+    return rounded(statistics.mann_whitney(x, "o_orderstatus", "v", "O", "F"))
+
+
+@query("""WITH k AS (SELECT l_returnflag AS g, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0::DOUBLE AS r FROM lineitem), a AS (SELECT g, count(*)::DOUBLE AS n, sum(r) AS s FROM k GROUP BY g),
+t AS (SELECT sum(power(c, 3) - c) AS t FROM (SELECT count(*)::DOUBLE AS c FROM lineitem GROUP BY l_quantity)), n AS (SELECT sum(n) AS n, sum(s * s / n) AS s, count(*) AS groups FROM a),
+h AS (SELECT (12 / (n * (n + 1)) * s - 3 * (n + 1)) / (1 - t / (power(n, 3) - n)) AS h, groups FROM n, t) SELECT round(h, 4) AS h, groups, round(exp(-h / 2), 4) AS p FROM h""")
+def kruskal3(spark, d):
+    return rounded(statistics.kruskal(table(spark, d, "lineitem"), "l_returnflag", "l_quantity"), 4)
+
+
+@query("""WITH p AS (SELECT o_custkey, round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) - avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END)) AS x FROM orders GROUP BY 1),
+k AS (SELECT x, rank() OVER (ORDER BY abs(x)) + (count(*) OVER (PARTITION BY abs(x)) - 1) / 2.0::DOUBLE AS r FROM p WHERE x <> 0),
+w AS (SELECT coalesce(sum(CASE WHEN x > 0 THEN r END), 0) AS w_plus, coalesce(sum(CASE WHEN x < 0 THEN r END), 0) AS w_minus, count(*) AS n, count_if(x > 0) - count_if(x < 0) AS e FROM k)
+SELECT w_plus, w_minus, least(w_plus, w_minus) AS w, n, round(e / n::DOUBLE, 6) AS effect FROM w""")
+def wilcoxon_w(spark, d):
+    side = lambda s: F.avg(F.when(F.col("o_orderstatus") == s, F.col("o_totalprice")))
+    p = table(spark, d, "orders").groupBy("o_custkey").agg(F.round(side("F") - side("O")).alias("x"))
+    return rounded(statistics.signed_ranks(p, "x"))
+
+
+P_LIKE = "CASE WHEN n_nationkey % 6 = 5 THEN NULL ELSE (n_nationkey * 7 % 25 + 1) / 400.0::DOUBLE END"
+
+
+def _p(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", F.when(F.col("n_nationkey") % 6 != 5, (F.col("n_nationkey") * 7 % 25 + 1) / 400.0).alias("p"))
+
+
+@query(f"""WITH a AS (SELECT n_nationkey, {P_LIKE} AS p FROM nation), b AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p) AS s, row_number() OVER (ORDER BY p) AS r FROM a WHERE p IS NOT NULL),
+c AS (SELECT n_nationkey, least(1, min(s) OVER (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM b) SELECT a.n_nationkey, p, round(q, 6) AS q, coalesce(q < 0.05, false) AS significant FROM a LEFT JOIN c USING (n_nationkey)""")
+def bh_fdr(spark, d):
+    return rounded(statistics.benjamini_hochberg(_p(spark, d), "p"))
+
+
+@query(f"""WITH a AS (SELECT n_nationkey, {P_LIKE} AS p FROM nation), b AS (SELECT *, least(1, p * (count(*) OVER () - row_number() OVER (ORDER BY p) + 1)) AS s, row_number() OVER (ORDER BY p) AS r FROM a WHERE p IS NOT NULL)
+SELECT n_nationkey, p, round(max(s) OVER (ORDER BY r ROWS UNBOUNDED PRECEDING), 6) AS p_holm FROM b""")
+def holm(spark, d):
+    return rounded(statistics.holm(_p(spark, d).filter("p is not null"), "p"))
+
+
+@query("SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_name < b.n_name")
+def pairs(spark, d):
+    return relational.pairs(table(spark, d, "nation"), "n_name")
+
+
+@query("SELECT p_partkey AS key FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 25")
+def set_diff_keys(spark, d):
+    return relational.key_differences(table(spark, d, "part").select(F.col("p_partkey").alias("key")), table(spark, d, "lineitem").filter("l_quantity > 25").select(F.col("l_partkey").alias("key")))
+
+
+def _records(spark, d):
+    o = table(spark, d, "orders")
+    k = F.col("o_orderkey")
+    freq = F.when(k % 11 == 0, 0.0).when(k % 13 == 0, F.lit(None)).otherwise((k % 9 + 1) / 100)
+    return o.select(
+        F.when(k % 97 == 0, F.lit("twin")).otherwise(k.cast("string")).alias("subject_id"), F.when(k % 17 == 0, "N3").otherwise("N2").alias("sleep_stage"), F.when(k % 19 == 0, "C4").otherwise("C3").alias("channel"), freq.alias("peak_freq_hz"),
+        F.when(k % 23 == 0, 99.0).otherwise(1 / F.nullif(freq, F.lit(0.0))).alias("peak_period_s"), F.when(k % 29 == 0, -1.0).otherwise(0.02).alias("bandwidth_hz"), F.when(k % 31 == 0, float("inf")).otherwise(1.0).alias("auc"), F.lit(0.5).alias("chromatogram_peak_area"),
+        (F.col("o_totalprice") / 1000 - 10).alias("spindle_per_min"), F.when(k % 37 == 0, float("nan")).otherwise(0.1).alias("spindle_per_min_SEM"), k.alias("o_orderkey"),
+    )
+
+
+REASONS = """r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 97 = 0 THEN 'twin' ELSE o_orderkey::VARCHAR END AS id, o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN 0.0 WHEN o_orderkey % 13 = 0 THEN NULL ELSE (o_orderkey % 9 + 1) / 100.0::DOUBLE END AS f, o_totalprice / 1000 - 10 AS rate FROM orders),
+z AS (SELECT o_orderkey, CASE WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'duplicate subject' WHEN k % 17 = 0 THEN 'wrong stage' WHEN k % 19 = 0 THEN 'wrong channel' WHEN rate < 0 THEN 'negative rate' WHEN f <= 0 THEN 'peak frequency not positive'
+WHEN k % 29 = 0 THEN 'negative bandwidth' WHEN f IS NULL THEN 'missing peak_freq_hz' WHEN k % 37 = 0 THEN 'missing spindle_per_min_SEM' WHEN k % 31 = 0 THEN 'infinite auc' WHEN k % 23 = 0 THEN 'period is not 1 / frequency' END AS exclusion_reason FROM r)"""
+
+
+@query(f"WITH {REASONS} SELECT o_orderkey, exclusion_reason FROM z")
+def first_reason(spark, d):
+    return validation.reasons(_records(spark, d), "N2", "C3").select("o_orderkey", "exclusion_reason")
+
+
+@query(f"WITH {REASONS} SELECT exclusion_reason, count(*) AS count FROM z GROUP BY 1")
+def validate_counts(spark, d):
+    return validation.split(validation.reasons(_records(spark, d), "N2", "C3"))[2]
+
+
+@query("SELECT event_type, min(value) >= 0 AS sound FROM events GROUP BY 1")
+def spectrum_checks(spark, d):
+    a = table(spark, d, "events").groupBy("event_type").agg(F.array_sort(F.collect_set("value")).alias("freqs")).withColumn("corr_mean", F.col("freqs"))
+    return a.select("event_type", validation.spectrum_problem().isNull().alias("sound"))
+
+
+@query()
+def alias_resolve(spark, d):
+    labels = table(spark, d, "part").select(F.col("p_brand").alias("subject_id"), F.explode(F.split("p_type", " ")).alias("label"))
+    return relational.resolve_channels(labels, [("first", ["STANDARD", "SMALL", "ECONOMY"]), ("second", ["economy", "PROMO"]), ("third", ["ECONOMY"]), ("fourth", ["nothing"])])
+
+
+def _curves(spark, d):
+    r = spectra.relative_and_corrected(welch(spark, d), ["event_type"])
+    c = r.groupBy("event_type").agg(F.array_sort(F.collect_list(F.struct("freq", "corrected"))).alias("c"))
+    return c.select("event_type", F.transform("c", lambda x: x["freq"]).alias("freqs"), F.transform("c", lambda x: x["corrected"]).alias("corr_mean"))
+
+
+@query()
+def bigauss_fit(spark, d):
+    return fits.fit_curves(_curves(spark, d), ["event_type"])
+
+
+@query()
+def gaussian_fit(spark, d):
+    return fits.fit_curves(_curves(spark, d), ["event_type"], symmetric=True)
+
+
+@query(f"""WITH {HOURLY}, a AS (SELECT event_type, i::DOUBLE AS t, (x - avg(x) OVER w) / stddev_pop(x) OVER w AS z FROM h WINDOW w AS (PARTITION BY event_type)), b AS (SELECT *, lead(z) OVER (PARTITION BY event_type ORDER BY t) AS z2 FROM a),
+x AS (SELECT event_type, CASE WHEN z >= 0 AND z2 < 0 THEN -1 WHEN z < 0 AND z2 >= 0 THEN 1 END AS s, t + z / (z - z2) AS u FROM b), e AS (SELECT event_type, s, u, lead(u) OVER o AS rise, lead(u, 2) OVER o AS finish FROM x WHERE s IS NOT NULL WINDOW o AS (PARTITION BY event_type ORDER BY u))
+SELECT event_type, round(min(u), 6) AS begin, round(arg_min(rise, u), 6) AS rise, round(arg_min(finish, u), 6) AS finish FROM e WHERE s = -1 AND finish - u BETWEEN 4 AND 100 GROUP BY event_type""")
+def zscore_phase(spark, d):
+    s = hourly(spark, d).withColumn("t", F.col("i").cast("double"))
+    return rounded(intervals.phase_bins(s, ["event_type"], "t", "x", 4.0, 100.0).drop("edges"))
+
+
+@query(f"""WITH {HOURLY}, a AS (SELECT *, lag(x) OVER w AS p FROM h WINDOW w AS (PARTITION BY event_type ORDER BY i)), b AS (SELECT event_type, i, x FROM a WHERE p IS NULL OR p <> x),
+m AS (SELECT *, lag(x) OVER w AS p, lead(x) OVER w AS n FROM b WINDOW w AS (PARTITION BY event_type ORDER BY i)) SELECT event_type, i::INT AS i, x, CASE WHEN x > p THEN 'peak' ELSE 'trough' END AS kind FROM m WHERE (x > p AND x > n) OR (x < p AND x < n)""")
+def local_extrema(spark, d):
+    return intervals.extrema(hourly(spark, d), ["event_type"], "i", "x")
+
+
+@query("""WITH s AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi, count(*) AS total FROM lineitem), b AS (SELECT least(floor((l_extendedprice - lo) / ((hi - lo) / 40)), 39)::INT AS bin, lo, hi, total FROM lineitem, s)
+SELECT bin, lo, hi, total, count(*) AS count, round(count(*) / (total * ((hi - lo) / 40)), 9) AS density FROM b GROUP BY bin, lo, hi, total""")
+def histogram40(spark, d):
+    return rounded(statistics.histogram(table(spark, d, "lineitem"), "l_extendedprice"), 9)
+
+
+@query("""SELECT round(f, 2) AS dominant_hz, count(*) AS subjects FROM (SELECT (o_custkey % 10 + 1) / 100.0::DOUBLE AS f FROM orders) GROUP BY GROUPING SETS ((round(f, 2)), ())""")
+def dominant_bin_cube(spark, d):
+    from . import jobs
+
+    return jobs.dominant_groups(table(spark, d, "orders").select(((F.col("o_custkey") % 10 + 1) / 100.0).alias("peak_freq_hz")))
+
+
+def _signals(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", F.lit(64.0).alias("sf"), F.transform("embedding", lambda x: x.cast("double")).alias("samples"))
+
+
+@query()
+def envelope_filter(spark, d):
+    return fits.map_signals(_signals(spark, d), ["vec_id"], fits.pipeline(fits.butter((4, 16), "band"), fits.notch(20.0), lambda x, r: K.power_envelope(x, r, (4, 16), 16.0)[1]))
+
+
+@query()
+def resample_signals(spark, d):
+    return fits.resampled(_signals(spark, d).withColumn("subject_id", F.col("vec_id") % 10), ["vec_id", "subject_id"], 48.0)
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events WHERE event_id % 3 <> 1")
+def incremental_files(spark, d):
+    """Two deliveries of files, taken up by two calls; the second has rows that came before."""
+    folder = tempfile.mkdtemp(prefix="tidemark-")
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    for k, part in enumerate((e.filter("event_id % 3 = 0"), e.filter("event_id % 3 = 2 or event_id % 9 = 0"))):
+        part.write.parquet(f"{folder}/in/{k}")
+        incremental.ingest_new(spark, f"{folder}/in/*", e.schema, f"{folder}/out", f"{folder}/state", key="event_id")
+    return spark.read.parquet(f"{folder}/out")
+
+
+@query("""SELECT event_type, w AS start, w + INTERVAL 2 HOUR AS "end", round(avg(value), 6) AS mean, count(*) AS n FROM (SELECT event_type, value, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS w FROM events) GROUP BY ALL""")
+def sliding_means(spark, d):
+    e = incremental.windowed(table(spark, d, "events"), "ts", ["event_type"], "value", "2 hours", "1 hour")
+    return rounded(e.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("end", F.col("end").cast("timestamp_ntz")))
+
+
+@query("""WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM a)
+SELECT user_id, min(ts) AS first, count(*) AS epochs FROM b GROUP BY user_id, g HAVING count(*) >= 3""")
+def session_bouts(spark, d):
+    return incremental.live_bouts(table(spark, d, "events"), "ts", ["user_id"], "6 hours", min_sec=3, epoch_sec=1).withColumn("first", F.col("first").cast("timestamp_ntz"))
+
+
+@query(f"""WITH {EPOCHS}, x AS (SELECT subject_id, min(epoch_idx) FILTER (WHERE code > 0) AS f, max(epoch_idx) FILTER (WHERE code > 0) AS l FROM e GROUP BY 1),
+s AS (SELECT subject_id, 0.5 * count(*) AS "TIB", 0.5 * (max(l) - max(f) + 1) AS "SPT", 0.5 * count_if(code = 0 AND epoch_idx BETWEEN f AND l) AS "WASO", 0.5 * count_if(code > 0) AS "TST", 0.5 * max(f) AS "SOL", 0.5 * min(CASE WHEN code = 4 THEN epoch_idx END) AS "Lat_REM" FROM e JOIN x USING (subject_id) GROUP BY 1)
+SELECT subject_id, "TIB"::DOUBLE AS "TIB", "SPT"::DOUBLE AS "SPT", "WASO"::DOUBLE AS "WASO", "TST"::DOUBLE AS "TST", "SOL"::DOUBLE AS "SOL", "Lat_REM"::DOUBLE AS "Lat_REM", round(100 * "TST" / "TIB", 6)::DOUBLE AS "SE", round(100 * "TST" / "SPT", 6)::DOUBLE AS "SME" FROM s""")
+def sleep_statistics(spark, d):
+    return rounded(sleep.statistics(epochs(spark, d)).select("subject_id", "TIB", "SPT", "WASO", "TST", "SOL", "Lat_REM", "SE", "SME"))
+
+
+@query("""SELECT user_id, event_id, round(10 * log10(CASE WHEN p > 0 THEN p ELSE coalesce(min(CASE WHEN p > 0 THEN p END) OVER (PARTITION BY user_id), 1) END), 6) AS db FROM (SELECT user_id, event_id, greatest(value - 20, 0) AS p FROM events)""")
+def decibel_floor(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", F.greatest(F.col("value") - 20, F.lit(0.0)).alias("p"))
+    return rounded(spectra.decibels(e, ["user_id"], "p").drop("p"))
+
+
+@query("SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75) - quantile_cont(value, 0.25), 6) AS iqr FROM events GROUP BY 1")
+def stage_statistics(spark, d):
+    s = statistics.describe(table(spark, d, "events"), ["event_type"], "value")
+    return rounded(s.select("event_type", "n", "median", (F.col("q3") - F.col("q1")).alias("iqr")))
+
+
+@query("SELECT o_orderstatus, arg_max(o_orderpriority, (m, o_orderpriority)) AS best FROM (SELECT o_orderstatus, o_orderpriority, avg(o_totalprice) AS m FROM orders GROUP BY ALL) GROUP BY 1")
+def best_channel(spark, d):
+    m = table(spark, d, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.avg("o_totalprice").alias("m"))
+    return m.groupBy("o_orderstatus").agg(F.max_by("o_orderpriority", F.struct("m", "o_orderpriority")).alias("best"))
+
+
+@query("SELECT user_id, round(avg(value), 6) AS mean FROM events WHERE event_type IN ('view', 'click') GROUP BY 1")
+def subject_means(spark, d):
+    e = table(spark, d, "events").filter(F.col("event_type").isin("view", "click") & finite("value"))
+    return rounded(e.groupBy("user_id").agg(F.avg("value").alias("mean")))
+
+
+@query(f"""WITH {RATES} SELECT "group", round(avg(amount), 6) AS mean, round(avg(amount) - 1.959963984540054 * CASE WHEN count(*) > 1 THEN stddev_samp(amount) / sqrt(count(*)) ELSE 0 END, 6) AS lower, round(avg(amount) + 1.959963984540054 * CASE WHEN count(*) > 1 THEN stddev_samp(amount) / sqrt(count(*)) ELSE 0 END, 6) AS upper FROM z GROUP BY 1""")
+def confidence_bands(spark, d):
+    g = _rates(spark, d).groupBy("group").agg(F.avg("amount").alias("mean"), statistics.sem("amount").alias("s"), F.count("amount").alias("n"))
+    lower, upper = statistics.normal_band(F.col("mean"), F.col("s"), F.col("n"))
+    return rounded(g.select("group", "mean", lower.alias("lower"), upper.alias("upper")))
+
+
+@query(f"""WITH {RATES}, s AS (SELECT "group" AS g, count(amount) AS n, avg(amount) AS m, stddev_samp(amount) AS sd FROM z WHERE "group" <> 'mid' GROUP BY 1)
+SELECT 'amount' AS parameter, l.n AS n_low, h.n AS n_high, round(l.m, 6) AS mean_low, round(h.m, 6) AS mean_high, round((h.m - l.m) / sqrt(h.sd * h.sd / h.n + l.sd * l.sd / l.n), 6) AS t,
+round((h.m - l.m) / sqrt(((h.n - 1) * h.sd * h.sd + (l.n - 1) * l.sd * l.sd) / (h.n + l.n - 2)) * (1 - 3.0::DOUBLE / (4 * (h.n + l.n) - 9)), 6) AS hedges_g FROM s h, s l WHERE h.g = 'high' AND l.g = 'low'""")
+def group_compare(spark, d):
+    s = statistics.welch_t(statistics._sides(_rates(spark, d).withColumn("parameter", F.lit("amount")), ["parameter"], "group", "amount", "low", "high"))
+    return rounded(s.select("parameter", "n_low", "n_high", "mean_low", "mean_high", "t", "hedges_g"))
+
+
+@query()
+def compare_parameters(spark, d):
+    return statistics.compare(_rates(spark, d), "group", ["amount", "rate"])
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_custkey LIMIT 50")
+def first_subjects(spark, d):
+    return table(spark, d, "customer").select("c_custkey", "c_acctbal").orderBy("c_custkey").limit(50)
+
+
+@query("SELECT count(*) AS total, count_if(o_orderstatus = 'F' AND o_custkey % 10 = 0)::BIGINT AS subject_failures, count_if(o_orderstatus = 'F' AND o_custkey % 10 > 0)::BIGINT AS other_issues FROM orders")
+def run_summary(spark, d):
+    o, failed, whole = table(spark, d, "orders"), F.col("o_orderstatus") == "F", F.col("o_custkey") % 10 == 0
+    return o.agg(F.count("*").alias("total"), F.count_if(failed & whole).alias("subject_failures"), F.count_if(failed & ~whole).alias("other_issues"))
