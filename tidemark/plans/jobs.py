@@ -70,7 +70,7 @@ def summaries(records: DataFrame, stage: str, channel: str, unit: str = "min") -
     var = F.aggregate(per, F.lit(0.0), lambda a, x: a + F.pow(x - mean, 2)) / (size - 1)
     counted = own.select("subject_id", F.col("stage").alias("sleep_stage"), "channel", "freqs", "corr_mean", F.when(total > 0, F.aggregate("bout_n_spindles", F.lit(0).cast("long"), lambda a, n: a + n) / total * factor).alias(rate), F.when(size > 1, F.sqrt(var) / F.sqrt(size) * factor).when(size == 1, 0.0).alias(error))
     counted = counted.withColumn("load_problem", validation.spectrum_problem())
-    fitted = fits.fit_curves(counted.filter("load_problem is null"), ["subject_id"])
+    fitted = fits.fit_curves(counted.filter("load_problem is null"), ["subject_id"]).withColumnRenamed("bandwidth", "bandwidth_hz")
     joined = counted.join(fitted, "subject_id", "left")
     return joined.withColumn("exclusion_reason", F.coalesce("load_problem", "fit_error")).withColumn("power", F.lit(None).cast("double")).drop("load_problem", "fit_error")
 

@@ -328,9 +328,9 @@ def pairs(spark, d):
     return relational.pairs(table(spark, d, "nation"), "n_name")
 
 
-@query("SELECT p_partkey AS key FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 25")
+@query("SELECT p_partkey AS key FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 48")
 def set_diff_keys(spark, d):
-    return relational.key_differences(table(spark, d, "part").select(F.col("p_partkey").alias("key")), table(spark, d, "lineitem").filter("l_quantity > 25").select(F.col("l_partkey").alias("key")))
+    return relational.key_differences(table(spark, d, "part").select(F.col("p_partkey").alias("key")), table(spark, d, "lineitem").filter("l_quantity > 48").select(F.col("l_partkey").alias("key")))
 
 
 def _records(spark, d):

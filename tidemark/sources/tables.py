@@ -85,4 +85,4 @@ def attach_spectra(summary: DataFrame, records: DataFrame) -> DataFrame:
     return summary.join(spectra, "subject_id", "left")
 
 
-SIGNALS = T.StructType.fromDDL("subject_id string, channel string, sf double, samples array<double>")
+SIGNALS = T.StructType([T.StructField("subject_id", T.StringType()), T.StructField("channel", T.StringType()), T.StructField("sf", T.DoubleType()), T.StructField("samples", T.ArrayType(T.DoubleType()))])
