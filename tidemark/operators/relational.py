@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import is_nan
+from ..session import shared_folder
 
 
 def coalesce_union(frames: list[DataFrame], key: str) -> DataFrame:
@@ -58,7 +59,9 @@ def shard(df: DataFrame, key: str, index: int, count: int) -> DataFrame:
     adds the counts before its own.
     """
     ordered = df.orderBy(key).withColumn("_part", F.spark_partition_id())
-    numbered = ordered.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(key)))
+    shared_folder(df.sparkSession)
+    # kept, as partitions may be put together otherwise when they are counted
+    numbered = ordered.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(key))).checkpoint()
     sizes = numbered.groupBy("_part").agg(F.max("_n").alias("_size"))  # a row for each partition
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
     numbered = numbered.join(F.broadcast(before), "_part")

@@ -40,9 +40,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = intervals.Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events")
-    return e.select("event_id", F.col("user_id").alias("subject_id"), (F.row_number().over(order) - 1).alias("epoch_idx"), "event_type", stage_code("event_type", STAGES).alias("code"), "value")
+    # renamed before the window, so that what follows by subject finds the rows where they are
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("subject_id"), "ts", "event_type", "value")
+    order = intervals.Window.partitionBy("subject_id").orderBy("ts", "event_id")
+    return e.select("event_id", "subject_id", (F.row_number().over(order) - 1).alias("epoch_idx"), "event_type", stage_code("event_type", STAGES).alias("code"), "value")
 
 
 EPOCHS = """e AS (SELECT event_id, user_id AS subject_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS epoch_idx, event_type, value,
