@@ -153,3 +153,20 @@ def test_event_rate_error_of_one_bout_is_zero(spark):
     df = spark.createDataFrame([("a", 0.0, 300.0, 5), ("b", 0.0, 300.0, 5), ("b", 400.0, 700.0, 15)], "s string, start double, stop double, n_spindles int")
     got = {r.s: (r.rate, r.rate_sem) for r in sleep.event_rate(df, ["s"]).collect()}
     assert got["a"] == (1.0, 0.0) and got["b"] == pytest.approx((2.0, math.sqrt(2) / math.sqrt(2)))
+
+
+def test_spread_statistics_equal_those_of_one_task(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(r.choice("ab"), r.choice(["low", "high"]), float(r.choice([r.randrange(20), r.uniform(0, 20)]))) for _ in range(500)] + [("a", "low", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, s string, v double")
+
+    def everything():
+        ranks = statistics.midranks(df.filter("not isnan(v)"), "v", ["g"]).select("g", "v", "rank").distinct()
+        tables_ = [statistics.describe(df, ["g"], "v"), statistics.describe(df, [], "v"), statistics.mann_whitney(df, "s", "v", "low", "high"), statistics.mann_whitney(df, "s", "v", "low", "high", ["g"]), statistics.kruskal(df, "g", "v"), ranks]
+        return [sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in row) for row in t.collect()) for t in tables_]
+
+    one = everything()
+    monkeypatch.setattr(statistics, "ONE_TASK_BYTES", 0)
+    assert everything() == one
+    values = np.array([v for g, _, v in rows if g == "a" and v == v])
+    assert statistics.quantiles(df, ["g"], "v", (0.1, 0.5, 1.0)).filter("g = 'a'").first().quantiles == pytest.approx(np.quantile(values, [0.1, 0.5, 1.0]).tolist())

@@ -10,20 +10,65 @@ from pyspark.sql.window import Window
 
 from ..functions import tails
 from ..functions.scalars import finite
-from ..session import ship
+from ..session import shared_folder, ship
 
+#: Estimated bytes of input up to which one task may hold or order a group's values; beyond, they are spread.
+ONE_TASK_BYTES = 1 << 30
 # fixed values: limits of the choice between tests
 SKEW_LIMIT, OUTLIER_IQR, MIN_SIZE = 1.0, 3.0, 8
 
 
+def _large(df: DataFrame) -> bool:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > ONE_TASK_BYTES
+
+
+def running_counts(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by, value, _times, _upto): how often each value occurs, and how many values are as large at most.
+
+    Equal values are counted first. Where many remain they are dealt out in ranges and sorted there; each range
+    counts on from the ranges before it, so no task sees a whole group.
+    """
+    times = df.groupBy(*by, value).agg(F.count("*").alias("_times"))
+    if not _large(df):
+        order = (Window.partitionBy(*by) if by else Window).orderBy(value)
+        return times.withColumn("_upto", F.sum("_times").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    shared_folder(df.sparkSession)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # kept, as the ranges are looked at twice
+    ranges = times.repartitionByRange(n, *by, value).withColumn("_part", F.spark_partition_id()).checkpoint()
+    size = ranges.groupBy("_part", *by).agg(F.sum("_times").alias("_size"))
+    order = (Window.partitionBy(*by) if by else Window).orderBy("_part")  # a row for each range
+    before = size.withColumn("_before", F.coalesce(F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
+    inner = Window.partitionBy("_part", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return ranges.withColumn("_within", F.sum("_times").over(inner)).join(before, ["_part", *by]).select(*by, value, "_times", (F.col("_before") + F.col("_within")).alias("_upto"))
+
+
+def quantiles(df: DataFrame, group: list[str], value: str, shares: tuple[float, ...]) -> DataFrame:
+    """(group, quantiles) of finite values with linear interpolation, exact at any size."""
+    counts = running_counts(df.filter(finite(value)), value, group)
+    total = counts.groupBy(*group).agg(F.max("_upto").alias("_n"))
+    joined = counts.join(total, group) if group else counts.crossJoin(F.broadcast(total))  # one row
+    at = lambda rank: F.max(F.when((F.col("_upto") - F.col("_times") <= rank) & (rank < F.col("_upto")), F.col(value).cast("double")))
+    place = lambda q: (F.col("_n") - 1) * F.lit(float(q))
+    ends = [x for q in shares for x in (at(F.floor(place(q))), at(F.ceil(place(q))))]
+    got = joined.groupBy(*group).agg(F.max("_n").alias("_n"), F.array(*ends).alias("_v"))
+    lerp = [F.col("_v")[2 * i] + (F.col("_v")[2 * i + 1] - F.col("_v")[2 * i]) * (place(q) - F.floor(place(q))) for i, q in enumerate(shares)]
+    return got.select(*group, F.array(*lerp).alias("quantiles"))
+
+
 def describe(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """Per group, over finite values: n, missing_n, mean, sd (0 for one value), median, q1, q3, min, max, skewness, outliers."""
     ok = F.when(finite(value), F.col(value).cast("double"))
-    quartiles = F.percentile(ok, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    large = _large(df)
+    quartiles = F.lit(None).cast("array<double>") if large else F.percentile(ok, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     out = df.groupBy(*group).agg(
         F.count(ok).alias("n"), F.count_if(ok.isNull()).alias("missing_n"), F.avg(ok).alias("mean"), F.when(F.count(ok) > 1, F.stddev_samp(ok)).when(F.count(ok) == 1, 0.0).alias("sd"),
         quartiles.alias("_q"), F.min(ok).alias("min"), F.max(ok).alias("max"), F.skewness(ok).alias("skewness"),
     )
+    if large:  # an aggregate would hold all of a group's values
+        q = quantiles(df, group, value, (0.25, 0.5, 0.75)).withColumnRenamed("quantiles", "_q")
+        out = out.drop("_q")
+        out = out.join(q, group, "left") if group else out.crossJoin(F.broadcast(q))  # one row
     out = out.select(*group, "n", "missing_n", "mean", "sd", F.col("_q")[1].alias("median"), F.col("_q")[0].alias("q1"), F.col("_q")[2].alias("q3"), "min", "max", "skewness")
     spread = F.col("q3") - F.col("q1")
     beyond = (F.col(value) < F.col("q1") - OUTLIER_IQR * spread) | (F.col(value) > F.col("q3") + OUTLIER_IQR * spread)
@@ -81,13 +126,10 @@ def welch_t(sides: DataFrame) -> DataFrame:
 def midranks(df: DataFrame, value: str, by: list[str] | None = None, out: str = "rank") -> DataFrame:
     """Ranks from 1 in which ties share their mean.
 
-    Equal values are counted before ranking, so the sequence that is ranked has one row for each distinct value.
+    Equal values are counted before ranking, so what is ranked has one row for each distinct value.
     """
     by = by or []
-    times = df.groupBy(*by, value).agg(F.count("*").alias("_times"))
-    order = (Window.partitionBy(*by) if by else Window).orderBy(value)
-    upto = F.sum("_times").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = times.withColumn(out, upto - (F.col("_times") - 1) / 2).drop("_times")
+    ranked = running_counts(df, value, by).select(*by, value, (F.col("_upto") - (F.col("_times") - 1) / 2).alias(out))
     return df.join(ranked, [*by, value])
 
 
