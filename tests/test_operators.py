@@ -170,3 +170,23 @@ def test_spread_statistics_equal_those_of_one_task(spark, monkeypatch):
     assert everything() == one
     values = np.array([v for g, _, v in rows if g == "a" and v == v])
     assert statistics.quantiles(df, ["g"], "v", (0.1, 0.5, 1.0)).filter("g = 'a'").first().quantiles == pytest.approx(np.quantile(values, [0.1, 0.5, 1.0]).tolist())
+
+
+def test_paired_and_pairwise_p(spark):
+    from tidemark.functions import tails
+
+    x, y = [3.0, 1.0, 4.0, 1.5, 9.0], [2.0, 2.5, 1.0, 1.0, 3.0]
+    r = statistics.paired(spark.createDataFrame(list(zip("abcde", x, y)), "s string, x double, y double"), "s", "x", "y").first()
+    w, p, effect = tails.wilcoxon(np.array(x) / np.mean(x) - np.array(y) / np.mean(y))
+    assert (r.w, r.p, r.effect) == pytest.approx((w, p, effect))
+    groups = {"a": [1.0, 2.0, 3.0, 9.0], "b": [4.0, 5.0, 6.5], "c": [2.5, 7.0, 8.0, 10.0, 11.0]}
+    got = {(r.a, r.b): r for r in statistics.pairwise(spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, v double"), "g", "v").collect()}
+    for (a, b), r in got.items():
+        u, p = tails.mann_whitney(np.array(groups[a]), np.array(groups[b]))
+        assert (r.u, r.p) == pytest.approx((u, p)) and r.p_holm >= r.p
+    assert len(got) == 3
+
+
+def test_crop_keeps_both_ends(spark):
+    df = spark.createDataFrame([([0.0, 0.01, 0.05, 0.1, 0.2], [1.0, 2.0, 3.0, 4.0, 5.0])], "freqs array<double>, corr_mean array<double>")
+    assert tuple(spectra.crop(df, 0.01, 0.1).first()) == ([0.01, 0.05, 0.1], [2.0, 3.0, 4.0])

@@ -130,3 +130,12 @@ def stage_bouts(epochs: DataFrame, epoch_sec: float = K.EPOCH_SEC, min_sec: floa
     """Bouts of all stage groups: subject_id, stage, bout_idx, start, stop."""
     parts = [intervals.bouts(epochs, F.col("code").isin(*codes), ["subject_id"], "epoch_idx", epoch_sec, min_sec).withColumn("stage", F.lit(name)) for name, codes in STAGE_GROUPS.items()]
     return reduce(DataFrame.unionByName, parts)
+
+
+def stage_signal(signals: DataFrame, epochs: DataFrame, codes: tuple[int, ...], epoch_sec: float = K.EPOCH_SEC) -> DataFrame:
+    """Each channel's samples of the epochs with these codes, joined in order; none gives an empty array."""
+    chosen = epochs.filter(F.col("code").isin(*codes)).groupBy("subject_id").agg(F.array_sort(F.collect_list("epoch_idx")).alias("_epochs"))
+    size = F.round(epoch_sec * F.col("sf")).cast("int")
+    joined = signals.join(chosen, "subject_id", "left").withColumn("_n", size)
+    parts = F.transform(F.coalesce("_epochs", F.array().cast("array<int>")), lambda e: F.slice("samples", e * F.col("_n") + 1, F.col("_n")))
+    return joined.withColumn("samples", F.flatten(parts)).drop("_epochs", "_n")

@@ -92,3 +92,10 @@ def crossing(curves: DataFrame, keys: list[str], value: str, threshold: float) -
     down = (F.col("freq") >= F.col("_p")) & (F.col(value) >= threshold) & (F.col("_v") < threshold)
     at = F.col("freq") + (F.col(value) - threshold) / (F.col(value) - F.col("_v")) * (F.col("_f") - F.col("freq"))
     return c.groupBy(*keys).agg(F.coalesce(F.min(F.when(down, at)), F.max("freq")).alias("crossing"))
+
+
+def crop(curves: DataFrame, lo: float, hi: float, freqs: str = "freqs", values: str = "corr_mean") -> DataFrame:
+    """Arrays of frequencies and values cut to a band, both ends included."""
+    zipped = F.filter(F.arrays_zip(F.col(freqs).alias("f"), F.col(values).alias("v")), lambda x: x["f"].between(lo - 1e-9, hi + 1e-9))
+    both = curves.withColumn("_z", zipped)
+    return both.withColumn(freqs, F.transform("_z", lambda x: x["f"])).withColumn(values, F.transform("_z", lambda x: x["v"])).drop("_z")

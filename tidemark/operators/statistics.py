@@ -251,3 +251,61 @@ def normal_band(mean: Column, error: Column, n: Column, z: float = 1.95996398454
     """Confidence band; no width for one value or none."""
     half = F.when(n > 1, z * error).otherwise(0.0)
     return mean - half, mean + half
+
+
+def pairwise(df: DataFrame, group: str, value: str) -> DataFrame:
+    """All pairs of a few groups (a < b): n_a, n_b, u of a, effect 1 - 2u / (n_a n_b), p of Mann-Whitney and p_holm."""
+    ship(df.sparkSession)
+    ok = df.filter(finite(value)).select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"))
+    names = ok.select("_g").distinct()
+    both = names.select(F.col("_g").alias("a")).join(names.select(F.col("_g").alias("b")), F.col("a") < F.col("b"))
+    # each row goes to the pairs of its group: as many as there are groups less one
+    long = ok.join(F.broadcast(both), (F.col("_g") == F.col("a")) | (F.col("_g") == F.col("b")))
+    ranked = midranks(long, "_v", ["a", "b"])
+    ties = long.groupBy("a", "b", "_v").agg(F.count("*").cast("double").alias("t")).groupBy("a", "b").agg(F.sum(F.pow("t", 3) - F.col("t")).alias("ties"))
+    first = F.col("_g") == F.col("a")
+    out = ranked.groupBy("a", "b").agg(F.count_if(first).alias("n_a"), F.count_if(~first).alias("n_b"), F.sum(F.when(first, F.col("rank"))).alias("_r")).join(ties, ["a", "b"])
+    out = out.withColumn("u", F.col("_r") - F.col("n_a") * (F.col("n_a") + 1) / 2).withColumn("effect", 1 - 2 * F.col("u") / (F.col("n_a") * F.col("n_b")))
+
+    @F.pandas_udf("double")
+    def p_value(u: pd.Series, n: pd.Series, m: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series([p_of_u(*x) for x in zip(u, n, m, ties, strict=True)], dtype="float64")
+
+    return holm(out.withColumn("p", p_value("u", "n_a", "n_b", "ties")).drop("_r", "ties"), "p")
+
+
+def paired(df: DataFrame, subject: str, first: str, second: str) -> DataFrame:
+    """One row: signed ranks of two metrics' means of each subject, both scaled by their mean over subjects; with p.
+
+    Subjects without a finite value of both go, and so does a metric's scaling where its mean is zero.
+    """
+    ship(df.sparkSession)
+    means = df.groupBy(subject).agg(*(F.avg(F.when(finite(c), F.col(c))).alias(n) for c, n in ((first, "x"), (second, "y")))).filter("x is not null and y is not null")
+    scale = means.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    scaled = means.crossJoin(F.broadcast(scale)).filter("mx <> 0 and my <> 0").withColumn("d", F.col("x") / F.col("mx") - F.col("y") / F.col("my"))  # one row
+    ties = scaled.filter("d <> 0").groupBy(F.abs("d").alias("v")).agg(F.count("*").cast("double").alias("t")).agg(F.coalesce(F.sum(F.pow("t", 3) - F.col("t")), F.lit(0.0)).alias("ties"))
+
+    @F.pandas_udf("double")
+    def p_value(w: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series([p_of_w(*x) for x in zip(w, n, ties, strict=True)], dtype="float64")
+
+    return signed_ranks(scaled, "d").crossJoin(F.broadcast(ties)).withColumn("p", p_value("w", "n", "ties")).drop("ties")
+
+
+def p_of_w(w: float, n: float, ties: float) -> float:
+    """Two-sided p of the smaller signed-rank sum: exact for at most 50 differences without ties, else normal."""
+    n = int(n)
+    if not n:
+        return 1.0
+    if n <= 50 and not ties:
+        ways = np.ones(1)
+        for k in range(1, n + 1):
+            ways = np.append(ways, np.zeros(k)) + np.append(np.zeros(k), ways)
+        return min(1.0, 2 * float(ways[: int(w) + 1].sum()) / 2.0**n)
+    var = n * (n + 1) * (2 * n + 1) / 24 - ties / 48
+    return min(1.0, tails.normal_two_sided((w - n * (n + 1) / 4) / var**0.5))
+
+
+def parameter_values(df: DataFrame, keys: list[str], parameters: list[str]) -> DataFrame:
+    """Long form for plots: keys, parameter, value."""
+    return df.unpivot(keys, parameters, "parameter", "value")

@@ -512,3 +512,40 @@ def first_subjects(spark, d):
 def run_summary(spark, d):
     o, failed, whole = table(spark, d, "orders"), F.col("o_orderstatus") == "F", F.col("o_custkey") % 10 == 0
     return o.agg(F.count("*").alias("total"), F.count_if(failed & whole).alias("subject_failures"), F.count_if(failed & ~whole).alias("other_issues"))
+
+
+@query(f"WITH {EPOCHS} SELECT event_id FROM e WHERE epoch_idx * 30 < 95 AND epoch_idx * 30 + 30 > 40")
+def overlapping_events(spark, d):
+    e = epochs(spark, d).select("event_id", (F.col("epoch_idx") * 30).alias("start"), (F.col("epoch_idx") * 30 + 30).alias("stop"))
+    return intervals.overlapping(e, 40, 95).select("event_id")
+
+
+@query("SELECT p_partkey AS key FROM part INTERSECT SELECT l_partkey FROM lineitem WHERE l_quantity > 48")
+def set_intersection_keys(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("key")).intersect(table(spark, d, "lineitem").filter("l_quantity > 48").select(F.col("l_partkey").alias("key")))
+
+
+@query("""WITH x AS (SELECT l_returnflag AS g, l_quantity AS v FROM lineitem), p AS (SELECT a.g AS a, b.g AS b FROM (SELECT DISTINCT g FROM x) a JOIN (SELECT DISTINCT g FROM x) b ON a.g < b.g),
+k AS (SELECT a, b, g, rank() OVER (PARTITION BY a, b ORDER BY v) + (count(*) OVER (PARTITION BY a, b, v) - 1) / 2.0::DOUBLE AS r FROM x JOIN p ON g = a OR g = b),
+s AS (SELECT a, b, count_if(g = a)::BIGINT AS n_a, count_if(g = b)::BIGINT AS n_b, sum(CASE WHEN g = a THEN r END) AS r FROM k GROUP BY a, b) SELECT a, b, n_a, n_b, (r - n_a * (n_a + 1) / 2)::DOUBLE AS u, round(1 - 2 * (r - n_a * (n_a + 1) / 2) / (n_a * n_b), 6) AS effect FROM s""")
+def pairwise_stages(spark, d):
+    return rounded(statistics.pairwise(table(spark, d, "lineitem"), "l_returnflag", "l_quantity").drop("p", "p_holm"))
+
+
+@query()
+def paired_metrics(spark, d):
+    return statistics.paired(table(spark, d, "lineitem"), "l_orderkey", "l_extendedprice", "l_quantity")
+
+
+@query(f"""WITH {EPOCHS} SELECT subject_id, sum(CASE WHEN code = 2 THEN value ELSE 0 END)::DOUBLE AS total, count_if(code = 2)::INT AS n FROM e GROUP BY 1""")
+def stage_signal_sums(spark, d):
+    e = epochs(spark, d)
+    signals = e.groupBy("subject_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("epoch_idx", "value"))), lambda x: x["value"]).alias("samples")).withColumn("sf", F.lit(1 / 30))
+    got = sleep.stage_signal(signals, e, (2,))
+    return got.select("subject_id", F.aggregate("samples", F.lit(0.0), lambda a, x: a + x).alias("total"), F.size("samples").alias("n"))
+
+
+@query("SELECT o_orderkey, 'price' AS parameter, o_totalprice AS value FROM orders UNION ALL SELECT o_orderkey, 'customer', o_custkey::DOUBLE FROM orders")
+def parameter_values(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_custkey").cast("double").alias("customer"))
+    return statistics.parameter_values(o, ["o_orderkey"], ["price", "customer"])
