@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import shared_folder
+
 #: Words in a window, in a winnowed run, and runs of which the least is kept.
 WINDOW, RUN = 10, 4
 LEAST_OF = WINDOW - RUN + 1
@@ -29,8 +31,6 @@ LEAST_OF = WINDOW - RUN + 1
 BROADCAST_ROWS = 1_000_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _GAPS = "".join(chr(c) for c in [*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
-#: A word in either case, for counting.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
@@ -105,12 +105,29 @@ def _small(df: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256 and contaminated."""
-    return _results(docs.select("doc_id", "text"), benchmark).drop("_text")
+    every, hits, windows = _hits(docs.select("doc_id", "text"), benchmark)
+    hits = hits.checkpoint()  # a row for each window of a leak
+    doc = Window.partitionBy("_doc", "_text").orderBy("place", "length")
+    before = F.coalesce(F.max(F.col("place") + F.col("length")).over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    fresh = F.greatest(F.lit(0), F.col("place") + F.col("length") - F.greatest("place", before))
+    covered = hits.select("_doc", "_text", fresh.alias("fresh")).groupBy("_doc", "_text").agg(F.sum("fresh").cast("long").alias("n_hit"))
+    held = hits.select("_doc", "_text", "length", "h", "g").distinct().join(_small(windows), ["length", "h", "g"]).groupBy("_doc", "_text").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    found = covered.join(held.toDF("_hd", "_ht", "items"), F.col("_doc").eqNullSafe(F.col("_hd")) & (F.col("_text") == F.col("_ht"))).select(F.col("_doc").alias("_d"), F.col("_text").alias("_t"), "n_hit", "items")
+    joined = every.join(found, every["_doc"].eqNullSafe(found["_d"]) & (every["_text"] == found["_t"]), "left")
+    each = joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    return each.select(
+        F.col("_doc").alias("doc_id"),
+        "n_words",
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
+        F.sha2(F.coalesce(F.concat_ws(",", "items"), F.lit("")).cast("binary"), 256).alias("items_sha256"),
+        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+    )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that share no window with the benchmark, columns as they were."""
-    hit = _hits(docs.select("doc_id", "text"), benchmark)[0].select("_doc", "_text").distinct()
+    hit = _hits(docs.select("doc_id", "text"), benchmark)[1].select("_doc", "_text").distinct()
     return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_doc"]) & (_text_key(docs["text"]) == hit["_text"]), "left_anti")
 
 
@@ -118,8 +135,13 @@ def _text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(_doc, _text, place, length, h, g) for each window of a document that the benchmark holds; and the items' windows."""
+def _hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All documents (_doc, _text, n_words, copies); each window of one that the benchmark holds (_doc, _text, place, length, h, g); and the items' windows.
+
+    One pass over the texts counts words and finds the documents that share a fingerprint; its small result is
+    kept, and only those documents' texts are read again.
+    """
+    shared_folder(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("words")).filter(F.size("words") > 0)
     # lengths of items under a window: nine at most
     short = sorted(r[0] for r in items.filter(F.size("words") < WINDOW).select(F.size("words").alias("n")).distinct().collect())
@@ -128,38 +150,19 @@ def _hits(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = F.when(F.size("words") >= WINDOW, F.array_distinct("least7"))
     for n in short:
         wanted = wanted.when(F.size("words") == n, F.col(f"run{n}_0"))
-    bench_prints = _small(marked.select(F.explode(wanted).alias("print")).distinct())
+    bench_prints = _small(marked.select(F.explode(wanted).alias("print")).distinct().withColumn("_shared", F.lit(True)))
     marked, every = _windows(items, lengths)
     own = marked.select("item_id", F.least(F.size("words"), F.lit(WINDOW)).alias("own"), F.explode(every).alias("at"))
     windows = own.filter("at.length = own").select("item_id", "at.length", "at.h", "at.g").distinct()
 
     keyed = docs.select(F.col("doc_id").alias("_doc"), _text_key(F.col("text")).alias("_text"), "text")
     found, prints = _fingerprints(keyed.withColumn("words", words(F.col("text"))), short)
-    found = found.select("_doc", "_text", F.explode(prints).alias("print")).join(bench_prints, "print", "left_semi").select("_doc", "_text").distinct()
-    found = found.toDF("_fd", "_ft")
-    near = keyed.join(found, keyed["_doc"].eqNullSafe(found["_fd"]) & (keyed["_text"] == found["_ft"]), "left_semi")
+    # the entry at place 0 is the document itself: its text's hash stands for it and spreads like the others
+    found = found.select("_doc", "_text", F.size("words").cast("long").alias("n_words"), F.posexplode(F.concat(F.array("_text"), prints)).alias("_at", "print"))
+    found = found.join(bench_prints, "print", "left").groupBy("_doc", "_text", "n_words").agg(F.count_if(F.col("_at") == 0).alias("copies"), F.coalesce(F.bool_or("_shared"), F.lit(False)).alias("_near")).checkpoint()
+    close = found.filter("_near").select(F.col("_doc").alias("_fd"), F.col("_text").alias("_ft"))
+    near = keyed.join(close, keyed["_doc"].eqNullSafe(close["_fd"]) & (keyed["_text"] == close["_ft"]), "left_semi")
     near, every = _windows(near.withColumn("words", words(F.col("text"))), lengths)
     near = near.select("_doc", "_text", F.explode(every).alias("at")).select("_doc", "_text", "at.*")
     hits = near.join(_small(windows.select("length", "h", "g").distinct()), ["length", "h", "g"], "left_semi").distinct()
-    return hits, windows
-
-
-def _results(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    hits, windows = _hits(docs, benchmark)
-    doc = Window.partitionBy("_doc", "_text").orderBy("place", "length")
-    before = F.coalesce(F.max(F.col("place") + F.col("length")).over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    fresh = F.greatest(F.lit(0), F.col("place") + F.col("length") - F.greatest("place", before))
-    covered = hits.select("_doc", "_text", fresh.alias("fresh")).groupBy("_doc", "_text").agg(F.sum("fresh").cast("long").alias("n_hit"))
-    held = hits.select("_doc", "_text", "length", "h", "g").distinct().join(_small(windows), ["length", "h", "g"]).groupBy("_doc", "_text").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    found = covered.join(held.toDF("_hd", "_ht", "items"), F.col("_doc").eqNullSafe(F.col("_hd")) & (F.col("_text") == F.col("_ht"))).select(F.col("_doc").alias("_d"), F.col("_text").alias("_t"), "n_hit", "items")
-    every = docs.select("doc_id", _text_key(F.col("text")).alias("_text"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
-    joined = every.join(found, every["doc_id"].eqNullSafe(found["_d"]) & (every["_text"] == found["_t"]), "left")
-    return joined.select(
-        "doc_id",
-        "_text",
-        "n_words",
-        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.concat_ws(",", "items"), F.lit("")).cast("binary"), 256).alias("items_sha256"),
-        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
-    )
+    return found.drop("_near"), hits, windows
