@@ -6,7 +6,7 @@ of the event its stage (error wake, view N1, click N2, purchase N3, signup REM)
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..functions.scalars import clean_id, finite, first_max, stage_code
 from ..operators import fits, intervals, relational, sleep, spectra, statistics, validation
+from ..session import shared_folder
 from ..streaming import incremental
 
 # fixed values: events' types as stages
@@ -432,7 +433,7 @@ def resample_signals(spark, d):
 @query("SELECT event_id, user_id, event_type, value FROM events WHERE event_id % 3 <> 1")
 def incremental_files(spark, d):
     """Two deliveries of files, taken up by two calls; the second has rows that came before."""
-    folder = tempfile.mkdtemp(prefix="tidemark-")
+    folder = f"{shared_folder(spark)}/incremental-{uuid.uuid4().hex}"
     e = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
     for k, part in enumerate((e.filter("event_id % 3 = 0"), e.filter("event_id % 3 = 2 or event_id % 9 = 0"))):
         part.write.parquet(f"{folder}/in/{k}")
