@@ -114,8 +114,80 @@ def test_simhash_equals_brute_force(docs, rows):
     least = {c: min((rows[i][0] for i in range(len(rows)) if of[i] == c and rows[i][0] is not None), default=None) for c in set(of)}
     want = sorted(((i, f"{p:016x}", least[c]) for (i, _), p, c in zip(rows, prints, of, strict=True)), key=repr)
     assert table(op4_simhash.near_duplicates(docs), "doc_id", "fingerprint", "component_id") == want
-    kept = table(op4_simhash.keep_one(docs), "doc_id")
-    assert kept == sorted({(v,) for v in least.values() if v is not None} | {(None,)}, key=repr)
+
+
+def shingles(text) -> set:
+    w = SPACE.findall((text or "").translate(LOW))
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+
+def joined(sets: list[set], names: list, least: float) -> list[int]:
+    """The class of each text: equal words, or a chain of pairs with this similarity."""
+    up = list(range(len(sets)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if names[i] == names[j] or (a and b and len(a & b) / len(a | b) >= least):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(sets))]
+
+
+def check_classes(texts: list, found: list):
+    """Equal words and all chains of similarity 0.87 are joined, nearly all of 0.8, and nothing that no chain of 0.6 joins."""
+    sets, names = [shingles(t) for t in texts], [" ".join(SPACE.findall((t or "").translate(LOW))) for t in texts]
+    for least, finer in ((2, True), (0.87, True), (0.6, False)):
+        of = joined(sets, names, least)
+        a, b = (of, found) if finer else (found, of)
+        assert len(set(zip(a, b, strict=True))) == len(set(a)), least
+    of = joined(sets, names, 0.8)
+    assert len(set(zip(of, found, strict=True))) <= len(set(of)) + 0.05 * len(of)
+
+
+def test_similar_documents_are_joined(spark, docs, rows):
+    import random
+
+    r = random.Random(6)
+    base = [f"w{r.randrange(5000)}" for _ in range(300)]
+    near = []
+    for _ in range(60):
+        w = list(base)
+        for k in r.sample(range(300), r.randrange(1, 5)):
+            w[k] = f"x{r.randrange(10**6)}"
+        near.append(" ".join(w))
+    more = list(enumerate(near + near[:5] + [" ".join(base[:150])], 1000))
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string")).filter("doc_id is not null").dropDuplicates(["doc_id"])
+    texts = {x.doc_id: x.text for x in df.collect()}
+    found = {x.doc_id: x.component_id for x in op4_simhash.similar(df).collect()}
+    ids = sorted(texts)
+    check_classes([texts[i] for i in ids], [found[i] for i in ids])
+    assert all(found[i] == 1000 for i in range(1000, 1065)) and found[1065] == 1065
+    kept = op4_simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    left = [x.doc_id for x in kept.collect()]
+    assert left.count(None) == 1 and len(set(left)) == len(left) and 3 in left and 0 in left
+
+
+def test_large_buckets_of_wide_fingerprints(monkeypatch):
+    """Leaders and pivots join what comparing all members joins."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    centre = r.integers(0, 2, (3, op4_simhash.COMPARED))
+    bits = np.concatenate([c ^ (r.random((40, op4_simhash.COMPARED)) < 0.05) for c in centre])
+    data = [np.packbits(b).tobytes() for b in bits]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.full(120, 7)), pa.array(np.arange(120)), pa.array(data, pa.binary())], ["key", "node", "bits"])
+    classes_of = []
+    for most in (32, 1000):
+        monkeypatch.setattr(op4_simhash, "NEAR", most)
+        pairs = [p for b in op4_simhash._wide_links(iter([batch.slice(0, 50), batch.slice(50)])) for p in zip(*(c.to_pylist() for c in b.columns))]
+        classes_of.append([min(c) for c in _components(120, pairs)])
+    assert classes_of[0] == classes_of[1] == [0] * 40 + [40] * 40 + [80] * 40
 
 
 def test_large_buckets_lose_no_link():
@@ -438,5 +510,7 @@ def test_empty_tables(no_docs, spark):
     assert op5_bpe.digest(no_docs, PATH).count() == 0
     assert op7_substring.remove_repeats(no_docs).count() == 0
     assert op4_simhash.near_duplicates(no_docs).count() == 0
+    assert op4_simhash.keep_one(no_docs).count() == 0
+    assert op8_secrets.redact(no_docs).count() == 0
     assert op8_secrets.scan(no_docs).count() == 0
     assert op3_decontaminate.decontaminate(no_docs, spark.createDataFrame([(1, "a b c")], "item_id long, text string")).count() == 0

@@ -6,9 +6,9 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import op1_quality, queries
+from tidemark.llm import op1_quality, op4_simhash, queries
 
-from .test_ops import classes, fingerprint, leaks
+from .test_ops import check_classes, leaks
 
 DIR = "/root/testdata/sf0.001"
 
@@ -39,9 +39,9 @@ def test_stages_decide_as_plain_python(spark, stages):
     model = op1_quality.fit(stages[0], spark.read.parquet(f"{DIR}/labels.parquet"))
     good = {r.doc_id for r in op1_quality.score(stages[0], model).filter("predicted = 1").collect()}
     assert {i for i, _ in rows(stages[1])} == good
-    before = rows(stages[1])
-    of = classes([fingerprint(t) for _, t in before])
-    assert rows(stages[2]) == sorted({of[k]: before[of[k]] for k in range(len(before))}.values())
+    before, found = rows(stages[1]), {r.doc_id: r.component_id for r in op4_simhash.similar(stages[1]).collect()}
+    check_classes([t for _, t in before], [found[i] for i, _ in before])
+    assert rows(stages[2]) == [(i, t) for i, t in before if found[i] == i] and len(set(found.values())) < len(before)
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
     clean = {r[0] for r in leaks(rows(stages[2]), bench) if not r[5]}
     assert rows(stages[3]) == [(i, t) for i, t in rows(stages[2]) if i in clean] and len(clean) < stages[2].count()

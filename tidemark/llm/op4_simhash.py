@@ -27,12 +27,14 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder
 from .components import components
-from .textscan import bounded_batches, chunks, joined_words, lower, mix, utf8, words
+from .textscan import bounded_batches, chunks, encode_words, hash_words, joined_words, lower, mix, utf8, window_hashes, words
 
 #: Bits in which linked fingerprints may differ; words in a shingle; the hash's seed.
 DISTANCE, SHINGLE, SEED = 2, 3, 42
 #: Pivots, and members of a bucket from which it is divided again.
 PIVOTS, DIVIDE = 16, 256
+#: Wide fingerprints, of shingles of five words: bits, bits of a band, first bits that are compared, of these those that may differ, members compared all.
+WIDE_SHINGLE, WIDE_BITS, WIDE_BAND, COMPARED, WIDE_RADIUS, NEAR = 5, 1152, 18, 512, 90, 32
 
 
 def fingerprint_batch(raw: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
@@ -121,6 +123,22 @@ def forest(prints: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _roots(n: int, pairs: list) -> list[int]:
+    """The smallest member of each one's class."""
+    up = list(range(n))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for i, j in pairs:
+        i, j = root(i), root(j)
+        up[max(i, j)] = min(i, j)
+    return [root(i) for i in range(n)]
+
+
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links within each bucket; rows come sorted by bucket."""
 
@@ -151,6 +169,15 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield from links(*held)
 
 
+def _named(every: DataFrame, distinct: DataFrame, links: DataFrame, node: str) -> DataFrame:
+    """``every`` with component_id, the smallest doc_id that its node reaches; ``distinct`` has each node's smallest."""
+    roots = components(links).toDF("_at", "root")
+    of = distinct.join(roots, distinct[node] == roots["_at"], "left").select(node, "doc_id", F.coalesce("root", node).alias("root"))
+    least = of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = of.join(least, "root").select(F.col(node).alias("_node"), "component_id")
+    return every.join(named, every[node] == named["_node"]).drop("_node")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id for each row."""
     shared_folder(docs.sparkSession)
@@ -161,11 +188,144 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = distinct.select("fingerprint", F.explode(keys).alias("at")).select("at.band", "at.key", "fingerprint")
     links = buckets.repartition(n, "band", "key").sortWithinPartitions("band", "key").mapInArrow(_bucket_links, "a long, b long")
-    roots = components(links)
-    of = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select("fingerprint", "doc_id", F.coalesce("root", "fingerprint").alias("root"))
-    least = of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = of.join(least, "root").select(F.col("fingerprint").alias("_f"), "component_id")
-    return every.join(named, every["fingerprint"] == named["_f"]).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    return _named(every, distinct, links, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _planes() -> np.ndarray:
+    """For each byte of a shingle's hash, its values' directions: a part of the wide fingerprint's bits."""
+    return np.random.default_rng(4).choice(np.array([-1, 1], np.float32), (8, 256, WIDE_BITS // 8))
+
+
+def wide_fingerprints(raw: np.ndarray, offsets: np.ndarray, shingle: int = WIDE_SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text a hash of its words, its number of shingles, and WIDE_BITS bits (rows of bytes).
+
+    A text's shingles are counted by each byte of their hashes; each bit is the side of a random plane on which
+    the counts lie, less their mean.
+    """
+    raw = lower(raw)
+    starts, ends, of = words(raw, offsets)
+    n = len(of) - 1
+    text, at = joined_words(raw, starts, ends)
+    data = memoryview(text)
+    name = np.fromiter((xxhash.xxh3_64_intdigest(data[i:j]) for i, j in zip(at[of[:-1]], at[of[1:]], strict=True)), np.uint64, n)
+    count = np.maximum(np.diff(of) - shingle + 1, 0)
+    bits = np.zeros((n, WIDE_BITS // 8), np.uint8)
+    if count.any():
+        code, distinct = encode_words(raw, starts, ends)
+        h = window_hashes(hash_words(distinct)[code], shingle)
+        doc = np.repeat(np.arange(n), count)
+        place = of[:-1][doc] + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+        byte = h[place].view(np.uint8).reshape(-1, 8)
+        planes = _planes()
+        for lo in range(0, n, 512):
+            i, j = np.searchsorted(doc, lo), np.searchsorted(doc, lo + 512)
+            m = min(512, n - lo)
+            sums = []
+            for k in range(8):
+                seen = np.bincount((doc[i:j] - lo) * 256 + byte[i:j, k], minlength=m * 256).reshape(m, 256).astype(np.float32)
+                sums.append((seen - seen.mean(1, keepdims=True)) @ planes[k])
+            # each byte of the hash has its share of the bits that are compared, which come first
+            split = COMPARED // 8
+            bits[lo : lo + m] = np.packbits(np.concatenate([x[:, :split] for x in sums] + [x[:, split:] for x in sums], 1) > 0, axis=1)
+    return name, count, bits
+
+
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in chunks(batches):
+        name, count, bits = wide_fingerprints(*utf8(b.column("text")))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(name.view(np.int64)), pa.array(count > 0), pa.array([x.tobytes() for x in bits], pa.binary())], ["doc_id", "node", "linkable", "bits"])
+
+
+def _wide_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each band of each fingerprint: WIDE_BAND of its bits name a bucket."""
+    for b in batches:
+        for lo in range(0, b.num_rows, 1000):
+            part = b.slice(lo, 1000)
+            bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint8).reshape(part.num_rows, -1)
+            flat = np.unpackbits(bits, axis=1)
+            bands = flat[:, : flat.shape[1] // WIDE_BAND * WIDE_BAND].reshape(part.num_rows, -1, WIDE_BAND).astype(np.int64)
+            key = (bands << np.arange(WIDE_BAND)).sum(2) + (np.arange(bands.shape[1]) << WIDE_BAND)
+            who = pa.array(np.repeat(np.arange(part.num_rows), bands.shape[1]))
+            compared = pa.array([x.tobytes() for x in bits[:, : COMPARED // 8]], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), part.column("node").take(who), compared.take(who)], ["key", "node", "bits"])
+
+
+def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1)
+
+
+def _wide_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within buckets of wide fingerprints; rows come sorted by bucket.
+
+    Members of a bucket of up to NEAR are compared all, side by side for all buckets of a batch. In a larger one the
+    pivots' tables discard pairs, and a member is compared with the bucket's leaders: those before it that no
+    leader was near to. Each member is linked to every leader near it.
+    """
+
+    def links(key: np.ndarray, node: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found = []
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(at, len(key)))
+        own = np.repeat(size, size)
+        for step in range(1, NEAR):
+            i = np.flatnonzero((own[:-step] <= NEAR) & (key[:-step] == key[step:])) if step < len(key) else []
+            if not len(i):
+                break
+            i = i[_far(bits[i], bits[i + step]) <= WIDE_RADIUS]
+            found.append(np.stack([node[i], node[i + step]], 1))
+        pivots = mix(np.arange(1, PIVOTS * bits.shape[1] + 1, dtype=np.uint64)).reshape(PIVOTS, -1)
+        for g in np.flatnonzero(size > NEAR).tolist():
+            lo, hi = int(at[g]), int(at[g] + size[g])
+            table = np.stack([_far(bits[lo:hi], p) for p in pivots], 1).astype(np.int64)
+            leaders: list[int] = []
+            for i in range(hi - lo):
+                lead = np.array(leaders, np.int64)
+                lead = lead[(np.abs(table[lead] - table[i]) <= WIDE_RADIUS).all(1)]
+                lead = lead[_far(bits[lo + lead], bits[lo + i]) <= WIDE_RADIUS]
+                if len(lead):
+                    found.append(np.stack([node[lo + lead], np.full(len(lead), node[lo + i])], 1))
+                else:
+                    leaders.append(i)
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        if len(pairs):
+            # a star for each class: its members and the smallest of them, never all pairs
+            nodes, at = np.unique(pairs, return_inverse=True)
+            root = np.array(_roots(len(nodes), np.unique(at.reshape(-1, 2), axis=0).tolist()))
+            rest = np.flatnonzero(root != np.arange(len(nodes)))
+            if len(rest):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[root[rest]]), pa.array(nodes[rest])], ["a", "b"])
+
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, COMPARED // 64), np.uint64)]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bits = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+        held = [np.concatenate(x) for x in zip(held, (batch.column(0).to_numpy(), batch.column(1).to_numpy(), bits), strict=True)]
+        end = int(np.searchsorted(held[0], held[0][-1]))
+        if end:  # the last bucket may go on in the next batch
+            yield from links(*(x[:end] for x in held))
+            held = [x[end:] for x in held]
+    if len(held[0]):
+        yield from links(*held)
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """doc_id, node and component_id of each row: documents whose sets of five-word shingles have a similarity of 0.8 or more.
+
+    The similarity is that of wide fingerprints: at 0.8 they differ in about 15 % of their bits, unrelated ones in half.
+    WIDE_BITS // WIDE_BAND bands of WIDE_BAND bits name buckets; a pair at 0.8 shares one with a probability of
+    0.97, a pair at 0.85 and above with over 0.99; a bucket of a large group has its members many times over. Texts with the same words are one node; those
+    of fewer words than a shingle have no links.
+    """
+    shared_folder(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_wide, "doc_id long, node long, linkable boolean, bits binary").checkpoint()
+    distinct = every.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    asked = every.filter("linkable").select("node", "bits").distinct()
+    buckets = asked.mapInArrow(_wide_buckets, "key long, node long, bits binary").repartition(n, "key").sortWithinPartitions("key", "node")
+    links = buckets.mapInArrow(_wide_links, "a long, b long")
+    return _named(every.select("doc_id", "node"), distinct, links, "node")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -174,7 +334,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows that share a doc_id and a component count as one document and one of them stays. Rows without a
     doc_id can't be named by a component and stay all.
     """
-    found = near_duplicates(docs)
+    found = similar(docs)
     first = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
     kept = docs.join(first, docs["doc_id"] == first["_first"], "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -97,7 +97,7 @@ def joined_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     keep[at[1:] - 1] = False
     mark = np.zeros(len(raw) + 1, np.int8)
     mark[starts] += 1
-    np.subtract.at(mark, ends, 1) if len(np.unique(ends)) != len(ends) else mark.__setitem__(ends, mark[ends] - 1)
+    mark[ends] -= 1
     out[keep] = raw[np.cumsum(mark[:-1], dtype=np.int8).astype(bool)]
     return out, at
 
