@@ -190,6 +190,24 @@ def test_large_buckets_of_wide_fingerprints(monkeypatch):
     assert classes_of[0] == classes_of[1] == [0] * 40 + [40] * 40 + [80] * 40
 
 
+def test_large_wide_buckets_join_members_of_different_leaders():
+    """A chain of fingerprints in any order: members near each other, but near different leaders, are joined."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    for _ in range(5):
+        step, n = op4_simhash.WIDE_RADIUS - 10, op4_simhash.NEAR + 28
+        bits = np.zeros((n, op4_simhash.COMPARED), bool)
+        for i in range(1, n):
+            bits[i] = bits[i - 1]
+            bits[i, r.choice(op4_simhash.COMPARED, step, replace=False)] ^= True
+        bits = bits[r.permutation(n)]
+        batch = pa.RecordBatch.from_arrays([pa.array(np.full(n, 7)), pa.array(np.arange(n)), pa.array([np.packbits(b).tobytes() for b in bits], pa.binary())], ["key", "node", "bits"])
+        pairs = [p for b in op4_simhash._wide_links(iter([batch])) for p in zip(*(c.to_pylist() for c in b.columns))]
+        near = [(i, j) for i in range(n) for j in range(i) if (bits[i] ^ bits[j]).sum() <= op4_simhash.WIDE_RADIUS]
+        assert [min(c) for c in _components(n, pairs)] == [min(c) for c in _components(n, near)]
+
+
 def test_large_buckets_lose_no_link():
     r = np.random.default_rng(2)
     base = r.integers(0, 1 << 32, 700).astype(np.uint64)

@@ -254,12 +254,55 @@ def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1)
 
 
+def _large_bucket(bits: np.ndarray) -> np.ndarray:
+    """Pairs of places that join whatever a comparison of all rows with all would join.
+
+    A member goes to the ball of the nearest leader within the radius, or leads a ball of its own. Whoever is near a
+    member of a ball is within two radii of its leader, by the triangle inequality: other balls are discarded, and
+    those left are compared member by member unless they are joined already.
+    """
+    m = len(bits)
+    up, found = list(range(m)), []
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(i: int, j: int) -> None:
+        a, b = root(i), root(j)
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            found.append((j, i))
+
+    leaders, heads, balls = [], np.empty_like(bits), []
+    for i in range(m):
+        far = _far(heads[: len(leaders)], bits[i])
+        around = np.flatnonzero(far <= 2 * WIDE_RADIUS)
+        inside = around[far[around] <= WIDE_RADIUS]
+        for k in inside.tolist():
+            join(i, leaders[k])
+        for k in around.tolist():
+            if far[k] > WIDE_RADIUS and root(leaders[k]) != root(i):
+                ball = np.array(balls[k])
+                near = np.flatnonzero(_far(bits[ball], bits[i]) <= WIDE_RADIUS)
+                if len(near):
+                    join(i, int(ball[near[0]]))
+        if len(inside):
+            balls[inside[far[inside].argmin()]].append(i)
+        else:
+            heads[len(leaders)] = bits[i]
+            leaders.append(i)
+            balls.append([i])
+    return np.array(found, np.int64).reshape(-1, 2)
+
+
 def _wide_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links within buckets of wide fingerprints; rows come sorted by bucket.
 
-    Members of a bucket of up to NEAR are compared all, side by side for all buckets of a batch. In a larger one the
-    pivots' tables discard pairs, and a member is compared with the bucket's leaders: those before it that no
-    leader was near to. Each member is linked to every leader near it.
+    Members of a bucket of up to NEAR are compared all, side by side for all buckets of a batch; a larger one is
+    joined by _large_bucket. Both join the same members.
     """
 
     def links(key: np.ndarray, node: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -273,19 +316,9 @@ def _wide_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 break
             i = i[_far(bits[i], bits[i + step]) <= WIDE_RADIUS]
             found.append(np.stack([node[i], node[i + step]], 1))
-        pivots = mix(np.arange(1, PIVOTS * bits.shape[1] + 1, dtype=np.uint64)).reshape(PIVOTS, -1)
         for g in np.flatnonzero(size > NEAR).tolist():
             lo, hi = int(at[g]), int(at[g] + size[g])
-            table = np.stack([_far(bits[lo:hi], p) for p in pivots], 1).astype(np.int64)
-            leaders: list[int] = []
-            for i in range(hi - lo):
-                lead = np.array(leaders, np.int64)
-                lead = lead[(np.abs(table[lead] - table[i]) <= WIDE_RADIUS).all(1)]
-                lead = lead[_far(bits[lo + lead], bits[lo + i]) <= WIDE_RADIUS]
-                if len(lead):
-                    found.append(np.stack([node[lo + lead], np.full(len(lead), node[lo + i])], 1))
-                else:
-                    leaders.append(i)
+            found.append(node[lo + _large_bucket(bits[lo:hi])])
         pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
         if len(pairs):
             # a star for each class: its members and the smallest of them, never all pairs
