@@ -208,6 +208,51 @@ def test_large_wide_buckets_join_members_of_different_leaders():
         assert [min(c) for c in _components(n, pairs)] == [min(c) for c in _components(n, near)]
 
 
+def _wide_texts(seed: int) -> list[str]:
+    """Pairs of texts at similarities of about 0.6 to 0.9, and two texts that share a line of 20 shingles, 50 times."""
+    import random
+
+    r = random.Random(seed)
+    out = []
+    for k in range(80):
+        w = [f"w{r.randrange(10**6)}" for _ in range(300)]
+        v = list(w)
+        for i in r.sample(range(300), 4 + k % 14):
+            v[i] = f"x{r.randrange(10**6)}"
+        out += [" ".join(w), " ".join(v)]
+    line = " ".join(f"b{i}" for i in range(24))
+    return out + [" ".join([f"u{k}{i}" for i in range(1000)] + [line] * 50) for k in range(2)]
+
+
+def test_similar_is_verified_by_sets_of_shingles(spark, monkeypatch):
+    texts = _wide_texts(8)
+    sets = [shingles(t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = joined(sets, texts, 0.8)
+    for part in (op4_simhash.PART, 500):  # groups in one block, and in blocks of pairs of parts
+        monkeypatch.setattr(op4_simhash, "PART", part)
+        found = {x.doc_id: x.component_id for x in op4_simhash.similar(df).collect()}
+        found = [found[i] for i in range(len(texts))]
+        assert all(i == f or f == w for i, (f, w) in enumerate(zip(found, want, strict=True)))
+        assert sum(f != w for f, w in zip(found, want, strict=True)) <= 3  # buckets miss 3 % at 0.8
+
+
+def test_exact_links_join_as_all_pairs():
+    r = np.random.default_rng(9)
+    for change in (3, 8, 12):
+        sets = [np.arange(100, dtype=np.uint64)]
+        for _ in range(150):
+            own = sets[r.integers(len(sets))].copy()
+            own[r.choice(100, r.integers(1, change + 1), replace=False)] = r.integers(1000, 1 << 40, 1)[0] + np.arange(1)
+            sets.append(np.unique(own))
+            sets[-1] = np.append(sets[-1], np.setdiff1d(np.arange(1 << 50, (1 << 50) + 100, dtype=np.uint64), sets[-1])[: 100 - len(sets[-1])])
+        of = np.append(0, np.cumsum([len(x) for x in sets]))
+        pairs = op4_simhash.exact_links(np.concatenate(sets), of)
+        as_sets = [set(x.tolist()) for x in sets]
+        near = [(i, j) for i in range(len(sets)) for j in range(i) if len(as_sets[i] & as_sets[j]) * 5 >= 4 * len(as_sets[i] | as_sets[j])]
+        assert [min(c) for c in _components(len(sets), pairs.tolist())] == [min(c) for c in _components(len(sets), near)]
+
+
 def test_large_buckets_lose_no_link():
     r = np.random.default_rng(2)
     base = r.integers(0, 1 << 32, 700).astype(np.uint64)

@@ -34,7 +34,9 @@ DISTANCE, SHINGLE, SEED = 2, 3, 42
 #: Pivots, and members of a bucket from which it is divided again.
 PIVOTS, DIVIDE = 16, 256
 #: Wide fingerprints, of shingles of five words: bits, bits of a band, first bits that are compared, of these those that may differ, members compared all.
-WIDE_SHINGLE, WIDE_BITS, WIDE_BAND, COMPARED, WIDE_RADIUS, NEAR = 5, 1152, 18, 512, 90, 32
+WIDE_SHINGLE, WIDE_BITS, WIDE_BAND, COMPARED, WIDE_RADIUS, NEAR = 5, 1152, 18, 512, 115, 32
+#: Similarity of sets of shingles that links, as a fraction; shingles of a part of a group: two parts are verified at once.
+SIMILAR, PART = (4, 5), 2_000_000
 
 
 def fingerprint_batch(raw: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
@@ -196,12 +198,8 @@ def _planes() -> np.ndarray:
     return np.random.default_rng(4).choice(np.array([-1, 1], np.float32), (8, 256, WIDE_BITS // 8))
 
 
-def wide_fingerprints(raw: np.ndarray, offsets: np.ndarray, shingle: int = WIDE_SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each text a hash of its words, its number of shingles, and WIDE_BITS bits (rows of bytes).
-
-    A text's shingles are counted by each byte of their hashes; each bit is the side of a random plane on which
-    the counts lie, less their mean.
-    """
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, shingle: int = WIDE_SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text a hash of its words and its number of different shingles; the hashes of these, in order within a text."""
     raw = lower(raw)
     starts, ends, of = words(raw, offsets)
     n = len(of) - 1
@@ -209,13 +207,30 @@ def wide_fingerprints(raw: np.ndarray, offsets: np.ndarray, shingle: int = WIDE_
     data = memoryview(text)
     name = np.fromiter((xxhash.xxh3_64_intdigest(data[i:j]) for i, j in zip(at[of[:-1]], at[of[1:]], strict=True)), np.uint64, n)
     count = np.maximum(np.diff(of) - shingle + 1, 0)
+    if not count.any():
+        return name, count, np.zeros(0, np.uint64)
+    code, distinct = encode_words(raw, starts, ends)
+    h = window_hashes(hash_words(distinct)[code], shingle)
+    doc = np.repeat(np.arange(n), count)
+    h = h[of[:-1][doc] + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)]
+    order = np.lexsort((h, doc))
+    h = h[order]  # doc is in order already
+    own = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))
+    return name, np.bincount(doc[own], minlength=n), h[own]
+
+
+def wide_fingerprints(raw: np.ndarray, offsets: np.ndarray, shingle: int = WIDE_SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text a hash of its words, its number of different shingles, and WIDE_BITS bits (rows of bytes).
+
+    A text's different shingles are counted by each byte of their hashes; each bit is the side of a random plane on
+    which the counts lie, less their mean.
+    """
+    name, count, h = shingle_sets(raw, offsets, shingle)
+    n = len(name)
     bits = np.zeros((n, WIDE_BITS // 8), np.uint8)
-    if count.any():
-        code, distinct = encode_words(raw, starts, ends)
-        h = window_hashes(hash_words(distinct)[code], shingle)
+    if len(h):
         doc = np.repeat(np.arange(n), count)
-        place = of[:-1][doc] + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-        byte = h[place].view(np.uint8).reshape(-1, 8)
+        byte = h.view(np.uint8).reshape(-1, 8)
         planes = _planes()
         for lo in range(0, n, 512):
             i, j = np.searchsorted(doc, lo), np.searchsorted(doc, lo + 512)
@@ -233,7 +248,7 @@ def wide_fingerprints(raw: np.ndarray, offsets: np.ndarray, shingle: int = WIDE_
 def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in chunks(batches):
         name, count, bits = wide_fingerprints(*utf8(b.column("text")))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(name.view(np.int64)), pa.array(count > 0), pa.array([x.tobytes() for x in bits], pa.binary())], ["doc_id", "node", "linkable", "bits"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(name.view(np.int64)), pa.array(count.astype(np.int64)), pa.array([x.tobytes() for x in bits], pa.binary())], ["doc_id", "node", "shingles", "bits"])
 
 
 def _wide_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,22 +357,151 @@ def _wide_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from links(*held)
 
 
+def exact_links(sets: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Pairs of places of sets (``sets[of[i] : of[i + 1]]``, hashes) that join whatever all pairs with a Jaccard similarity of SIMILAR or more join.
+
+    One minus the similarity is a distance, so balls around leaders are discarded as in _large_bucket. Leaders come in
+    steps; those that a step before joined with the set at hand, and what they lead, need no comparison.
+    """
+    m = len(of) - 1
+    size = np.diff(of)
+    num, den = SIMILAR
+    code = np.unique(sets, return_inverse=True)[1].astype(np.int32)
+    mark = np.zeros(int(code.max(initial=0)) + 1, bool)
+    found = []
+    group = np.arange(m)  # the class of each set, and below that of each leader
+    members = [[i] for i in range(m)]
+    leaders, heads, balls = np.zeros(m, np.int64), np.zeros(m, np.int64), []
+
+    def join(i: int, j: int) -> None:
+        a, b = int(group[i]), int(group[j])
+        if a != b:
+            a, b = (a, b) if len(members[a]) >= len(members[b]) else (b, a)
+            group[members[b]] = a
+            members[a] += members[b]
+            members[b] = []
+            heads[:n] = np.where(heads[:n] == b, a, heads[:n])
+            found.append((j, i))
+
+    def shared(others: np.ndarray) -> np.ndarray:
+        """How many elements each of these sets has in common with the marked one."""
+        of_each = size[others]
+        to = np.cumsum(of_each)
+        at = np.arange(to[-1]) + np.repeat(of[others] - (to - of_each), of_each)
+        return np.add.reduceat(mark[code[at]], to - of_each, dtype=np.int64)
+
+    n = 0
+    for i in range(m):
+        mark[code[of[i] : of[i + 1]]] = True
+        ball, lo, step = -1, 0, 32
+        while lo < n:
+            at = lo + np.flatnonzero(heads[lo : min(lo + step, n)] != group[i])
+            lo, step = lo + step, 4 * step
+            # a member of a ball that is near has a leader within twice the distance
+            at = at[np.minimum(size[leaders[at]], size[i]) * den >= (2 * num - den) * np.maximum(size[leaders[at]], size[i])]
+            if not len(at):
+                continue
+            both = shared(leaders[at])
+            either = size[leaders[at]] + size[i] - both
+            inside = both * den >= num * either
+            for k in at[inside].tolist():
+                join(i, leaders[k])
+                ball = k if ball < 0 else ball
+            near = at[~inside & (both * den >= (2 * num - den) * either)]
+            near = near[heads[near] != group[i]]
+            if len(near):
+                its = np.concatenate([np.array(balls[k]) for k in near.tolist()])
+                its = its[np.minimum(size[its], size[i]) * den >= num * np.maximum(size[its], size[i])]
+                if len(its):
+                    both = shared(its)
+                    for j in its[both * den >= num * (size[its] + size[i] - both)].tolist():
+                        join(i, j)
+        mark[code[of[i] : of[i + 1]]] = False
+        if ball >= 0:
+            balls[ball].append(i)
+        else:
+            leaders[n], heads[n] = i, group[i]
+            balls.append([i])
+            n += 1
+    return np.array(found, np.int64).reshape(-1, 2)
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of texts that are similar as sets; rows come sorted by group and block."""
+    now, nodes, sets, count = None, [], [], []
+
+    def links() -> Iterator[pa.RecordBatch]:
+        node, size = np.concatenate(nodes), np.concatenate(count)
+        pairs = node[exact_links(np.concatenate(sets), np.append(0, np.cumsum(size)))]
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in pairs.T], ["a", "b"])
+
+    for batch in batches:
+        for b in chunks([batch]):
+            _, size, h = shingle_sets(*utf8(b.column("text")))
+            to = np.append(0, np.cumsum(size))
+            group, block, node = (b.column(c).to_numpy() for c in ("group", "block", "node"))
+            cut = np.flatnonzero((group[1:] != group[:-1]) | (block[1:] != block[:-1])) + 1
+            for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(group)], strict=True):
+                if now != (group[i], block[i]):
+                    if now is not None:
+                        yield from links()
+                    now, nodes, sets, count = (group[i], block[i]), [], [], []
+                nodes.append(node[i:j])
+                count.append(size[i:j])
+                sets.append(h[to[i] : to[j]])
+    if now is not None:
+        yield from links()
+
+
+def _node_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The node of each text, once a batch, and the text."""
+    for b in chunks(batches):
+        node, at = np.unique(nodes_of(b.column("text")), return_index=True)
+        yield pa.RecordBatch.from_arrays([pa.array(node), b.column("text").take(pa.array(at))], ["node", "text"])
+
+
+def nodes_of(column: pa.Array) -> np.ndarray:
+    """A hash of each text's words."""
+    raw, offsets = utf8(column)
+    raw = lower(raw)
+    starts, ends, of = words(raw, offsets)
+    text, at = joined_words(raw, starts, ends)
+    data = memoryview(text)
+    return np.fromiter((xxhash.xxh3_64_intdigest(data[i:j]) for i, j in zip(at[of[:-1]], at[of[1:]], strict=True)), np.uint64, len(of) - 1).view(np.int64)
+
+
 def similar(docs: DataFrame) -> DataFrame:
     """doc_id, node and component_id of each row: documents whose sets of five-word shingles have a similarity of 0.8 or more.
 
-    The similarity is that of wide fingerprints: at 0.8 they differ in about 15 % of their bits, unrelated ones in half.
+    Wide fingerprints find groups: at 0.8 they differ in about 15 % of their bits, unrelated ones in half.
     WIDE_BITS // WIDE_BAND bands of WIDE_BAND bits name buckets; a pair at 0.8 shares one with a probability of
-    0.97, a pair at 0.85 and above with over 0.99; a bucket of a large group has its members many times over. Texts with the same words are one node; those
-    of fewer words than a shingle have no links.
+    0.97, a pair at 0.85 and above with over 0.99; within a bucket up to WIDE_RADIUS of the COMPARED bits may differ,
+    to which similarities of about 0.6 correspond. What these candidates join is a group, and in each group the sets
+    themselves decide: every pair of it at 0.8 or more is joined, no other. A group of more than PART shingles is cut
+    into parts, and each pair of parts is a block of its own. Texts with the same words are one node; those of fewer
+    words than a shingle have no links.
     """
     shared_folder(docs.sparkSession)
     bounded_batches(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_wide, "doc_id long, node long, linkable boolean, bits binary").checkpoint()
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_wide, "doc_id long, node long, shingles long, bits binary").checkpoint()
     distinct = every.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    asked = every.filter("linkable").select("node", "bits").distinct()
+    asked = every.filter("shingles > 0").select("node", "bits").distinct()
     buckets = asked.mapInArrow(_wide_buckets, "key long, node long, bits binary").repartition(n, "key").sortWithinPartitions("key", "node")
-    links = buckets.mapInArrow(_wide_links, "a long, b long")
+    roots = components(buckets.mapInArrow(_wide_links, "a long, b long"))
+    members = roots.select("node", F.col("root").alias("group")).union(roots.select(F.col("root").alias("node"), F.col("root").alias("group"))).distinct()
+    sizes = every.groupBy("node").agg(F.max("shingles").alias("shingles"))
+    members = members.join(sizes, "node")
+    parts = members.groupBy("group").agg(F.ceil(F.sum("shingles") / PART).alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    block = F.least("part", "other") * F.col("parts") + F.greatest("part", "other")
+    # one part is one block; of several, a part meets each other one, and itself in all of these
+    placed = members.join(parts, "group").withColumn("part", part).withColumn("other", other).filter("parts = 1 OR part <> other").select("node", "group", block.alias("block"))
+    texts = docs.select("text").mapInArrow(_node_texts, "node long, text string").dropDuplicates(["node"])
+    blocks = placed.join(texts, "node").select("group", "block", "node", "text")
+    links = blocks.repartition(n, "group", "block").sortWithinPartitions("group", "block", "node").mapInArrow(_verified, "a long, b long")
     return _named(every.select("doc_id", "node"), distinct, links, "node")
 
 
