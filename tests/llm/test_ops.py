@@ -515,6 +515,19 @@ def test_chat_reads_back(spark):
     assert op9_chat.windows(df.limit(0), PATH).count() == 0
 
 
+def test_long_system_turns_open_every_window(spark):
+    """Also those of more than a quarter of the budget, and of more than the budget."""
+    for size in (300, 3000):
+        said = [("system", " ".join(f"rule{i}" for i in range(size))), ("system", "be brief")]
+        turns = [(1, k, *t) for k, t in enumerate(said + [("user" if k % 2 else "assistant", f"turn {k} " * 60) for k in range(20)])]
+        df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+        got = op9_chat.windows(df, PATH).orderBy("window").collect()
+        opening = op9_chat.render(said, 0)[0]
+        assert len(got) > 1 and all(w.text.startswith(opening) for w in got) and all(w.fresh_from >= 2 for w in got[1:])
+        back = op9_chat.read_back(op9_chat.windows(df, PATH)).first()
+        assert (back.n_turns, back.turns_sha256) == (22, sha("".join(f"{a}\n{x}\n" for _, _, a, x in turns)))
+
+
 @pytest.mark.parametrize("text", ["<|<|", "\\<|end|>", "<\\|", "[INST", "<<SYS>><</SYS>>", "</s></s>", "\\\\", "<|end|><|end|>"])
 def test_escapes_are_reversible(text):
     assert op9_chat.unescape(op9_chat.escape(text)) == text

@@ -3,8 +3,9 @@
 The rows of a conversation, ordered by turn, become one or more windows of text. Prefix sums of the
 turns' tokens choose spans of whole turns within a budget: each window holds the system turns that open
 the conversation, a little of the history before its span, and the span. Only fresh assistant turns are
-targets: repeated history is masked, so every assistant text is under the mask once. A turn that is larger
-than the budget has a window of its own; nothing is cut.
+targets: repeated history is masked, so every assistant text is under the mask once. The opening system turns
+are in every window whatever their length. A turn that doesn't fit beside them has a window of its own with
+them, which then exceeds the budget; nothing is cut.
 
 The template marks a turn as ``<|role|>``, a line feed, the text, ``<|end|>`` and a line feed. Control
 strings inside roles and texts get a backslash after their first character, and backslashes are doubled,
@@ -83,11 +84,10 @@ class Conversation:
         """A window if the turn doesn't fit into the one that is open."""
         turn, out = (role, text, tokens + MARKS), []
         self.opening &= role == "system"
-        if self.opening and sum(t[2] for t in self.system) + turn[2] <= self.budget // 4:
+        if self.opening:
             self.system.append(turn)
-        else:
-            self.opening = False
-        if self.span and self.used + turn[2] > self.budget:
+        # the opening system turns stay together; what follows may still be within the budget beside them
+        if self.span and not self.opening and self.used + turn[2] > self.budget and not (self.first and len(self.span) == len(self.system)):
             out.append(self.close())
         if not self.span:
             self.used = turn[2] if self.first else turn[2] + sum(t[2] for t in self.system) + sum(t[2] for t in self.past)
