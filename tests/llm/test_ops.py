@@ -368,6 +368,21 @@ def test_the_field_finds_what_patterns_miss():
     assert op8_secrets.train(["no secrets here"]) is None
 
 
+def test_the_field_is_fitted_to_documents_with_findings(spark):
+    """However few they are, and however long."""
+    import random
+
+    r = random.Random(3)
+    words = lambda n: " ".join(r.choice("lorem ipsum dolor sit amet elitr diam".split()) for _ in range(n))
+    key = "".join(r.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnpqrstuvwxyz23456789", k=40))
+    rows = [(i, words(40)) for i in range(3000)] + [(9000, f"{words(3000)} token = '{key}' {words(3000)}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert op8_secrets.fit(df) is not None
+    got = op8_secrets._sample(df)
+    assert sum(key in t for t in got) == 1 and max(map(len, got)) <= op8_secrets.TRAIN_CHARS and len(got) <= op8_secrets.TRAIN_ROWS
+    assert op8_secrets.fit(df.filter("doc_id < 9000")) is None and op8_secrets.fit(df.limit(0)) is None
+
+
 def test_viterbi_is_the_best_of_all_sequences():
     from itertools import product
 

@@ -23,8 +23,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .sampling import sample_texts
 from .textscan import bounded_batches, chunks, utf8
 
 #: Documents and characters of a document in the training sample, and steps of training.
@@ -322,7 +322,47 @@ def _in_code_points(raw: np.ndarray, offsets: np.ndarray, spans: list) -> list[t
 
 
 def fit(docs: DataFrame) -> Field | None:
-    return train([t for _, t in sample_texts(docs, TRAIN_ROWS, 8, TRAIN_CHARS)])
+    """The field of at most TRAIN_ROWS documents: half with base findings, those of the lowest hashes among all such, half without."""
+    return train(_sample(docs))
+
+
+def _sample(docs: DataFrame) -> list[str]:
+    """Texts for training; of a long one TRAIN_CHARS characters around its first finding, cut at white space."""
+    bounded_batches(docs.sparkSession)
+    each = TRAIN_ROWS // 2
+    named = docs.filter(F.length("text") > 0).select(F.xxhash64("doc_id", "text", F.lit(8)).alias("at"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # of each kind only the lowest hashes of a partition are kept: (hash, first finding)
+        kept: list[dict[int, int]] = [{}, {}]
+        for b in chunks(batches):
+            raw, offsets = utf8(b.column("text"))
+            first: dict[int, int] = {}
+            for d, s, _, _ in _in_code_points(raw, offsets, base_spans(raw, offsets)):
+                first[d] = min(s, first.get(d, s))
+            for d, at in enumerate(b.column("at").to_pylist()):
+                kept[d in first][at] = first.get(d, 0)
+            kept = [dict(sorted(k.items())[:each]) for k in kept]
+        rows = [(found, at, start) for found, k in enumerate(kept) for at, start in k.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["found", "at", "start"])
+
+    lowest = F.slice(F.array_sort(F.collect_set(F.struct("at", "start"))), 1, each)
+    chosen = [tuple(x) for r in named.mapInArrow(run, "found long, at long, start long").groupBy("found").agg(lowest.alias("x")).collect() for x in r.x]
+    if not chosen:
+        return []
+    chosen_df = F.broadcast(docs.sparkSession.createDataFrame(chosen, "at long, start long"))  # TRAIN_ROWS at most
+    begin = F.greatest(F.lit(0), F.least(F.col("start") - TRAIN_CHARS // 2, F.length("text") - TRAIN_CHARS)).cast("int")
+    cut = named.join(chosen_df, "at").select("at", begin.alias("begin"), F.length("text").alias("length"), F.col("text").substr(begin + 1, F.lit(TRAIN_CHARS)).alias("text"))
+    out = []
+    for r in sorted(cut.groupBy("at").agg(F.min(F.struct("text", "begin", "length")).alias("r")).collect(), key=lambda r: r.at):
+        text = r.r.text
+        if r.r.begin + len(text) < r.r.length and (m := re.search(r"\s\S*\Z", text)) and m.start() > 3 * TRAIN_CHARS // 4:
+            text = text[: m.start()]
+        if r.r.begin and (m := re.search(r"\s", text)) and m.end() < TRAIN_CHARS // 4:
+            text = text[m.end() :]
+        out.append(text)
+    return out
 
 
 def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
