@@ -62,6 +62,32 @@ def test_bpe_pieces_of_random_texts(encoding):
     assert all(encoding.encode_ordinary(t) == ids[to[i] : to[i + 1]].tolist() for i, t in enumerate(some))
 
 
+def test_bpe_slices_and_a_full_cache_change_nothing(encoding, monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from tidemark.llm.textscan import utf8
+
+    monkeypatch.setattr(op5_bpe, "SLICE_BYTES", 60)
+    monkeypatch.setattr(op5_bpe, "CACHE_BYTES", 500)
+    r = random.Random(2)
+    parts = ["a", "don't", "é", "漢", "12", " ", " ", " ", "  ", "\n", "\u3000", ".", "'", "we'll", "🙂", "x" * 30]
+    some = ["".join(r.choices(parts, k=r.randint(0, 300))) for _ in range(200)] + ["", "y" * 500, "", "a b " * 100]
+    bpe = op5_bpe.Bpe(PATH)
+    for _ in range(2):
+        ids, to = bpe.encode_batch(*utf8(pa.array(some)))
+        assert all(encoding.encode_ordinary(t) == ids[to[i] : to[i + 1]].tolist() for i, t in enumerate(some))
+    assert len(op5_bpe.slices(*utf8(pa.array(some)), 60)) > 2 * len(some)
+
+
+def test_tokens_replace_columns_of_their_names(docs, encoding):
+    df = docs.select("doc_id", "text", F.lit("old").alias("IDS"), F.lit(1).alias("token_ends"))
+    got = op5_bpe.tokenize(df, PATH, df.columns)
+    assert got.columns == ["doc_id", "text", "ids", "token_ends"]
+    assert all(r.ids == encoding.encode_ordinary(r.text or "") for r in got.collect())
+
+
 # 7
 
 

@@ -4,7 +4,8 @@ Text is cut into pieces without a regular expression. Each code point gets a cla
 other, white space) and, from its neighbours, a symbol. A small automaton over these symbols knows
 whether a piece starts at a code point. Its transition functions form a finite monoid, so runs of
 symbols are composed by a blocked scan over whole batches: the functions are small integers, and
-composing them is one table lookup. The resulting slices feed a cache of merged pieces.
+composing them is one table lookup. The resulting slices feed a cache of merged pieces, bounded in bytes.
+Long texts are encoded in slices cut where no piece can span the cut, so memory grows with a text's ids only.
 
 Defined results: a null text is an empty one; an empty text has no tokens; empty tables give empty
 results; other columns are left alone; repeated rows are encoded alike.
@@ -16,19 +17,23 @@ import base64
 import hashlib
 import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .textscan import binary_array, bounded_batches, chunks, utf8
 
-#: Distinct pieces whose tokens a worker remembers before it starts anew.
-CACHE_PIECES = 400_000
-#: Bytes of the longest piece that is merged side by side with others.
-SIDE_BY_SIDE = 40
+#: Bytes of pieces and ids that a worker remembers before it starts anew, and of the longest piece remembered.
+CACHE_BYTES, CACHE_PIECE = 2 << 20, 64
+#: Bytes of the longest piece that is merged side by side with others, and pieces merged at once.
+SIDE_BY_SIDE, SIDE_ROWS = 40, 8192
+#: Text bytes encoded at once; a longer text is cut where no piece can span the cut.
+SLICE_BYTES = 1 << 20
 NO_RANK = 1 << 60
 SLOT_BITS, EMPTY = 20, np.uint64((1 << 64) - 1)
 
@@ -158,24 +163,55 @@ def piece_offsets(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.append(at[_STARTS[before, symbol]], len(raw))
 
 
+def slices(raw: np.ndarray, offsets: np.ndarray, limit: int) -> np.ndarray:
+    """The documents' offsets, and in documents longer than ``limit`` more, so that slices are no longer where that can be.
+
+    A text may be cut before a single space between two visible ASCII characters: the space begins a piece there,
+    and no piece looks beyond it.
+    """
+    cuts = [offsets]
+    for d in np.flatnonzero(np.diff(offsets) > limit).tolist():
+        own = raw[offsets[d] : offsets[d + 1]]
+        seen = (own > 32) & (own < 127)
+        free = np.flatnonzero((own[1:-1] == 32) & seen[:-2] & seen[2:]) + 1
+        at = 0
+        while len(own) - at > limit:
+            k = int(np.searchsorted(free, at + limit, "right")) - 1
+            if k < 0 or free[k] <= at:  # none near enough: the next one
+                k = int(np.searchsorted(free, at, "right"))
+            if k == len(free):
+                break
+            at = int(free[k])
+            cuts.append(np.array([offsets[d] + at]))
+    return np.unique(np.concatenate(cuts))
+
+
 def _slot(key: np.ndarray) -> np.ndarray:
     return (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
 class Bpe:
-    """Ranks of a vocabulary with a cache of encoded pieces."""
+    """Ranks of a vocabulary with a cache of encoded pieces.
+
+    The cache is one array of pieces and one of ids, so it takes little more than their bytes.
+    """
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
+        bytes_of = [b""] * (max(self.ranks.values()) + 1)
         for token, i in self.ranks.items():
-            self.bytes_of[i] = token
-        self.tokens = pa.array(self.bytes_of, pa.large_binary())
-        self.cache: dict[bytes, tuple[int, ...]] = {}
-        pairs = {(a, b): i for t, i in self.ranks.items() for k in range(1, len(t)) if (a := self.ranks.get(t[:k])) is not None and (b := self.ranks.get(t[k:])) is not None}
-        key = np.array([a << 20 | b for a, b in pairs], np.uint64)
-        rank = np.fromiter(pairs.values(), np.int32, len(pairs))
+            bytes_of[i] = token
+        self.tokens = pa.array(bytes_of, pa.large_binary())
+        self.sizes = np.fromiter(map(len, bytes_of), np.int32, len(bytes_of))
+        self.forget()
+        keys, joined = array("Q"), array("i")
+        for token, i in self.ranks.items():
+            for k in range(1, len(token)):
+                if (a := self.ranks.get(token[:k])) is not None and (b := self.ranks.get(token[k:])) is not None:
+                    keys.append(a << 20 | b)
+                    joined.append(i)
+        key, rank = np.array(keys, np.uint64), np.array(joined, np.int32)
         self.slots = np.full((1 << SLOT_BITS) + 64, EMPTY, np.uint64)
         self.slot_rank = np.zeros(len(self.slots), np.int32)
         at = _slot(key)
@@ -190,6 +226,10 @@ class Bpe:
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.byte_pair = self.rank_of(np.repeat(self.byte_id, 256), np.tile(self.byte_id, 256))
 
+    def forget(self) -> None:
+        """Empties the cache: pieces, where each one's ids begin and the last one's end, ids."""
+        self.known, self.known_at, self.known_ids = pa.array([], pa.large_binary()), np.zeros(1, np.int64), np.zeros(0, np.int32)
+
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The ranks of joined tokens, NO_RANK where the vocabulary lacks them."""
         key = (a << 20 | b).view(np.uint64)
@@ -204,42 +244,52 @@ class Bpe:
             todo, key, at = todo[more], key[more], at[more] + 1
         return out
 
-    def merge_many(self, pieces: list[bytes]) -> dict[bytes, tuple[int, ...]]:
-        """Merges all pieces of one length side by side; one round joins one pair in each."""
-        out: dict[bytes, tuple[int, ...]] = {}
-        groups: dict[int, list[bytes]] = {}
-        for p in pieces:
-            if (whole := self.ranks.get(p)) is not None:
-                out[p] = (whole,)
-            elif len(p) > SIDE_BY_SIDE:
-                out[p] = self.merge(p)
-            else:
-                groups.setdefault(len(p), []).append(p)
-        for n, group in groups.items():
-            who = np.arange(len(group))
-            byte = np.frombuffer(b"".join(group), np.uint8).reshape(-1, n).astype(np.int64)
-            tok = self.byte_id[byte]
-            rank = self.byte_pair[byte[:, :-1] << 8 | byte[:, 1:]]
-            while True:
-                m = tok.shape[1]
-                row = np.arange(len(who))
-                j = rank.argmin(1) if m > 1 else np.zeros(len(who), np.int64)
-                low = rank[row, j] if m > 1 else np.full(len(who), NO_RANK)
-                for i, ids in zip(who[low == NO_RANK].tolist(), tok[low == NO_RANK].tolist(), strict=True):
-                    out[group[i]] = tuple(ids)
-                go = low != NO_RANK
-                if not go.any():
-                    break
-                who, tok, rank, j, low = who[go], tok[go], rank[go], j[go], low[go]
-                row, col = np.arange(len(who)), np.arange(m - 1)
-                tok[row, j] = low
-                tok = np.take_along_axis(tok, col + (col > j[:, None]), 1)
-                rank = np.take_along_axis(rank, col[:-1] + (col[:-1] >= j[:, None]), 1)
-                for side in (j - 1, j):
-                    r = row[(side >= 0) & (side < m - 2)]
-                    c = side[r]
-                    rank[r, c] = self.rank_of(tok[r, c], tok[r, c + 1])
-        return out
+    def merge_many(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one after another, and how many each has; pieces of one length are merged side by side."""
+        raw, at = _buffers(pieces)
+        length = np.diff(at)
+        whole = pc.fill_null(pc.index_in(pieces, self.tokens), -1).to_numpy()
+        done = whole >= 0
+        parts = [(np.flatnonzero(done), whole[done][:, None])]
+        for i in np.flatnonzero(~done & (length > SIDE_BY_SIDE)).tolist():
+            parts.append((np.array([i]), np.array([self.merge(raw[at[i] : at[i + 1]].tobytes())], np.int32)))
+        for n in range(1, SIDE_BY_SIDE + 1):
+            group = np.flatnonzero(~done & (length == n))
+            for lo in range(0, len(group), SIDE_ROWS):
+                who = group[lo : lo + SIDE_ROWS]
+                parts += self._merge_rows(who, raw[at[who][:, None] + np.arange(n)])
+        size = np.zeros(len(pieces), np.int64)
+        for who, ids in parts:
+            size[who] = ids.shape[1]
+        begin = np.cumsum(size) - size
+        flat = np.empty(int(size.sum()), np.int32)
+        for who, ids in parts:
+            flat[begin[who][:, None] + np.arange(ids.shape[1])] = ids
+        return flat, size
+
+    def _merge_rows(self, who: np.ndarray, byte: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Each row's ids, the rows that end up with as many together; one round joins one pair in each row."""
+        out = []
+        tok = self.byte_id[byte]
+        rank = self.byte_pair[byte[:, :-1].astype(np.int64) << 8 | byte[:, 1:]]
+        while True:
+            m = tok.shape[1]
+            row = np.arange(len(who))
+            j = rank.argmin(1) if m > 1 else np.zeros(len(who), np.int64)
+            low = rank[row, j] if m > 1 else np.full(len(who), NO_RANK)
+            go = low != NO_RANK
+            out.append((who[~go], tok[~go].astype(np.int32)))
+            if not go.any():
+                return out
+            who, tok, rank, j, low = who[go], tok[go], rank[go], j[go], low[go]
+            row, col = np.arange(len(who)), np.arange(m - 1)
+            tok[row, j] = low
+            tok = np.take_along_axis(tok, col + (col > j[:, None]), 1)
+            rank = np.take_along_axis(rank, col[:-1] + (col[:-1] >= j[:, None]), 1)
+            for side in (j - 1, j):
+                r = row[(side >= 0) & (side < m - 2)]
+                c = side[r]
+                rank[r, c] = self.rank_of(tok[r, c], tok[r, c + 1])
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Joins the adjoining pair of lowest rank, the leftmost first, until none is known."""
@@ -289,25 +339,39 @@ class Bpe:
         return tuple(out)
 
     def encode_batch(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Token ids of all documents, and each document's range of them."""
+        """Token ids of all documents, and each document's range of them; slices of SLICE_BYTES are encoded apart."""
+        cuts = slices(raw, offsets, SLICE_BYTES)
+        ids, to, lo = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0
+        while lo < len(cuts) - 1:
+            hi = max(lo + 1, int(np.searchsorted(cuts, cuts[lo] + SLICE_BYTES, "right")) - 1)
+            own, ends = self._encode(raw[cuts[lo] : cuts[hi]], cuts[lo : hi + 1] - cuts[lo])
+            ids.append(own)
+            to.append(to[-1][-1] + ends[1:])
+            lo = hi
+        return np.concatenate(ids), np.concatenate(to)[np.searchsorted(cuts, offsets)]
+
+    def _encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = piece_offsets(raw, offsets)
-        if len(at) < 2:
-            return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
         code = binary_array(raw, at).dictionary_encode()
-        pieces = code.dictionary.to_pylist()
-        cache = self.cache
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        new = self.merge_many([p for p in pieces if p not in cache])
-        cache.update((p, ids) for p, ids in new.items() if len(p) <= 64)
-        found = [cache[p] if p in cache else new[p] for p in pieces]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.int64, int(size.sum()))
-        begin = np.cumsum(size) - size
-        piece = code.indices.to_numpy().astype(np.int64)
-        long = size[piece]
+        pieces = code.dictionary
+        if self.known.nbytes + self.known_ids.nbytes > CACHE_BYTES:
+            self.forget()
+        place = pc.fill_null(pc.index_in(pieces, self.known), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(place < 0)
+        short = pc.binary_length(pieces).to_numpy()[new] <= CACHE_PIECE
+        new = np.concatenate([new[short], new[~short]])  # long ones last: they aren't remembered
+        fresh = pieces.take(pa.array(new))
+        ids, size = self.merge_many(fresh)
+        place[new] = len(self.known) + np.arange(len(new))
+        every, begin = np.concatenate([self.known_ids, ids]), np.append(self.known_at, self.known_at[-1] + np.cumsum(size))
+        if count := int(short.sum()):
+            self.known = pa.concat_arrays([self.known, fresh.slice(0, count)])
+            self.known_at = begin[: len(self.known) + 1].copy()
+            self.known_ids = every[: self.known_at[-1]].copy()
+        piece = place[code.indices.to_numpy()]
+        long = begin[piece + 1] - begin[piece]
         to = np.cumsum(long)
-        ids = flat[np.repeat(begin[piece] - (to - long), long) + np.arange(to[-1])]
+        ids = every[np.repeat(begin[piece] - (to - long), long) + np.arange(to[-1])]
         return ids, np.append(0, to)[np.searchsorted(at[:-1], offsets)]
 
     def decode_batch(self, ids: np.ndarray, ranges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -334,17 +398,20 @@ def _decimals(n: int) -> pa.Array:
 
 
 def tokenize(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
-    """Adds ``ids`` and ``token_ends`` (each token's end in bytes of the text, for decoding spans) to the columns named."""
+    """Adds ``ids`` and ``token_ends`` (each token's end in bytes of the text, for decoding spans) to the columns named.
+
+    Columns of these two names, in any case, give way to the new ones.
+    """
     bounded_batches(docs.sparkSession)
+    keep = [c for c in keep if c.lower() not in ("ids", "token_ends")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for b in chunks(batches):
+        for b in chunks(batches, limit=SLICE_BYTES):
             ids, to = bpe.encode_batch(*utf8(b.column("text")))
-            size = np.fromiter(map(len, bpe.bytes_of), np.int64)[ids] if len(ids) else ids
-            ends = np.cumsum(size)
-            ends = ends - np.repeat(np.append(0, ends)[to[:-1]], np.diff(to))
+            ends = np.cumsum(bpe.sizes[ids], dtype=np.int64)
+            ends -= np.repeat(np.append(0, ends)[to[:-1]], np.diff(to))
             lists = [pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (ids, ends)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *lists], [*keep, "ids", "token_ends"])
 
@@ -358,9 +425,9 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         sha = hashlib.sha256
-        for b in chunks(batches):
+        for b in chunks(batches, limit=SLICE_BYTES):
             ids, to = bpe.encode_batch(*utf8(b.column("text")))
-            text, at = _buffers(_decimals(len(bpe.bytes_of)).take(pa.array(ids)))
+            text, at = _buffers(_decimals(len(bpe.tokens)).take(pa.array(ids)))
             cut = at[to]
             back, ends = bpe.decode_batch(ids, to)
             text, back = memoryview(text), memoryview(back)

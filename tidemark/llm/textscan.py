@@ -6,6 +6,7 @@ batches with numpy and Arrow; no loop runs per character or per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,7 @@ def bounded_batches(spark) -> None:
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches into runs of rows whose texts hold at most ``limit`` bytes (or one row)."""
     for batch in batches:
+        give_back()
         if not batch.num_rows:
             continue
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -49,6 +51,15 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             lo = hi
 
 
+def give_back() -> None:
+    """Returns freed memory to the machine, as workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts and each text's offsets; a null is an empty text."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
