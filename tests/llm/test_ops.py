@@ -394,6 +394,41 @@ def test_the_field_finds_what_patterns_miss():
     assert op8_secrets.train(["no secrets here"]) is None
 
 
+def test_the_query_finds_planted_secrets_without_a_pattern(spark, tmp_path):
+    """The field learns from the tables' own findings; none of the planted secrets matches a pattern."""
+    import random
+
+    from tidemark.llm import queries
+
+    r = random.Random(11)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n, more="": "".join(r.choices(letters + more, k=n))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    hosts = [x.text for x in docs.filter("length(text) between 200 and 3000").orderBy("doc_id").limit(120).collect()]
+    planted = {}
+    for k, host in enumerate(hosts):
+        before, value = [("Authorization: Bearer ", key(40)), ("aws access ", key(40, "+/")), ("ghp_", key(36)), ("hook xoxb-", key(24))][k % 4]
+        w = host.split(" ")
+        at = r.randrange(len(w))
+        head = " ".join([*w[:at], before])
+        planted[10**6 + k] = (head + value + " " + " ".join(w[at:]), len(head), len(head) + len(value))
+    every = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(i, t) for i, (t, _, _) in planted.items()], "doc_id long, text string"))
+    every.write.parquet(f"{tmp_path}/documents.parquet")
+    found = covered = wrong = 0
+    for x in queries.QUERIES["op8_secrets"](spark, str(tmp_path)).collect():
+        spans = [(int(a), int(b)) for kind, a, b in (y.split(":") for y in x.spans.split(",") if y) if kind == "field"]
+        if x.doc_id in planted:
+            text, a, b = planted[x.doc_id]
+            assert not base(text[a - 30 : b])
+            share = sum(max(0, min(b, e) - max(a, s)) for s, e in spans) / (b - a)
+            found += share > 0
+            covered += share
+        else:
+            wrong += bool(spans)
+    assert found >= 0.95 * len(planted) and covered >= 0.9 * len(planted), (found, covered)
+    assert wrong <= 0.005 * docs.count()
+
+
 def test_the_field_is_fitted_to_documents_with_findings(spark):
     """However few they are, and however long."""
     import random
@@ -415,7 +450,7 @@ def test_viterbi_is_the_best_of_all_sequences():
     r = np.random.default_rng(0)
     t = r.normal(size=(3, 3))
     t[2, 1] = -np.inf
-    field = op8_secrets.Field(np.zeros((1, 3)), t)
+    field = op8_secrets.Field(np.zeros((1, 3)), np.zeros((3, 1, 3)), t)
     for _ in range(30):
         score = r.normal(0, 4, (6, 3))
         of = np.array([0, 2, 6])

@@ -1,10 +1,13 @@
 """Secret scans with a linear-chain conditional random field.
 
 Three fixed patterns give the base findings. A conditional random field over the tokens of a text
-adds more: its features are a token's shape, the shapes of the tokens beside it and figures of the
-whole text. It is trained by its log likelihood on a bounded sample of documents, in which the base
-findings are the labels; keywords of the patterns are not features of the token itself, so that it
-learns how secrets look and what stands beside them. Viterbi decoding is exact: a token whose score
+adds more: its features are a token's shape, the shapes of the tokens beside it, signatures of the
+neighbouring words and figures of the whole text. It is trained by its log likelihood on a bounded
+sample of documents. No rows are labelled, so the base findings are the labels, and as the field is to
+find what the patterns miss, it also learns from texts without findings into which values of other alphabets
+and lengths are put, in other contexts, and things that look alike and are no secrets: addresses, numbers,
+versions, names of files. Which tokens are
+secret is decided by Viterbi alone; nothing filters what it finds. Decoding is exact: a token whose score
 for "outside" leads by more than all transitions can make up is outside in the best sequence, and
 the stretches between such tokens are decoded one by one.
 
@@ -16,21 +19,27 @@ scanned each; a sample without secrets gives a field that adds nothing; empty ta
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textscan import bounded_batches, chunks, utf8
 
-#: Documents and characters of a document in the training sample, and steps of training.
-TRAIN_ROWS, TRAIN_CHARS, TRAIN_STEPS = 1200, 6_000, 80
-#: Characters of the shortest span that the field may add.
-MIN_SPAN = 16
+#: Documents in the training sample, characters of a window of a longer one, and steps of training.
+TRAIN_ROWS, TRAIN_CHARS, TRAIN_STEPS = 1000, 1_500, 80
+#: Least number of texts with moved secrets that the field learns from.
+MOVED = 300
+#: Text bytes whose features are held at once.
+SCAN_BYTES = 1 << 19
+#: Signatures of words, and the neighbours that have one: places before and after a token.
+SIGNATURES, NEIGHBOURS = 512, (-2, -1, 1)
 # fixed values: the base patterns and the lengths that their matches need
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
@@ -107,8 +116,27 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-SHAPES = 20
+SHAPES = 24
 WIDTH = 3 * SHAPES + 4
+_SMALL = np.arange(256, dtype=np.uint64)
+_SMALL[65:91] += np.uint64(32)
+
+
+def signatures(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """For each token those of its neighbours, by their letters in lower case; SIGNATURES where there is none."""
+    out = np.full((len(starts), len(NEIGHBOURS)), SIGNATURES, np.int32)
+    if not len(starts):
+        return out
+    h = (ends - starts).astype(np.uint64)
+    for k in range(8):  # the first letters and the length tell words apart well enough
+        h = h * np.uint64(0x100000001B3) + np.where(starts + k < ends, _SMALL[raw[np.minimum(starts + k, ends - 1)]], np.uint64(0))
+    own = ((h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(55)).astype(np.int32) % SIGNATURES
+    doc = np.repeat(np.arange(len(of) - 1), np.diff(of))
+    for i, place in enumerate(NEIGHBOURS):
+        a, b = (slice(-place, None), slice(None, place)) if place < 0 else (slice(None, -place), slice(place, None))
+        same = doc[a] == doc[b]
+        out[a, i][same] = own[b][same]
+    return out
 
 
 def features(raw: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -145,6 +173,10 @@ def features(raw: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.
     s[:, 17] = ASSIGNS[after]
     s[:, 18] = QUOTE[before]
     s[:, 19] = JOINT[before] & (np.append(-1, ends[:-1]) == starts - 1)
+    s[:, 20] = digit > 0
+    s[:, 21] = size >= 16
+    s[:, 22] = JOINT[after]
+    s[:, 23] = (digit * 4 > size) & (low + up > 0) & (turns >= 3)
     first, last = np.zeros(n, bool), np.zeros(n, bool)
     filled = of[:-1] < of[1:]
     first[of[:-1][filled]] = last[of[1:][filled] - 1] = True
@@ -164,11 +196,20 @@ def features(raw: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.
 
 @dataclass
 class Field:
-    """Weights of the features for each state, and scores of transitions; inside never follows outside."""
+    """Weights of the features and of neighbours' signatures for each state, and scores of transitions; inside never follows outside."""
 
     weights: np.ndarray
+    words: np.ndarray
     transitions: np.ndarray
 
+    def scores(self, raw: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """What each state of each token scores by itself."""
+        out = features(raw, offsets, starts, ends, of) @ self.weights
+        beside = signatures(raw, starts, ends, of)
+        for i in range(len(NEIGHBOURS)):
+            out += self.words[i][beside[:, i]]
+        return out
+
     def margin(self) -> float:
         """What transitions can make up at most for one token."""
         t = self.transitions[np.isfinite(self.transitions)]
@@ -208,13 +249,10 @@ class Field:
         return out
 
 
-def _labels(starts: np.ndarray, ends: np.ndarray, of: np.ndarray, found: list[tuple[int, int, int, int]], raw: np.ndarray) -> np.ndarray:
-    """States of the tokens in base findings; of an assignment, its value."""
+def _labels(starts: np.ndarray, ends: np.ndarray, of: np.ndarray, secrets: list[tuple[int, int, int]]) -> np.ndarray:
+    """States of the tokens, from the byte ranges (document, start, end) of secrets."""
     y = np.full(len(starts), O)
-    for d, s, kind, e in found:
-        if kind == 0:
-            m = ASSIGN.match(raw[s:e].tobytes())
-            s += m.start(2)
+    for d, s, e in secrets:
         i, j = np.searchsorted(starts, s), np.searchsorted(ends, e, "right")
         i, j = max(i, of[d]), min(j, of[d + 1])
         if i < j:
@@ -223,19 +261,80 @@ def _labels(starts: np.ndarray, ends: np.ndarray, of: np.ndarray, found: list[tu
     return y
 
 
+# alphabets of secrets, contexts that they are moved to, and what looks alike and is none
+_ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789")
+_CONTEXTS = ("{}", "{}", "bearer {}", "Authorization: Basic {}", "key {}", "({})", '"{}"', "use {} to sign in", "credentials {},", "--auth {}", "pwd {}", "x-auth: {}", "sk_live_{}", "signed with {}.", "{}\n")
+
+
+def _alike(r: random.Random) -> str:
+    """Something that is no secret."""
+    n = lambda k: "".join(r.choices("0123456789", k=k))
+    w = lambda k: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=k))
+    kinds = (
+        lambda: f"{w(5)}.{n(2)}@{w(6)}.example.com", lambda: f"{n(3)}.{n(3)}.{n(2)}.{n(3)}", lambda: n(r.randint(6, 20)), lambda: n(16), lambda: f"https://www.{w(9)}.org/{w(7)}/{n(6)}/{w(12)}-{w(8)}.html", lambda: f"{n(4)}-{n(2)}-{n(2)}T{n(2)}:{n(2)}:{n(2)}Z",
+        lambda: f"v{n(1)}.{n(2)}.{n(1)}-rc{n(1)}", lambda: f"+{n(2)} {n(3)} {n(7)}", lambda: f"{w(8)}_{w(6)}_{n(2)}.tar.gz", lambda: w(r.randint(16, 30)), lambda: w(r.randint(16, 24)).capitalize(), lambda: w(20).upper(), lambda: f"{n(8)}-{n(4)}-{n(4)}-{n(4)}-{n(12)}", lambda: f"{w(3).upper()}-{n(5)}", lambda: f"${n(3)},{n(3)}.{n(2)}", lambda: f"{w(10)}{n(4)}", lambda: "=" * r.randint(5, 40), lambda: f"{w(4)}{w(5).capitalize()}{w(6).capitalize()}", lambda: f"ISBN 978-{n(1)}-{n(4)}-{n(4)}-{n(1)}", lambda: f"{n(2)}{w(2)} {n(3)}{w(2)}",
+    )
+    return r.choice(kinds)()
+
+
+_RUN = re.compile(rb"[A-Za-z0-9+/_=-]{16,}")
+_TURN = re.compile(rb"(?<=[0-9])[A-Za-z]|(?<=[a-z])[0-9A-Z]|(?<=[A-Z])[0-9a-z]")
+
+
+def _unknown(data: bytes) -> bool:
+    """Whether a text without findings holds a run that looks random: it may be a secret, and no label says it is none."""
+    return any(len(_TURN.findall(m[0])) >= 6 and any(48 <= c < 58 for c in m[0]) for m in _RUN.finditer(data))
+
+
+def examples(texts: list[str], seed: int = 8) -> list[tuple[bytes, list[tuple[int, int]]]]:
+    """Texts with the byte ranges of their secrets: those with findings, others with lookalikes, and others that get secrets.
+
+    As many others get secrets as have findings, MOVED at least, so that few findings in few places don't tie the
+    field to the words that happen to stand there. Texts without findings of which it is unknown whether they hold
+    secrets are left out.
+    """
+    r = random.Random(seed)
+    out, rest = [], []
+    for data in (t.encode() for t in texts):
+        found = base_spans(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        if found:
+            out.append((data, [(s + (ASSIGN.match(data[s:e]).start(2) if kind == 0 else 0), e) for _, s, kind, e in found]))
+        elif not _unknown(data):
+            rest.append(data)
+    if not out:
+        return []
+    hosts = rest or [b""]
+    for k in range(max(len(out), MOVED)):
+        parts, moved, secrets = hosts[k % len(hosts)].split(b" "), b"", []
+        at = set(r.choices(range(len(parts)), k=r.randint(1, 3)))
+        for i, part in enumerate(parts):
+            moved += part + b" "
+            if i in at:
+                before, after = (x.encode() for x in r.choice(_CONTEXTS).split("{}"))
+                value = "".join(r.choices(r.choice(_ALPHABETS), k=r.randint(16, 64))).encode()
+                secrets.append((len(moved) + len(before), len(moved) + len(before) + len(value)))
+                moved += before + value + after + b" "
+        out.append((moved, secrets))
+    for data in rest:
+        parts = data.split(b" ")
+        for _ in range(r.randint(0, 6)):
+            parts.insert(r.randint(0, len(parts)), _alike(r).encode())
+        out.append((b" ".join(parts), []))
+    return out
+
+
 def train(texts: list[str], steps: int = TRAIN_STEPS, penalty: float = 1e-4) -> Field | None:
-    """Maximises the log likelihood of the base findings with Adam; None if there are none."""
-    raw, offsets = utf8(pa.array(texts, pa.string()))
-    found = base_spans(raw, offsets)
-    if not found:
+    """Maximises the log likelihood of the examples with Adam; None if no text has a finding."""
+    known = examples(texts)
+    if not known:
         return None
-    # documents with findings, and as many others
-    has = sorted({f[0] for f in found})
-    rest = [d for d in range(len(texts)) if d not in set(has)][: len(has)]
-    raw, offsets = utf8(pa.array([texts[d] for d in has + rest], pa.string()))
+    raw = np.frombuffer(b"".join(d for d, _ in known), np.uint8)
+    offsets = np.append(0, np.cumsum([len(d) for d, _ in known]))
     starts, ends, of = tokens(raw, offsets)
-    y = _labels(starts, ends, of, base_spans(raw, offsets), raw)
+    y = _labels(starts, ends, of, [(d, int(offsets[d]) + s, int(offsets[d]) + e) for d, (_, own) in enumerate(known) for s, e in own])
     x = features(raw, offsets, starts, ends, of)
+    beside = signatures(raw, starts, ends, of)
+    v = np.zeros((len(NEIGHBOURS), SIGNATURES + 1, 3))
     w, t = np.zeros((WIDTH, 3)), np.zeros((3, 3))
     t[O, I] = -np.inf
     free = np.isfinite(t)
@@ -245,7 +344,7 @@ def train(texts: list[str], steps: int = TRAIN_STEPS, penalty: float = 1e-4) ->
     begin, size = of[:-1][order], size[order]
     steps_of = [begin[: np.searchsorted(-size, -k, "left")] + k for k in range(int(size.max(initial=0)))]
     steps_of = [s for s in steps_of if len(s)]
-    moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)]
+    moments = [np.zeros_like(x) for x in (w, w, t, t, v, v)]
     first = np.zeros(len(y), bool)
     first[begin[size > 0]] = True
     pairs = np.zeros((3, 3))
@@ -253,8 +352,9 @@ def train(texts: list[str], steps: int = TRAIN_STEPS, penalty: float = 1e-4) ->
     np.add.at(pairs, (y[inner - 1], y[inner]), 1)
     onehot = np.eye(3)[y]
     for step in range(1, steps + 1):
-        score = x @ w.astype(np.float32)
-        score = score.astype(np.float64)
+        score = (x @ w.astype(np.float32)).astype(np.float64)
+        for i in range(len(NEIGHBOURS)):
+            score += v[i][beside[:, i]]
         score[first, I] = -np.inf
         e = np.exp(score - score.max(1, keepdims=True))
         a = np.zeros_like(e)
@@ -273,15 +373,18 @@ def train(texts: list[str], steps: int = TRAIN_STEPS, penalty: float = 1e-4) ->
             b[s - 1] = back / back.sum(1, keepdims=True)
         p = a * b
         p /= p.sum(1, keepdims=True)
-        n = len(has) + len(rest)
-        gw = x.T @ (onehot - p).astype(np.float32) / n - penalty * w
+        n = len(known)
+        off = onehot - p
+        gw = x.T @ off.astype(np.float32) / n - penalty * w
         gt = np.where(free, (pairs - expected) / n, 0) - penalty * np.where(free, t, 0)
-        for v, g, i in ((w, gw, 0), (t, gt, 2)):
+        # words are many and seen seldom: a stronger penalty keeps those of one context from deciding alone
+        gv = np.stack([np.stack([np.bincount(beside[:, i], off[:, c], SIGNATURES + 1) for c in range(3)], 1) for i in range(len(NEIGHBOURS))]) / n - 10 * penalty * v
+        for value, g, i in ((w, gw, 0), (t, gt, 2), (v, gv, 4)):
             moments[i] = 0.9 * moments[i] + 0.1 * g
             moments[i + 1] = 0.99 * moments[i + 1] + 0.01 * g * g
-            v += 0.15 * (moments[i] / (1 - 0.9**step)) / (np.sqrt(moments[i + 1] / (1 - 0.99**step)) + 1e-8)
+            value += (0.2 if i < 4 else 0.04) * (moments[i] / (1 - 0.9**step)) / (np.sqrt(moments[i + 1] / (1 - 0.99**step)) + 1e-8)
         t[~free] = -np.inf
-    return Field(w.astype(np.float32), t)
+    return Field(w.astype(np.float32), v.astype(np.float32), t)
 
 
 def field_spans(field: Field, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -289,7 +392,7 @@ def field_spans(field: Field, raw: np.ndarray, offsets: np.ndarray) -> list[tupl
     starts, ends, of = tokens(raw, offsets)
     if not len(starts):
         return []
-    state = field.decode(features(raw, offsets, starts, ends, of) @ field.weights, of)
+    state = field.decode(field.scores(raw, offsets, starts, ends, of), of)
     inside = np.flatnonzero(state != O)
     out: list[list[int]] = []
     for i in inside.tolist():
@@ -299,7 +402,7 @@ def field_spans(field: Field, raw: np.ndarray, offsets: np.ndarray) -> list[tupl
             out[-1][3] = e
         else:
             out.append([d, s, 3, e])
-    return [tuple(x) for x in out if x[3] - x[1] >= MIN_SPAN and DIGIT[raw[x[1] : x[3]]].any()]
+    return [tuple(x) for x in out]
 
 
 def all_spans(field: Field | None, raw: np.ndarray, offsets: np.ndarray) -> tuple[list, list]:
@@ -327,7 +430,7 @@ def fit(docs: DataFrame) -> Field | None:
 
 
 def _sample(docs: DataFrame) -> list[str]:
-    """Texts for training; of a long one TRAIN_CHARS characters around its first finding, cut at white space."""
+    """Texts for training; of a long one TRAIN_CHARS characters around its first finding or any place, cut at white space."""
     bounded_batches(docs.sparkSession)
     each = TRAIN_ROWS // 2
     named = docs.filter(F.length("text") > 0).select(F.xxhash64("doc_id", "text", F.lit(8)).alias("at"), "text")
@@ -340,8 +443,9 @@ def _sample(docs: DataFrame) -> list[str]:
             first: dict[int, int] = {}
             for d, s, _, _ in _in_code_points(raw, offsets, base_spans(raw, offsets)):
                 first[d] = min(s, first.get(d, s))
+            length = pc.utf8_length(b.column("text")).to_pylist()
             for d, at in enumerate(b.column("at").to_pylist()):
-                kept[d in first][at] = first.get(d, 0)
+                kept[d in first][at] = first.get(d, at % length[d])  # without a finding the window is anywhere
             kept = [dict(sorted(k.items())[:each]) for k in kept]
         rows = [(found, at, start) for found, k in enumerate(kept) for at, start in k.items()]
         if rows:
@@ -371,7 +475,7 @@ def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
     field = field or fit(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches):
+        for b in chunks(batches, limit=SCAN_BYTES):
             raw, offsets = utf8(b.column("text"))
             base, spans = (_in_code_points(raw, offsets, x) for x in all_spans(field, raw, offsets))
             count = np.zeros((4, b.num_rows), np.int64)
@@ -395,7 +499,7 @@ def redact(docs: DataFrame, field: Field | None = None, mark: str = "[secret]")
     at, names = docs.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches):
+        for b in chunks(batches, limit=SCAN_BYTES):
             raw, offsets = utf8(b.column("text"))
             spans: dict[int, list[tuple[int, int]]] = {}
             for d, s, _, e in all_spans(field, raw, offsets)[1]:
