@@ -39,4 +39,7 @@ def components(links: DataFrame) -> DataFrame:
         now, mark = settled(small)
         if mark == before:
             break
+    else:
+        if mark[0]:
+            raise RuntimeError(f"components aren't settled after {MAX_ROUNDS} rounds")
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))

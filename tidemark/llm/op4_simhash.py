@@ -1,13 +1,16 @@
 """SimHash near-duplicates: pairs of fingerprints are discarded by tables of distances to pivots.
 
-Fingerprints of 64 bits that differ in at most two agree in two of four blocks of 16 bits, so each
-fingerprint goes to six buckets named by two of its blocks; equal fingerprints are one. Within a bucket
-the Hamming distances of every fingerprint to a set of reference fingerprints (the pivots) are
-precomputed. By the triangle inequality two fingerprints at distance two differ by at most two in every
-such coordinate: pairs with a larger coordinate difference are discarded, and only survivors are
-compared bit by bit. A bucket with many members is first divided again by the bits in which its members
-differ, in three parts of which a linked pair shares one; so no bucket is ever compared all with all. A
-bucket returns a spanning forest of its links, never all pairs.
+The Hamming distances of every fingerprint to a set of reference fingerprints (the pivots) are precomputed.
+By the triangle inequality two fingerprints at distance two differ by at most two in every such coordinate:
+pairs with a larger coordinate difference are discarded, and only survivors are compared bit by bit. Equal
+fingerprints are one.
+
+Tables are compared bucket by bucket, or there would be all pairs. Fingerprints that differ in at most two
+bits agree in one of three blocks of bits, so each goes to three buckets, each named by the leading bits of a
+block: as many as make a bucket of about BUCKET members, so that what the pivots meet grows with the input and
+not with its square. A bucket of more than LARGE members is dealt out again by three parts of its other bits, and a
+task divides what still has more than DIVIDE in the same way; neither loses a link. A bucket returns a
+spanning forest of its links, never all pairs.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; texts of
 fewer words than a shingle have one shingle; a component's name is its smallest doc_id, nulls aside;
@@ -16,8 +19,8 @@ repeated rows are listed each; empty tables give empty results.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,12 @@ from .textscan import bounded_batches, chunks, encode_words, hash_words, joined_
 
 #: Bits in which linked fingerprints may differ; words in a shingle; the hash's seed.
 DISTANCE, SHINGLE, SEED = 2, 3, 42
-#: Pivots, and members of a bucket from which it is divided again.
-PIVOTS, DIVIDE = 16, 256
+#: Pivots; members of a bucket as it is named, from which a task divides it, and from which it is dealt out again.
+PIVOTS, BUCKET, DIVIDE, LARGE = 16, 256, 512, 100_000
+#: First bit and width of the blocks of which two linked fingerprints share one; bits of a bucket's name at most.
+BLOCKS, NAME_BITS = ((0, 21), (21, 21), (42, 22)), 21
+#: Names of large buckets that are broadcast; more are joined by a shuffle.
+MOST_LARGE = 100_000
 #: Wide fingerprints, of shingles of five words: bits, bits of a band, first bits that are compared, of these those that may differ, members compared all.
 WIDE_SHINGLE, WIDE_BITS, WIDE_BAND, COMPARED, WIDE_RADIUS, NEAR = 5, 1152, 18, 512, 115, 32
 #: Similarity of sets of shingles that links, as a fraction; shingles of a part of a group: two parts are verified at once.
@@ -86,7 +93,8 @@ def linked_pairs(prints: np.ndarray) -> np.ndarray:
     if m < 2:
         return np.zeros((0, 2), np.int64)
     if m > DIVIDE:
-        vary = [k for k in range(64) if int(np.bitwise_or.reduce(prints ^ prints[0])) >> k & 1]
+        differ = int(np.bitwise_or.reduce(prints ^ prints[0]))
+        vary = [k for k in range(64) if differ >> k & 1]
         found = []
         for part in range(DISTANCE + 1):
             mask = np.uint64(sum(1 << k for k in vary[part :: DISTANCE + 1]))
@@ -141,34 +149,66 @@ def _roots(n: int, pairs: list) -> list[int]:
     return [root(i) for i in range(n)]
 
 
-def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within each bucket; rows come sorted by bucket."""
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """The columns of whole groups, some at a time; rows come sorted by their first ``keys`` columns."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        edge = np.zeros(len(now[0]), bool)
+        for c in now[:keys]:
+            edge |= c != c[-1]
+        end = int(edge.nonzero()[0][-1]) + 1 if edge.any() else 0
+        if held and any(h[-1] != c[0] for h, c in zip(held[-1][:keys], now[:keys], strict=True)):
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held = []
+        if end:  # the last group may go on in the next batch
+            yield [np.concatenate(x) for x in zip(*held, [c[:end] for c in now], strict=True)]
+            held = []
+        held.append([c[end:] for c in now])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
-    def links(band: np.ndarray, key: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
-        cut = np.append(True, (band[1:] != band[:-1]) | (key[1:] != key[:-1]))
-        at = np.flatnonzero(cut)
+
+def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within each bucket; rows (two keys, fingerprint) come sorted by bucket."""
+    for band, key, prints in _grouped(batches, 2):
+        prints = prints.view(np.uint64)
+        at = np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (key[1:] != key[:-1])))
         size = np.diff(np.append(at, len(band)))
         pairs = []
         for i in np.flatnonzero(size > 1).tolist():
-            group = np.unique(prints[at[i] : at[i] + size[i]])
+            group = prints[at[i] : at[i] + size[i]]
             pairs += [(group[a], group[b]) for a, b in forest(group)]
         if pairs:
             a, b = np.array(pairs, np.uint64).view(np.int64).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b))], ["a", "b"])
 
-    held: list[np.ndarray] = [np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)]
-        held = [np.concatenate([x, y]) for x, y in zip(held, new, strict=True)]
-        last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
-        if len(last):  # the last bucket may go on in the next batch
-            end = int(last[-1]) + 1
-            yield from links(*(x[:end] for x in held))
-            held = [x[end:] for x in held]
-    if len(held[0]):
-        yield from links(*held)
+
+def _buckets(distinct: DataFrame, count: int) -> DataFrame:
+    """(band, key, fingerprint): three rows for each fingerprint, nine where a bucket is large."""
+    bits = max(0, min(NAME_BITS, math.ceil(math.log2(max(count, 1) / BUCKET))))
+    cut = lambda lo, width: F.shiftrightunsigned("fingerprint", lo).bitwiseAND(F.lit((1 << width) - 1))
+    name = lambda lo, width: cut(lo + width - bits, bits) if bits else F.lit(0).cast("long")
+    keys = F.array(*(F.struct(F.lit(n).cast("long").alias("band"), name(*block).alias("key")) for n, block in enumerate(BLOCKS)))
+    named = distinct.select("fingerprint", F.explode(keys).alias("at")).select("at.band", "at.key", "fingerprint")
+    large = named.groupBy("band", "key").agg(F.count("*").alias("n")).filter(F.col("n") > LARGE).select("band", "key", F.lit(True).alias("large"))
+    few = large.count()
+    if not few:
+        return named
+    # a bucket's other bits, in three parts of which a linked pair shares one again
+    marked = named.join(F.broadcast(large) if few <= MOST_LARGE else large, ["band", "key"], "left")
+    part = F.explode(F.when(F.col("large"), F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(3)))).alias("part")
+    rest = [F.lit(0).cast("long")] * 3
+    for n, (lo, width) in enumerate(BLOCKS):
+        others = [k for k in range(64) if not lo + width - bits <= k < lo + width]
+        own = [sum(1 << k for k in others[p::3]) for p in range(3)]
+        rest = [F.when(F.col("band") == n, F.col("fingerprint").bitwiseAND(F.lit(m - (m >> 63 << 64)))).otherwise(r) for m, r in zip(own, rest, strict=True)]
+    of_part = F.element_at(F.array(*rest, F.lit(0).cast("long")), F.col("part") + 1)
+    marked = marked.select("band", "key", "fingerprint", part).withColumn("rest", of_part)
+    # the name of a bucket of a bucket is a hash: two that share it are compared together, which loses nothing
+    return marked.select((F.col("band") * 4 + F.col("part")).alias("band"), F.when(F.col("part") == 3, F.col("key")).otherwise(F.xxhash64("key", "rest")).alias("key"), "fingerprint")
 
 
 def _named(every: DataFrame, distinct: DataFrame, links: DataFrame, node: str) -> DataFrame:
@@ -176,7 +216,7 @@ def _named(every: DataFrame, distinct: DataFrame, links: DataFrame, node: str) -
     roots = components(links).toDF("_at", "root")
     of = distinct.join(roots, distinct[node] == roots["_at"], "left").select(node, "doc_id", F.coalesce("root", node).alias("root"))
     least = of.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = of.join(least, "root").select(F.col(node).alias("_node"), "component_id")
+    named = of.join(least, "root").select(F.col(node).alias("_node"), "component_id", "root")
     return every.join(named, every[node] == named["_node"]).drop("_node")
 
 
@@ -185,11 +225,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared_folder(docs.sparkSession)
     every = fingerprints(docs).checkpoint()
     distinct = every.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
-    block = [F.shiftrightunsigned("fingerprint", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)]
-    keys = F.array(*(F.struct(F.lit(n).alias("band"), (block[i] * 65536 + block[j]).alias("key")) for n, (i, j) in enumerate(combinations(range(4), 2))))
+    count = every.agg(F.approx_count_distinct("fingerprint")).first()[0]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = distinct.select("fingerprint", F.explode(keys).alias("at")).select("at.band", "at.key", "fingerprint")
-    links = buckets.repartition(n, "band", "key").sortWithinPartitions("band", "key").mapInArrow(_bucket_links, "a long, b long")
+    links = _buckets(distinct, count).repartition(n, "band", "key").sortWithinPartitions("band", "key").mapInArrow(_bucket_links, "a long, b long")
     return _named(every, distinct, links, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -248,7 +286,7 @@ def wide_fingerprints(raw: np.ndarray, offsets: np.ndarray, shingle: int = WIDE_
 def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in chunks(batches):
         name, count, bits = wide_fingerprints(*utf8(b.column("text")))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(name.view(np.int64)), pa.array(count.astype(np.int64)), pa.array([x.tobytes() for x in bits], pa.binary())], ["doc_id", "node", "shingles", "bits"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array(name.view(np.int64)), pa.array(count.astype(np.int64)), pa.array([x.tobytes() for x in bits], pa.binary())], ["doc_id", "digest", "node", "shingles", "bits"])
 
 
 def _wide_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,18 +381,8 @@ def _wide_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(rest):
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[root[rest]]), pa.array(nodes[rest])], ["a", "b"])
 
-    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, COMPARED // 64), np.uint64)]
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        bits = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
-        held = [np.concatenate(x) for x in zip(held, (batch.column(0).to_numpy(), batch.column(1).to_numpy(), bits), strict=True)]
-        end = int(np.searchsorted(held[0], held[0][-1]))
-        if end:  # the last bucket may go on in the next batch
-            yield from links(*(x[:end] for x in held))
-            held = [x[end:] for x in held]
-    if len(held[0]):
-        yield from links(*held)
+    for key, node, bits in _grouped(batches, 1):
+        yield from links(key, node, np.frombuffer(b"".join(bits.tolist()), np.uint64).reshape(len(bits), -1))
 
 
 def exact_links(sets: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -472,7 +500,7 @@ def nodes_of(column: pa.Array) -> np.ndarray:
 
 
 def similar(docs: DataFrame) -> DataFrame:
-    """doc_id, node and component_id of each row: documents whose sets of five-word shingles have a similarity of 0.8 or more.
+    """doc_id, digest (of the text), node, component_id and root (a node) of each row: documents whose sets of five-word shingles have a similarity of 0.8 or more.
 
     Wide fingerprints find groups: at 0.8 they differ in about 15 % of their bits, unrelated ones in half.
     WIDE_BITS // WIDE_BAND bands of WIDE_BAND bits name buckets; a pair at 0.8 shares one with a probability of
@@ -485,7 +513,7 @@ def similar(docs: DataFrame) -> DataFrame:
     shared_folder(docs.sparkSession)
     bounded_batches(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_wide, "doc_id long, node long, shingles long, bits binary").checkpoint()
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("digest"), "text").mapInArrow(_wide, "doc_id long, digest long, node long, shingles long, bits binary").checkpoint()
     distinct = every.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     asked = every.filter("shingles > 0").select("node", "bits").distinct()
     buckets = asked.mapInArrow(_wide_buckets, "key long, node long, bits binary").repartition(n, "key").sortWithinPartitions("key", "node")
@@ -502,16 +530,17 @@ def similar(docs: DataFrame) -> DataFrame:
     texts = docs.select("text").mapInArrow(_node_texts, "node long, text string").dropDuplicates(["node"])
     blocks = placed.join(texts, "node").select("group", "block", "node", "text")
     links = blocks.repartition(n, "group", "block").sortWithinPartitions("group", "block", "node").mapInArrow(_verified, "a long, b long")
-    return _named(every.select("doc_id", "node"), distinct, links, "node")
+    return _named(every.select("doc_id", "digest", "node"), distinct, links, "node")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents of which each is the one with the smallest doc_id of its component; columns as they were.
 
-    Rows that share a doc_id and a component count as one document and one of them stays. Rows without a
-    doc_id can't be named by a component and stay all.
+    A doc_id with several texts is a document for each of them; if one component has them all, the text of the
+    smallest hash stays. Repeated rows are one document. Rows without a doc_id can't be named by a component and stay all.
     """
     found = similar(docs)
-    first = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, docs["doc_id"] == first["_first"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+    first = found.filter("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("r")).select(F.col("r.doc_id").alias("_first"), F.col("r.digest").alias("_digest")).distinct()
+    named = docs.withColumns({"_of_first": F.col("doc_id").cast("long"), "_of_digest": F.xxhash64("text")})
+    kept = named.join(first, (F.col("_of_first") == F.col("_first")) & (F.col("_of_digest") == F.col("_digest")), "left_semi").dropDuplicates(["_of_first", "_of_digest"])
+    return kept.drop("_of_first", "_of_digest").unionByName(docs.filter(F.col("doc_id").isNull()))
