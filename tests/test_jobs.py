@@ -50,13 +50,92 @@ def test_extract_group_and_compare(spark, cohort):
     tables_ = jobs.group_analysis(spark, summary, "N2", "C3")
     reasons = {r.subject_id: r.exclusion_reason for r in tables_["excluded"].collect()}
     assert reasons == {"nobout": "spectrum empty"}
-    assert {r["group"] for r in tables_["grouping"].collect()} <= {"low", "mid", "high"}
-    assert [r.parameter for r in tables_["comparison"].collect()] == [*jobs.PARAMETERS, "spindle_per_min"]
-    assert tables_["cohort_curve"].count() == 51
+    assert {r["group"] for r in tables_["assignments"].collect()} <= {"low", "mid", "high"}
+    assert [r.parameter for r in tables_["comparison"].collect()] == ["power", "peak_freq_hz", "peak_period_s", "bandwidth_hz", "auc", "chromatogram_peak_area"]
+    assert tables_["bands_before"].count() == 51 and tables_["curves_before"].first().n == 3
+    curve = {r.freq: (r["mean"], r["sem"]) for r in tables_["bands_before"].collect()}
+    own = [r for r in records.filter("stage = 'N2' AND channel = 'C3' AND size(freqs) > 0").collect()]
+    for k, f in enumerate(own[0].freqs):
+        v = np.array([r.corr_mean[k] for r in own])
+        assert curve[f] == pytest.approx((v.mean(), v.std(ddof=1) / 3**0.5))
+    rates = [r.spindle_per_min for r in tables_["validated"].collect()]
+    whole = tables_["curves_before"].first()
+    assert (whole.rate, whole.rate_sem) == pytest.approx((np.mean(rates), np.std(rates, ddof=1) / 3**0.5)) and whole.fit_error is None
+    assert {r.n for r in tables_["curves"].collect()} <= {1, 2} and tables_["parameters_before"].count() == 18
+    assert tables_["validation_totals"].first().asDict() | {"total": 4, "valid": 3, "excluded": 1, "valid_spectrum": 3} == tables_["validation_totals"].first().asDict()
+    folder = f"{cohort}/group"
+    jobs.write_group_analysis(spark, tables_, folder, "N2", "C3")
+    assert "valid spectrum: 3" in "\n".join(r.value for r in spark.read.text(f"{folder}/validation_report_N2_C3").collect())
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        jobs.write_group_analysis(spark, tables_, folder, "N2", "C3")
+    # the same from a summary that was written before, with the spectra of the records
+    columns = ["subject_id", "sleep_stage", "channel", "peak_freq_hz", "peak_period_s", "bandwidth_hz", "auc", "chromatogram_peak_area", "power", "spindle_per_min", "spindle_per_min_SEM"]
+    summary.select(*columns).withColumnRenamed("subject_id", "who").write.option("header", True).csv(f"{cohort}/summary")
+    again = jobs.group_analysis(spark, jobs.summaries_of_files(spark, f"{cohort}/summary", p["records"], "N2", "C3", subject="who"), "N2", "C3")
+    assert sorted((r.subject_id, r["group"]) for r in again["assignments"].collect()) == sorted((r.subject_id, r["group"]) for r in tables_["assignments"].collect())
+    peak = summary.filter("subject_id = 'all'").first().dominant_freq_hz
+    assert "all" in {r.subject_id for r in validated_at(spark, summary, peak)}
     both = jobs.compare(records).collect()
     assert {(r.stage, r.channel, r.subjects) for r in both} >= {("N2", "C3", 3), ("N2", "C4", 2)}
 
 
+def validated_at(spark, summary, peak):
+    from pyspark.sql import functions as F
+
+    return summary.filter(F.abs(F.col("dominant_freq_hz") - peak) <= 1e-6).collect()
+
+
+def test_only_what_lacks_is_done_again_and_problems_are_issues(spark, cohort):
+    """A corrupted record is rebuilt, and what fails is told once."""
+    import shutil
+
+    root = cohort / "again"
+    shutil.copytree(cohort / "edf", root / "edf")
+    shutil.copytree(cohort / "hypno", root / "hypno")
+    (root / "edf" / "broken.edf").write_bytes(b"nothing")
+    (root / "hypno" / "broken_Hypnodensity.csv").write_text((root / "hypno" / "all_Hypnodensity.csv").read_text())
+    (root / "edf" / "odd.edf").write_bytes((root / "edf" / "all.edf").read_bytes())
+    (root / "hypno" / "odd_Hypnodensity.csv").write_text("Time,N2\n0,1\n")
+    (root / "meta.csv").write_text((cohort / "meta.csv").read_text() + "\nbroken,1,M,20\nodd,1,M,20\n../up,1,M,20\n")
+    p = {k: str(root / k) for k in ("out", "err", "records")}
+    run = lambda **more: jobs.extract(spark, [str(root / "meta.csv")], str(root / "edf"), str(root / "hypno"), p["out"], p["err"], p["records"], **more)
+    run()
+    issues = lambda: sorted((r.subject_id, r.error_type) for r in spark.read.option("header", True).csv(p["err"]).collect())
+    assert issues() == [("broken", "DataLoadError"), ("odd", "AnnotationLoadError")]
+    assert sorted(r.ID for r in run(dry_run=True).collect()) == ["broken", "odd"]
+    assert jobs.validate(spark, p["out"], p["records"]) == {"subjects": 6, "valid": 4, "invalid": 2}
+    # a record that breaks a rule: its subject is done again, its rows are replaced, nothing is there twice
+    stored = spark.read.parquet(p["records"]).checkpoint()
+    from pyspark.sql import functions as F
+
+    hurt = stored.withColumn("bout_n_spindles", F.when((F.col("subject_id") == "all") & (F.col("stage") == "N2") & (F.col("channel") == "C3"), F.array(F.lit(1).cast("long"))).otherwise(F.col("bout_n_spindles")))
+    hurt.write.mode("overwrite").partitionBy("stage").parquet(p["records"])
+    assert sorted(r.ID for r in run(dry_run=True).collect()) == ["all", "broken", "odd"]
+    run()
+    spark.catalog.clearCache()
+    key = lambda df: sorted((r.subject_id, r.stage, r.channel, len(r.spindle_peak), sum(r.bout_n_spindles)) for r in df.collect())
+    assert key(spark.read.parquet(p["records"])) == key(stored) and len(issues()) == 2
+    rows = spark.read.option("header", True).csv(p["out"]).collect()
+    assert sorted(r.ID for r in rows) == ["all", "broken", "few", "more", "nobout", "odd"]
+    assert run(subject="few", overwrite=False, dry_run=True).count() == 0 and run(limit=1, stages=("N2",), dry_run=True).count() <= 1
+    with pytest.raises(ValueError):
+        run(stages=("N9",))
+
+
+def test_command_line(monkeypatch):
+    monkeypatch.setenv("SLURM_ARRAY_TASK_COUNT", "4")
+    monkeypatch.setenv("SLURM_ARRAY_TASK_ID", "2")
+    monkeypatch.setenv("SHOW_INDIVIDUAL", "yes")
+    monkeypatch.setenv("N_SUBJECTS", "none")
+    need = ["--metadata", "m", "--edf-dir", "e", "--hypno-dir", "h", "--output", "o", "--error-output", "x", "--records", "r"]
+    a = jobs.arguments().parse_args(["extract", *need, "--stages", "N2", "--validate-only"])
+    assert (a.num_shards, a.shard_index, a.stages, a.validate_only) == (4, 2, ["N2"], True)
+    a = jobs.arguments().parse_args(["compare", "--records", "r", "--output-dir", "o"])
+    assert a.show_individual and a.n_subjects is None
+    with pytest.raises(SystemExit):
+        jobs.main(["group", "--output-dir", "o"])
+
+
 def test_a_second_call_adds_nothing(spark, tmp_path):
     df = spark.range(20).withColumnRenamed("id", "k")
     a = dict(schema=df.schema, target=f"{tmp_path}/out", checkpoint=f"{tmp_path}/state", key="k")

@@ -84,9 +84,66 @@ def test_fit_recovers_a_peak_and_keeps_edge_widths():
 
 def test_area_and_crossing():
     f, y = np.linspace(0.01, 0.1, 200), np.linspace(1, 0, 200)
-    assert K.threshold_crossing(f, y, 0, 0.5) == pytest.approx(0.055)
-    assert K.threshold_crossing(f, np.ones(200), 0, 0.5) == f[-1]
-    assert K.peak_area(f, y, 0.5) == pytest.approx(0, abs=1e-12)
+    assert K.descents(f, np.stack([y, np.ones(200), y]), [0.5, 0.5, 0.25]) == pytest.approx([0.055, 0.1, 0.0775])
+    assert K.peak_areas(f, y[None], [0.5]) == pytest.approx([0], abs=1e-12)
+    # by hand: points at 1 to 5, the line from (1, 0) to where the curve sinks through 1 at 4.5, points up to 4
+    f, y = np.arange(1.0, 7.0), np.array([0.0, 4.0, 3.0, 2.0, 0.0, 0.0])
+    assert K.descents(f, y[None], [1.0])[0] == 4.5
+    above = [v - (x - 1) / 3.5 for x, v in zip((1, 2, 3, 4), (0, 4, 3, 2))]
+    want = sum((a + b) / 2 for a, b in zip(above, above[1:]))
+    assert K.peak_areas(f, np.stack([y, y * 0 - 1]), [1.0, 1.0], band=(1.0, 6.0))[0] == pytest.approx(want)
+    assert K.peak_areas(f, y[None], [1.0], band=(4.5, 6.0))[0] == 0 and np.isnan(K.peak_areas(f, y[None], [np.nan], band=(1.0, 6.0))[0])
+
+
+def test_fits_are_the_best_of_an_enumeration():
+    """No point of a dense grid of widths and amplitudes, or of means and widths, has a smaller square."""
+    r = np.random.default_rng(7)
+    f = np.arange(51) * 0.01
+    for _ in range(20):
+        y = K.two_sided_gaussian(f, r.uniform(2, 20), r.choice([0.02, 0.03, 0.04]), r.uniform(0.003, 0.02), r.uniform(0.003, 0.03)) + r.normal(0, 0.7, 51)
+        use = (f >= 0.01) & (f < 0.06)
+        got = K.fit_two_sided(f, y)
+        loss = lambda amp, left, right: ((K.two_sided_gaussian(f[use], amp, got["mu"], left, right) - y[use]) ** 2).sum()  # noqa: E731, B023
+        own = loss(got["amp"], got["sd_left"], got["sd_right"])
+        widths = np.geomspace(1e-3, 0.05, 60)
+        grid = [np.linspace(0, 1.5 * y[use].max(), 40)[:, None, None], widths[:, None], widths]
+        shape = np.where(f[use] < got["mu"], grid[1][..., None], grid[2][:, None])
+        model = grid[0][..., None] * np.exp(-((f[use] - got["mu"]) ** 2) / (2 * shape**2))
+        assert own <= ((model - y[use]) ** 2).sum(-1).min() + 1e-9
+        g = K.fit_gaussian(f[1:11], y[1:11])
+        mine = ((K.gaussian(f[1:11], g["amp"], g["mu"], g["sd"]) - y[1:11]) ** 2).sum()
+        mu, sd = np.linspace(0.01, 0.06, 60)[:, None, None], widths[:, None]
+        shape = np.exp(-((f[1:11] - mu) ** 2) / (2 * sd**2))
+        amp = np.maximum((shape * y[1:11]).sum(-1) / (shape**2).sum(-1), 0)
+        assert mine <= ((amp[..., None] * shape - y[1:11]) ** 2).sum(-1).min() + 1e-9
+
+
+def test_a_fit_takes_little_time():
+    import time
+
+    f = np.arange(51) * 0.01
+    y = K.two_sided_gaussian(f, 12, 0.03, 0.006, 0.015)
+    K.fit_two_sided(f, y)
+    began = time.thread_time()
+    for _ in range(10):
+        K.fit_two_sided(f, y)
+    assert (time.thread_time() - began) / 10 < 0.026
+
+
+def test_filters_by_convolution_equal_the_recursion():
+    r = np.random.default_rng(4)
+    for b, a in (K.butterworth(128, (8, 20), "band"), K.notch(128, 50), K.butterworth(128, 1, "high", 4), K.butterworth(128, 0.05, "low")):
+        x = r.normal(0, 5, 30_000) + 100
+        n = max(len(a), len(b))
+        state = r.normal(size=n - 1)
+        direct = K._recur(np.pad(b, (0, n - len(b))), np.pad(a, (0, n - len(a))), x, state)
+        assert np.allclose(K.lfilter(b, a, x, state), direct, atol=1e-8 * np.abs(direct).max())
+
+
+def test_one_dimension():
+    assert K.one_dimension([[1.0, 2.0]]).tolist() == [1, 2] and K.one_dimension(3.0).tolist() == [3]
+    with pytest.raises(ValueError, match="one dimension"):
+        K.one_dimension(np.zeros((2, 2)))
 
 
 def test_spindles_are_found_where_they_are():

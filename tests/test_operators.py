@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import clean_id, first_max, is_nan, stage_code
 from tidemark.operators import fits, intervals, relational, sleep, spectra, statistics, validation
-from tidemark.sources import edf, sinks, tables
+from tidemark.sources import edf, recordings, sinks, tables
 
 N1, N2, N3, W, ART = 1, 2, 3, 0, -1
 HYPNOGRAMS = {"n2_7": ([N2] * 7, [(0, 210)], [(0, 210)]), "n2_6": ([N2] * 6, [], []), "mixed": ([N1] * 3 + [N2] * 3 + [N3] * 3, [], [(0, 270)]), "split": ([N2] * 7 + [W] + [N2] * 7, [(0, 210), (240, 450)], [(0, 210), (240, 450)]), "ends": ([W] + [N2] * 8, [(30, 270)], [(30, 270)]), "art": ([N2] * 4 + [ART] + [N2] * 4, [], [])}
@@ -61,6 +61,32 @@ def test_hypnodensity_argmax_and_bad_cells(spark, tmp_path):
     assert rows[1].ts is None and rows[2].problem.startswith("unknown stage")
 
 
+def test_hypnodensity_columns_in_any_order(spark, tmp_path):
+    import itertools
+
+    names = ("Wake", "N1", "N2", "N3", "REM")
+    for k, order in enumerate(list(itertools.permutations(names))[::11]):
+        header = [*order[:2], "Timestamp", *order[2:]] if k % 2 else ["Timestamp", *order]
+        rows = [[("2024-01-01" if c == "Timestamp" else "0.9" if c == n else "0.1") for c in header] for n in names]
+        (tmp_path / f"s{k}_Hypnodensity.csv").write_text("\n".join(", ".join(r) for r in [[f" {c} " for c in header], *rows]))
+    got = tables.read_hypnodensity(spark, str(tmp_path)).orderBy("subject_id", "epoch_idx").collect()
+    assert len(got) >= 50 and all(r.stage == names[r.epoch_idx] and r.ts is not None and r.problem is None and r.probabilities[r.stage] == 0.9 for r in got)
+
+
+def test_hypnodensity_headers_name_the_stages(spark, tmp_path):
+    (tmp_path / "a_Hypnodensity.csv").write_text("Timestamp,R,W,Light\n2024-01-01,.4,.4,.2\n2024-01-01,.1,.2,.7\n")
+    (tmp_path / "b_Hypnodensity.csv").write_text("Time,W\n2024-01-01,1\n")
+    (tmp_path / "c_Hypnodensity.csv").write_text("Timestamp\n2024-01-01\n")
+    rows = lambda **more: [(r.subject_id, r.stage, r.problem) for r in tables.read_hypnodensity(spark, str(tmp_path), **more).orderBy("subject_id", "epoch_idx").collect()]
+    odd = [("b", None, "no column Timestamp"), ("c", None, "no columns of stages")]
+    assert rows() == [("a", "R", None), ("a", "Light", None), *odd]  # of equal ones the first in the file
+    assert rows(relabel={"R": "REM"})[:2] == [("a", "REM", None), ("a", "Light", None)]
+    assert [x[1] for x in rows(columns=("W", "R"))[:2]] == ["W", "W"]
+    assert rows(columns=("W", "N9"))[0] == ("a", None, "no column N9")
+    with pytest.raises(Exception, match="no column"):
+        rows(strict=True)
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([(" 12.0 ", float("nan"), 1.0, "N2 "), ("nan", 2.0, 2.0, "0"), (None, None, None, "rem")], "id string, a double, b double, stage string")
     got = df.select(clean_id("id").alias("i"), is_nan("a").alias("n"), first_max("a", "b").alias("m"), stage_code("stage").alias("c")).collect()
@@ -80,6 +106,98 @@ def test_channels_are_claimed_in_order(spark):
     assert got["b"].missing == ["C3", "C4", "O1"] and got["c"].missing == [c for c, _ in ALIAS]
 
 
+def test_conflicts_are_all_told_and_the_first_label_counts(spark):
+    aliases = [("a", ["X"]), ("b", ["X", "Y"]), ("c", ["Y", "X"])]
+    df = spark.createDataFrame([("s", 0, "y"), ("s", 1, "X"), ("s", 2, "x "), ("t", 0, "x "), ("t", 1, "X")], "subject_id string, position int, label string")
+    got = {r.subject_id: r for r in relational.resolve_channels(df, aliases, position="position").collect()}
+    clash = lambda r: [(c.canonical, c.alias, c.physical, c.claimed_by) for c in r.conflicts]
+    assert got["s"].resolved == {"a": "X", "b": "y"} and clash(got["s"]) == [("b", "X", "X", "a"), ("c", "Y", "y", "b"), ("c", "X", "X", "a")]
+    assert got["s"].missing == [] and got["s"].unresolved == ["c"] and got["t"].resolved == {"a": "x "}
+    with pytest.raises(Exception, match="no channel for"):
+        relational.resolve_channels(df, aliases, strict=True).collect()
+    exact = relational.resolve_channels(spark.createDataFrame([("s", x) for x in (" A", "b", "C", "C3", "C4")], "subject_id string, label string"), [("C3", ["c3", "C3"]), ("C4", ["C4"]), ("A", ["A"]), ("B", ["B"])], ignore_case=False).first()
+    assert exact.resolved == {"C3": "C3", "C4": "C4", "A": " A"} and exact.missing == ["B"]
+
+
+def test_claims_in_python_and_in_plans_agree(spark):
+    r = random.Random(3)
+    pool = [x for _, names in recordings.ALIASES for x in names]
+    subjects = {f"s{k}": [r.choice([str, str.lower, lambda x: x + " "])(x) for x in r.sample(pool, r.randrange(25))] for k in range(30)}
+    df = spark.createDataFrame([(s, k, x) for s, labels in subjects.items() for k, x in enumerate(labels)], "subject_id string, position int, label string")
+    got = {x.subject_id: x for x in relational.resolve_channels(df, recordings.ALIASES, position="position").collect()}
+    for s, labels in subjects.items():
+        if labels:
+            resolved, missing, conflicts, unresolved = recordings.claim(labels, recordings.ALIASES)
+            x = got[s]
+            assert (x.resolved, x.missing, [c.asDict() for c in x.conflicts], x.unresolved) == (resolved, missing, conflicts, unresolved)
+
+
+def test_recordings(spark, tmp_path):
+    from tidemark.sources import errors
+
+    x = np.sin(np.arange(2560) / 7) * 50
+    (tmp_path / "good.edf").write_bytes(edf.write_edf([("C3-M2", 128, x), ("C4", 64, x[:1280]), ("EKG", 128, x)]))
+    (tmp_path / "none.edf").write_bytes(edf.write_edf([("nothing", 128, x)]))
+    (tmp_path / "bad.edf").write_bytes(b"nothing")
+    rows = lambda how, **more: {(r.subject_id, r.channel): r for r in how.load(edf.files(spark, str(tmp_path), **more)).collect()}
+    got = rows(recordings.Recordings(requested=["C4", "C3", "O1"], rate=64.0))
+    c3, c4 = got[("good", "C3")], got[("good", "C4")]
+    assert len(c3.samples) == len(c4.samples) == 1280 and c3.sf == 64.0 and c3.physical == "C3-M2" and (c4.position, c3.position) == (0, 1)
+    assert c3.missing == ["O1"] == c3.unresolved and c3.conflicts == []
+    assert got[("none", None)].error_type == "ChannelResolutionError" and got[("bad", None)].error_type == "DataLoadError"
+    own = rows(recordings.Recordings(requested=["C3", "C4"], mains=None))
+    assert own[("good", None)].error_type == "DataLoadError" and "differ in length" in own[("good", None)].error_message
+    native = recordings.Recordings(requested=["C4"], mains=None).load(edf.files(spark, str(tmp_path)))
+    assert {r.subject_id: r.sf for r in recordings.native_rate(native).collect()} == {"good": 64.0, "none": None, "bad": None}
+    assert rows(recordings.Recordings(requested=["C3", "O1"], strict=True, rate=64.0))[("good", None)].error_type == "ChannelResolutionError"
+    only = spark.createDataFrame([("good",)], "ID string")
+    (tmp_path / "bad.edf").chmod(0)  # isn't opened if it isn't asked for
+    assert {s for s, _ in rows(recordings.Recordings(rate=64.0), subjects=only)} == {"good"}
+    put_in = recordings.Recordings(aliases=[("one", ["1"])], mains=None, lister=lambda data: ["1"], reader=lambda data, labels: [(labels[0], 8.0, [[1.0, 2.0]])])
+    assert rows(put_in, subjects=only)[("good", "one")].samples == [1.0, 2.0]
+    for wrong in ({"aliases": []}, {"rate": 0.0}, {"mains": -1.0}, {"rate": 8.0, "reader": len}):
+        with pytest.raises(ValueError):
+            recordings.Recordings(**wrong)
+    with pytest.raises(errors.ChannelResolutionError):
+        recordings.Recordings(requested=["Z9"])
+
+
+def test_ids_paths_and_settings(spark, tmp_path, monkeypatch):
+    from tidemark.functions import settings
+    from tidemark.sources import errors
+
+    ids = ["a", "", " a", "a/b", "a\\b", "a..b", "a.b", "a\x00b", None]
+    got = [r.ok for r in spark.createDataFrame([(x,) for x in ids], "ID string").select(recordings.safe_id("ID").alias("ok")).collect()]
+    assert got == [True, False, False, False, False, False, True, False, False]
+    with pytest.raises(errors.InvalidSubjectIDError):
+        recordings.require_safe(spark.createDataFrame([("../x",)], "ID string"))
+    monkeypatch.delenv("TIDE_ROOT", raising=False)
+    with pytest.raises(errors.RootError):
+        recordings.root_folder("TIDE_ROOT")
+    monkeypatch.setenv("TIDE_ROOT", str(tmp_path))
+    assert recordings.root_folder("TIDE_ROOT") == str(tmp_path) == settings.expand("$TIDE_ROOT")
+    with pytest.raises(errors.FolderNotFoundError):
+        recordings.root_folder("TIDE_ROOT", "below")
+    for text, yes in (("1", True), (" Yes ", True), ("off", False), ("", False)):
+        monkeypatch.setenv("TIDE_FLAG", text)
+        assert settings.flag("TIDE_FLAG", True) is yes
+    monkeypatch.setenv("TIDE_N", "none")
+    assert settings.whole("TIDE_N", 3) is None and settings.whole("TIDE_M", 3) == 3 and settings.count("TIDE_N", 2) == 2
+    listing = spark.createDataFrame([("a_H.csv",)], "name string")
+    both = spark.createDataFrame([("a",), ("b",)], "ID string")
+    assert [r.ID for r in tables.require_files(listing, both, "_H.csv", required=False).collect()] == ["a"]
+    with pytest.raises(errors.AnnotationLoadError):
+        tables.require_files(listing, both, "_H.csv")
+
+
+def test_signals_at_one_rate_equal_a_plain_transform(spark):
+    x = np.random.default_rng(1).normal(size=64)
+    got = fits.resampled(spark.createDataFrame([("a", "c", 64.0, x.tolist())], "subject_id string, channel string, sf double, samples array<double>"), ["subject_id", "channel"], 48.0).first()
+    k = np.arange(-24, 25)
+    wave = np.exp(-2j * np.pi * np.outer(k, np.arange(64)) / 64) @ x  # the plain sum of each frequency, both signs of the last
+    assert np.allclose(got.samples, [(wave * np.exp(2j * np.pi * k * n / 48)).sum().real / 64 for n in range(48)])
+
+
 def test_edf_round_trip_with_mixed_rates(spark, tmp_path):
     x, y = np.sin(np.arange(1280) / 7) * 50, np.cos(np.arange(1000) / 5) * 20
     (tmp_path / "s1.edf").write_bytes(edf.write_edf([("C3M2", 128, x), ("O1", 100, y)]))

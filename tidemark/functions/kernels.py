@@ -69,11 +69,9 @@ def notch(rate: float, f0: float, quality: float = 30.0) -> tuple[np.ndarray, np
     return g * np.array([1, -2 * np.cos(w), 1]), np.array([1, -2 * g * np.cos(w), 2 * g - 1])
 
 
-def lfilter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray | None = None) -> np.ndarray:
-    """A recursive filter (transposed direct form)."""
-    n = max(len(a), len(b))
-    b, a = np.pad(b, (0, n - len(b))) / a[0], np.pad(a, (0, n - len(a))) / a[0]
-    z = [0.0] * n if state is None else [*state, 0.0]
+def _recur(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """A recursive filter sample by sample (transposed direct form)."""
+    z, n = [*state.tolist(), 0.0], len(a)
     out, bs, as_ = np.empty(len(x)), b.tolist(), a.tolist()
     for i, v in enumerate(x.tolist()):
         y = bs[0] * v + z[0]
@@ -83,6 +81,23 @@ def lfilter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray | Non
     return out
 
 
+def lfilter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray | None = None) -> np.ndarray:
+    """A recursive filter; the answers to an impulse and to the state are found until they have died away, the rest is one convolution by FFT."""
+    n = max(len(a), len(b))
+    b, a = np.pad(b, (0, n - len(b))) / a[0], np.pad(a, (0, n - len(a))) / a[0]
+    state = np.zeros(n - 1) if state is None else np.asarray(state, float)
+    slowest = float(np.abs(np.roots(a)).max(initial=0.0))
+    # a pole's answer falls by its size with each sample; repeated poles take a little longer
+    lasts = len(x) if slowest >= 1 else int(np.ceil(40 / -np.log(max(slowest, 1e-12)))) + 8 * n
+    if 2 * lasts >= len(x):
+        return _recur(b, a, x, state)
+    impulse = _recur(b, a, np.append(1.0, np.zeros(lasts - 1)), np.zeros(n - 1))
+    size = 1 << int(np.ceil(np.log2(len(x) + lasts)))
+    y = np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(impulse, size), size)[: len(x)]
+    y[:lasts] += _recur(b, a, np.zeros(lasts), state)
+    return y
+
+
 def filtfilt(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Forward and backward, with odd padding and steady starting states: zero phase."""
     n = max(len(a), len(b))
@@ -162,20 +177,26 @@ def power_envelope(x: np.ndarray, rate: float, band=SIGMA_BAND, new_rate: float
 
 def welch(x: np.ndarray, rate: float, window_sec: float = WINDOW_SEC, detrend: str = "linear") -> tuple[np.ndarray, np.ndarray]:
     """One-sided density: periodic Hann windows with half overlap."""
-    x = np.asarray(x, float)
+    x = one_dimension(x)
     n = min(len(x), max(8, round(window_sec * rate)))
     step = n - n // 2
     segments = np.lib.stride_tricks.sliding_window_view(x, n)[::step].copy()
+    return np.fft.rfftfreq(n, 1 / rate), densities(segments, rate, detrend).mean(0)
+
+
+def densities(segments: np.ndarray, rate: float, detrend: str = "linear") -> np.ndarray:
+    """One-sided density of each row: detrended, tapered by a periodic Hann window, transformed."""
+    n = segments.shape[1]
     if detrend == "linear":
         t = np.arange(n) - (n - 1) / 2
         slope = segments @ t / (t @ t)
-        segments -= segments.mean(1, keepdims=True) + slope[:, None] * t
+        segments = segments - (segments.mean(1, keepdims=True) + slope[:, None] * t)
     elif detrend == "constant":
-        segments -= segments.mean(1, keepdims=True)
+        segments = segments - segments.mean(1, keepdims=True)
     w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
     p = np.abs(np.fft.rfft(segments * w)) ** 2 / (rate * (w @ w))
     p[:, 1 : -1 if n % 2 == 0 else None] *= 2
-    return np.fft.rfftfreq(n, 1 / rate), p.mean(0)
+    return p
 
 
 def slow_spectrum(x: np.ndarray, rate: float = ENVELOPE_RATE, band=SLOW_BAND, window_sec: float = WINDOW_SEC, detrend: str = "linear") -> dict:
@@ -198,91 +219,98 @@ def gaussian(f, amp: float, mu: float, sd: float):
     return amp * np.exp(-((f - mu) ** 2) / (2 * sd**2))
 
 
-def _golden(loss, lo, hi, rounds: int = 60):
-    ratio = (np.sqrt(5) - 1) / 2
-    a, b = lo, hi
-    for _ in range(rounds):
-        c, d = b - ratio * (b - a), a + ratio * (b - a)
-        if loss(c) <= loss(d):
-            b = d
-        else:
-            a = c
-    return (a + b) / 2
+def _side(f: np.ndarray, y: np.ndarray, mu: float, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each width of one side's half Gaussian, its products with the values and with itself."""
+    g = np.exp(-(((f - mu) / widths[:, None]) ** 2) / 2)
+    return g @ y, (g * g).sum(1)
 
 
 def fit_two_sided(freqs: np.ndarray, corrected: np.ndarray, band=SLOW_BAND, baseline=BASELINE_BAND) -> dict:
-    """Peak fitted with mu at the largest value; the widths are separate searches for each amplitude.
+    """Peak fitted by least squares with mu at the largest value.
 
-    Where mu is the first or last point of the window no point tells that side's width, which stays at its start.
+    For given widths the best amplitude is a ratio of products, so only the widths are searched: on a grid of both,
+    then on ever finer ones around the best. Where mu is the first or last point of the window no point tells that
+    side's width, which stays at its start.
     """
     use = (freqs >= band[0]) & (freqs < baseline[0])
     f, y = freqs[use], corrected[use]
     if not len(f):
         raise ValueError("no frequencies in the fit window")
-    mu = f[y.argmax()]
+    peak = int(y.argmax())
+    mu, top = float(f[peak]), float(y[peak])
     sides = [(f[f < mu], y[f < mu]), (f[f > mu], y[f > mu])]
-    top = max(float(y.max()), 0.0)
-
-    def width(side: int, amp: float) -> tuple[float, float]:
-        x, v = sides[side]
-        if not len(x) or amp <= 0:
-            return SD_START, float((v**2).sum())
-        loss = lambda s: float(((amp * np.exp(-((x - mu) ** 2) / (2 * s * s)) - v) ** 2).sum())
-        grid = np.geomspace(*SD_BOUNDS, 60)
-        k = int(np.argmin([loss(s) for s in grid]))
-        s = _golden(loss, grid[max(k - 1, 0)], grid[min(k + 1, 59)], 40)
-        return s, loss(s)
-
-    residual = lambda a: (a - float(y.max())) ** 2 + width(0, a)[1] + width(1, a)[1]
-    amp = 0.0
+    known = [len(x) > 0 for x, _ in sides]
+    best, amp = np.array([SD_START, SD_START]), 0.0
     if top > 0:
-        grid = np.linspace(0, 2 * top, 41)
-        k = int(np.argmin([residual(a) for a in grid]))
-        amp = _golden(residual, grid[max(k - 1, 0)], grid[min(k + 1, 40)], 40)
-    left, right = (width(side, amp)[0] for side in (0, 1))
+        spans = [np.log(SD_BOUNDS) if k else np.log([SD_START, SD_START]) for k in known]
+        for _ in range(9):
+            grids = [np.exp(np.linspace(*s, 48)) if k else np.array([SD_START]) for s, k in zip(spans, known, strict=True)]
+            (gl, hl), (gr, hr) = (_side(x, v, mu, w) for (x, v), w in zip(sides, grids, strict=True))
+            along, square = top + gl[:, None] + gr[None, :], 1 + hl[:, None] + hr[None, :]
+            i, j = np.unravel_index(int((np.maximum(along, 0) ** 2 / square).argmax()), along.shape)
+            best, amp = np.array([grids[0][i], grids[1][j]]), max(float(along[i, j] / square[i, j]), 0.0)
+            step = [(s[1] - s[0]) / 47 * 1.5 for s in spans]
+            spans = [np.clip([np.log(w) - d, np.log(w) + d], *np.log(SD_BOUNDS)) for w, d in zip(best, step, strict=True)]
+    left, right = (float(w) if amp > 0 and k else SD_START for w, k in zip(best, known, strict=True))
     span = np.linspace(mu - left, mu + right, 400)
     base = corrected[(freqs >= baseline[0]) & (freqs <= baseline[1])]
     threshold = 1.5 * float(base.std()) if len(base) else float("nan")
-    return {"amp": float(amp), "mu": float(mu), "sd_left": float(left), "sd_right": float(right), "bandwidth": float(left + right), "auc": float(np.trapezoid(two_sided_gaussian(span, amp, mu, left, right), span)), "threshold": threshold, "detected": bool(amp > threshold)}
+    return {"amp": float(amp), "mu": mu, "sd_left": left, "sd_right": right, "bandwidth": left + right, "auc": float(np.trapezoid(two_sided_gaussian(span, amp, mu, left, right), span)), "threshold": threshold, "detected": bool(amp > threshold)}
 
 
 def fit_gaussian(freqs: np.ndarray, y: np.ndarray, mu_bounds=(0.01, 0.06)) -> dict:
-    """A symmetric Gaussian with free mean, width and amplitude."""
-    def best(mu: float) -> tuple[float, float, float]:
-        out = (np.inf, 0.0, SD_START)
-        for s in np.geomspace(*SD_BOUNDS, 80):
-            g = np.exp(-((freqs - mu) ** 2) / (2 * s * s))
-            amp = max(0.0, float(g @ y / max(g @ g, 1e-300)))
-            out = min(out, (float(((amp * g - y) ** 2).sum()), amp, s))
-        return out
-
-    grid = np.linspace(*mu_bounds, 41)
-    k = int(np.argmin([best(m)[0] for m in grid]))
-    mu = _golden(lambda m: best(m)[0], grid[max(k - 1, 0)], grid[min(k + 1, 40)], 30)
-    _, amp, sd = best(mu)
-    return {"amp": amp, "mu": float(mu), "sd": float(sd), "bandwidth": float(2 * sd)}
-
-
-def threshold_crossing(freqs: np.ndarray, curve: np.ndarray, start: int, threshold: float) -> float:
-    """Where the curve first falls through the threshold from ``start`` on, between points; the last frequency if it never does."""
-    y = curve[start:]
-    down = np.flatnonzero((y[:-1] >= threshold) & (y[1:] < threshold))
-    if not len(down):
-        return float(freqs[-1])
-    i = start + int(down[0])
-    return float(freqs[i] + (curve[i] - threshold) / (curve[i] - curve[i + 1]) * (freqs[i + 1] - freqs[i]))
-
-
-def peak_area(freqs: np.ndarray, curve: np.ndarray, threshold: float, band=SLOW_BAND) -> float:
-    """Area above the line from the band's start to where the curve falls through the threshold."""
-    x0 = band[0]
-    x1 = threshold_crossing(freqs, curve, int(np.argmax(curve)), threshold)
-    if x1 <= x0:
-        return 0.0
-    x = np.linspace(x0, x1, 200)
-    y, y0 = np.interp(x, freqs, curve), float(np.interp(x0, freqs, curve))
-    line = y0 + (threshold - y0) * (x - x0) / (x1 - x0)
-    return float(np.trapezoid(np.maximum(y - line, 0), x))
+    """A symmetric Gaussian with free mean, width and amplitude, searched like the two-sided one."""
+    centres, spans, out = np.array(mu_bounds, float), np.log(SD_BOUNDS), (0.0, float(mu_bounds[0]), SD_START)
+    for _ in range(9):
+        mus, widths = np.linspace(*centres, 41), np.exp(np.linspace(*spans, 41))
+        g = np.exp(-(((freqs - mus[:, None, None]) / widths[:, None]) ** 2) / 2)
+        along, square = g @ y, np.maximum((g * g).sum(2), 1e-300)
+        i, j = np.unravel_index(int((np.maximum(along, 0) ** 2 / square).argmax()), along.shape)
+        out = (max(float(along[i, j] / square[i, j]), 0.0), float(mus[i]), float(widths[j]))
+        near = [(c[1] - c[0]) / 40 * 1.5 for c in (centres, spans)]
+        centres = np.clip([mus[i] - near[0], mus[i] + near[0]], *mu_bounds)
+        spans = np.clip([np.log(widths[j]) - near[1], np.log(widths[j]) + near[1]], *np.log(SD_BOUNDS))
+    amp, mu, sd = out
+    return {"amp": amp, "mu": mu, "sd": sd, "bandwidth": 2 * sd}
+
+
+def descents(freqs: np.ndarray, curves: np.ndarray, threshold: np.ndarray, beyond: np.ndarray | None = None) -> np.ndarray:
+    """Of each row of ``curves``, where it sinks below its threshold from its peak (or the point ``beyond``) on.
+
+    Between the points around it the curve is taken to be straight. A curve that never sinks ends at the last frequency.
+    """
+    over = curves - np.asarray(threshold, float)[:, None]
+    first = curves.argmax(1) if beyond is None else np.asarray(beyond)
+    sinks = (over[:, :-1] >= 0) & (over[:, 1:] < 0) & (np.arange(curves.shape[1] - 1) >= first[:, None])
+    row, at, any_ = np.arange(len(curves)), sinks.argmax(1), sinks.any(1)
+    drop = np.where(any_, over[row, at] - over[row, at + 1], 1.0)
+    return np.where(any_, freqs[at] + np.diff(freqs)[at] * over[row, at] / drop, freqs[-1])
+
+
+def peak_areas(freqs: np.ndarray, curves: np.ndarray, threshold: np.ndarray, band=SLOW_BAND) -> np.ndarray:
+    """Of each row of ``curves``, the area over a line from its height at the band's start down to the threshold where it sinks below that.
+
+    The curve's own points between both ends count. A curve that sinks at the band's start or before has none.
+    """
+    threshold = np.asarray(threshold, float)
+    end = descents(freqs, curves, threshold)
+    wide = end > band[0]
+    height = np.array([np.interp(band[0], freqs, c) for c in curves])
+    left = (end[:, None] - freqs) / np.where(wide, end - band[0], 1.0)[:, None]  # 1 at the band's start, 0 at the end
+    above = np.maximum(curves - (left * height[:, None] + (1 - left) * threshold[:, None]), 0)
+    above[~((freqs >= band[0]) & (freqs <= end[:, None]))] = np.nan
+    strips = (above[:, 1:] + above[:, :-1]) / 2 * np.diff(freqs)
+    return np.where(wide & np.isfinite(threshold), np.nansum(strips, 1), np.where(wide, np.nan, 0.0))
+
+
+def one_dimension(x, name: str = "signal") -> np.ndarray:
+    """The values as one row; several rows are an error."""
+    out = np.squeeze(np.asarray(x, float))
+    if out.ndim == 0:
+        out = out[None]
+    if out.ndim != 1:
+        raise ValueError(f"{name} must have one dimension, not {out.ndim}")
+    return out
 
 
 def spindles(x: np.ndarray, rate: float, keep: np.ndarray | None = None, band=(12.0, 15.0), broad=(1.0, 30.0), duration=(0.5, 2.0), min_distance: float = 0.5, relative: float = 0.2, correlation: float = 0.65, rms: float = 1.5) -> list[tuple[float, float, float]]:

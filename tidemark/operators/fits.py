@@ -37,7 +37,7 @@ def fit_curves(curves: DataFrame, keys: list[str], freqs: str = "freqs", values:
         else:
             r = K.fit_two_sided(f, y)
             curve = K.two_sided_gaussian(grid, r["amp"], r["mu"], r["sd_left"], r["sd_right"])
-        return r | {"chromatogram_peak_area": K.peak_area(grid, curve, r["threshold"]), "peak_freq_hz": r["mu"], "peak_period_s": 1 / r["mu"], "fitted_freqs": grid, "fitted_curve": curve, "fit_error": None}
+        return r | {"chromatogram_peak_area": float(K.peak_areas(grid, curve[None], [r["threshold"]])[0]), "peak_freq_hz": r["mu"], "peak_period_s": 1 / r["mu"], "fitted_freqs": grid, "fitted_curve": curve, "fit_error": None}
 
     names = [c.split(" ")[0] for c in FIT.split(", ")]
 

@@ -43,6 +43,16 @@ def overlapping(events: DataFrame, lo: float, hi: float, start: str = "start", s
     return events.filter((F.col(start) < hi) & (F.col(stop) > lo))
 
 
+def event_times(events: DataFrame, mark: str = "peak", channel: str | None = None) -> DataFrame:
+    """Adds ``time``: each event's mark (peak, start or stop), its start where there is no such column; of one channel if it is named."""
+    name = mark if mark in events.columns else "start"
+    if name not in events.columns:
+        raise KeyError(f"events have neither {mark} nor start")
+    if channel is not None and "channel" in events.columns:
+        events = events.filter(F.col("channel").cast("string") == channel)
+    return events.withColumn("time", F.col(name).cast("double"))
+
+
 def interpolate_at(points: DataFrame, series: DataFrame, keys: list[str], at: str, t: str, value: str, out: str = "interpolated") -> DataFrame:
     """The series' value at each point by linear interpolation; beyond its ends the end values.
 

@@ -68,9 +68,11 @@ def shard(df: DataFrame, key: str, index: int, count: int) -> DataFrame:
     return numbered.filter((F.col("_n") + F.col("_before") - 1) % count == index).drop("_part", "_n", "_before")
 
 
-def pairs(df: DataFrame, key: str) -> DataFrame:
-    """All unordered pairs of a few distinct values, such as stages."""
+def pairs(df: DataFrame, key: str, most: int = 2_000) -> DataFrame:
+    """All unordered pairs of a few distinct values, such as stages; more than ``most`` values raise."""
     one = df.select(F.col(key).alias("a")).distinct()
+    if (n := one.limit(most + 1).count()) > most:
+        raise ValueError(f"over {n - 1} values have too many pairs")
     return one.join(one.select(F.col("a").alias("b")), F.col("a") < F.col("b"))
 
 
@@ -84,36 +86,46 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("duplicated", F.count("*").over(Window.partitionBy(*keys)) > 1)
 
 
-def resolve_channels(available: DataFrame, aliases: list[tuple[str, list[str]]], subject: str = "subject_id", label: str = "label", ignore_case: bool = True) -> DataFrame:
-    """Per subject: resolved (canonical to physical), missing and conflicts (canonical, alias, physical, claimed_by).
+def resolve_channels(available: DataFrame, aliases: list[tuple[str, list[str]]], subject: str = "subject_id", label: str = "label", ignore_case: bool = True, position: str | None = None, strict: bool = False) -> DataFrame:
+    """Per subject: resolved (canonical to physical), missing, conflicts (canonical, alias, physical, claimed_by) and unresolved.
 
-    Canonical names are taken in order, and of each its aliases in order: the first present label that isn't
-    claimed yet is claimed. A canonical name whose present labels are all claimed is a conflict, and one without
-    any is missing. Labels of a subject are few, so the greedy claim is a fold over the sorted alias list.
+    Canonical names are taken in order, and of each its aliases in order: the first present label that isn't claimed
+    yet is claimed. Each alias before it whose label is claimed is a conflict. A canonical name without a present
+    label is missing; one without a label of its own, whether missing or not, is unresolved, which raises if
+    ``strict``. Of labels that are alike the first by ``position`` counts, or by text without one. Labels of a subject
+    are few, so the greedy claim is a fold over the sorted alias list.
     """
-    norm = (lambda c: F.lower(F.trim(c))) if ignore_case else F.trim
-    labels = available.groupBy(subject).agg(F.sort_array(F.collect_set(label)).alias("_labels"))
+    norm = (lambda c: F.lower(F.trim(c))) if ignore_case else (lambda c: F.trim(c))
+    order = F.struct(F.col(position) if position else F.lit(0), F.col(label).alias("_label"))
+    labels = available.groupBy(subject).agg(F.transform(F.array_sort(F.collect_set(order)), lambda x: x["_label"]).alias("_labels"))
     physical = F.map_from_entries(F.transform(F.array_distinct(F.transform("_labels", norm)), lambda n: F.struct(n.alias("k"), F.element_at(F.filter("_labels", lambda x: norm(x) == n), 1).alias("v"))))
     alias_key = (lambda a: a.strip().casefold()) if ignore_case else str.strip
     table = F.array(*(F.struct(F.lit(c).alias("canonical"), F.array(*(F.struct(F.lit(a).alias("alias"), F.lit(alias_key(a)).alias("key")) for a in names)).alias("aliases")) for c, names in aliases))
     found = "array<struct<canonical:string,alias:string,physical:string,claimed_by:string>>"
 
     def claim(state: Column, entry: Column) -> Column:
+        own = lambda a: F.element_at(F.col("_physical"), a["key"])
+        claimed = lambda a: F.exists(state["resolved"], lambda r: r["physical"] == own(a))
         present = F.filter(entry["aliases"], lambda a: F.map_contains_key(F.col("_physical"), a["key"]))
-        free = F.filter(present, lambda a: ~F.exists(state["resolved"], lambda r: r["physical"] == F.element_at(F.col("_physical"), a["key"])))
-        pick = F.try_element_at(free, F.lit(1))
+        pick = F.try_element_at(F.filter(present, lambda a: ~claimed(a)), F.lit(1))
         got = F.struct(entry["canonical"].alias("canonical"), pick["alias"].alias("alias"), F.try_element_at(F.col("_physical"), pick["key"]).alias("physical"), F.lit(None).cast("string").alias("claimed_by"))
-        first = F.try_element_at(present, F.lit(1))
-        taken = F.try_element_at(F.col("_physical"), first["key"])
-        owner = F.try_element_at(F.filter(state["resolved"], lambda r: r["physical"] == taken), F.lit(1))["canonical"]
-        clash = F.struct(entry["canonical"].alias("canonical"), first["alias"].alias("alias"), taken.alias("physical"), owner.alias("claimed_by"))
+        # aliases tried before the one that is claimed, or all if none is
+        tried = F.when(pick.isNull(), present).otherwise(F.slice(present, F.lit(1), F.greatest(F.array_position(present, pick).cast("int") - 1, F.lit(0))))
+        owner = lambda a: F.try_element_at(F.filter(state["resolved"], lambda r: r["physical"] == own(a)), F.lit(1))["canonical"]
+        clashes = F.transform(tried, lambda a: F.struct(entry["canonical"].alias("canonical"), a["alias"].alias("alias"), own(a).alias("physical"), owner(a).alias("claimed_by")))
+        add = lambda name, cond: F.when(cond, F.concat(state[name], F.array(entry["canonical"]))).otherwise(state[name]).alias(name)
         return F.struct(
-            F.when(F.size(free) > 0, F.concat(state["resolved"], F.array(got))).otherwise(state["resolved"]).alias("resolved"),
-            F.when(F.size(present) == 0, F.concat(state["missing"], F.array(entry["canonical"]))).otherwise(state["missing"]).alias("missing"),
-            F.when((F.size(present) > 0) & (F.size(free) == 0), F.concat(state["conflicts"], F.array(clash))).otherwise(state["conflicts"]).alias("conflicts"),
+            F.when(pick.isNotNull(), F.concat(state["resolved"], F.array(got))).otherwise(state["resolved"]).alias("resolved"),
+            add("missing", F.size(present) == 0),
+            F.concat(state["conflicts"], clashes).alias("conflicts"),
+            add("unresolved", pick.isNull()),
         )
 
-    start = F.struct(F.array().cast(found).alias("resolved"), F.array().cast("array<string>").alias("missing"), F.array().cast(found).alias("conflicts"))
+    none = F.array().cast("array<string>")
+    start = F.struct(F.array().cast(found).alias("resolved"), none.alias("missing"), F.array().cast(found).alias("conflicts"), none.alias("unresolved"))
     out = labels.withColumn("_physical", physical).withColumn("_claim", F.aggregate(table, start, claim))
     as_map = F.map_from_entries(F.transform("_claim.resolved", lambda r: F.struct(r["canonical"], r["physical"])))
-    return out.select(subject, as_map.alias("resolved"), F.col("_claim.missing").alias("missing"), F.col("_claim.conflicts").alias("conflicts"))
+    left = F.col("_claim.unresolved")
+    if strict:
+        left = F.when(F.size(left) > 0, F.raise_error(F.concat(F.lit("no channel for "), F.array_join(left, ", ")))).otherwise(left)
+    return out.select(subject, as_map.alias("resolved"), F.col("_claim.missing").alias("missing"), F.col("_claim.conflicts").alias("conflicts"), left.alias("unresolved"))

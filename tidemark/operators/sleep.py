@@ -15,7 +15,8 @@ from ..functions.scalars import STAGE_GROUPS
 from ..session import ship
 from . import intervals
 
-STATISTICS = "TIB SPT WASO TST N1 N2 N3 REM NREM SOL Lat_N1 Lat_N2 Lat_N3 Lat_REM %N1 %N2 %N3 %REM %NREM SE SME".split()
+# fixed values: names of the statistics, in their order
+STATISTICS = ["TIB", "SPT", "WASO", "TST", "N1", "N2", "N3", "REM", "NREM", "SOL", "Lat_N1", "Lat_N2", "Lat_N3", "Lat_REM", "%N1", "%N2", "%N3", "%REM", "%NREM", "SE", "SME"]
 #: What one (subject, channel, stage) record holds.
 RECORD = "subject_id string, stage string, channel string, freqs array<double>, raw_mean array<double>, corr_mean array<double>, spindle_start array<double>, spindle_stop array<double>, spindle_peak array<double>, bout_start array<double>, bout_stop array<double>, bout_n_spindles array<long>, " + ", ".join(f"band_freqs_{b} array<double>, band_psd_{b} array<double>" for b in K.BANDS) + ", error_type string, error_message string"
 
@@ -53,26 +54,44 @@ def event_rate(bouts: DataFrame, keys: list[str], unit: str = "min") -> DataFram
     return bouts.groupBy(*keys).agg(rate.alias("rate"), (F.when(n > 1, F.stddev_samp(own) / F.sqrt(n)).otherwise(0.0) * factor).alias("rate_sem"), n.alias("bouts"))
 
 
-def stage_records(signals: DataFrame, epochs: DataFrame, epoch_sec: float = K.EPOCH_SEC, min_sec: float = K.MIN_BOUT_SEC, need_spindle: bool = True) -> DataFrame:
+#: Bytes of all nights' stages up to which they are sent to where signals are; beyond, both sides are shuffled.
+BROADCAST_NIGHTS = 64 << 20
+
+
+def with_codes(df: DataFrame, epochs: DataFrame) -> DataFrame:
+    """Adds each subject's stage codes, one byte an epoch; subjects without epochs go.
+
+    What is added is small and what it is added to is large, so it is sent there if its counted size allows.
+    """
+    codes = epochs.groupBy("subject_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("epoch_idx", "code"))), lambda x: x["code"].cast("tinyint")).alias("codes"))
+    size = epochs.agg(F.count("*").alias("n"), F.approx_count_distinct("subject_id").alias("s")).first()
+    return df.join(F.broadcast(codes) if size.n + 64 * size.s <= BROADCAST_NIGHTS else codes, "subject_id")
+
+
+def stage_records(signals: DataFrame, epochs: DataFrame | None, epoch_sec: float = K.EPOCH_SEC, min_sec: float = K.MIN_BOUT_SEC, need_spindle: bool = True, stages: tuple[str, ...] = tuple(STAGE_GROUPS)) -> DataFrame:
     """Records of every (subject, channel, stage group) from signals (subject_id, channel, sf, samples) and epochs.
 
-    Each channel's spindles and envelope are found once and used for all stages. A night's epochs go with each
-    channel of its subject; failures become records with an error, one for a channel.
+    Without epochs signals have their nights as ``codes``. Each channel's spindles and envelope are found once and
+    used for all stages. Failures become records with an error, and rows that come with an error stay as they are.
     """
     ship(signals.sparkSession)
-    codes = epochs.groupBy("subject_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("epoch_idx", "code"))), lambda x: x["code"]).alias("codes"))
-    joined = signals.join(codes, "subject_id")
+    joined = signals if epochs is None else with_codes(signals, epochs)
     columns = [c.split(" ")[0] for c in RECORD.split(", ")]
+    failed = [c if c in signals.columns else F.lit(None).cast("string").alias(c) for c in ("error_type", "error_message")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [r for s in b.itertuples(index=False) for r in channel_records(s.subject_id, s.channel, float(s.sf), np.asarray(s.samples, float), np.asarray(s.codes), epoch_sec, min_sec, need_spindle)]
-            yield pd.DataFrame(rows, columns=columns)
+            for s in b.itertuples(index=False):
+                if s.error_type is not None:
+                    rows = [dict.fromkeys(columns) | {"subject_id": s.subject_id, "channel": s.channel, "error_type": s.error_type, "error_message": s.error_message}]
+                else:
+                    rows = channel_records(s.subject_id, s.channel, float(s.sf), np.asarray(s.samples, float), np.asarray(s.codes), epoch_sec, min_sec, need_spindle, stages)
+                yield pd.DataFrame(rows, columns=columns)
 
-    return joined.select("subject_id", "channel", "sf", "samples", "codes").mapInPandas(run, RECORD)
+    return joined.select("subject_id", "channel", "sf", "samples", "codes", *failed).mapInPandas(run, RECORD)
 
 
-def channel_records(subject: str, channel: str, rate: float, x: np.ndarray, codes: np.ndarray, epoch_sec: float, min_sec: float, need_spindle: bool) -> list[dict]:
+def channel_records(subject: str, channel: str, rate: float, x: np.ndarray, codes: np.ndarray, epoch_sec: float, min_sec: float, need_spindle: bool, stages: tuple[str, ...] = tuple(STAGE_GROUPS)) -> list[dict]:
     """The records of one channel, one for each stage group."""
     empty = {c.split(" ")[0]: np.zeros(0, np.int64 if "n_spindles" in c else float) for c in RECORD.split(", ") if "array" in c}
     base = {"subject_id": subject, "channel": channel, "error_type": None, "error_message": None}
@@ -82,9 +101,11 @@ def channel_records(subject: str, channel: str, rate: float, x: np.ndarray, code
         events = np.array(K.spindles(x, rate, keep)).reshape(-1, 3)
         t, power = K.power_envelope(x, rate)
     except Exception as problem:  # a channel's failure is a record; the others go on
-        return [base | empty | {"stage": stage, "error_type": type(problem).__name__, "error_message": str(problem)} for stage in STAGE_GROUPS]
+        return [base | empty | {"stage": stage, "error_type": type(problem).__name__, "error_message": str(problem)} for stage in stages]
     out = []
     for stage, members in STAGE_GROUPS.items():
+        if stage not in stages:
+            continue
         inside = np.isin(codes, members)
         edge = np.diff(np.concatenate([[0], inside.astype(int), [0]]))
         runs = [(a * epoch_sec, b * epoch_sec) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True) if (b - a) * epoch_sec >= min_sec]

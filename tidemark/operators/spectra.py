@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.kernels import densities
 from ..functions.scalars import in_band
+from ..session import ship
 
 
 def bin_means(series: DataFrame, keys: list[str], t: str, value: str, width: float) -> DataFrame:
@@ -20,23 +24,28 @@ def welch(series: DataFrame, keys: list[str], index: str, value: str, rate: floa
     """One-sided Welch density of evenly sampled series: keys, k, freq, psd, segments.
 
     Half-overlapping segments lose their line of regression and are tapered by a periodic Hann window. Each
-    sample goes to its one or two segments; the transform is one aggregation over samples and the size/2 + 1
-    frequencies, pre-aggregated before its shuffle.
+    sample goes to its one or two segments; a segment, whose size is fixed, is one array, and arrays are transformed
+    side by side in Arrow batches. Densities are averaged before their shuffle.
     """
+    ship(series.sparkSession)
     step = size // 2
     last = F.floor(F.col(index) / step)
     parts = series.select(*keys, F.col(index).alias("_i"), F.col(value).cast("double").alias("_x"), F.explode(F.array(last - 1, last)).alias("segment")).filter("segment >= 0")
-    parts = parts.withColumn("_j", F.col("_i") - F.col("segment") * step)
-    line = parts.groupBy(*keys, "segment").agg(F.regr_slope("_x", "_j").alias("_s"), F.regr_intercept("_x", "_j").alias("_c"), F.count("*").alias("_n")).filter(F.col("_n") == size)
-    flat = parts.join(line, [*keys, "segment"])
-    angle = 2 * math.pi / size
-    tapered = flat.select(*keys, "segment", "_j", ((F.col("_x") - F.col("_c") - F.col("_s") * F.col("_j")) * (0.5 - 0.5 * F.cos(F.lit(angle) * F.col("_j")))).alias("_y"))
-    waves = tapered.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(step))))
-    turn = F.lit(angle) * F.col("k") * F.col("_j")
-    sums = waves.groupBy(*keys, "segment", "k").agg(F.sum(F.col("_y") * F.cos(turn)).alias("_re"), F.sum(F.col("_y") * F.sin(turn)).alias("_im"))
-    scale = 1 / (rate * 3 * size / 8)
-    density = (F.col("_re") ** 2 + F.col("_im") ** 2) * scale * F.when((F.col("k") == 0) | ((F.col("k") == step) & (size % 2 == 0)), 1.0).otherwise(2.0)
-    return sums.groupBy(*keys, "k").agg(F.avg(density).alias("psd"), F.count("*").alias("segments")).withColumn("freq", F.col("k") * rate / size).select(*keys, "k", "freq", "psd", "segments")
+    at = F.struct((F.col("_i") - F.col("segment") * step).alias("j"), F.col("_x").alias("x"))
+    whole = parts.groupBy(*keys, "segment").agg(F.array_sort(F.collect_list(at)).alias("_s")).filter(F.size("_s") == size)
+    arrays = whole.select(*keys, F.transform("_s", lambda p: p["x"]).alias("_s"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in arrays.schema.fields[:-1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                p = densities(part.column("_s").flatten().to_numpy(zero_copy_only=False).reshape(-1, size), rate)
+                ends = pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keys), pa.ListArray.from_arrays(ends, pa.array(p.ravel()))], [*keys, "_p"])
+
+    each = arrays.mapInArrow(run, f"{schema}{', ' if keys else ''}_p array<double>").select(*keys, F.posexplode("_p").alias("k", "_d"))
+    return each.groupBy(*keys, "k").agg(F.avg("_d").alias("psd"), F.count("*").alias("segments")).withColumn("freq", F.col("k") * rate / size).select(*keys, "k", "freq", "psd", "segments")
 
 
 def trapezoid(spectra: DataFrame, keys: list[str], lo: float, hi: float, value: str = "psd", out: str = "area") -> DataFrame:

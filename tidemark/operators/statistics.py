@@ -13,7 +13,7 @@ from ..functions.scalars import finite
 from ..session import shared_folder, ship
 
 #: Estimated bytes of input up to which one task may hold or order a group's values; beyond, they are spread.
-ONE_TASK_BYTES = 1 << 30
+ONE_TASK_BYTES = 32 << 20
 # fixed values: limits of the choice between tests
 SKEW_LIMIT, OUTLIER_IQR, MIN_SIZE = 1.0, 3.0, 8
 
@@ -94,9 +94,16 @@ def rate_groups(df: DataFrame, rate: str, k: float = 0.0, keys: list[str] | None
     return joined.withColumn("group", F.when(F.col("log_rate") < F.col("low"), "low").when(F.col("log_rate") > F.col("high"), "high").otherwise("mid"))
 
 
-def _sides(df: DataFrame, by: list[str], group: str, value: str, low: str, high: str) -> DataFrame:
-    d = describe(df.filter(F.col(group).isin(low, high)), [*by, group], value)
-    columns = ["n", "missing_n", "mean", "sd", "median", "q1", "q3", "min", "max", "skewness", "outliers"]
+def _sides(df: DataFrame, by: list[str], group: str, value: str, low: str, high: str, moments: bool = False) -> DataFrame:
+    """Statistics of both sides as columns; ``moments``: only counts, means and deviations, in one pass."""
+    both = df.filter(F.col(group).isin(low, high))
+    if moments:
+        ok = F.when(finite(value), F.col(value).cast("double"))
+        d = both.groupBy(*by, group).agg(F.count(ok).alias("n"), F.avg(ok).alias("mean"), F.when(F.count(ok) > 1, F.stddev_samp(ok)).when(F.count(ok) == 1, 0.0).alias("sd"))
+        columns = ["n", "mean", "sd"]
+    else:
+        d = describe(both, [*by, group], value)
+        columns = ["n", "missing_n", "mean", "sd", "median", "q1", "q3", "min", "max", "skewness", "outliers"]
     pick = lambda side, c: F.max(F.when(F.col(group) == side, F.col(c))).alias(f"{c}_{'low' if side == low else 'high'}")
     return d.groupBy(*by).agg(*(pick(side, c) for side in (low, high) for c in columns))
 
@@ -242,6 +249,12 @@ def histogram(df: DataFrame, value: str, bins: int = 40, group: list[str] | None
     return joined.withColumn("bin", at.cast("int")).groupBy(*group, "bin", "lo", "hi", "total").agg(F.count("*").alias("count")).withColumn("density", F.col("count") / F.nullif(F.col("total") * width, F.lit(0.0)))
 
 
+def normal_fit(df: DataFrame, value: str, group: list[str] | None = None) -> DataFrame:
+    """Mean and population deviation of finite values and of their log1p: group, scale, n, mean, sd."""
+    ok = df.filter(finite(value)).select(*(group or []), F.explode(F.array(F.struct(F.lit("raw").alias("scale"), F.col(value).cast("double").alias("x")), F.struct(F.lit("log1p").alias("scale"), F.log1p(F.col(value)).alias("x")))).alias("v"))
+    return ok.groupBy(*(group or []), F.col("v.scale").alias("scale")).agg(F.count("v.x").alias("n"), F.avg("v.x").alias("mean"), F.stddev_pop("v.x").alias("sd"))
+
+
 def sem(value: str) -> Column:
     """Standard error of the mean: 0 for one value, null for none."""
     return F.when(F.count(value) > 1, F.stddev_samp(value) / F.sqrt(F.count(value))).when(F.count(value) == 1, 0.0)
@@ -260,7 +273,8 @@ def pairwise(df: DataFrame, group: str, value: str) -> DataFrame:
     names = ok.select("_g").distinct()
     both = names.select(F.col("_g").alias("a")).join(names.select(F.col("_g").alias("b")), F.col("a") < F.col("b"))
     # each row goes to the pairs of its group: as many as there are groups less one
-    long = ok.join(F.broadcast(both), (F.col("_g") == F.col("a")) | (F.col("_g") == F.col("b")))
+    sides = both.select(F.explode(F.array("a", "b")).alias("_g"), "a", "b")
+    long = ok.join(sides, "_g")
     ranked = midranks(long, "_v", ["a", "b"])
     ties = long.groupBy("a", "b", "_v").agg(F.count("*").cast("double").alias("t")).groupBy("a", "b").agg(F.sum(F.pow("t", 3) - F.col("t")).alias("ties"))
     first = F.col("_g") == F.col("a")
@@ -274,15 +288,19 @@ def pairwise(df: DataFrame, group: str, value: str) -> DataFrame:
     return holm(out.withColumn("p", p_value("u", "n_a", "n_b", "ties")).drop("_r", "ties"), "p")
 
 
-def paired(df: DataFrame, subject: str, first: str, second: str) -> DataFrame:
+def paired(df: DataFrame, subject: str, first: str, second: str, digits: int | None = None) -> DataFrame:
     """One row: signed ranks of two metrics' means of each subject, both scaled by their mean over subjects; with p.
 
+    Differences are rounded to ``digits`` if given, so that those equal but for their last bits tie.
+
     Subjects without a finite value of both go, and so does a metric's scaling where its mean is zero.
     """
     ship(df.sparkSession)
     means = df.groupBy(subject).agg(*(F.avg(F.when(finite(c), F.col(c))).alias(n) for c, n in ((first, "x"), (second, "y")))).filter("x is not null and y is not null")
     scale = means.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
     scaled = means.crossJoin(F.broadcast(scale)).filter("mx <> 0 and my <> 0").withColumn("d", F.col("x") / F.col("mx") - F.col("y") / F.col("my"))  # one row
+    if digits is not None:
+        scaled = scaled.withColumn("d", F.round("d", digits))
     ties = scaled.filter("d <> 0").groupBy(F.abs("d").alias("v")).agg(F.count("*").cast("double").alias("t")).agg(F.coalesce(F.sum(F.pow("t", 3) - F.col("t")), F.lit(0.0)).alias("ties"))
 
     @F.pandas_udf("double")

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.scalars import finite, increasing, is_nan
 
 TOLERANCE = 1e-6
-#: parameters of a subject's summary that must be present, in the order in which they are reported
+# fixed values: parameters of a subject's summary that must be present, in the order in which they are reported
 REQUIRED = ("peak_freq_hz", "peak_period_s", "bandwidth_hz", "auc", "chromatogram_peak_area")
 
 
@@ -21,7 +21,7 @@ def first_reason(*rules: tuple[Column, str | Column]) -> Column:
 
 
 def spectrum_problem(freqs: str = "freqs", values: str = "corr_mean") -> Column:
-    """The first of seven defects of a spectrum, as text; null for a sound one."""
+    """The first of six defects of a spectrum, as text; null for a sound one."""
     odd = lambda c: F.exists(c, lambda x: ~finite(x))
     return first_reason(
         (F.col(freqs).isNull() | F.col(values).isNull(), "spectrum missing"),
@@ -29,7 +29,6 @@ def spectrum_problem(freqs: str = "freqs", values: str = "corr_mean") -> Column:
         (F.size(freqs) != F.size(values), "spectrum lengths differ"),
         (odd(freqs), "frequencies not finite"),
         (odd(values), "spectrum not finite"),
-        (F.exists(freqs, lambda x: x < 0), "negative frequency"),
         (~increasing(freqs), "frequencies not increasing"),
     )
 
@@ -65,7 +64,9 @@ def reasons(records: DataFrame, stage: str, channel: str, unit: str = "min", tol
     ]
     if spectra:
         problem = spectrum_problem()
-        rules += [(problem.isNotNull(), problem), (F.exists("fitted_curve", lambda x: ~finite(x)), "fitted curve not finite")]
+        rules.append((problem.isNotNull(), problem))
+        if "fitted_curve" in records.columns:
+            rules.append((F.exists("fitted_curve", lambda x: ~finite(x)), "fitted curve not finite"))
     # a window is needed before the chain, or each rule would ask for it again
     marked = records.withColumn("_copies", rules[1][0])
     rules[1] = (F.col("_copies"), rules[1][1])
@@ -79,6 +80,18 @@ def split(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return records.filter(~bad).drop("exclusion_reason"), records.filter(bad), report
 
 
+def totals(records: DataFrame, stage: str, channel: str, unit: str = "min") -> DataFrame:
+    """One row about records with their ``exclusion_reason``: how many there are, lack what, and stay."""
+    rate, error, _ = rate_columns(unit)
+    bad, own = F.col("exclusion_reason").isNotNull(), F.col("sleep_stage").eqNullSafe(stage)
+    sound = spectrum_problem().isNull() if {"freqs", "corr_mean"} <= set(records.columns) else F.lit(False)
+    lacks = lambda c: F.count_if(F.col(c).isNull() | is_nan(c)).alias(f"missing_{c}")
+    return records.agg(
+        F.count("*").alias("total"), F.count_if(own).alias("with_stage"), F.count_if(F.col("channel").eqNullSafe(channel)).alias("with_channel"), F.count_if(~bad).alias("valid"), F.count_if(bad).alias("excluded"),
+        F.count_if(F.col("exclusion_reason") == "duplicate subject").alias("duplicates"), F.count_if(sound).alias("valid_spectrum"), *(lacks(c) for c in (*REQUIRED, rate, error)),
+    )
+
+
 def record_problems(min_bout_sec: float = 200.0) -> Column:
     """All defects of a (subject, stage, channel) event record, as an array of texts; empty for a sound one."""
     length = lambda *cs: reduce(lambda a, b: a | b, (F.size(c) != F.size(cs[0]) for c in cs[1:]))

@@ -3,28 +3,67 @@
 from __future__ import annotations
 
 import argparse
+import logging
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from ..functions.scalars import in_band
+from ..functions import settings
+from ..functions.scalars import STAGE_GROUPS, in_band
 from ..operators import fits, relational, sleep, spectra, statistics, validation
-from ..session import session
+from ..session import session, shared_folder
 from ..sources import edf, sinks, tables
+from ..sources.recordings import Recordings, safe_id
 
-#: fixed values: channels of the analysis and their labels in files, the first the most wanted
+log = logging.getLogger("tidemark")
+# fixed values: channels of the analysis, and the parameters that groups are compared by; the rate makes the groups
+# and is no evidence about them
 CHANNELS = ("F3", "F4", "C3", "C4", "O1", "O2")
-ALIASES = [(c, [f"{c}M{2 if int(c[1]) % 2 else 1}", f"{c}-M{2 if int(c[1]) % 2 else 1}", c]) for c in CHANNELS]
-PARAMETERS = ["peak_freq_hz", "peak_period_s", "bandwidth_hz", "auc", "chromatogram_peak_area"]
+PARAMETERS = ["power", "peak_freq_hz", "peak_period_s", "bandwidth_hz", "auc", "chromatogram_peak_area"]
 
 
-def extract(spark: SparkSession, metadata: list[str], edf_dir: str, hypno_dir: str, output: str, errors: str, records: str, subject: str | None = None, limit: int | None = None, shards: tuple[int, int] = (0, 1), overwrite: bool = False, dry_run: bool = False, aliases=None) -> DataFrame:
-    """Metadata, sleep statistics and event records of all subjects that have both files and no records yet.
+def _existing(read) -> DataFrame | None:
+    """A table that an earlier run may have written."""
+    try:
+        return read()
+    except AnalysisException as problem:
+        if "PATH_NOT_FOUND" not in str(problem) and "UNABLE_TO_INFER" not in str(problem):
+            raise
+        return None
 
-    Returns the tasks. Each write is whole or nothing, and a second run takes up what is left.
+
+def done(records: DataFrame, stages: tuple[str, ...], key: str = "ID") -> DataFrame:
+    """Subjects with sound records of every stage and no unsound one."""
+    sound, unsound = sinks.checked_records(records.filter(F.col("stage").isin(*stages)))
+    marks = sound.select("subject_id", "stage", F.lit(0).alias("bad")).unionByName(unsound.select("subject_id", "stage", F.lit(1).alias("bad")))
+    whole = marks.groupBy("subject_id").agg(F.count_distinct("stage").alias("n"), F.sum("bad").alias("bad")).filter((F.col("n") == len(stages)) & (F.col("bad") == 0))
+    return whole.select(F.col("subject_id").alias(key))
+
+
+def validate(spark: SparkSession, output: str, records: str, stages: tuple[str, ...] = tuple(STAGE_GROUPS)) -> dict[str, int]:
+    """How many subjects of an earlier run's output have complete and sound records; nothing is computed or written."""
+    listed = spark.read.option("header", True).csv(output).select("ID").distinct()
+    stored = _existing(lambda: spark.read.parquet(records))
+    sound = 0 if stored is None else listed.join(done(stored, stages), "ID", "left_semi").count()
+    total = listed.count()
+    return {"subjects": total, "valid": sound, "invalid": total - sound}
+
+
+def extract(spark: SparkSession, metadata: list[str], edf_dir: str, hypno_dir: str, output: str, errors: str, records: str, subject: str | None = None, limit: int | None = None, shards: tuple[int, int] = (0, 1), overwrite: bool = False, dry_run: bool = False, aliases=None, stages: tuple[str, ...] = tuple(STAGE_GROUPS), recordings: Recordings | None = None) -> DataFrame:
+    """Metadata, sleep statistics and event records of all subjects that have both files and no sound records yet.
+
+    Recordings are opened once and only those of the subjects to do; all failures are rows of the issues, those of a
+    subject, of a channel and of a record that breaks its rules. A subject is done when each of ``stages`` has sound
+    records; otherwise it is done again, and its rows in records, metadata and issues are replaced. ``recordings``
+    says how files are read, so readers may be put in. Returns the tasks.
     """
-    subjects = relational.coalesce_union([tables.read_metadata(spark, p) for p in metadata], "ID")
+    if stages_unknown := [s for s in stages if s not in STAGE_GROUPS]:
+        raise ValueError(f"unknown stages: {', '.join(stages_unknown)}")
+    recordings = recordings or Recordings(aliases=aliases, requested=None if aliases else list(CHANNELS), rate=K.SAMPLE_RATE)
+    subjects = relational.coalesce_union([tables.read_metadata(spark, p) for p in metadata], "ID").filter(safe_id("ID"))
     subjects = relational.with_files(subjects, [(tables.file_names(spark, edf_dir), ".edf"), (tables.file_names(spark, hypno_dir), "_Hypnodensity.csv")])
     if subject is not None:
         subjects = subjects.filter(F.col("ID") == subject)
@@ -32,32 +71,55 @@ def extract(spark: SparkSession, metadata: list[str], edf_dir: str, hypno_dir: s
         subjects = subjects.orderBy("ID").limit(limit)
     if shards[1] > 1:
         subjects = relational.shard(subjects, "ID", *shards)
-    if not overwrite:
-        try:
-            done = spark.read.parquet(records).select(F.col("subject_id").alias("ID"))
-            subjects = relational.pending(subjects, done)
-        except Exception as problem:  # no records yet
-            if "PATH_NOT_FOUND" not in str(problem) and "UNABLE_TO_INFER" not in str(problem):
-                raise
+    stored = None if overwrite else _existing(lambda: spark.read.parquet(records))
+    if stored is not None:
+        subjects = relational.pending(subjects, done(stored, stages))
     if dry_run:
         return subjects
-    epochs = tables.hypnogram(tables.read_hypnodensity(spark, hypno_dir)).join(subjects.select(F.col("ID").alias("subject_id")), "subject_id", "left_semi")
+    folder = f"{shared_folder(spark)}/extract-{uuid.uuid4().hex}"
+    subjects = subjects.checkpoint()  # what is to do was found in the records, which change below
+    mine = subjects.select(F.col("ID").alias("subject_id"))
+    epochs = tables.hypnogram(tables.read_hypnodensity(spark, hypno_dir)).join(mine, "subject_id", "left_semi")
     bad = epochs.filter("code is null").groupBy("subject_id").agg(F.min("problem").alias("error_message"))
+    night = epochs.groupBy("subject_id").agg(F.count_if(F.col("code").isNull()).alias("bad"))
     epochs = epochs.join(bad, "subject_id", "left_anti")
-    channels = edf.channels(spark, edf_dir).join(subjects.select(F.col("ID").alias("subject_id")), "subject_id", "left_semi")
-    resolved = relational.resolve_channels(channels.filter("label is not null"), aliases or ALIASES)
-    signals = fits.map_signals(edf.read_signals(spark, edf_dir, resolved), ["subject_id", "channel"], lambda x, r: fits.line_noise()(K.resample(x, r, K.SAMPLE_RATE), K.SAMPLE_RATE)).withColumn("sf", F.lit(K.SAMPLE_RATE))
-    found = sleep.stage_records(signals, epochs)
-    mode = "overwrite" if overwrite else "append"
-    sinks.write_records(found.filter("error_type is null"), records, mode)
-    sinks.merged(None, sleep.metadata_rows(subjects, epochs), [*tables.METADATA, *sleep.STATISTICS]).write.mode(mode).option("header", True).csv(output)
-    issues = found.filter("error_type is not null").select("subject_id", F.col("stage").alias("state"), "channel", "error_type", "error_message")
-    issues = issues.unionByName(bad.select("subject_id", F.lit("").alias("state"), F.lit("").alias("channel"), F.lit("StageError").alias("error_type"), "error_message"))
-    issues = issues.unionByName(channels.filter("error is not null").select("subject_id", F.lit("").alias("state"), F.lit("").alias("channel"), F.lit("DataLoadError").alias("error_type"), F.col("error").alias("error_message")))
-    issues.write.mode(mode).option("header", True).csv(errors)
+    # the contents stay where they are read if the nights can be sent to them
+    files = sleep.with_codes(edf.files(spark, edf_dir, subjects), epochs)
+    sleep.stage_records(recordings.load(files), None, stages=stages).write.parquet(f"{folder}/records")
+    found = spark.read.schema(sleep.RECORD).parquet(f"{folder}/records")
+    unsound = sinks.checked_records(found.filter("error_type is null"))[1]
+    new = found.filter("error_type is null").drop("error_type", "error_message")
+    stale = None if stored is None else stored.join(mine, "subject_id", "left_semi")
+    if stale is not None and not stale.isEmpty():  # what is left of earlier attempts is replaced
+        kept = stored.join(mine, "subject_id", "left_anti").unionByName(stale.filter(~F.col("stage").isin(*stages)))
+        kept.write.partitionBy("stage").parquet(f"{folder}/kept")
+        new = spark.read.schema(stored.schema).parquet(f"{folder}/kept").unionByName(new, allowMissingColumns=True)
+        sinks.write_records(new, records, "overwrite")
+    else:
+        sinks.write_records(new, records, "overwrite" if overwrite else "append")
+    issue = lambda df, kind, text, state="", channel="": df.select("subject_id", *(F.lit(x).alias(n) if isinstance(x, str) else x.alias(n) for n, x in (("state", state), ("channel", channel), ("error_type", kind), ("error_message", text))))
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    issues = issue(found.filter("error_type is not null"), F.col("error_type"), F.col("error_message"), blank("stage"), blank("channel"))
+    issues = issues.unionByName(issue(unsound, "ValueError", F.array_join("problems", "; "), F.col("stage"), F.col("channel")))
+    issues = issues.unionByName(issue(bad, "AnnotationLoadError", F.col("error_message")))
+    issues = issues.unionByName(issue(mine.join(night, "subject_id", "left_anti"), "AnnotationLoadError", "no epochs"))
+    _replace(spark, issues, errors, "subject_id", mine, overwrite)
+    rows = sinks.merged(None, sleep.metadata_rows(subjects, epochs), [*tables.METADATA, *sleep.STATISTICS])
+    _replace(spark, rows, output, "ID", subjects.select("ID"), overwrite)
     return subjects
 
 
+def _replace(spark: SparkSession, rows: DataFrame, path: str, key: str, mine: DataFrame, overwrite: bool) -> None:
+    """Writes rows to a CSV folder in place of earlier ones of the same subjects; other subjects' rows stay."""
+    rows = rows.checkpoint()
+    prior = None if overwrite else _existing(lambda: spark.read.option("header", True).csv(path))
+    if prior is None or prior.join(mine, key, "left_semi").isEmpty():
+        rows.write.mode("overwrite" if overwrite else "append").option("header", True).csv(path)
+        return
+    kept = prior.join(mine, key, "left_anti").checkpoint()
+    kept.unionByName(rows.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in rows.columns))).write.mode("overwrite").option("header", True).csv(path)
+
+
 def summaries(records: DataFrame, stage: str, channel: str, unit: str = "min") -> DataFrame:
     """One summary of each subject's record: fit, area, rate and why it is excluded."""
     rate, error, factor = validation.rate_columns(unit)
@@ -70,32 +132,78 @@ def summaries(records: DataFrame, stage: str, channel: str, unit: str = "min") -
     var = F.aggregate(per, F.lit(0.0), lambda a, x: a + F.pow(x - mean, 2)) / (size - 1)
     counted = own.select("subject_id", F.col("stage").alias("sleep_stage"), "channel", "freqs", "corr_mean", F.when(total > 0, F.aggregate("bout_n_spindles", F.lit(0).cast("long"), lambda a, n: a + n) / total * factor).alias(rate), F.when(size > 1, F.sqrt(var) / F.sqrt(size) * factor).when(size == 1, 0.0).alias(error))
     counted = counted.withColumn("load_problem", validation.spectrum_problem())
+    peak = F.element_at("freqs", F.array_position("corr_mean", F.array_max("corr_mean")).cast("int"))
+    counted = counted.withColumn("dominant_freq_hz", F.when(F.col("load_problem").isNull(), peak))
     fitted = fits.fit_curves(counted.filter("load_problem is null"), ["subject_id"]).withColumnRenamed("bandwidth", "bandwidth_hz")
     joined = counted.join(fitted, "subject_id", "left")
-    return joined.withColumn("exclusion_reason", F.coalesce("load_problem", "fit_error")).withColumn("power", F.lit(None).cast("double")).drop("load_problem", "fit_error")
+    return joined.withColumn("exclusion_reason", F.coalesce("load_problem", "fit_error")).withColumn("power", F.col("amp")).drop("load_problem", "fit_error")
 
 
-def group_analysis(spark: SparkSession, summary: DataFrame, stage: str, channel: str, unit: str = "min", dominant_hz: float | None = None, alpha: float = 0.05, k: float = 0.0) -> dict[str, DataFrame]:
-    """All tables of a group analysis, by name."""
+def summaries_of_files(spark: SparkSession, summary: str, records: str | None, stage: str, channel: str, unit: str = "min", subject: str = "subject_id") -> DataFrame:
+    """Summaries that were computed before, with the spectra of stored records if these are named."""
     rate, error, _ = validation.rate_columns(unit)
+    out = tables.read_summary(spark, summary, ["sleep_stage", "channel", *validation.REQUIRED, rate, error], subject)
+    if records is not None:
+        out = tables.attach_spectra(out, tables.read_records(spark, records, stage, channel))
+        peak = F.element_at("freqs", F.array_position("corr_mean", F.array_max("corr_mean")).cast("int"))
+        return out.withColumn("dominant_freq_hz", peak)
+    nothing = F.lit(None).cast("array<double>")
+    return out.withColumns({"freqs": nothing, "corr_mean": nothing, "dominant_freq_hz": F.lit(None).cast("double")})
+
+
+def group_curves(subjects: DataFrame, keys: list[str], rate: str) -> tuple[DataFrame, DataFrame]:
+    """The mean curve of each group with errors and confidence band; and its peak's fit, subjects, mean rate and error."""
+    named = subjects.withColumn("_all", F.lit("all_subjects"))
+    own = keys or ["_all"]
+    # one grid for all groups, that of the first subject, so that their curves can be compared
+    same = spectra.same_grid(named.filter(F.size("freqs") > 0), ["_all"], "subject_id")
+    long = same.select(*own, F.posexplode(F.arrays_zip("freqs", "corr_mean")).alias("k", "v")).select(*own, "k", F.col("v.freqs").alias("freq"), F.col("v.corr_mean").alias("value"))
+    curve = spectra.mean_curves(long, own, "value", ["k", "freq"])
+    lower, upper = statistics.normal_band(F.col("mean"), F.col("sem"), F.col("n"))
+    curve = curve.withColumn("lower", lower).withColumn("upper", upper)
+    arrays = curve.groupBy(*own).agg(F.array_sort(F.collect_list(F.struct("k", "freq", "mean"))).alias("c"), F.max("n").alias("n"))
+    arrays = arrays.select(*own, "n", F.transform("c", lambda x: x["freq"]).alias("freqs"), F.transform("c", lambda x: x["mean"]).alias("corr_mean"))
+    rates = named.groupBy(*own).agg(F.avg(rate).alias("rate"), F.coalesce(statistics.sem(rate), F.lit(0.0)).alias("rate_sem"))
+    fitted = fits.fit_curves(arrays, [*own, "n"]).join(rates, own)
+    return (curve, fitted) if keys else (curve.drop("_all"), fitted.drop("_all"))
+
+
+def group_analysis(spark: SparkSession, summary: DataFrame, stage: str, channel: str, unit: str = "min", dominant_hz: float | None = None, alpha: float = 0.05, k: float = 0.0) -> dict[str, DataFrame]:
+    """All tables of a group analysis, by name; ``dominant_hz`` takes the subjects whose largest value lies there."""
+    rate, _, _ = validation.rate_columns(unit)
     spectra_there = "freqs" in summary.columns
-    validated, excluded, report = validation.split(validation.reasons(summary, stage, channel, unit, spectra=spectra_there and "fitted_curve" in summary.columns))
     if dominant_hz is not None:
-        validated = validated.filter(F.abs(F.col("peak_freq_hz") - dominant_hz) <= validation.TOLERANCE)
+        summary = summary.filter(F.abs(F.col("dominant_freq_hz") - dominant_hz) <= validation.TOLERANCE)
+    marked = validation.reasons(summary, stage, channel, unit, spectra=spectra_there)
+    validated, excluded, report = validation.split(marked)
     groups = statistics.rate_groups(validated, rate, k)
-    compared = statistics.compare(groups, "group", [*PARAMETERS, rate], alpha=alpha).withColumn("sleep_stage", F.lit(stage)).withColumn("channel", F.lit(channel))
-    out = {"validated": validated, "excluded": excluded, "validation_report": report, "grouping": groups.select("subject_id", rate, "log_rate", "mean", "sd", "low", "high", "group"), "comparison": compared}
-    out["distribution_raw"] = statistics.histogram(groups, rate)
-    out["distribution_log"] = statistics.histogram(groups, "log_rate")
+    compared = statistics.compare(groups, "group", PARAMETERS, alpha=alpha).withColumn("sleep_stage", F.lit(stage)).withColumn("channel", F.lit(channel))
+    out = {"validated": validated, "excluded": excluded, "validation_report": report, "validation_totals": validation.totals(marked, stage, channel, unit), "assignments": groups.select("subject_id", rate, "log_rate", "mean", "sd", "low", "high", "group"), "comparison": compared}
+    scales = [statistics.histogram(groups, c).withColumn("scale", F.lit(s)) for c, s in ((rate, "raw"), ("log_rate", "log1p"))]
+    out["pretransform"] = scales[0].unionByName(scales[1]).join(statistics.normal_fit(groups, rate).withColumnsRenamed({"mean": "fit_mean", "sd": "fit_sd"}).drop("n"), "scale")
+    limits = groups.agg(F.expm1(F.max("low")).alias("low_threshold"), F.expm1(F.max("high")).alias("high_threshold"))
+    out["distribution"] = statistics.histogram(groups, rate, group=["group"]).crossJoin(F.broadcast(limits))  # one row
+    values = statistics.parameter_values(groups.select("subject_id", "group", *(F.col(p).cast("double").alias(p) for p in PARAMETERS)), ["subject_id", "group"], PARAMETERS)
+    out["parameters_before"] = values.drop("group")
+    out["parameters"] = values.filter(F.col("group").isin("low", "high")).join(compared.select("parameter", "q"), "parameter", "left")
     if spectra_there:
-        long = spectra.same_grid(groups.withColumn("_all", F.lit(1)), ["_all"], "subject_id").select("group", F.posexplode(F.arrays_zip("freqs", "corr_mean")).alias("k", "v")).select("group", "k", F.col("v.freqs").alias("freq"), F.col("v.corr_mean").alias("value"))
-        for name, keys in (("group_curves", ["group"]), ("cohort_curve", [])):
-            curve = spectra.mean_curves(long, keys, "value", ["k", "freq"])
-            lower, upper = statistics.normal_band(F.col("mean"), F.col("sem"), F.col("n"))
-            out[name] = curve.withColumn("lower", lower).withColumn("upper", upper)
+        out["bands"], out["curves"] = group_curves(groups, ["group"], rate)
+        out["bands_before"], out["curves_before"] = group_curves(groups, [], rate)
     return out
 
 
+def write_group_analysis(spark: SparkSession, out: dict[str, DataFrame], folder: str, stage: str, channel: str, unit: str = "min", overwrite: bool = False) -> None:
+    """All tables as Parquet and both reports as text; refuses to replace any unless told to."""
+    mode = "overwrite" if overwrite else "errorifexists"
+    names = sinks.output_names(stage, channel)
+    for part, df in out.items():
+        if part == "validation_report":
+            sinks.write_text(spark, sinks.validation_text(df, stage, channel, out["validation_totals"]), f"{folder}/{names[part]}", overwrite)
+        elif part in names:
+            df.write.mode(mode).parquet(f"{folder}/{names[part]}")
+    sinks.write_text(spark, sinks.grouping_text(out["assignments"], stage, channel, unit), f"{folder}/{names['grouping_report']}", overwrite)
+
+
 def compare(records: DataFrame, unit: str = "min") -> DataFrame:
     """Per stage and channel: subjects, the mean curve's peak fit, and the channel with the largest amplitude in its stage."""
     sound = records.filter((F.size("freqs") > 0) & validation.spectrum_problem().isNull())
@@ -114,46 +222,81 @@ def dominant_groups(summary: DataFrame, peak: str = "peak_freq_hz") -> DataFrame
     return summary.filter(in_band(peak, *K.SLOW_BAND)).rollup(F.round(peak, 2).alias("dominant_hz")).agg(F.count("*").alias("subjects"))
 
 
-def main(argv: list[str] | None = None) -> None:
-    """Command line of the three jobs."""
+def arguments() -> argparse.ArgumentParser:
+    """The command line; variables of the environment give defaults where a job array or a shell sets them."""
     p = argparse.ArgumentParser(prog="tidemark")
+    p.add_argument("--log-level", default="INFO", choices=("DEBUG", "INFO", "WARNING", "ERROR"))
     sub = p.add_subparsers(dest="job", required=True)
     e = sub.add_parser("extract")
     for name in ("--edf-dir", "--hypno-dir", "--output", "--error-output", "--records"):
         e.add_argument(name, required=True)
     e.add_argument("--metadata", action="append", required=True)
     e.add_argument("--subject-id")
-    for name, default in (("--limit", None), ("--num-shards", 1), ("--shard-index", 0)):
-        e.add_argument(name, type=int, default=default)
-    e.add_argument("--overwrite", action="store_true")
-    e.add_argument("--dry-run", action="store_true")
+    e.add_argument("--stages", nargs="+", choices=list(STAGE_GROUPS), default=list(STAGE_GROUPS))
+    e.add_argument("--limit", type=int)
+    e.add_argument("--num-shards", type=int, default=settings.count("SLURM_ARRAY_TASK_COUNT", 1, 1))
+    e.add_argument("--shard-index", type=int, default=settings.count("SLURM_ARRAY_TASK_ID", 0))
+    for name in ("--overwrite", "--dry-run", "--validate-only", "--strict"):
+        e.add_argument(name, action="store_true")
     g = sub.add_parser("group")
-    for name in ("--records", "--output-dir", "--sleep-stage", "--channel"):
-        g.add_argument(name, required=True)
+    g.add_argument("--records")
+    g.add_argument("--summary-results")
+    g.add_argument("--spectrum-results")
+    g.add_argument("--output-dir", required=True)
+    g.add_argument("--sleep-stage", default="N2")
+    g.add_argument("--channel", default="C3")
+    g.add_argument("--subject-id-column", default="subject_id")
     g.add_argument("--rate-unit", choices=("min", "hr"), default="min")
     g.add_argument("--dominant-freq-hz", type=float)
     g.add_argument("--fdr-alpha", type=float, default=0.05)
     g.add_argument("--n-subjects", type=int)
     g.add_argument("--overwrite", action="store_true")
     c = sub.add_parser("compare")
-    for name in ("--records", "--output-dir"):
-        c.add_argument(name, required=True)
-    c.add_argument("--n-subjects", type=int)
+    c.add_argument("--records", required=True)
+    c.add_argument("--output-dir", required=True)
+    c.add_argument("--n-subjects", type=int, default=settings.whole("N_SUBJECTS"))
+    c.add_argument("--show-individual", action=argparse.BooleanOptionalAction, default=settings.flag("SHOW_INDIVIDUAL"))
+    return p
+
+
+def main(argv: list[str] | None = None) -> None:
+    """Command line of the three jobs."""
+    p = arguments()
     a = p.parse_args(argv)
+    logging.basicConfig(level=a.log_level, format="%(asctime)s [%(levelname)s] %(message)s", datefmt="%Y-%m-%d %H:%M:%S")
+    at = lambda path: None if path is None else settings.expand(path)
+    if a.job == "extract" and not 0 <= a.shard_index < a.num_shards:
+        p.error(f"shard {a.shard_index} of {a.num_shards} doesn't exist")
+    if a.job == "group" and a.records is None and a.summary_results is None:
+        p.error("one of --records and --summary-results is needed")
     spark = session()
     if a.job == "extract":
-        tasks = extract(spark, a.metadata, a.edf_dir, a.hypno_dir, a.output, a.error_output, a.records, a.subject_id, a.limit, (a.shard_index, a.num_shards), a.overwrite, a.dry_run)
+        stages = tuple(s for s in STAGE_GROUPS if s in a.stages)
+        if a.validate_only:
+            print(" ".join(f"{k}: {n}" for k, n in validate(spark, at(a.output), at(a.records), stages).items()))
+            return
+        how = Recordings(requested=list(CHANNELS), rate=K.SAMPLE_RATE, strict=a.strict)
+        tasks = extract(spark, [at(m) for m in a.metadata], at(a.edf_dir), at(a.hypno_dir), at(a.output), at(a.error_output), at(a.records), a.subject_id, a.limit, (a.shard_index, a.num_shards), a.overwrite, a.dry_run, stages=stages, recordings=how)
         if a.dry_run:
             print(f"{tasks.count()} subjects to do")
+        else:
+            issues = spark.read.option("header", True).schema("subject_id string, state string, channel string, error_type string, error_message string").csv(at(a.error_output))
+            whole = F.col("channel").isNull()
+            r = issues.agg(F.count("*").alias("n"), F.count_if(whole).alias("s")).first()
+            print(f"issues: {r.n}, of whole subjects: {r.s}")
     elif a.job == "group":
-        records = tables.read_records(spark, a.records, a.sleep_stage, a.channel, a.n_subjects)
-        out = group_analysis(spark, summaries(records, a.sleep_stage, a.channel, a.rate_unit), a.sleep_stage, a.channel, a.rate_unit, a.dominant_freq_hz, a.fdr_alpha)
-        for part, name in sinks.output_names(a.sleep_stage, a.channel).items():
-            if part in out:
-                out[part].write.mode("overwrite" if a.overwrite else "errorifexists").parquet(f"{a.output_dir}/{name}")
+        if a.summary_results is not None:
+            summary = summaries_of_files(spark, at(a.summary_results), at(a.spectrum_results), a.sleep_stage, a.channel, a.rate_unit, a.subject_id_column)
+        else:
+            summary = summaries(tables.read_records(spark, at(a.records), a.sleep_stage, a.channel, a.n_subjects), a.sleep_stage, a.channel, a.rate_unit)
+        out = group_analysis(spark, summary, a.sleep_stage, a.channel, a.rate_unit, a.dominant_freq_hz, a.fdr_alpha)
+        write_group_analysis(spark, out, at(a.output_dir), a.sleep_stage, a.channel, a.rate_unit, a.overwrite)
     else:
-        records = tables.read_records(spark, a.records, limit=a.n_subjects)
-        sinks.write_csv(compare(records).drop("fitted_freqs", "fitted_curve"), f"{a.output_dir}/summary")
+        records = tables.read_records(spark, at(a.records), limit=a.n_subjects)
+        sinks.write_csv(compare(records).drop("fitted_freqs", "fitted_curve"), f"{at(a.output_dir)}/summary")
+        if a.show_individual:
+            own = records.select("stage", "channel", "subject_id", F.posexplode(F.arrays_zip("freqs", "corr_mean")).alias("k", "v"))
+            own.select("stage", "channel", "subject_id", F.col("v.freqs").alias("freq"), F.col("v.corr_mean").alias("value")).write.parquet(f"{at(a.output_dir)}/individual")
 
 
 if __name__ == "__main__":

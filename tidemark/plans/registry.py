@@ -15,11 +15,11 @@ from ..functions import kernels as K
 from ..functions.scalars import clean_id, finite, first_max, stage_code
 from ..operators import fits, intervals, relational, sleep, spectra, statistics, validation
 from ..session import shared_folder
+from ..sources import recordings
 from ..streaming import incremental
 
 # fixed values: events' types as stages
 STAGES = {"error": 0, "view": 1, "click": 2, "purchase": 3, "signup": 4}
-HOURS = 720
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -52,20 +52,23 @@ EPOCHS = """e AS (SELECT event_id, user_id AS subject_id, row_number() OVER (PAR
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of each type in each of the hours, zeros included."""
+    """Events of each type in each hour from the table's first to its last, zeros included."""
     e = table(spark, sf_dir, "events")
-    hour = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)").cast("int")
-    counts = e.groupBy("event_type", hour.alias("i")).agg(F.count("*").cast("double").alias("_x"))
-    grid = e.select("event_type").distinct().select("event_type", F.explode(F.sequence(F.lit(0), F.lit(HOURS - 1))).alias("i"))
+    span = e.agg(F.date_trunc("HOUR", F.min("ts")).cast("timestamp_ntz").alias("_lo"), F.max("ts").cast("timestamp_ntz").alias("_hi"))
+    hours = F.expr("timestampdiff(HOUR, _lo, _hi)").cast("int")
+    at = e.withColumn("ts", F.col("ts").cast("timestamp_ntz")).crossJoin(F.broadcast(span))  # one row
+    counts = at.groupBy("event_type", F.expr("timestampdiff(HOUR, _lo, ts)").cast("int").alias("i")).agg(F.count("*").cast("double").alias("_x"))
+    grid = e.select("event_type").distinct().crossJoin(F.broadcast(span)).select("event_type", F.explode(F.sequence(F.lit(0), hours)).alias("i"))
     return grid.join(counts, ["event_type", "i"], "left").select("event_type", "i", F.coalesce("_x", F.lit(0.0)).alias("x"))
 
 
-HOURLY = """c AS (SELECT event_type, date_diff('hour', TIMESTAMP '2024-01-01', ts) AS i, count(*)::DOUBLE AS x FROM events GROUP BY ALL),
-h AS (SELECT t.event_type, g.i, coalesce(c.x, 0) AS x FROM (SELECT DISTINCT event_type FROM events) t CROSS JOIN (SELECT unnest(range(0, 720)) AS i) g LEFT JOIN c ON c.event_type = t.event_type AND c.i = g.i)"""
+HOURLY = """t0 AS (SELECT date_trunc('hour', min(ts)) AS lo, date_diff('hour', date_trunc('hour', min(ts)), max(ts)) + 1 AS n FROM events),
+c AS (SELECT event_type, date_diff('hour', lo, ts) AS i, count(*)::DOUBLE AS x FROM events, t0 GROUP BY ALL),
+h AS (SELECT t.event_type, g.i, coalesce(c.x, 0) AS x FROM (SELECT DISTINCT event_type FROM events) t CROSS JOIN (SELECT unnest(range(0, n)) AS i FROM t0) g LEFT JOIN c ON c.event_type = t.event_type AND c.i = g.i)"""
 WELCH = (
     HOURLY
     + """,
-s AS (SELECT event_type, k AS seg, i - 50 * k AS j, x FROM h, (SELECT unnest(range(0, 13)) AS k) WHERE i >= 50 * k AND i < 50 * k + 100),
+s AS (SELECT event_type, k AS seg, i - 50 * k AS j, x FROM h, (SELECT unnest(range(0, (n - 100) // 50 + 1)) AS k FROM t0) WHERE i >= 50 * k AND i < 50 * k + 100),
 l AS (SELECT event_type, seg, regr_slope(x, j) AS b, regr_intercept(x, j) AS a FROM s GROUP BY ALL),
 y AS (SELECT s.event_type, s.seg, j, (x - a - b * j) * (0.5 - 0.5 * cos(2 * pi() * j / 100)) AS y FROM s JOIN l USING (event_type, seg)),
 f AS (SELECT event_type, seg, k, sum(y * cos(2 * pi() * k * j / 100)) AS re, sum(y * sin(2 * pi() * k * j / 100)) AS im FROM y, (SELECT unnest(range(0, 51)) AS k) GROUP BY ALL),
@@ -268,7 +271,7 @@ p AS (SELECT h.n AS nh, h.m AS mh, h.sd AS sh, l.n AS nl, l.m AS ml, l.sd AS sl
 round((mh - ml) / sqrt(((nh - 1) * sh * sh + (nl - 1) * sl * sl) / (nh + nl - 2)) * (1 - 3 / (4 * (nh + nl) - 9)), 6) AS hedges_g FROM p""")
 def welch_t(spark, d):
     x = table(spark, d, "lineitem").withColumn("parameter", F.lit("l_quantity"))
-    s = statistics.welch_t(statistics._sides(x, ["parameter"], "l_returnflag", "l_quantity", "A", "R"))
+    s = statistics.welch_t(statistics._sides(x, ["parameter"], "l_returnflag", "l_quantity", "A", "R", moments=True))
     return s.select("parameter", F.round("t", 6).alias("t"), F.round("df", 4).alias("df"), F.round("hedges_g", 6).alias("hedges_g"))
 
 
@@ -361,16 +364,32 @@ def validate_counts(spark, d):
     return validation.split(validation.reasons(_records(spark, d), "N2", "C3"))[2]
 
 
-@query("SELECT event_type, min(value) >= 0 AS sound FROM events GROUP BY 1")
+@query("""SELECT c_custkey, CASE c_custkey % 9 WHEN 0 THEN 'spectrum missing' WHEN 1 THEN 'spectrum missing' WHEN 2 THEN 'spectrum empty' WHEN 3 THEN 'spectrum lengths differ' WHEN 4 THEN 'frequencies not finite' WHEN 5 THEN 'spectrum not finite'
+WHEN 6 THEN 'frequencies not increasing' WHEN 7 THEN CASE WHEN c_acctbal < 0 THEN 'frequencies not increasing' END END AS problem FROM customer""")
 def spectrum_checks(spark, d):
-    a = table(spark, d, "events").groupBy("event_type").agg(F.array_sort(F.collect_set("value")).alias("freqs")).withColumn("corr_mean", F.col("freqs"))
-    return a.select("event_type", validation.spectrum_problem().isNull().alias("sound"))
+    k, x = F.col("c_custkey") % 9, F.col("c_acctbal")
+    grid, wave = F.array(F.lit(-0.01), F.lit(0.0), F.lit(0.02)), F.array(x, x + 1, x)
+    none = F.array().cast("array<double>")
+    freqs = F.when(k == 0, F.lit(None).cast("array<double>")).when(k == 2, none).when(k == 4, F.array(F.lit(0.0), F.lit(float("nan")), F.lit(0.02))).when(k == 6, F.array(F.lit(0.0), F.lit(0.02), F.lit(0.02))).when(k == 7, F.array(F.lit(0.0), x, x + 1)).otherwise(grid)
+    values = F.when(k == 1, F.lit(None).cast("array<double>")).when(k == 3, F.array(x)).when(k == 5, F.array(x, F.lit(float("inf")), x)).otherwise(wave)
+    c = table(spark, d, "customer").select("c_custkey", freqs.alias("freqs"), values.alias("corr_mean"))
+    return c.select("c_custkey", validation.spectrum_problem().alias("problem"))
 
 
-@query()
+ALIAS_TABLE = [("first", ["STANDARD", "SMALL", "ECONOMY"]), ("second", ["economy", "PROMO"]), ("third", ["ECONOMY"]), ("fourth", ["nothing"])]
+
+
+@query("""WITH p AS (SELECT p_partkey // 2 AS subject_id, bool_or(p_type LIKE 'STANDARD%') AS a, bool_or(p_type LIKE 'SMALL%') AS s, bool_or(p_type LIKE 'ECONOMY%') AS e, bool_or(p_type LIKE 'PROMO%') AS r FROM part GROUP BY 1),
+f AS (SELECT *, CASE WHEN a THEN 'STANDARD' WHEN s THEN 'SMALL' WHEN e THEN 'ECONOMY' END AS first FROM p), g AS (SELECT *, CASE WHEN e AND first IS DISTINCT FROM 'ECONOMY' THEN 'ECONOMY' WHEN r THEN 'PROMO' END AS second FROM f)
+SELECT subject_id, first, second, NULL::VARCHAR AS third, concat_ws(',', CASE WHEN first IS NULL THEN 'first' END, CASE WHEN NOT e AND NOT r THEN 'second' END, CASE WHEN NOT e THEN 'third' END, 'fourth') AS missing,
+concat_ws(',', CASE WHEN first = 'ECONOMY' THEN 'second:economy:ECONOMY:first' END, CASE WHEN e THEN 'third:ECONOMY:ECONOMY:' || CASE WHEN first = 'ECONOMY' THEN 'first' ELSE 'second' END END) AS conflicts,
+concat_ws(',', CASE WHEN first IS NULL THEN 'first' END, CASE WHEN second IS NULL THEN 'second' END, 'third', 'fourth') AS unresolved FROM g""")
 def alias_resolve(spark, d):
-    labels = table(spark, d, "part").select(F.col("p_brand").alias("subject_id"), F.explode(F.split("p_type", " ")).alias("label"))
-    return relational.resolve_channels(labels, [("first", ["STANDARD", "SMALL", "ECONOMY"]), ("second", ["economy", "PROMO"]), ("third", ["ECONOMY"]), ("fourth", ["nothing"])])
+    labels = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 2).cast("long").alias("subject_id"), F.explode(F.split("p_type", " ")).alias("label"))
+    got = relational.resolve_channels(labels, ALIAS_TABLE)
+    text = F.transform("conflicts", lambda c: F.concat_ws(":", c["canonical"], c["alias"], c["physical"], c["claimed_by"]))
+    name = lambda c: F.try_element_at("resolved", F.lit(c)).alias(c)
+    return got.select("subject_id", name("first"), name("second"), name("third"), F.array_join("missing", ",").alias("missing"), F.array_join(text, ",").alias("conflicts"), F.array_join("unresolved", ",").alias("unresolved"))
 
 
 def _curves(spark, d):
@@ -390,11 +409,12 @@ def gaussian_fit(spark, d):
 
 
 @query(f"""WITH {HOURLY}, a AS (SELECT event_type, i::DOUBLE AS t, (x - avg(x) OVER w) / stddev_pop(x) OVER w AS z FROM h WINDOW w AS (PARTITION BY event_type)), b AS (SELECT *, lead(z) OVER (PARTITION BY event_type ORDER BY t) AS z2 FROM a),
-x AS (SELECT event_type, CASE WHEN z >= 0 AND z2 < 0 THEN -1 WHEN z < 0 AND z2 >= 0 THEN 1 END AS s, t + z / (z - z2) AS u FROM b), e AS (SELECT event_type, s, u, lead(u) OVER o AS rise, lead(u, 2) OVER o AS finish FROM x WHERE s IS NOT NULL WINDOW o AS (PARTITION BY event_type ORDER BY u))
-SELECT event_type, round(min(u), 6) AS begin, round(arg_min(rise, u), 6) AS rise, round(arg_min(finish, u), 6) AS finish FROM e WHERE s = -1 AND finish - u BETWEEN 4 AND 100 GROUP BY event_type""")
+x AS (SELECT event_type, CASE WHEN z >= 0 AND z2 < 0 THEN -1 WHEN z < 0 AND z2 >= 0 THEN 1 END AS s, t + z / (z - z2) AS u FROM b), e AS (SELECT event_type, s, u, lead(u) OVER o AS rise, lead(u, 2) OVER o AS finish FROM x WHERE s IS NOT NULL WINDOW o AS (PARTITION BY event_type ORDER BY u)),
+y AS (SELECT event_type, min(u) AS b, arg_min(rise, u) AS r, arg_min(finish, u) AS f FROM e WHERE s = -1 AND finish - u BETWEEN 4 AND 100 GROUP BY event_type)
+SELECT event_type, k::INT AS edge, round(CASE WHEN k < 4 THEN b + (r - b) * k / 4 ELSE r + (f - r) * (k - 4) / 4 END, 6) AS at FROM y, (SELECT unnest(range(0, 9)) AS k)""")
 def zscore_phase(spark, d):
     s = hourly(spark, d).withColumn("t", F.col("i").cast("double"))
-    return rounded(intervals.phase_bins(s, ["event_type"], "t", "x", 4.0, 100.0).drop("edges"))
+    return rounded(intervals.phase_bins(s, ["event_type"], "t", "x", 4.0, 100.0).select("event_type", F.posexplode("edges").alias("edge", "at")))
 
 
 @query(f"""WITH {HOURLY}, a AS (SELECT *, lag(x) OVER w AS p FROM h WINDOW w AS (PARTITION BY event_type ORDER BY i)), b AS (SELECT event_type, i, x FROM a WHERE p IS NULL OR p <> x),
@@ -454,10 +474,13 @@ def session_bouts(spark, d):
 
 
 @query(f"""WITH {EPOCHS}, x AS (SELECT subject_id, min(epoch_idx) FILTER (WHERE code > 0) AS f, max(epoch_idx) FILTER (WHERE code > 0) AS l FROM e GROUP BY 1),
-s AS (SELECT subject_id, 0.5 * count(*) AS "TIB", 0.5 * (max(l) - max(f) + 1) AS "SPT", 0.5 * count_if(code = 0 AND epoch_idx BETWEEN f AND l) AS "WASO", 0.5 * count_if(code > 0) AS "TST", 0.5 * max(f) AS "SOL", 0.5 * min(CASE WHEN code = 4 THEN epoch_idx END) AS "Lat_REM" FROM e JOIN x USING (subject_id) GROUP BY 1)
-SELECT subject_id, "TIB"::DOUBLE AS "TIB", "SPT"::DOUBLE AS "SPT", "WASO"::DOUBLE AS "WASO", "TST"::DOUBLE AS "TST", "SOL"::DOUBLE AS "SOL", "Lat_REM"::DOUBLE AS "Lat_REM", round(100 * "TST" / "TIB", 6)::DOUBLE AS "SE", round(100 * "TST" / "SPT", 6)::DOUBLE AS "SME" FROM s""")
+s AS (SELECT subject_id, count(*) / 2.0::DOUBLE AS "TIB", (max(l) - max(f) + 1) / 2.0::DOUBLE AS "SPT", count_if(code = 0 AND epoch_idx BETWEEN f AND l) / 2.0::DOUBLE AS "WASO", count_if(code > 0) / 2.0::DOUBLE AS "TST",
+count_if(code = 1) / 2.0::DOUBLE AS "N1", count_if(code = 2) / 2.0::DOUBLE AS "N2", count_if(code = 3) / 2.0::DOUBLE AS "N3", count_if(code = 4) / 2.0::DOUBLE AS "REM", count_if(code BETWEEN 1 AND 3) / 2.0::DOUBLE AS "NREM",
+max(f) / 2.0::DOUBLE AS "SOL", min(CASE WHEN code = 1 THEN epoch_idx END) / 2.0::DOUBLE AS "Lat_N1", min(CASE WHEN code = 2 THEN epoch_idx END) / 2.0::DOUBLE AS "Lat_N2", min(CASE WHEN code = 3 THEN epoch_idx END) / 2.0::DOUBLE AS "Lat_N3", min(CASE WHEN code = 4 THEN epoch_idx END) / 2.0::DOUBLE AS "Lat_REM" FROM e JOIN x USING (subject_id) GROUP BY 1)
+SELECT *, round(100 * "N1" / nullif("TST", 0), 6) AS "%N1", round(100 * "N2" / nullif("TST", 0), 6) AS "%N2", round(100 * "N3" / nullif("TST", 0), 6) AS "%N3", round(100 * "REM" / nullif("TST", 0), 6) AS "%REM", round(100 * "NREM" / nullif("TST", 0), 6) AS "%NREM",
+round(100 * "TST" / nullif("TIB", 0), 6) AS "SE", round(100 * "TST" / nullif("SPT", 0), 6) AS "SME" FROM s""")
 def sleep_statistics(spark, d):
-    return rounded(sleep.statistics(epochs(spark, d)).select("subject_id", "TIB", "SPT", "WASO", "TST", "SOL", "Lat_REM", "SE", "SME"))
+    return sleep.statistics(epochs(spark, d)).select("subject_id", *(F.round(F.col(f"`{c}`"), 6).alias(c) for c in sleep.STATISTICS))
 
 
 @query("""SELECT user_id, event_id, round(10 * log10(CASE WHEN p > 0 THEN p ELSE coalesce(min(CASE WHEN p > 0 THEN p END) OVER (PARTITION BY user_id), 1) END), 6) AS db FROM (SELECT user_id, event_id, greatest(value - 20, 0) AS p FROM events)""")
@@ -495,13 +518,26 @@ def confidence_bands(spark, d):
 SELECT 'amount' AS parameter, l.n AS n_low, h.n AS n_high, round(l.m, 6) AS mean_low, round(h.m, 6) AS mean_high, round((h.m - l.m) / sqrt(h.sd * h.sd / h.n + l.sd * l.sd / l.n), 6) AS t,
 round((h.m - l.m) / sqrt(((h.n - 1) * h.sd * h.sd + (l.n - 1) * l.sd * l.sd) / (h.n + l.n - 2)) * (1 - 3.0::DOUBLE / (4 * (h.n + l.n) - 9)), 6) AS hedges_g FROM s h, s l WHERE h.g = 'high' AND l.g = 'low'""")
 def group_compare(spark, d):
-    s = statistics.welch_t(statistics._sides(_rates(spark, d).withColumn("parameter", F.lit("amount")), ["parameter"], "group", "amount", "low", "high"))
+    s = statistics.welch_t(statistics._sides(_rates(spark, d).withColumn("parameter", F.lit("amount")), ["parameter"], "group", "amount", "low", "high", moments=True))
     return rounded(s.select("parameter", "n_low", "n_high", "mean_low", "mean_high", "t", "hedges_g"))
 
 
-@query()
+@query(f"""WITH {RATES}, v AS (SELECT "group" AS g, unnest(['amount', 'user']) AS parameter, unnest([amount, (user_id % 7)::DOUBLE]) AS v FROM z WHERE "group" <> 'mid'),
+q AS (SELECT parameter, g, count(*) AS n, avg(v) AS m, stddev_samp(v) AS sd, quantile_cont(v, 0.5) AS med, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3, min(v) AS lo, max(v) AS hi FROM v GROUP BY ALL),
+o AS (SELECT parameter, g, any_value(n) AS n, any_value(m) AS m, any_value(sd) AS sd, any_value(med) AS med, avg(power(v - m, 3)) / power(avg(power(v - m, 2)), 1.5) AS sk, count_if((v < q1 - 3 * (q3 - q1) OR v > q3 + 3 * (q3 - q1)) AND q3 > q1) AS far FROM v JOIN q USING (parameter, g) GROUP BY parameter, g),
+k AS (SELECT parameter, g, rank() OVER (PARTITION BY parameter ORDER BY v) + (count(*) OVER (PARTITION BY parameter, v) - 1) / 2.0::DOUBLE AS r FROM v), s AS (SELECT parameter, sum(CASE WHEN g = 'high' THEN r END) AS r FROM k GROUP BY 1),
+b AS (SELECT l.parameter, l.n AS n_low, h.n AS n_high, l.m AS mean_low, h.m AS mean_high, l.med AS median_low, h.med AS median_high, CASE WHEN least(l.n, h.n) < 2 THEN 'none' WHEN least(l.n, h.n) < 8 OR greatest(abs(l.sk), abs(h.sk)) >= 1 OR l.far + h.far > 0 THEN 'mannwhitney' ELSE 'welch' END AS test,
+(h.m - l.m) / sqrt(h.sd * h.sd / h.n + l.sd * l.sd / l.n) AS t, (h.m - l.m) / sqrt(((h.n - 1) * h.sd * h.sd + (l.n - 1) * l.sd * l.sd) / (h.n + l.n - 2)) * (1 - 3.0::DOUBLE / (4 * (h.n + l.n) - 9)) AS g, s.r - h.n * (h.n + 1) / 2 AS u
+FROM o l JOIN o h ON l.parameter = h.parameter AND l.g = 'low' AND h.g = 'high' JOIN s ON s.parameter = l.parameter)
+SELECT parameter, n_low, n_high, round(mean_low, 6) AS mean_low, round(mean_high, 6) AS mean_high, round(median_low, 6) AS median_low, round(median_high, 6) AS median_high, test, round(CASE test WHEN 'welch' THEN t WHEN 'mannwhitney' THEN u END, 6) AS statistic, round(CASE test WHEN 'welch' THEN g WHEN 'mannwhitney' THEN 2 * u / (n_low * n_high) - 1 END, 6) AS effect FROM b""")
 def compare_parameters(spark, d):
-    return statistics.compare(_rates(spark, d), "group", ["amount", "rate"])
+    groups = _rates(spark, d).withColumn("user", (F.col("user_id") % 7).cast("double"))
+    c = statistics.compare(groups, "group", ["amount", "user"])
+    return rounded(c.select("parameter", "n_low", "n_high", "mean_low", "mean_high", "median_low", "median_high", "test", "statistic", "effect"))
+
+
+# the normal tail beyond z by Simpson's rule, as SQL has no error function
+TAIL = "greatest(0, 1 - 2 * (SELECT sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-power({z} * i / 4000, 2) / 2)) * {z} / 12000 / sqrt(2 * pi()) FROM (SELECT unnest(range(0, 4001)) AS i)))"
 
 
 @query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_custkey LIMIT 50")
@@ -528,14 +564,44 @@ def set_intersection_keys(spark, d):
 
 @query("""WITH x AS (SELECT l_returnflag AS g, l_quantity AS v FROM lineitem), p AS (SELECT a.g AS a, b.g AS b FROM (SELECT DISTINCT g FROM x) a JOIN (SELECT DISTINCT g FROM x) b ON a.g < b.g),
 k AS (SELECT a, b, g, rank() OVER (PARTITION BY a, b ORDER BY v) + (count(*) OVER (PARTITION BY a, b, v) - 1) / 2.0::DOUBLE AS r FROM x JOIN p ON g = a OR g = b),
-s AS (SELECT a, b, count_if(g = a)::BIGINT AS n_a, count_if(g = b)::BIGINT AS n_b, sum(CASE WHEN g = a THEN r END) AS r FROM k GROUP BY a, b) SELECT a, b, n_a, n_b, (r - n_a * (n_a + 1) / 2)::DOUBLE AS u, round(1 - 2 * (r - n_a * (n_a + 1) / 2) / (n_a * n_b), 6) AS effect FROM s""")
+s AS (SELECT a, b, count_if(g = a)::BIGINT AS n_a, count_if(g = b)::BIGINT AS n_b, sum(CASE WHEN g = a THEN r END) AS r FROM k GROUP BY a, b),
+t AS (SELECT a, b, sum(power(c, 3) - c) AS t FROM (SELECT a, b, v, count(*)::DOUBLE AS c FROM x JOIN p ON g = a OR g = b GROUP BY a, b, v) GROUP BY a, b),
+u AS (SELECT s.*, (r - n_a * (n_a + 1) / 2)::DOUBLE AS u, t FROM s JOIN t USING (a, b)), w AS (SELECT *, greatest(0, (greatest(u, n_a * n_b - u) - n_a * n_b / 2.0::DOUBLE - 0.5) / sqrt(n_a * n_b / 12.0::DOUBLE * (n_a + n_b + 1 - t / ((n_a + n_b)::DOUBLE * (n_a + n_b - 1))))) AS z FROM u),
+y AS (SELECT *, """ + TAIL.format(z="w.z") + """ AS p FROM w), m AS (SELECT *, least(1, p * (count(*) OVER () - row_number() OVER (ORDER BY p) + 1)) AS h, row_number() OVER (ORDER BY p) AS i FROM y)
+SELECT a, b, n_a, n_b, u, round(1 - 2 * u / (n_a * n_b), 6) AS effect, round(p, 6) AS p, round(max(h) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING), 6) AS p_holm FROM m""")
 def pairwise_stages(spark, d):
-    return rounded(statistics.pairwise(table(spark, d, "lineitem"), "l_returnflag", "l_quantity").drop("p", "p_holm"))
+    return rounded(statistics.pairwise(table(spark, d, "lineitem"), "l_returnflag", "l_quantity"))
 
 
-@query()
+@query("""WITH m AS (SELECT l_orderkey, avg(l_extendedprice) AS x, avg(l_quantity) AS y FROM lineitem GROUP BY 1), d AS (SELECT round(x / avg(x) OVER () - y / avg(y) OVER (), 9) AS d FROM m),
+k AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS r FROM d WHERE d <> 0)
+SELECT round(coalesce(sum(CASE WHEN d > 0 THEN r END), 0), 1) AS w_plus, round(coalesce(sum(CASE WHEN d < 0 THEN r END), 0), 1) AS w_minus, count(*) AS n, round((count_if(d > 0) - count_if(d < 0)) / count(*)::DOUBLE, 6) AS effect FROM k""")
 def paired_metrics(spark, d):
-    return statistics.paired(table(spark, d, "lineitem"), "l_orderkey", "l_extendedprice", "l_quantity")
+    return rounded(statistics.paired(table(spark, d, "lineitem"), "l_orderkey", "l_extendedprice", "l_quantity", digits=9).select("w_plus", "w_minus", "n", "effect"))
+
+
+@query("SELECT scale, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd FROM (SELECT unnest(['raw', 'log1p']) AS scale, unnest([o_totalprice, ln(1 + o_totalprice)]) AS x FROM orders) GROUP BY 1")
+def normal_fits(spark, d):
+    return rounded(statistics.normal_fit(table(spark, d, "orders"), "o_totalprice"))
+
+
+@query("""WITH s AS (SELECT o_orderstatus AS g, min(o_totalprice) AS lo, max(o_totalprice) AS hi, count(*) AS total FROM orders GROUP BY 1), b AS (SELECT o_orderstatus, least(floor((o_totalprice - lo) / ((hi - lo) / 40)), 39)::INT AS bin, total FROM orders JOIN s ON g = o_orderstatus)
+SELECT o_orderstatus, bin, total, count(*) AS count FROM b GROUP BY ALL""")
+def histogram_by_group(spark, d):
+    return statistics.histogram(table(spark, d, "orders"), "o_totalprice", group=["o_orderstatus"]).select("o_orderstatus", "bin", "total", "count")
+
+
+@query("SELECT event_id, user_id, value AS time FROM events WHERE event_type = 'click'")
+def event_marks(spark, d):
+    e = table(spark, d, "events").select("event_id", "user_id", F.col("event_type").alias("channel"), F.col("value").alias("start"))
+    return intervals.event_times(e, "peak", "click").select("event_id", "user_id", "time")
+
+
+@query("""SELECT c_custkey, trim(c_name) = c_name AND length(trim(c_name)) > 0 AND NOT regexp_matches(c_name, '[/\\\\]|[.][.]') AS safe FROM (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN '' WHEN 1 THEN ' ' || c_name WHEN 2 THEN c_name || '/x' WHEN 3 THEN '..' || c_name WHEN 4 THEN c_name || '\\' ELSE c_name END AS c_name FROM customer)""")
+def safe_ids(spark, d):
+    k, n = F.col("c_custkey") % 6, F.col("c_name")
+    odd = F.when(k == 0, F.lit("")).when(k == 1, F.concat(F.lit(" "), n)).when(k == 2, F.concat(n, F.lit("/x"))).when(k == 3, F.concat(F.lit(".."), n)).when(k == 4, F.concat(n, F.lit("\\"))).otherwise(n)
+    return table(spark, d, "customer").select("c_custkey", recordings.safe_id(odd).alias("safe"))
 
 
 @query(f"""WITH {EPOCHS} SELECT subject_id, sum(CASE WHEN code = 2 THEN value ELSE 0 END)::DOUBLE AS total, count_if(code = 2)::INT AS n FROM e GROUP BY 1""")

@@ -50,6 +50,8 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
         folder = sc._jsc.sc().getCheckpointDir()
+        if not folder.isDefined() and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = folder.get() if folder.isDefined() else "file://" + tempfile.mkdtemp(prefix="tidemark-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(folder)

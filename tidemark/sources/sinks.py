@@ -16,9 +16,11 @@ def checked_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.filter(F.size("problems") == 0).drop("problems"), marked.filter(F.size("problems") > 0)
 
 
-def write_records(records: DataFrame, path: str, mode: str = "append") -> None:
-    """Sound records as Parquet, a folder for each stage; the committer makes a write whole or nothing."""
-    checked_records(records)[0].write.mode(mode).partitionBy("stage").parquet(path)
+def write_records(records: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Sound records as Parquet, a folder for each stage; the committer makes a write whole or nothing. Returns the others with their problems."""
+    sound, unsound = checked_records(records)
+    sound.write.mode(mode).partitionBy("stage").parquet(path)
+    return unsound
 
 
 def merged(prior: DataFrame | None, new: DataFrame, columns: list[str]) -> DataFrame:
@@ -32,18 +34,43 @@ def write_csv(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.write.mode("overwrite" if overwrite else "errorifexists").option("header", True).csv(path)
 
 
+# fixed values: what a group analysis writes, by the stems of its files; a figure's stem names the table behind it
+OUTPUTS = {
+    "validated": "validated_{0}_subject_results",
+    "excluded": "invalid_or_excluded_{0}_subjects",
+    "validation_report": "validation_report_{0}",
+    "assignments": "{0}_subject_group_assignments",
+    "grouping_report": "grouping_report_{0}",
+    "comparison": "{0}_infraslow_group_comparison",
+    "pretransform": "{0}_spindle_rate_pretransform_distribution",
+    "distribution": "{0}_spindle_rate_group_distribution",
+    "parameters": "{0}_parameter_group_comparisons",
+    "curves": "{0}_infraslow_group_compare",
+    "bands": "{0}_infraslow_power_by_spindle_group",
+    "parameters_before": "{0}_parameter_group_comparisons_before",
+    "curves_before": "{0}_infraslow_group_compare_before",
+    "bands_before": "{0}_infraslow_power_by_spindle_group_before",
+}
+
+
 def output_names(stage: str, channel: str) -> dict[str, str]:
-    """Names of the tables of a group analysis."""
-    parts = "validated excluded validation_report grouping comparison group_curves cohort_curve distribution_raw distribution_log".split()
-    return {p: f"{p}_{stage}_{channel}" for p in parts}
+    """Names of the outputs of a group analysis."""
+    return {k: name.format(f"{stage}_{channel}") for k, name in OUTPUTS.items()}
+
+
+def write_text(spark, text: str, path: str, overwrite: bool = False) -> None:
+    """A report as one text file in a folder of its own; refuses to replace one unless told to."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite" if overwrite else "errorifexists").text(path)
 
 
-def validation_text(report: DataFrame, stage: str, channel: str) -> str:
-    """A report of exclusions; it has a row for each reason."""
+def validation_text(report: DataFrame, stage: str, channel: str, totals: DataFrame | None = None) -> str:
+    """A report of exclusions from the counts of reasons and, if given, the totals; both have few rows."""
     rows = report.collect()
     kept = sum(r["count"] for r in rows if r["exclusion_reason"] is None)
     lines = [f"validation of {stage} {channel}", f"kept: {kept}", f"excluded: {sum(r['count'] for r in rows) - kept}"]
-    return "\n".join([*lines, *(f"  {r['exclusion_reason']}: {r['count']}" for r in rows if r["exclusion_reason"] is not None)])
+    if totals is not None:
+        lines += [f"{name.replace('_', ' ', 1)}: {value}" for name, value in totals.first().asDict().items()]
+    return "\n".join([*lines, "reasons:", *(f"  {r['exclusion_reason']}: {r['count']}" for r in rows if r["exclusion_reason"] is not None)])
 
 
 def grouping_text(groups: DataFrame, stage: str, channel: str, unit: str) -> str:

@@ -6,17 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import clean_id, first_max, stage_code
+from ..functions.scalars import clean_id, finite, stage_code
+from .errors import AnnotationLoadError, SourceError
 
 METADATA = ("ID", "Age", "Gender", "BMI")
-#: fixed values: the columns of a stage-probability file
-PROBABILITIES = ("Wake", "N1", "N2", "N3", "REM")
-
-
-class SourceError(Exception):
-    """A source lacks what the query needs."""
-
-
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """ID, Age, Gender, BMI from a CSV with a header; other columns aren't read, absent ones are null, blank ids go."""
     raw = spark.read.option("header", True).csv(path)  # all columns are text: no pass over the data to infer types
@@ -28,28 +21,52 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return out.filter("ID is not null")
 
 
-def read_hypnodensity(spark: SparkSession, path: str, suffix: str = "_Hypnodensity.csv", columns: tuple[str, ...] | None = None) -> DataFrame:
-    """subject_id, epoch_idx, ts, stage and probabilities of all files below a path.
+def read_hypnodensity(spark: SparkSession, path: str, suffix: str = "_Hypnodensity.csv", columns: tuple[str, ...] | None = None, timestamp: str = "Timestamp", relabel: dict[str, str] | None = None, strict: bool = False) -> DataFrame:
+    """subject_id, epoch_idx, ts, probabilities (a map by column), stage and problem of all files below a path.
 
     An epoch's index is its line's place in its file; a file is read whole, as its lines have no other order. The
-    subject is the file's name without the suffix. Bad probabilities are passed over; an epoch without any has a
-    null stage. Without ``columns`` a file's header names the stages, in its order.
+    subject is the file's name without the suffix. An epoch's stage is the column with the largest probability, the
+    first of equal ones in the order of ``columns`` or else of the file's header; ``relabel`` renames stages. Bad
+    probabilities are passed over; an epoch without any has a null stage. A file without the time column, without any
+    other or without one of ``columns`` has a problem in every row, or raises if ``strict``.
     """
     files = spark.read.format("text").option("wholetext", True).load(path).select(F.col("_metadata.file_name").alias("_file"), F.col("value").alias("_text"))
     files = files.filter(F.col("_file").endswith(suffix)).withColumn("_lines", F.split("_text", r"\r?\n"))
-    header = F.transform(F.split(F.col("_lines")[0], ","), F.trim)
-    lines = files.select(F.regexp_replace("_file", f"{suffix.replace('.', '[.]')}$", "").alias("subject_id"), header.alias("_header"), F.posexplode(F.slice("_lines", 2, 1 << 30)).alias("epoch_idx", "_line"))
-    cells = lines.filter(F.trim("_line") != "").select("subject_id", "_header", "epoch_idx", F.split("_line", ",").alias("_cells"))
-    at = lambda name: F.try_element_at(F.col("_cells"), F.array_position("_header", F.lit(name)).cast("int"))
-    names = columns or PROBABILITIES
-    out = cells.select("subject_id", "epoch_idx", F.try_to_timestamp(F.trim(F.when(F.array_contains("_header", "Timestamp"), at("Timestamp")))).alias("ts"), *(F.when(F.array_contains("_header", n), F.trim(at(n))).try_cast("double").alias(n) for n in names))
-    return out.withColumn("stage", first_max(*names))
+    files = files.withColumn("_header", F.transform(F.split(F.col("_lines")[0], ","), lambda c: F.trim(c)))
+    names = F.array(*(F.lit(c) for c in columns)) if columns else F.filter("_header", lambda c: (c != timestamp) & (c != ""))
+    lacking = F.array_except(names, F.col("_header"))
+    problem = F.when(~F.array_contains("_header", timestamp), f"no column {timestamp}").when(F.size(names) == 0, "no columns of stages").when(F.size(lacking) > 0, F.concat(F.lit("no column "), F.array_join(lacking, ", ")))
+    if strict:
+        problem = F.when(problem.isNotNull(), F.raise_error(F.concat("_file", F.lit(": "), problem)))
+    subject = F.regexp_replace("_file", f"{suffix.replace('.', '[.]')}$", "").alias("subject_id")
+    lines = files.select(subject, "_header", names.alias("_names"), problem.alias("_problem"), F.posexplode(F.slice("_lines", 2, 1 << 30)).alias("epoch_idx", "_line"))
+    cells = lines.filter(F.trim("_line") != "").withColumn("_cells", F.split("_line", ","))
+    at = lambda name: F.try_element_at(F.col("_cells"), F.array_position("_header", name).cast("int"))
+    ts = F.when(F.array_contains("_header", timestamp), F.try_to_timestamp(F.trim(F.try_element_at(F.col("_cells"), F.greatest(F.array_position("_header", F.lit(timestamp)).cast("int"), F.lit(1))))))
+    values = F.transform("_names", lambda n: F.when(F.array_contains("_header", n), F.trim(at(n)).try_cast("double")))
+    out = cells.select("subject_id", "epoch_idx", ts.alias("ts"), "_names", values.alias("_values"), F.col("_problem").cast("string").alias("problem"))
+    usable = F.transform("_values", lambda v: F.when(finite(v), v))
+    winner = F.when(F.array_max(usable).isNotNull(), F.element_at("_names", F.array_position(usable, F.array_max(usable)).cast("int")))
+    if relabel:
+        table = F.create_map(*(F.lit(x) for pair in relabel.items() for x in pair))
+        winner = F.coalesce(F.try_element_at(table, winner), winner)
+    return out.select("subject_id", "epoch_idx", "ts", F.map_from_arrays("_names", "_values").alias("probabilities"), F.when(F.col("problem").isNull(), winner).alias("stage"), "problem")
 
 
 def hypnogram(annotations: DataFrame, codes: dict[str, int] | None = None, strict: bool = False) -> DataFrame:
     """Adds the stages' codes; with ``strict`` an unknown label raises, else it is null and ``problem`` says so."""
     out = annotations.withColumn("code", stage_code("stage", codes, strict))
-    return out if strict else out.withColumn("problem", F.when(F.col("code").isNull(), F.concat(F.lit("unknown stage: "), F.coalesce("stage", F.lit("none")))))
+    unknown = F.when(F.col("code").isNull(), F.concat(F.lit("unknown stage: "), F.coalesce("stage", F.lit("none"))))
+    return out if strict else out.withColumn("problem", F.coalesce("problem", unknown) if "problem" in out.columns else unknown)
+
+
+def require_files(listing: DataFrame, subjects: DataFrame, suffix: str, key: str = "ID", required: bool = True) -> DataFrame:
+    """The subjects that have a file named key + suffix; with ``required`` one without raises."""
+    named = listing.select(F.col("name").alias("_name")).distinct()
+    mine = F.concat(F.col(key), F.lit(suffix))
+    if required and (lost := subjects.join(named, mine == F.col("_name"), "left_anti").select(key).first()) is not None:
+        raise AnnotationLoadError(f"no file {lost[0]}{suffix}")
+    return subjects.join(named, mine == F.col("_name"), "left_semi")
 
 
 def file_names(spark: SparkSession, path: str) -> DataFrame:
@@ -69,9 +86,11 @@ def read_records(spark: SparkSession, path: str, stage: str | None = None, chann
     return out
 
 
-def read_summary(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
-    """A summary CSV; required columns must be there, and all but ids, stage and channel are numbers."""
+def read_summary(spark: SparkSession, path: str, required: list[str], subject: str = "subject_id") -> DataFrame:
+    """A summary CSV; required columns must be there, and all but ids, stage and channel are numbers; ``subject`` names the ids."""
     raw = spark.read.option("header", True).csv(path)
+    if subject != "subject_id" and subject in raw.columns:
+        raw = raw.withColumnRenamed(subject, "subject_id")
     if lacking := [c for c in ["subject_id", *required] if c not in raw.columns]:
         raise SourceError(f"summary lacks {', '.join(lacking)}")
     text = ("subject_id", "sleep_stage", "channel", "exclusion_reason")

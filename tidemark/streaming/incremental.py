@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def ingest_new(spark: SparkSession, source: str, schema, target: str, checkpoint: str, key: str | None = None, transform=None, fmt: str = "parquet") -> int:
+def ingest_new(spark: SparkSession, source: str, schema, target: str, checkpoint: str, key: str | None = None, transform=None, fmt: str = "parquet", ts: str | None = None, late: str = "1 day") -> int:
     """Appends what came to ``source`` since the last call to ``target``; returns the rows added.
 
     The checkpoint remembers the files that were read, and with ``key`` the keys that were seen, so a second
-    call adds nothing. A failed call is repeated as a whole.
+    call adds nothing. With ``ts`` keys older than ``late`` are forgotten and the state stays bounded; without it
+    every key is kept. A failed call is repeated as a whole.
     """
     stream = spark.readStream.schema(schema).format(fmt).load(source)
     if key:
-        stream = stream.dropDuplicates([key])
+        stream = stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key]) if ts else stream.dropDuplicates([key])
     if transform:
         stream = transform(stream)
     query = stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
