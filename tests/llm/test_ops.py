@@ -1,6 +1,7 @@
 """Every operator against plain Python, on texts that are hard on purpose."""
 
 import base64
+import functools
 import hashlib
 import math
 import re
@@ -542,13 +543,24 @@ PAGES = {
     "empty": ("", ""),
     "scripts": ("<script>var a = '<p>no</p>';</script><p>Yes it is.</p><!-- <p>no</p> -->", "Yes it is."),
     "main": ("<body><header><h2>Site</h2></header><main><p>The body of the page is here.</p><form>Mail <input></form><aside>Side</aside><ul><li>a b</li><li>c d</li></ul></main><section id=comments><p>long comment with many many words in it to win</p></section></body>", "The body of the page is here.\na b\nc d"),
+    "wrapper": ('<div class="content-with-sidebar"><h1>T one</h1><p>Many words of text here.</p><p>More of it.</p></div>', "T one\nMany words of text here.\nMore of it."),
+    "one form": ("<form><div id=page class=has-comments><p>Many words of text here and there.</p></div></form>", "Many words of text here and there."),
+    "links": ("<article><p>Some words with <a href=x>two links</a> and <a href=y>more</a> in it.</p><div class=promo><p>buy this now</p></div><p><a href=z>one alone</a></p><p>The end of it.</p></article><p class=share>tell all your friends</p>", "Some words with two links and more in it.\none alone\nThe end of it."),
     "divs": ('<div class="cookie-notice">We use cookies a lot</div><div class="sidebar"><p>Side words here</p></div><div class="entry"><h1>A title</h1><p>Many words of a real article stand here.</p><p>And some more words of it.</p></div><div id="footer">foot</div>', "A title\nMany words of a real article stand here.\nAnd some more words of it."),
 }
 
 
 @pytest.mark.parametrize("name", list(PAGES))
 def test_main_text(name):
-    assert op2_html.extract(PAGES[name][0], op2_html.DEFAULT | {"p": -0.2, "/p": -0.2, "h1": -0.2, "/h1": -0.2}) == PAGES[name][1]
+    for scores in (op2_html.DEFAULT, learned()):
+        assert op2_html.extract(PAGES[name][0], scores) == PAGES[name][1]
+
+
+@functools.cache
+def learned():
+    import duckdb
+
+    return op2_html.learn([r[0] for r in duckdb.sql("SELECT html FROM '/root/testdata/sf0.001/pages.parquet' WHERE html IS NOT NULL").fetchall()])
 
 
 def test_pages_of_the_tables(spark):
@@ -563,6 +575,42 @@ def test_pages_of_the_tables(spark):
     assert op2_html.main_text(pages.limit(0)).count() == 0
 
 
+def marked(source: str) -> str:
+    """The text of the element that a page of the tables marks."""
+    import html as h
+
+    inner = re.search(r"<article>(.*?)</article>", source, re.S)[1].replace("<br>", " ")
+    blocks = [" ".join(h.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
+    return "\n".join(b for b in blocks if b)
+
+
+def hidden(source: str) -> str:
+    """A page without the names that tell: its article is a div and its classes mean nothing."""
+    return source.replace("<article>", "<div>").replace("</article>", "</div>").replace('class="ad"', 'class="zq7"')
+
+
+def test_the_scan_finds_articles_that_nothing_names(spark, monkeypatch):
+    """Learned from labelled pages, it finds the same text in pages without labels and telling classes; without it nothing does."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    mine = pages.filter("page_id % 2 = 0").collect()
+    rest = [(r.page_id, r.url, hidden(r.html)) for r in mine]
+    df = pages.filter("page_id % 2 = 1").select("page_id", "url", "html").unionByName(spark.createDataFrame(rest, "page_id long, url string, html string"))
+    got = {r.page_id: r.text for r in op2_html.main_text(df).collect()}
+    assert all(got[r.page_id] == marked(r.html) for r in mine)
+    scan = op2_html.region
+    monkeypatch.setattr(op2_html, "region", lambda page, scores: (0, len(page.tokens), scan(page, scores)[2]))
+    assert not any(op2_html.extract(t, learned()) == marked(r.html) for (_, _, t), r in zip(rest, mine, strict=True))
+
+
+def test_pages_of_odd_rows(spark):
+    page = "<nav><a href=/x>Menu</a></nav><p>A text of some words.</p>"
+    rows_ = [(1, "u", page, "t", 7, "k"), (1, "u", page, "t", 7, "k"), (None, None, page, None, None, None), (2, "v", None, "t", 1, "k"), (3, "w", "", "t", 1, "k"), (4, "x", "<p>" + "long " * 60_000, "t", 1, "k")]
+    df = spark.createDataFrame(rows_, "page_id long, url string, html string, text string, n_chars long, _at string")
+    got = table(op2_html.main_text(df), "page_id", "url", "text", "n_chars")
+    t = "A text of some words."
+    assert got == sorted([(1, "u", t, 21), (1, "u", t, 21), (None, None, t, 21), (2, "v", "", 0), (3, "w", "", 0), (4, "x", ("long " * 60_000).strip(), 299_999)], key=repr)
+
+
 def test_long_and_broken_pages_end():
     assert op2_html.extract("<p " + "a='" * 20_000, op2_html.DEFAULT) == ""
     assert len(op2_html.extract("<div>" * 3000 + "word " * 3000, op2_html.DEFAULT)) == 14_999

@@ -1,17 +1,25 @@
 """Main text of web pages by the maximum-scoring subsequence.
 
 A page becomes a sequence of tags and words. A linear scan finds the contiguous run of tokens with the
-largest total score: words score positive, tags and the words of links negative. The scores are log ratios learned from labelled
-pages, which are the pages that mark their article themselves (one ``article`` or ``main`` element): how
-often a kind of token occurs inside it and outside. At most TRAIN_PAGES of them are read for that; with
-fewer than MIN_PAGES the fixed scores below are used. If the best run lies mostly in one such element, the
-element is the region. From the region, elements that name themselves as menus, adverts, forms, comments
-and the like are left out, and so are scripts, styles and the head.
+largest total score: tags score negative, and words by where they stand, positive where text of articles
+stands. Scores are log ratios learned from labelled pages, which are the pages that mark their article
+themselves (one outermost ``article`` or ``main`` element): how often words of blocks of a kind and length,
+words of links, words under elements of a name or class, and tags occur inside it and outside. These two
+elements aren't features themselves, so a page is read alike with and without them. TRAIN_PAGES are read for
+that at most, long ones in a window; with fewer than MIN_PAGES the fixed scores below are used.
+
+Names and classes that tell of menus, adverts, forms, comments and the like are features with a fixed score
+that evidence moves; none is a veto. An element whose features count against it costs FLOOR at most in all,
+so that an advert doesn't cut an article in two, and nothing if it holds most of the page or its only
+heading. Within the run a block in such an element goes if its own score isn't positive, by the same scores;
+everything else of the run stays. Where the learned scores find nothing on a page the fixed ones are used, and
+where these find nothing every word is good.
 
 Text: character references are decoded; white space within a block is one space; blocks are trimmed,
-empty ones dropped, and joined by line feeds. A line break element is white space. Defined results: null
-and empty pages have an empty text; pages without tags are one block; unclosed elements end with their
-parent; repeated rows are extracted alike; empty tables give empty results.
+empty ones dropped, and joined by line feeds. A line break element is white space. Scripts, styles and other
+raw elements hold no text. Defined results: null and empty pages have an empty text; pages without tags are
+one block; unclosed elements end with their parent; repeated rows are extracted alike; a null page_id is a
+page like any other; other columns are left alone; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -21,6 +29,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,9 +37,14 @@ from pyspark.sql import functions as F
 
 from .textscan import bounded_batches, chunks
 
+#: Labelled pages that are read at most, fewest that scores are learned from, and characters of a window of a long one.
 TRAIN_PAGES, MIN_PAGES, TRAIN_CHARS = 400, 20, 40_000
-#: What a tag can count against a region at most: lists and tables of an article differ from those of the pages learned from.
-MOST_AGAINST = 1.5
+#: What an element whose features count against it costs a run at most; the share of a page's words that makes it the page.
+FLOOR, MOST = 0.5, 0.8
+#: Limits of scores: of words by their blocks, of words of links, of elements' features below and above, of tags.
+WORD, LINK, AGAINST, FOR, TAG = 2.5, -1.0, -6.0, 2.0, (-0.5, -0.1)
+#: Words (or tags) that weigh as much as a fixed score, and upper limits of the lengths of blocks.
+EVIDENCE, LENGTHS = 20, (3, 9, 24)
 
 # comments, declarations, raw elements with their text, tags; unclosed ones run to the end
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(script|style|noscript|template|iframe|textarea|select|object|svg|math|title|canvas|audio|video)\b[^>]*+>.*?(?:</\1\s*+>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)(?:>|(?=<)|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)>?""", re.S | re.I)
@@ -41,49 +55,116 @@ _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?(?:until-found))|display\s*:\s
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 OTHER = frozenset("aside button dialog footer form head header menu nav search input label option".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre li dd dt td th figcaption caption address details summary".split())
 ARTICLE = frozenset(("article", "main"))
 #: elements that an opening tag of the same group ends
 CLOSES = {"p": BLOCKS - {"body", "html"}, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr",)), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")), "option": frozenset(("option",))}
-#: words in a class, id or role that name something else than the article
+# fixed values: words in a class, id or role that speak against the article
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs bottombar byline comment comments commentlist contentinfo cookie cookies consent complementary copyright dialog discuss disqus disclaimer feedback foot footer form gdpr head header login masthead menu menus meta "
     "modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promoted promotion recommended related replies reply respond rail search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets alert".split()
 )
-#: scores without labelled pages: of a word, of a word in a link, of a word in other elements, of a tag
-DEFAULT = {"word": 1.0, "link": -0.3, "other": 0.0, "tag": -1.2}
+#: fixed scores: of such a name, of these that an article may have itself, of hidden elements, of the article's
+AGAINST_NAME, AGAINST_HEADER, AGAINST_HIDDEN, FOR_ARTICLE = -5.0, -3.0, -6.0, 0.5
+
+
+def _parts(names: str) -> set[str]:
+    """The words of class names, also of those in camel case."""
+    return {p.lower() for p in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+", names)}
+
+
+def _length(words: int) -> int:
+    return sum(words > n for n in LENGTHS)
+
+
+def fixed_feature(feature: str) -> float:
+    """The score of a feature without evidence."""
+    if feature == "hidden":
+        return AGAINST_HIDDEN
+    if feature in ("<header", ".header", ".head"):
+        return AGAINST_HEADER
+    if feature in ("<article", "<main"):
+        return FOR_ARTICLE
+    return AGAINST_NAME if (feature[0] == "<" and feature[1:] in OTHER) or (feature[0] == "." and feature[1:] in NAMES) else 0.0
+
+
+def fixed_word(kind: str, length: int) -> float:
+    """The score of a word without evidence: a short block that is no paragraph, heading or item is rather none of the article."""
+    return 1.0 if kind in HEADINGS or length > 1 else -0.3
+
+
+@dataclass
+class Scores:
+    """Scores of words by the kind and length of their block, of words of links, of elements' features, and of tags."""
+
+    words: dict[tuple[str, int], float] = field(default_factory=dict)
+    kinds: dict[str, float] = field(default_factory=dict)
+    lengths: dict[int, float] = field(default_factory=dict)
+    features: dict[str, float] = field(default_factory=dict)
+    tags: dict[str, float] = field(default_factory=dict)
+    link: float = -0.3
+    flat: bool = False
+
+    def word(self, kind: str, length: int) -> float:
+        if self.flat:
+            return 1.0
+        if (known := self.words.get((kind, length))) is not None:
+            return known
+        if not self.words:
+            return fixed_word(kind, length)
+        return max(-WORD, min(WORD, 0.5 * self.kinds.get(kind, 0.0) + self.lengths.get(length, 0.0)))
+
+    def element(self, features: tuple[str, ...]) -> float:
+        return max(AGAINST, sum(self.features[f] if f in self.features else fixed_feature(f) for f in features))
+
+
+DEFAULT, FLAT = Scores(), Scores(flat=True)
+
+
+@dataclass
+class Element:
+    name: str
+    parent: int
+    features: tuple[str, ...]
+    #: words of it and below it outside links, and the headings and articles there
+    words: int = 0
+    marks: Counter = field(default_factory=Counter)
 
 
 class Page:
-    """The tokens of a page: (kind, text, block, inside an article, left out)."""
+    """The tokens of a page in order, (tag, element, block, text, in a link), with tag or text; its elements; its article's range."""
 
-    __slots__ = ("articles", "tokens")
+    __slots__ = ("articles", "elements", "kinds", "sizes", "tokens")
 
     def __init__(self, source: str):
-        self.tokens: list[tuple[str, str, int, bool]] = []
+        self.tokens: list[tuple[str, int, int, str, bool]] = []
+        self.elements = [Element("", -1, ())]
         self.articles: list[list[int]] = []
-        stack: list[tuple[str, bool, int]] = []  # name, left out, its article
-        out = links = block = 0
-        open_articles = 0
-        at = 0
+        self.kinds: dict[int, str] = {}
+        self.sizes: Counter = Counter()
+        stack: list[tuple[str, int, int]] = [("", 0, -1)]  # name, element, article
+        links = block = at = 0
         add = self.tokens.append
 
         def text(s: str) -> None:
-            if s and not s.isspace():
-                add(("other" if out else "link" if links else "word", s, block, bool(out)))
-            elif s:
-                add(("space", " ", block, bool(out)))
+            if not s:
+                return
+            e = stack[-1][1]
+            add(("", e, block, s, links > 0))
+            if links == 0 and (n := len(s.split())):
+                self.sizes[block] += n
+                self.elements[e].words += n
+            if block not in self.kinds and not s.isspace():
+                self.kinds[block] = next((n for n, _, _ in reversed(stack) if n in BLOCKS), "")
 
         def close(k: int) -> None:
-            nonlocal out, links, open_articles, block
+            nonlocal links, block
             while len(stack) > k:
-                name, left, article = stack.pop()
-                out -= left
+                name, e, article = stack.pop()
                 links -= name == "a"
                 if article >= 0:
                     self.articles[article][1] = len(self.tokens)
-                    open_articles -= 1
-                if name in BLOCKS:
-                    block += 1
+                block += name in BLOCKS
 
         for m in _TOKEN.finditer(source):
             text(source[at : m.start()])
@@ -92,8 +173,8 @@ class Page:
             if not name:
                 continue
             if m[2] or m[5]:
-                add((f"/{name}", "", block, bool(out)))
-                for k in range(len(stack) - 1, -1, -1):
+                add((f"/{name}", stack[-1][1], block, "", False))
+                for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == name:
                         close(k)
                         break
@@ -101,117 +182,170 @@ class Page:
                     block += name in BLOCKS
                 continue
             if name == "br" or name == "wbr":
-                add(("br", " " if name == "br" else "", block, bool(out)))
+                add((name, stack[-1][1], block, " " if name == "br" else "", links > 0))
                 continue
-            if stack and name in CLOSES.get(stack[-1][0], ()):
+            if name in CLOSES.get(stack[-1][0], ()):
                 close(len(stack) - 1)
-            elif name in BLOCKS and name != "a":
+            elif name in BLOCKS:
                 # an inline element that was never closed doesn't hold the block's paragraph open
                 k = len(stack)
-                while k and stack[k - 1][0] not in BLOCKS:
+                while k > 1 and stack[k - 1][0] not in BLOCKS:
                     k -= 1
-                if k and stack[k - 1][0] == "p":
+                if k > 1 and stack[k - 1][0] == "p":
                     close(k - 1)
-            if name in BLOCKS:
-                block += 1
-            add((name, "", block, bool(out)))
-            attributes = m[4] if m[3] else m[7]
-            if name in VOID or (attributes or "").endswith("/"):
+            block += name in BLOCKS
+            attributes = (m[4] if m[3] else m[7]) or ""
+            features = [f"<{name}"] if name in OTHER or name in ARTICLE else []
+            if attributes:
+                if names := " ".join(x for t in _NAMED.findall(attributes) for x in t):
+                    features += sorted(f".{p}" for p in _parts(names))
+                if _HIDDEN.search(attributes):
+                    features.append("hidden")
+            e = len(self.elements)
+            self.elements.append(Element(name, stack[-1][1], tuple(features)))
+            add((name, e, block, "", False))
+            if name in VOID or attributes.endswith("/"):
                 continue
-            inside = name == "header" and open_articles  # an article's own header holds its title
-            left = (name in OTHER and not inside) or bool(attributes and ((names := " ".join(x for t in _NAMED.findall(attributes) for x in t)) and name not in ("html", "body", "article", "main") and not (NAMES - {"header"} if open_articles else NAMES).isdisjoint(_parts(names)) or _HIDDEN.search(attributes)))
             article = -1
-            if name in ARTICLE and not out and not left:
+            if name in ARTICLE:
                 article = len(self.articles)
                 self.articles.append([len(self.tokens), -1])
-                open_articles += 1
-            stack.append((name, left, article))
-            out += left
+            stack.append((name, e, article))
             links += name == "a"
         text(source[at:])
-        close(0)
+        close(1)
+        for e in reversed(self.elements[1:]):  # children come after their parents
+            above = self.elements[e.parent]
+            above.words += e.words
+            above.marks += e.marks
+            if e.name in ("h1", "main", "article"):
+                above.marks[e.name] += 1
 
     def labelled(self) -> list[int] | None:
         """The range of the article that a page marks itself, if there is one."""
         outer = [a for a in self.articles if not any(b is not a and b[0] <= a[0] and a[1] <= b[1] for b in self.articles)]
         return outer[0] if len(outer) == 1 else None
 
+    def weights(self, scores: Scores) -> tuple[list[float], list[int]]:
+        """What each element's features and those around it add to its words, and the outermost element that counts against them."""
+        total, against = [0.0], [0]
+        whole = self.elements[0]
+        for k, e in enumerate(self.elements[1:], 1):
+            own = 0.0 if scores.flat or not e.features else scores.element(e.features)
+            if own < 0 and (e.words > MOST * whole.words or any(whole.marks[m] == n for m, n in e.marks.items())):
+                own = 0.0  # what holds the page, or its only heading or article, is no part beside it
+            total.append(max(AGAINST, min(FOR, total[e.parent] + own)))
+            against.append(against[e.parent] or (k if own < 0 else 0))
+        return total, against
 
-def _parts(names: str) -> set[str]:
-    """The words of class names, also of those in camel case."""
-    return {p.lower() for p in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+", names)}
 
-
-def learn(pages: list[str]) -> dict[str, float]:
-    """Scores of kinds of tokens from pages that mark their article; the fixed scores if there are too few."""
-    inside, outside, used = Counter(), Counter(), 0
+def learn(pages: list[str]) -> Scores:
+    """Scores from pages that mark their article; the fixed ones if there are too few."""
+    counts: dict[str, list[Counter]] = {k: [Counter(), Counter()] for k in ("words", "kinds", "lengths", "features", "tags", "link")}
+    used = 0
     for source in pages:
         page = Page(source)
         if (own := page.labelled()) is None:
             continue
         used += 1
-        for k, (kind, text, _, left) in enumerate(page.tokens):
-            (inside if own[0] <= k < own[1] else outside)[kind] += len(text.split()) if kind in DEFAULT else 1
+        above: list[tuple[str, ...]] = []
+        for e in page.elements:
+            above.append((above[e.parent] if e.parent >= 0 else ()) + tuple(f for f in e.features if f not in ("<article", "<main")))
+        for k, (tag, e, block, text, link) in enumerate(page.tokens):
+            side = 0 if own[0] <= k < own[1] else 1
+            if tag:
+                if tag.lstrip("/") not in ARTICLE:
+                    counts["tags"][side][tag] += 1
+            elif n := len(text.split()):
+                counts["link"][side]["a" if link else ""] += n
+                for f in above[e]:
+                    counts["features"][side][f] += n
+                if not link:
+                    kind, length = page.kinds[block], _length(page.sizes[block])
+                    kind = "" if kind in ARTICLE else kind
+                    for name, key in (("words", (kind, length)), ("kinds", kind), ("lengths", length)):
+                        counts[name][side][key] += n
     if used < MIN_PAGES:
-        return dict(DEFAULT)
-    total = [sum(c.values()) + 1 for c in (inside, outside)]
-    ratio = {k: math.log((inside[k] + 0.5) / total[0]) - math.log((outside[k] + 0.5) / total[1]) for k in {*inside, *outside}}
-    # words count for, everything else against the region, by as much as was learned
-    scores = {k: -max(0.2, min(MOST_AGAINST, 1.5 - v)) for k, v in ratio.items()}
-    scores["word"] = max(0.3, min(3.0, ratio.get("word", 1.0)))
-    scores["link"] = min(0.5, ratio["link"]) if "link" in ratio else DEFAULT["link"]
-    scores["tag"], scores["space"] = DEFAULT["tag"], 0.0
-    return scores
-
-
-def region(page: Page, scores: dict[str, float]) -> tuple[int, int]:
-    """The run of tokens with the largest total score, by one scan."""
-    best = total = 0.0
+        return DEFAULT
+
+    def ratio(name: str, fixed) -> dict:
+        (inside, outside), out = counts[name], {}
+        words = "words" if name == "features" else name  # a feature's words are counted against all words
+        total = [sum(c.values()) + 1 for c in counts[words]]
+        for key in {*inside, *outside}:
+            odds = math.log((inside[key] + 0.5) / total[0]) - math.log((outside[key] + 0.5) / total[1])
+            n = inside[key] + outside[key]
+            out[key] = (n * odds + EVIDENCE * fixed(key)) / (n + EVIDENCE)
+        return out
+
+    clip = lambda v, lo, hi: max(lo, min(hi, v))
+    kinds, lengths = ratio("kinds", lambda k: 0.0), ratio("lengths", lambda k: 0.0)
+    words = {k: clip(v, -WORD, WORD) for k, v in ratio("words", lambda k: fixed_word(*k)).items()}
+    tags = {k: clip(v - 1, *TAG) for k, v in ratio("tags", lambda k: 0.0).items()}
+    features = {k: clip(v, AGAINST, FOR) for k, v in ratio("features", fixed_feature).items()}
+    return Scores(words, {k: clip(v, -WORD, WORD) for k, v in kinds.items()}, {k: clip(v, -WORD, WORD) for k, v in lengths.items()}, features, tags, clip(ratio("link", lambda k: 0.0).get("a", -0.3), LINK, 0.5))
+
+
+def region(page: Page, scores: Scores) -> tuple[int, int, Counter]:
+    """The run of tokens with the largest total score, by one scan; and for each block its score where its elements count against it."""
+    total, against = page.weights(scores)
+    spent: dict[int, float] = {}
+    blocks: Counter = Counter()
+    best = run = 0.0
     begin, found = 0, (0, 0)
-    tag = scores["tag"]
-    for k, (kind, text, _, left) in enumerate(page.tokens):
-        if left:  # what is left out anyway counts once, by its first tag
+    for k, (tag, e, block, text, link) in enumerate(page.tokens):
+        if tag:
+            score = max(scores.tags.get(tag, -0.2), TAG[0])
+        elif n := len(text.split()):
+            kind = page.kinds[block]
+            score = n * (total[e] + (scores.link if link else scores.word("" if kind in ARTICLE else kind, _length(page.sizes[block]))))
+            blocks[block] += score if against[e] else n
+        else:
             continue
-        total += scores[kind] * (text.count(" ") + 1) if kind in DEFAULT else 0.0 if kind == "space" else scores.get(kind, tag)
-        if total <= 0:
-            total, begin = 0.0, k + 1
-        elif total > best:
-            best, found = total, (begin, k + 1)
-    return found
+        if score < 0 and (a := against[e]):
+            score = max(score, -FLOOR - spent.get(a, 0.0))
+            spent[a] = spent.get(a, 0.0) + score
+        run += score
+        if run <= 0:
+            run, begin = 0.0, k + 1
+        elif run > best:
+            best, found = run, (begin, k + 1)
+    return *found, blocks
 
 
-def extract(source: str | None, scores: dict[str, float]) -> str:
+def extract(source: str | None, scores: Scores) -> str:
     """The main text of one page."""
     if not source:
         return ""
     page = Page(source)
-    lo, hi = region(page, scores)
-    words = sum(t[0] in ("word", "link") for t in page.tokens[lo:hi])
-    whole = [(a, b) for a, b in page.articles if sum(t[0] in ("word", "link") for t in page.tokens[max(a, lo) : min(b, hi)]) * 2 > words]
-    if whole:
-        lo, hi = min(whole, key=lambda a: a[1] - a[0])
-    elif any(a < b for a, b in page.articles) and not words:
-        lo, hi = max(page.articles, key=lambda a: a[1] - a[0])
-    blocks: dict[int, list[str]] = {}
-    for _, text, block, left in page.tokens[lo:hi]:
-        if text and not left:
-            blocks.setdefault(block, []).append(text)
-    found = (" ".join(html.unescape("".join(parts)).split()) for _, parts in sorted(blocks.items()))
-    return "\n".join(b for b in found if b)
-
-
-def fit(pages: DataFrame) -> dict[str, float]:
-    """Scores from a bounded sample of the pages that mark their article, those with the lowest hash of page_id."""
+    for own in (scores, DEFAULT, FLAT):
+        lo, hi, score = region(page, own)
+        blocks: dict[int, list[str]] = {}
+        for _, _, block, text, _ in page.tokens[lo:hi]:
+            if text and score[block] > 0:
+                blocks.setdefault(block, []).append(text)
+        found = (" ".join(html.unescape("".join(parts)).split()) for _, parts in sorted(blocks.items()))
+        if out := "\n".join(b for b in found if b):
+            return out
+    return ""
+
+
+def fit(pages: DataFrame) -> Scores:
+    """Scores from a bounded sample of the pages that mark their article, those with the lowest hash; of a long one a window."""
     marks = F.col("html").rlike("(?i)<(article|main)[\\s>]")
-    ok = pages.filter(F.col("page_id").isNotNull() & F.length("html").between(1, TRAIN_CHARS) & marks).withColumn("_at", F.xxhash64("page_id"))
-    ids = [r[0] for r in ok.select("page_id", "_at").distinct().orderBy("_at", "page_id").limit(TRAIN_PAGES).collect()]
+    ok = pages.filter(marks).select(F.xxhash64("page_id", "html").alias("_at"), "html")
+    ids = [r[0] for r in ok.select("_at").distinct().orderBy("_at").limit(TRAIN_PAGES).collect()]
     if not ids:
-        return dict(DEFAULT)
-    chosen = F.broadcast(pages.sparkSession.createDataFrame([(i,) for i in ids], "page_id long"))  # TRAIN_PAGES at most
-    return learn([r[0] for r in sorted(ok.join(chosen, "page_id", "left_semi").select("html", "page_id").collect(), key=lambda r: (r[1], r[0]))])
+        return DEFAULT
+    chosen = F.broadcast(pages.sparkSession.createDataFrame([(i,) for i in ids], "_at long"))  # TRAIN_PAGES at most
+    # the window begins before the article, so that it shows both sides of its edge
+    begin = F.greatest(F.lit(1), F.regexp_instr(F.lower("html"), F.lit("<(article|main)[\\s>]")) - TRAIN_CHARS // 2)
+    cut = F.when(F.length("html") > TRAIN_CHARS, F.col("html").substr(begin, F.lit(TRAIN_CHARS))).otherwise(F.col("html"))
+    got = ok.join(chosen, "_at", "left_semi").groupBy("_at").agg(F.min(cut).alias("html")).collect()
+    return learn([r.html for r in sorted(got, key=lambda r: r._at)])
 
 
-def main_text(pages: DataFrame, scores: dict[str, float] | None = None) -> DataFrame:
+def main_text(pages: DataFrame, scores: Scores | None = None) -> DataFrame:
     """Per page: page_id, url, text and n_chars."""
     bounded_batches(pages.sparkSession)
     scores = scores or fit(pages)
