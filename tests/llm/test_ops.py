@@ -708,6 +708,85 @@ def test_lm_counts_and_probabilities(docs, rows, no_docs, monkeypatch):
     assert op10_lm.score(no_docs).count() == 0
 
 
+def plain_score(model, text: str) -> float:
+    """A text's log10 probability, token by token in plain Python."""
+    net, w = model.network, {k: v.astype(float).tolist() for k, v in model.network.w.items()}
+    s, n = net.symbols, op10_lm.HIDDEN
+    places = {x: 1 + i for i, x in enumerate(s.head)}
+    soft = lambda row, k: row[k] - max(row) - math.log(sum(math.exp(x - max(row)) for x in row))
+    dot = lambda h, name, c: sum(a * b[c] for a, b in zip(h, w[name]))
+    h, last, total = [0.0] * n, s.count, 0.0
+    for token in [*SPACE.findall(text.translate(LOW)), None]:
+        x = w["x"][last]
+        g = [dot(h, "u", c) for c in range(3 * n)]
+        gate = [1 / (1 + math.exp(-(x[c] + g[c]))) for c in range(2 * n)]
+        new = [math.tanh(x[2 * n + c] + gate[n + c] * (g[2 * n + c] + w["b"][c])) for c in range(n)]
+        h = [new[c] + gate[c] * (h[c] - new[c]) for c in range(n)]
+        raw = b"" if token is None else token.encode()
+        kind = sum(len(raw) > k for k in op10_lm.TAIL_LENGTHS)
+        last = 0 if token is None else places.get(raw, 1 + len(s.head) + kind)
+        known = last <= len(s.head)
+        cls = int(s.class_of[last]) if known else len(s.ranges) - 1 + kind
+        total += soft([dot(h, "c", c) + w["cb"][c] for c in range(s.classes)], cls) / math.log(10)
+        if known:
+            lo, hi = int(s.ranges[cls]), int(s.ranges[cls + 1])
+            if hi - lo > 1:
+                total += soft([dot(h, "m", c) + w["mb"][c] for c in range(lo, hi)], last - lo) / math.log(10)
+        else:
+            count = int(model.counts[model.hot[raw]]) if raw in model.hot else 0
+            total += math.log10((count + 0.5) / (model.tail_tokens[kind] + 0.5 * (model.tail_distinct[kind] + 1)))
+    return total
+
+
+def test_lm_scores_equal_a_plain_walk(docs, rows, monkeypatch):
+    """Whole texts, with the state carried on, are scored as one token after another; the windows don't show."""
+    monkeypatch.setattr(op10_lm, "HEAD", 30)
+    monkeypatch.setattr(op10_lm, "SHARE", 2)  # tasks learn too
+    model, _ = op10_lm.fit(docs)
+    monkeypatch.setattr(op10_lm, "fit", lambda df: (model, fitted(df)))
+    fitted = lambda df: op10_lm.word_counts(df.filter(~op10_lm.held_out(F.col("doc_id"))))
+    got = {}
+    for r in op10_lm.score(docs).collect():
+        got.setdefault(r.doc_id, []).append(r.score)
+    for i, text in rows[:52]:
+        assert any(x == pytest.approx(plain_score(model, text or ""), rel=1e-4) for x in got[i]), i
+    assert sum(plain_score(model, "word word") + plain_score(model, x) < 0 for x in ("", "a")) == 2
+
+
+def test_lm_beats_its_classes_without_context(spark):
+    """Held-out documents: the network against the shares of its own symbols, the rarer words being the same in both."""
+    import pyarrow as pa
+
+    from tidemark.llm.textscan import utf8
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model, _ = op10_lm.fit(docs)
+    reader, s = op10_lm.Reader(model), model.network.symbols
+    share = np.concatenate([[model.documents], [model.counts[model.hot[w]] for w in s.head], model.tail_tokens]) + 0.5
+    share = np.log(share / share.sum())
+    texts = [r.text for r in docs.filter(op10_lm.held_out(F.col("doc_id"))).collect()]
+    flow, of, *_ = reader.read(*utf8(pa.array(texts, pa.string())))
+    assert model.network.score(flow, of).sum() / len(flow) > share[flow].mean() + 0.4
+
+
+def test_lm_learns_from_all_lengths_and_more_from_more(spark, monkeypatch):
+    """Long texts are sampled by windows, and every task's documents count."""
+    from tidemark.llm.sampling import sample_texts
+
+    long = " ".join(f"w{i}" for i in range(5000))
+    df = spark.createDataFrame([(i, long) for i in range(30)], "doc_id long, text string")
+    got = sample_texts(df, 20, 10, 500)
+    assert len(got) == 20 and all(len(t) == 500 and t in long for _, t in got) and len({t for _, t in got}) > 15
+    seen = []
+    refine = op10_lm.refine
+    monkeypatch.setattr(op10_lm, "refine", lambda model, part: (seen.append({r.doc_id for r in part.collect()}), refine(model, part))[1])
+    monkeypatch.setattr(op10_lm, "SHARE", 2)
+    before = spark.createDataFrame([(i, "a b c d e " * (i % 7 + 1)) for i in range(200)], "doc_id long, text string").repartition(4)
+    op10_lm.fit(before)
+    known = {r.doc_id for r in before.filter(~op10_lm.held_out(F.col("doc_id"))).collect()}
+    assert len(seen) == 2 and not seen[0] & seen[1] and seen[0] | seen[1] == known
+
+
 def test_lm_gradients_and_lanes():
     s = op10_lm.symbols([(b"w%d" % i, 1000 - i) for i in range(40)], 50)
     net = op10_lm.Network(s)
