@@ -644,6 +644,39 @@ def test_neighbours_reach_recall(spark):
     assert [a.vec_id for a in by[500]] == [100, 101, 102, 103, 104] and [a.vec_id for a in by[100]] == [101, 102, 103, 104, 105]
 
 
+def neighbours_recall(spark, x: np.ndarray, every: int = 50) -> float:
+    """The share of the true five nearest that are found, the least over all queries and their mean."""
+    found = {}
+    rows_ = [(i, v.tolist()) for i, v in enumerate(x)]
+    for r in op6_neighbours.nearest(spark.createDataFrame(rows_, "vec_id long, embedding array<double>").repartition(3), every).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    share = []
+    for q in range(0, len(x), every):
+        cosine = u @ u[q]
+        cosine[q] = -9
+        share.append(len(found[q] & set(np.argsort(-cosine, kind="stable")[:5].tolist())) / 5)
+    return float(np.mean(share))
+
+
+def test_neighbours_among_noisy_copies_and_outliers(spark, monkeypatch):
+    """A third of all rows nearly alike, in cells of many shards; and queries far from everything."""
+    monkeypatch.setattr(op6_neighbours, "SHARD", 300)
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(20, 24))
+    x = centres[r.integers(0, 20, 3000)] + 0.6 * r.normal(size=(3000, 24))
+    x[1000:2000] = centres[0] + 1e-3 * r.normal(size=(1000, 24))
+    x[:2000:100] = 3 * r.normal(size=(20, 24))  # outliers, all of them queries
+    assert neighbours_recall(spark, x) >= 0.9
+
+
+def test_neighbours_with_equal_cosines_are_those_of_the_smallest_ids(spark):
+    """Scaled copies are different vectors with one cosine."""
+    rows_ = [(0, [1.0, 0.0])] + [(i, [2.0 ** (i % 7 - 3), 2.0 ** (i % 7 - 3)]) for i in range(1, 60)]
+    got = op6_neighbours.nearest(spark.createDataFrame(rows_, "vec_id long, embedding array<double>"), 50).filter("query_id = 0").orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2, 3, 4, 5]
+
+
 def test_neighbours_of_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.vec_id) for r in op6_neighbours.nearest(df).orderBy("rank").collect()] == [(0, 1), (0, 2)]
