@@ -106,6 +106,38 @@ def test_substring_equals_brute_force(docs, rows):
     assert table(op7_substring.remove_repeats(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=repr)
 
 
+def test_a_passage_in_every_chunk_is_dealt_out_twice_a_task(spark, monkeypatch):
+    """And results stay those of brute force, whatever a task remembers."""
+    import random
+
+    import pyarrow as pa
+
+    from tidemark.llm import textscan
+
+    r = random.Random(12)
+    word = lambda n: " ".join(f"w{r.randrange(400)}" for _ in range(n))
+    passage = word(60)
+    texts = [f"{word(r.randrange(40))} {passage if k % 3 == 0 else ''} {word(r.randrange(40))}" for k in range(120)] + [word(50)] * 2
+    words_ = [t.split() for t in texts]
+    times = Counter(tuple(w[k : k + 35]) for w in words_ for k in range(len(w) - 34))
+    hit = [{p for k in range(len(w) - 34) if times[tuple(w[k : k + 35])] > 1 for p in range(k, k + 35)} for w in words_]
+    want = sorted(((i, len(w), len(h), sha(" ".join(x for p, x in enumerate(w) if p not in h))) for i, (w, h) in enumerate(zip(words_, hit, strict=True))), key=repr)
+    small = lambda batches, *_: textscan.chunks(batches, limit=600)
+    monkeypatch.setattr(op7_substring, "chunks", small)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    for most in (1 << 20, 40):
+        monkeypatch.setattr(op7_substring, "REMEMBERED", most)
+        assert table(op7_substring.remove_repeats(df), "doc_id", "n_words", "n_removed", "kept_sha256") == want
+    monkeypatch.setattr(op7_substring, "REMEMBERED", 1 << 20)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    keys = []
+    for part in op7_substring._anchors(1)(iter([batch])):
+        for payload in part.column("payload").to_pylist():
+            a, b, *_ = op7_substring.unpack([payload], *op7_substring.ANCHOR_TYPES)
+            keys += op7_substring._join40(a, b).tolist()
+    assert max(Counter(keys).values()) == 2
+
+
 def test_the_cover_covers():
     assert {(a - b) % op7_substring.PERIOD for a in op7_substring.COVER for b in op7_substring.COVER} == set(range(op7_substring.PERIOD))
 
@@ -377,6 +409,16 @@ def test_decontamination_equals_brute_force(spark, docs, rows, texts):
     assert table(op3_decontaminate.decontaminate(docs, bench.limit(0)), *COLUMNS) == leaks(rows, [])
 
 
+def test_a_window_of_many_items_in_many_documents(spark):
+    """Its items are listed once for all documents that hold the same windows."""
+    shared, own = " ".join(f"s{i}" for i in range(12)), [" ".join(f"o{k}x{i}" for i in range(11)) for k in range(40)]
+    items = [(100 + k, f"{shared} {own[k]}") for k in range(40)] + [(None, shared), (7, own[0])]
+    rows_ = [(i, f"x {shared} y") for i in range(60)] + [(60 + k, f"{own[k]} {shared}") for k in range(40)] + [(200, own[0]), (201, "nothing"), (202, None)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, t, 1, "x") for i, t in items], "item_id long, text string, length int, items string")
+    assert table(op3_decontaminate.decontaminate(df, bench), *COLUMNS) == leaks(rows_, items)
+
+
 def test_decontamination_without_broadcasts(spark, docs, rows, texts, monkeypatch):
     monkeypatch.setattr(op3_decontaminate, "BROADCAST_ROWS", 0)
     items = [(1, texts[8])]

@@ -111,16 +111,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     before = F.coalesce(F.max(F.col("place") + F.col("length")).over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     fresh = F.greatest(F.lit(0), F.col("place") + F.col("length") - F.greatest("place", before))
     covered = hits.select("_doc", "_text", fresh.alias("fresh")).groupBy("_doc", "_text").agg(F.sum("fresh").cast("long").alias("n_hit"))
-    held = hits.select("_doc", "_text", "length", "h", "g").distinct().join(_small(windows), ["length", "h", "g"]).groupBy("_doc", "_text").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    found = covered.join(held.toDF("_hd", "_ht", "items"), F.col("_doc").eqNullSafe(F.col("_hd")) & (F.col("_text") == F.col("_ht"))).select(F.col("_doc").alias("_d"), F.col("_text").alias("_t"), "n_hit", "items")
+    # items by lists of a window, and lists by documents: a window of many items in many documents makes no product of both
+    lists = windows.groupBy("length", "h", "g").agg(F.sort_array(F.collect_set("item_id")).alias("items")).withColumn("list", F.struct(F.xxhash64("items").alias("a"), F.xxhash64("items", F.lit(1)).alias("b")))
+    held = hits.select("_doc", "_text", "length", "h", "g").distinct().join(_small(lists.select("length", "h", "g", "list")), ["length", "h", "g"])
+    held = held.groupBy("_doc", "_text").agg(F.sort_array(F.collect_set("list")).alias("lists"))
+    names = lists.select("list", "items").dropDuplicates(["list"])
+    named = held.select("lists").distinct().select("lists", F.explode("lists").alias("list")).join(names, "list").select("lists", F.explode("items").alias("item"))
+    named = named.groupBy("lists").agg(F.sort_array(F.collect_set("item")).alias("items")).select(F.col("lists").alias("_lists"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("sha"))
+    held = held.join(named, F.col("lists") == F.col("_lists"), "left").select(F.col("_doc").alias("_hd"), F.col("_text").alias("_ht"), "n_items", "sha")
+    found = covered.join(held, F.col("_doc").eqNullSafe(F.col("_hd")) & (F.col("_text") == F.col("_ht"))).select(F.col("_doc").alias("_d"), F.col("_text").alias("_t"), "n_hit", "n_items", "sha")
     joined = every.join(found, every["_doc"].eqNullSafe(found["_d"]) & (every["_text"] == found["_t"]), "left")
     each = joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
     return each.select(
         F.col("_doc").alias("doc_id"),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.concat_ws(",", "items"), F.lit("")).cast("binary"), 256).alias("items_sha256"),
+        F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("sha", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
 

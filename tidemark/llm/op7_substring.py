@@ -5,9 +5,10 @@ places i and j there is a shift below 21 after which both are cover positions. S
 the same words, an anchor of 15 words at a cover position of either document lies in both at the same
 shift, and it is enough to hash anchors at 5 of 21 positions. An anchor that occurs more than once is
 extended: the windows that contain it are hashed whole (64 bits and, by its bucket, those of a second
-hash), and those that occur more than once are removed, each after a look at its own text. No pairs are made: both steps count keys. Among the equal keys of one chunk of documents
-only one is dealt out by its key; the others are known to repeat and go anywhere, so a passage that
-fills a third of all rows puts no more than one row for each chunk into a bucket.
+hash), and those that occur more than once are removed, each after a look at its own text. No pairs are
+made: both steps count keys. Of the equal keys that a task meets only the first two are dealt out by their
+key; the others are known to repeat and go anywhere, so a passage that fills a third of all rows puts about
+two rows for each task into a bucket.
 
 Defined results: null and empty texts have no words and the hash of nothing; rows with equal doc_id
 and text count as two occurrences; a null doc_id is kept as a document of its own; empty tables give
@@ -34,6 +35,8 @@ COVER, PERIOD = (3, 6, 7, 12, 14), 21
 WINDOW = 35
 ANCHOR = WINDOW - PERIOD + 1
 KNOWN = np.uint32(1 << 31)
+#: Keys that a task remembers of each kind: those met once, and those met again.
+REMEMBERED = 1 << 20
 LOW40 = np.uint64((1 << 40) - 1)
 #: Columns of the packed arrays: key, document, place; the first step needs fewer bits, as its errors only cost time.
 ANCHOR_TYPES = ("<u4", "u1", "<u4", "u1", "<u4")
@@ -63,22 +66,45 @@ def _join40(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.uint64) | b.astype(np.uint64) << np.uint64(32)
 
 
-def _spread(key: np.ndarray, other: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys and places in which each key stands once; further copies are marked as known and get keys and buckets of their own.
+class _Seen:
+    """The keys that a task has met, so that those of a passage in all of its chunks are dealt out twice and not once a chunk.
 
-    The low 32 bits of a key stay, so that a place can be checked against its text in the end.
+    What it remembers is bounded; a key that was forgotten is dealt out once more, which changes no result.
     """
-    order = np.lexsort((other, key))
-    same = np.append(False, (key[order][1:] == key[order][:-1]) & (other[order][1:] == other[order][:-1]))
-    known = same.copy()
-    known[:-1] |= same[1:]
-    key, other, place = key.copy(), other.copy(), place.copy()
-    place[order[known]] |= KNOWN
-    extra = order[same]
-    own = mix(key[extra] + mix(extra.astype(np.uint64) + np.uint64(0x51ED270B)))
-    key[extra] = (key[extra] & np.uint64(0xFFFFFFFF)) | (own << np.uint64(32))
-    other[extra] = mix(own)
-    return key, other, place
+
+    def __init__(self):
+        self.once = self.often = np.zeros(0, np.uint64)
+
+    def spread(self, key: np.ndarray, other: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys and places in which each key that isn't known to repeat stands once; further copies are marked as known and get keys and buckets of their own.
+
+        The second time a key is met it is dealt out with a mark, so that the first one is found to repeat; after that
+        all of its copies go anywhere. The low 32 bits of a key stay, so that a place can be checked against its text
+        in the end.
+        """
+        name, first, of, count = np.unique(key ^ mix(other + np.uint64(1)), return_index=True, return_inverse=True, return_counts=True)
+        once, often = _among(name, self.once), _among(name, self.often)
+        repeats = once | often | (count > 1)
+        key, other, place = key.copy(), other.copy(), place.copy()
+        place[repeats[of]] |= KNOWN
+        extra = np.ones(len(key), bool)
+        extra[first[~often]] = False
+        extra = np.flatnonzero(extra)
+        own = mix(key[extra] + mix(extra.astype(np.uint64) + np.uint64(0x51ED270B)))
+        key[extra] = (key[extra] & np.uint64(0xFFFFFFFF)) | (own << np.uint64(32))
+        other[extra] = mix(own)
+        self.once = _with(self.once, name[~repeats])
+        self.often = _with(self.often, name[repeats & ~often])
+        return key, other, place
+
+
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
+
+
+def _with(known: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Both in order; only the new ones if there would be too many."""
+    return np.sort(np.concatenate([known, more]), kind="stable") if len(known) + len(more) <= REMEMBERED else more
 
 
 def _anchors(buckets: int):
@@ -86,6 +112,7 @@ def _anchors(buckets: int):
     cover[list(COVER)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
         for b in chunks(batches):
             raw, at = utf8(b.column("text"))
             starts, ends, of = words(raw, at)
@@ -99,7 +126,7 @@ def _anchors(buckets: int):
             at_cover = np.flatnonzero((cover[place % PERIOD] & (place + ANCHOR <= long) & (long >= WINDOW))[: len(key)])
             key, place, doc = key[at_cover], place[at_cover].astype(np.uint32), np.repeat(_documents(b), size)[at_cover] & LOW40
             # the bits that choose the bucket are not among the 40 that are kept
-            key, other, place = _spread(key, mix(key), place)
+            key, other, place = seen.spread(key, mix(key), place)
             bucket, payload = pack((other % np.uint64(buckets)).astype(np.int32), *_split40(key & LOW40), *_split40(doc), place)
             for i in range(0, len(bucket), 256):
                 part = bucket[i : i + 256]
@@ -191,7 +218,7 @@ def _extend(buckets: int):
     """Hashes the windows that contain a flagged anchor; documents without one are finished here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, payloads, flags = None, [], None
+        now, payloads, flags, seen = None, [], None, _Seen()
         for bucket, kind, part in runs(batches):
             if bucket != now:
                 now, payloads, flags = bucket, [], None
@@ -226,7 +253,7 @@ def _extend(buckets: int):
                 key, other = window_hashes(h, WINDOW)[at], window_hashes(mix(h ^ np.uint64(0xA5A5A5A55A5A5A5A)), WINDOW, 0xC2B2AE3D27D4EB4F)[at]
                 owner = np.searchsorted(of, at, "right") - 1
                 where = (at - of[owner]).astype(np.uint32)
-                key, other, where = _spread(key, other, where)
+                key, other, where = seen.spread(key, other, where)
                 who = key_of[owner]
                 bucket_of, payload = pack((other % np.uint64(buckets)).astype(np.int32), key, who.astype(np.uint32), (who >> np.uint64(32)).astype(np.uint16), where)
                 for i in range(0, len(bucket_of), 256):
