@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,6 +75,8 @@ class _Seen:
 
     def __init__(self):
         self.once = self.often = np.zeros(0, np.uint64)
+        task = TaskContext.get()
+        self.count = (task.partitionId() if task else 0) << 40  # tells the copies of tasks and chunks apart
 
     def spread(self, key: np.ndarray, other: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Keys and places in which each key that isn't known to repeat stands once; further copies are marked as known and get keys and buckets of their own.
@@ -90,7 +93,8 @@ class _Seen:
         extra = np.ones(len(key), bool)
         extra[first[~often]] = False
         extra = np.flatnonzero(extra)
-        own = mix(key[extra] + mix(extra.astype(np.uint64) + np.uint64(0x51ED270B)))
+        own = mix(key[extra] + mix(extra.astype(np.uint64) + np.uint64(self.count + 0x51ED270B)))
+        self.count += len(key)
         key[extra] = (key[extra] & np.uint64(0xFFFFFFFF)) | (own << np.uint64(32))
         other[extra] = mix(own)
         self.once = _with(self.once, name[~repeats])
