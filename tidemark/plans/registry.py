@@ -53,13 +53,14 @@ EPOCHS = """e AS (SELECT event_id, user_id AS subject_id, row_number() OVER (PAR
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of each type in each hour from the table's first to its last, zeros included."""
-    e = table(spark, sf_dir, "events")
-    span = e.agg(F.date_trunc("HOUR", F.min("ts")).cast("timestamp_ntz").alias("_lo"), F.max("ts").cast("timestamp_ntz").alias("_hi"))
+    hour = F.date_trunc("HOUR", "ts").cast("timestamp_ntz")
+    # all that follows comes from the counts, which are shuffled once
+    counts = table(spark, sf_dir, "events").groupBy("event_type", hour.alias("_h")).agg(F.count("*").cast("double").alias("_x"))
+    span = counts.agg(F.min("_h").alias("_lo"), F.max("_h").alias("_hi"))
+    at = counts.crossJoin(F.broadcast(span)).select("event_type", F.expr("timestampdiff(HOUR, _lo, _h)").cast("int").alias("i"), "_x")  # one row
     hours = F.expr("timestampdiff(HOUR, _lo, _hi)").cast("int")
-    at = e.withColumn("ts", F.col("ts").cast("timestamp_ntz")).crossJoin(F.broadcast(span))  # one row
-    counts = at.groupBy("event_type", F.expr("timestampdiff(HOUR, _lo, ts)").cast("int").alias("i")).agg(F.count("*").cast("double").alias("_x"))
-    grid = e.select("event_type").distinct().crossJoin(F.broadcast(span)).select("event_type", F.explode(F.sequence(F.lit(0), hours)).alias("i"))
-    return grid.join(counts, ["event_type", "i"], "left").select("event_type", "i", F.coalesce("_x", F.lit(0.0)).alias("x"))
+    grid = counts.select("event_type").distinct().crossJoin(F.broadcast(span)).select("event_type", F.explode(F.sequence(F.lit(0), hours)).alias("i"))
+    return grid.join(at, ["event_type", "i"], "left").select("event_type", "i", F.coalesce("_x", F.lit(0.0)).alias("x"))
 
 
 HOURLY = """t0 AS (SELECT date_trunc('hour', min(ts)) AS lo, date_diff('hour', date_trunc('hour', min(ts)), max(ts)) + 1 AS n FROM events),
