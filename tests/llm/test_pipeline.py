@@ -54,6 +54,28 @@ def test_run_gives_the_same(spark, stages):
     assert {r.doc_id for r in corpus_pipeline.run(spark, DIR).select("doc_id").collect()} == {r.doc_id for r in stages[-1].select("doc_id").collect()}
 
 
+def test_stages_take_odd_rows_and_empty_tables(spark, docs, no_docs, rows_of_texts, tmp_path):
+    """Nulls, empty and long texts, repeated rows, columns that clash with those of operators, and no rows at all."""
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    leak = " ".join(rows_of_texts[8][1].split()[:12])
+    spark.createDataFrame([(1, leak, 5)], "item_id long, text string, key long").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for k, start in enumerate((docs.withColumn("ids", F.lit("old")), no_docs)):
+        now = start
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, now, str(tmp_path))
+            out.write.parquet(f"{tmp_path}/{k}-{name}")
+            before, now = now, spark.read.parquet(f"{tmp_path}/{k}-{name}")
+            assert now.count() <= before.count() and (name == "tokens" or now.columns == before.columns), name
+        left = {r.doc_id for r in now.collect()}
+        assert {"ids", "token_ends"} <= set(now.columns) and (not left if k else None in left and 8 not in left and 0 in left)
+        assert now.filter("ids is null").count() == 0
+
+
+@pytest.fixture(scope="module")
+def rows_of_texts(texts):
+    return list(enumerate(texts))
+
+
 def test_queries_match_their_sql(spark):
     import duckdb
 
