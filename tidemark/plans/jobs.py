@@ -14,7 +14,7 @@ from ..functions import kernels as K
 from ..functions import settings
 from ..functions.scalars import STAGE_GROUPS, in_band
 from ..operators import fits, relational, sleep, spectra, statistics, validation
-from ..session import session, shared_folder
+from ..session import remove, session, shared_folder
 from ..sources import edf, sinks, tables
 from ..sources.recordings import Recordings, safe_id
 
@@ -106,6 +106,7 @@ def extract(spark: SparkSession, metadata: list[str], edf_dir: str, hypno_dir: s
     _replace(spark, issues, errors, "subject_id", mine, overwrite)
     rows = sinks.merged(None, sleep.metadata_rows(subjects, epochs), [*tables.METADATA, *sleep.STATISTICS])
     _replace(spark, rows, output, "ID", subjects.select("ID"), overwrite)
+    remove(spark, folder)
     return subjects
 
 

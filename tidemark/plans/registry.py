@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..functions.scalars import clean_id, finite, first_max, stage_code
 from ..operators import fits, intervals, relational, sleep, spectra, statistics, validation
-from ..session import shared_folder
+from ..session import remove, shared_folder
 from ..sources import recordings
 from ..streaming import incremental
 
@@ -459,6 +459,8 @@ def incremental_files(spark, d):
     for k, part in enumerate((e.filter("event_id % 3 = 0"), e.filter("event_id % 3 = 2 or event_id % 9 = 0"))):
         part.write.parquet(f"{folder}/in/{k}")
         incremental.ingest_new(spark, f"{folder}/in/*", e.schema, f"{folder}/out", f"{folder}/state", key="event_id")
+    for part in ("in", "state"):
+        remove(spark, f"{folder}/{part}")
     return spark.read.parquet(f"{folder}/out")
 
 

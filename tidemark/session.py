@@ -56,3 +56,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(folder)
     return folder
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate results that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
