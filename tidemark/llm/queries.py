@@ -77,6 +77,12 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.score(table(spark, sf_dir, "documents"))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op11_audit as op
+
+    return op.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 OP3_SQL = r"""
 WITH low AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
 d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents, low),
@@ -104,5 +110,27 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS
 FROM d LEFT JOIN kept USING (r)
 """
 
-QUERIES = {"op1_quality": op1_quality, "op2_html": op2_html, "op3_decontaminate": op3_decontaminate, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op6_neighbours": op6_neighbours, "op7_substring": op7_substring, "op8_secrets": op8_secrets, "op9_chat": op9_chat, "op10_lm": op10_lm}
-ORACLE: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op7_substring": OP7_SQL}
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+g AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+             CASE WHEN len(ws) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 'B' ELSE '' END
+             || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END
+             || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails
+      FROM w LEFT JOIN g USING (doc_id)),
+m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, k::INT AS step, filter_order[k] AS x, CASE WHEN k = 1 THEN '0' ELSE filter_order[1:k-1] END AS earlier FROM o, range(1, 6) AS r(k)),
+c AS (SELECT part, filter_order, step, x, n, n_good, n_toxic, fails, contains(fails, x) AS bad, regexp_matches(fails, '[' || earlier || ']') AS gone FROM m, s),
+r AS (SELECT part, filter_order, step, x, coalesce(sum(n) FILTER (NOT bad AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (bad AND NOT gone), 0)::BIGINT AS removed,
+             coalesce(sum(n) FILTER (bad AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = x), 0)::BIGINT AS unique_fails,
+             coalesce(sum(n_good) FILTER (bad AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(n_toxic) FILTER (bad AND NOT gone), 0)::BIGINT AS toxic_lost
+      FROM c GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM r
+"""
+
+QUERIES = {"op1_quality": op1_quality, "op2_html": op2_html, "op3_decontaminate": op3_decontaminate, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op6_neighbours": op6_neighbours, "op7_substring": op7_substring, "op8_secrets": op8_secrets, "op9_chat": op9_chat, "op10_lm": op10_lm, "op11_audit": op11_audit}
+ORACLE: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op7_substring": OP7_SQL, "op11_audit": OP11_SQL}
