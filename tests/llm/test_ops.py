@@ -15,8 +15,8 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import components, op1_quality, op2_html, op3_decontaminate, op4_simhash, op5_bpe, op6_neighbours, op7_substring, op8_secrets, op9_chat, op10_lm
-from tidemark.llm.queries import VOCABULARY
+from tidemark.llm import components, op1_quality, op2_html, op3_decontaminate, op4_simhash, op5_bpe, op6_neighbours, op7_substring, op8_secrets, op9_chat, op10_lm, op11_audit, op13_ids
+from tidemark.llm.queries import VOCABULARY, WORD_VOCABULARY
 
 PATH = public_tokenizers.path(VOCABULARY)
 LOW = {i: i + 32 for i in range(65, 91)}
@@ -897,3 +897,117 @@ def test_empty_tables(no_docs, spark):
     assert op8_secrets.redact(no_docs).count() == 0
     assert op8_secrets.scan(no_docs).count() == 0
     assert op3_decontaminate.decontaminate(no_docs, spark.createDataFrame([(1, "a b c")], "item_id long, text string")).count() == 0
+
+
+# 11
+
+
+def audited(docs: list, labels: list) -> list:
+    """Plain orders over plain documents."""
+    from itertools import permutations
+
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, t in labels if t == 1 and i is not None}
+    least: dict = {}
+    for i, t, _ in docs:
+        if i is not None:
+            least[t or ""] = min(i, least.get(t or "", i))
+    rows = []
+    for i, t, source in docs:
+        t = t or ""
+        w = SPACE.findall(t)
+        fails = {"A": len(w) < 200, "B": 100 * len(set(w)) < 50 * len(w), "C": 100 * len(re.findall("[A-Z]", t)) > 2 * len(t), "D": bool(re.search("[#$%&*|]", t)), "E": i is not None and i > least[t]}
+        rows.append((source or "", {f for f in fails if fails[f]}, i in good, i in toxic))
+    out = []
+    for part in sorted({r[0] for r in rows}):
+        own, share = [r for r in rows if r[0] == part], Counter()
+        for order in permutations("ABCDE"):
+            for k, f in enumerate(order):
+                share[f] += sum(f in r[1] and not r[1] & set(order[:k]) for r in own)
+        for order in permutations("ABCDE"):
+            for k, f in enumerate(order):
+                gone = set(order[:k])
+                removed = [r for r in own if f in r[1] and not r[1] & gone]
+                out.append((part, "".join(order), k + 1, sum(not r[1] & (gone | {f}) for r in own), len(removed), sum(f in r[1] and bool(r[1] & gone) for r in own), sum(r[1] == {f} for r in own), sum(r[2] for r in removed), sum(r[3] for r in removed), share[f]))
+    return out
+
+
+AUDIT = ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
+
+
+def test_audit_equals_plain_orders(spark, texts):
+    texts = [*texts[:14], *texts[40:55], "A B C " * 100, "word " * 300, "same # text"]
+    docs = [(k, t, ["a", "b", None, ""][k % 4]) for k, t in enumerate(texts)]
+    # copies in other parts, repeated rows, a doc_id with two texts, rows without a doc_id
+    docs += [(100 + k, t, "a") for k, t in enumerate(texts[10:20])] + [docs[4], docs[4], (5, "two texts", "b"), (None, texts[3], "a"), (None, texts[3], "b"), (None, None, "b"), (-1, texts[2], "a")]
+    labels = [(i, i % 2, i % 3 % 2) for i in range(0, 110, 2)] + [(4, 0, 1), (4, 1, 0), (None, 1, 1), (7, None, None)]
+    df = spark.createDataFrame([(*d, 1, 2, "x") for d in docs], "doc_id long, text string, source string, mask int, n long, part string")
+    marks = spark.createDataFrame([(*x, 3) for x in labels], "doc_id long, quality int, toxic int, n int")
+    got = table(op11_audit.audit(df, marks), *AUDIT)
+    assert got == sorted(audited(docs, labels), key=repr) and any(r[-1] and r[5] for r in got)
+    assert op11_audit.audit(df.limit(0), marks).count() == 0
+    assert {r[7] for r in table(op11_audit.audit(df, marks.limit(0)), *AUDIT)} == {0}
+
+
+# 13
+
+
+@pytest.fixture(scope="module")
+def word_tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(WORDS)
+
+
+WORDS = public_tokenizers.path(WORD_VOCABULARY)
+
+
+def test_codes_of_ids_round_trip():
+    r = np.random.default_rng(0)
+    for n in [0, 1, 3, 4, 5, 1000, 99_999]:
+        values = (2 ** (r.random(n) * 32)).astype(np.uint32)
+        control, data = op13_ids.pack(values)
+        assert (op13_ids.unpack(control, data, n) == values).all() and len(control) == -(-n // 4)
+        assert len(data) == sum(max(1, (int(v).bit_length() + 7) // 8) for v in values)
+
+
+def test_words_equal_the_library(texts, word_tokenizer):
+    import pyarrow as pa
+
+    from tidemark.llm.textscan import utf8
+
+    assert op13_ids.separable(WORDS)
+    hard = ["", " \n", "<|endoftext|> x<|endoftext|>y <|STARTOFTEXT|>", "á ́b ΑΣ ΑΣ. Σ J̌", "a\x0bb\x0cc\xa0d e", "mark \x01 a\x01b \x01", "x" * 3000, "a,b.c!'s it's, don't. 3.14;5:6?'ll"]
+    every = [*(t or "" for t in texts), *hard]
+    for group in ([*every], [t for t in every if "<|" not in t]):
+        one = op13_ids.Words(WORDS, True)
+        for lo in range(0, len(group), 7):
+            ids, at = one.encode(*utf8(pa.array(group[lo : lo + 7])))
+            assert [ids[i:j].tolist() for i, j in zip(at, at[1:])] == [e.ids for e in word_tokenizer.encode_batch(group[lo : lo + 7], add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("most", [None, 300])
+def test_files_of_ids(docs, rows, spark, word_tokenizer, monkeypatch, most):
+    if most:  # many blocks
+        monkeypatch.setattr(op13_ids, "BLOCK_IDS", most)
+    folder = op13_ids.new_folder(spark)
+    op13_ids.write(docs, WORDS, folder)
+    got = sorted(op13_ids.read(spark, folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    at = 0
+    for r in got:
+        assert (r.start, r.n_tokens) == (at, len(r.ids)) and r.ids[-1] == 2
+        at += len(r.ids)
+    want = [(i, [*word_tokenizer.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in rows]
+    assert sorted(((r.doc_id, r.ids) for r in got), key=repr) == sorted(want, key=repr)
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert table(op13_ids.digest(spark, folder), "doc_id", "start", "n_tokens", "ids_crc32") == sorted(((r.doc_id, r.start, r.n_tokens, crc(r.ids)) for r in got), key=repr)
+    count = Counter(x for r in got for x in r.ids)
+    ranks = [r.id for r in spark.read.parquet(f"{folder}/ranks").orderBy("rank").collect()]
+    assert ranks == sorted(count, key=lambda x: (-count[x], x))
+
+
+def test_files_of_no_documents(no_docs, spark):
+    folder = op13_ids.new_folder(spark)
+    op13_ids.write(no_docs, WORDS, folder)
+    assert op13_ids.digest(spark, folder).collect() == [] and op13_ids.read(spark, folder).collect() == []

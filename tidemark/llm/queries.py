@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Vocabulary that the registered queries encode with; operators take its path as a parameter.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Vocabulary of the binary files of ids.
+WORD_VOCABULARY = "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +85,14 @@ def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op13_ids as op
+
+    folder = op.new_folder(spark)
+    op.write(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY), folder)
+    return op.digest(spark, folder)
+
+
 OP3_SQL = r"""
 WITH low AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
 d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents, low),
@@ -132,5 +142,5 @@ r AS (SELECT part, filter_order, step, x, coalesce(sum(n) FILTER (NOT bad AND NO
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM r
 """
 
-QUERIES = {"op1_quality": op1_quality, "op2_html": op2_html, "op3_decontaminate": op3_decontaminate, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op6_neighbours": op6_neighbours, "op7_substring": op7_substring, "op8_secrets": op8_secrets, "op9_chat": op9_chat, "op10_lm": op10_lm, "op11_audit": op11_audit}
+QUERIES = {"op1_quality": op1_quality, "op2_html": op2_html, "op3_decontaminate": op3_decontaminate, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op6_neighbours": op6_neighbours, "op7_substring": op7_substring, "op8_secrets": op8_secrets, "op9_chat": op9_chat, "op10_lm": op10_lm, "op11_audit": op11_audit, "op13_ids": op13_ids}
 ORACLE: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op7_substring": OP7_SQL, "op11_audit": OP11_SQL}
