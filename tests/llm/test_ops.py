@@ -15,7 +15,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import components, op1_quality, op2_html, op3_decontaminate, op4_simhash, op5_bpe, op6_neighbours, op7_substring, op8_secrets, op9_chat, op10_lm, op11_audit, op13_ids
+from tidemark.llm import components, op1_quality, op2_html, op3_decontaminate, op4_simhash, op5_bpe, op6_neighbours, op7_substring, op8_secrets, op9_chat, op10_lm, op11_audit, op12_search, op13_ids
 from tidemark.llm.queries import VOCABULARY, WORD_VOCABULARY
 
 PATH = public_tokenizers.path(VOCABULARY)
@@ -1011,3 +1011,96 @@ def test_files_of_no_documents(no_docs, spark):
     folder = op13_ids.new_folder(spark)
     op13_ids.write(no_docs, WORDS, folder)
     assert op13_ids.digest(spark, folder).collect() == [] and op13_ids.read(spark, folder).collect() == []
+
+
+# 12
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def ranked(docs: list, items: list, best: int = 10) -> list:
+    """Plain scores of all documents for all items."""
+    every = [(i, Counter(TERM.findall((t or "").translate(LOW)))) for i, t in docs]
+    every = [(i, c, sum(c.values())) for i, c in every if c]
+    n, total = len(every), sum(x[2] for x in every)
+    df = Counter(t for _, c, _ in every for t in c)
+    out = []
+    for item, text in items:
+        score = []
+        for i, c, length in every:
+            m = 25 + 75 * length * n // total
+            s = sum(q * math.floor(1000 * math.log((2 * n + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t, q in Counter(TERM.findall((text or "").translate(LOW))).items() if t in c)
+            if s > 0:
+                score.append((-s, i is None, i))
+        out += [(item, k + 1, i, -s) for k, (s, _, i) in enumerate(sorted(score, key=lambda x: (x[0], x[1], x[2] or 0))[:best])]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("cluster, block", [(4, 500), (128, 1 << 20)])
+def test_search_equals_plain_scores(spark, docs, rows, texts, monkeypatch, cluster, block):
+    monkeypatch.setattr(op12_search, "BLOCK_POSTINGS", block)
+    monkeypatch.setattr(op12_search, "SAMPLE_LEAF", 4)
+    items = [(k, " ".join(t.split()[k : k + 30])) for k, t in enumerate(x for x in texts if x and len(x) > 200)]
+    items += [(100, None), (101, ""), (102, "nowhere 漢字 nothing"), (103, "X"), (104, "ou OU ou é"), (105, texts[-1]), (106, "#$%")]
+    table_of = spark.createDataFrame([(i, t, 1, "x") for i, t in [*items, items[0]]], "item_id long, text string, number int, term string")
+    folder = op12_search.new_folder(spark)
+    op12_search.build(docs, folder, cluster=cluster)
+    got = table(op12_search.search(spark, folder, table_of), "item_id", "rank", "doc_id", "score")
+    assert got == ranked(rows, items)
+    monkeypatch.setattr(op12_search, "QUERY_TERMS", 200)  # blocks of queries, tiles of few cells, no thresholds from a pilot
+    monkeypatch.setattr(op12_search, "TILE_CELLS", 300)
+    monkeypatch.setattr(op12_search, "PILOT", 0)
+    assert table(op12_search.search(spark, folder, table_of, 3), "item_id", "rank", "doc_id", "score") == ranked(rows, items, 3)
+    assert op12_search.search(spark, folder, table_of.limit(0)).count() == 0
+    shards = spark.read.parquet(f"{folder}/shards")
+    assert shards.selectExpr("sum(size(doc_ids))").first()[0] == sum(bool(TERM.search(t or "")) for _, t in rows)
+    assert shards.selectExpr("max(size(doc_ids))").first()[0] <= cluster
+
+
+def test_search_among_copies_and_ties(spark):
+    docs = [(i, "one two three " + "four " * (i % 3)) for i in range(400)] + [(i, f"five w{i}") for i in range(400, 450)]
+    items = [(1, "one four"), (2, "five w409 w444"), (3, "one")]
+    folder = op12_search.new_folder(spark)
+    op12_search.build(spark.createDataFrame(docs, "doc_id long, text string"), folder, cluster=16)
+    got = op12_search.search(spark, folder, spark.createDataFrame(items, "item_id long, text string"))
+    assert table(got, "item_id", "rank", "doc_id", "score") == ranked(docs, items)
+    empty = op12_search.new_folder(spark)
+    op12_search.build(spark.createDataFrame([(1, None), (2, " ! ")], "doc_id long, text string"), empty)
+    assert op12_search.search(spark, empty, spark.createDataFrame(items, "item_id long, text string")).count() == 0
+
+
+def test_search_stops_early(spark):
+    """Bounds let most shards of a topical collection be passed over, and the best documents are still exact."""
+    import random
+
+    r = random.Random(5)
+    topics = [[f"t{k}x{i}" for i in range(40)] for k in range(16)]
+    docs = [(i, " ".join(r.choice(topics[i % 16]) if r.random() < 0.8 else f"c{r.randrange(50)}" for _ in range(60))) for i in range(2000)]
+    items = [(k, " ".join(r.sample(topics[k], 8))) for k in range(16)]
+    folder = op12_search.new_folder(spark)
+    op12_search.build(spark.createDataFrame(docs, "doc_id long, text string"), folder, cluster=32)
+    rows = [x.asDict() for x in spark.read.parquet(f"{folder}/shards").collect()]
+    # a shard holds few topics
+    own = [Counter(i % 16 for i in x["doc_ids"]).most_common(1)[0][1] / len(x["doc_ids"]) for x in rows]
+    assert sum(own) / len(own) > 0.8
+    terms = [(k, t.encode(), 1) for k, text in items for t in text.split()]
+    df = Counter(t.encode() for _, text in docs for t in set(text.split()))
+    tile = op12_search._tiles(terms, df, len(docs))[0]
+    visit = op12_search.Visit(tile, np.zeros(16, np.int64), 10)
+    visit.shards(rows)
+    found = visit.found().to_pydict()
+    assert sorted(zip(found["number"], found["doc_id"], found["score"])) == sorted((i, d, s) for i, _, d, s in ranked(docs, items))
+    assert visit.visited < 0.35 * len(rows) * len(items)
+
+
+def test_bisection_halves_nodes():
+    from tidemark.llm.bisection import reorder, split
+
+    r = np.random.default_rng(3)
+    topic = r.integers(0, 2, 101)
+    doc = np.repeat(np.arange(101), 20)
+    term = topic[doc] * 30 + r.integers(0, 30, len(doc))
+    half = split(doc, term, np.zeros(101, np.int64), 60)[0]
+    assert half.sum() == 50 and max((half == topic).mean(), (half != topic).mean()) > 0.9
+    order = reorder(doc, term, 101, 60, 8)
+    assert sorted(order.tolist()) == list(range(101))

@@ -85,6 +85,14 @@ def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import op12_search as op
+
+    folder = op.new_folder(spark)
+    op.build(table(spark, sf_dir, "documents"), folder)
+    return op.search(spark, folder, table(spark, sf_dir, "benchmark"))
+
+
 def op13_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import op13_ids as op
 
@@ -142,5 +150,20 @@ r AS (SELECT part, filter_order, step, x, coalesce(sum(n) FILTER (NOT bad AND NO
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM r
 """
 
-QUERIES = {"op1_quality": op1_quality, "op2_html": op2_html, "op3_decontaminate": op3_decontaminate, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op6_neighbours": op6_neighbours, "op7_substring": op7_substring, "op8_secrets": op8_secrets, "op9_chat": op9_chat, "op10_lm": op10_lm, "op11_audit": op11_audit, "op13_ids": op13_ids}
-ORACLE: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op7_substring": OP7_SQL, "op11_audit": OP11_SQL}
+OP12_SQL = r"""
+WITH low AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents, low),
+s AS (SELECT count(*) FILTER (len(ws) > 0)::BIGINT AS big_n, sum(len(ws))::BIGINT AS big_l FROM d),
+q AS (SELECT item_id, term, count(*)::BIGINT AS times
+      FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark, low) GROUP BY ALL),
+t AS (SELECT r, doc_id, len(ws)::BIGINT AS n, w.term, count(*)::BIGINT AS tf
+      FROM (SELECT r, doc_id, ws, unnest(ws) AS term FROM d) w SEMI JOIN q USING (term) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM t, s GROUP BY term),
+c AS (SELECT item_id, r, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * big_n) // big_l)))))::BIGINT AS score
+      FROM t JOIN f USING (term) JOIN q USING (term), s GROUP BY ALL)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM c WHERE score > 0) WHERE rank <= 10
+"""
+
+QUERIES = {"op1_quality": op1_quality, "op2_html": op2_html, "op3_decontaminate": op3_decontaminate, "op4_simhash": op4_simhash, "op5_bpe": op5_bpe, "op6_neighbours": op6_neighbours, "op7_substring": op7_substring, "op8_secrets": op8_secrets, "op9_chat": op9_chat, "op10_lm": op10_lm, "op11_audit": op11_audit, "op12_search": op12_search, "op13_ids": op13_ids}
+ORACLE: dict[str, str] = {"op3_decontaminate": OP3_SQL, "op7_substring": OP7_SQL, "op11_audit": OP11_SQL, "op12_search": OP12_SQL}

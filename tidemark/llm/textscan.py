@@ -75,13 +75,13 @@ def lower(raw: np.ndarray) -> np.ndarray:
     return _LOWER[raw]
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` and each document's range of words."""
+def words(raw: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _WS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` (or between other bytes) and each document's range of words."""
     n = len(raw)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    inside = ~_WS[raw]
+    inside = ~gap[raw]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     first, last = inside.copy(), inside.copy()
@@ -113,14 +113,14 @@ def joined_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     return out, at
 
 
-def encode_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+def encode_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, gap: np.ndarray = _WS) -> tuple[np.ndarray, pa.Array]:
     """For each word the place of its text in an array of distinct words."""
     if not len(starts):
         return np.zeros(0, np.int64), pa.array([], pa.large_binary())
     size = ends - starts
     at = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(size, out=at[1:])
-    kept = raw[~_WS[raw]]
+    kept = raw[~gap[raw]]
     code = binary_array(kept, at).dictionary_encode()
     return code.indices.to_numpy().astype(np.int64), code.dictionary
 
