@@ -42,7 +42,7 @@ END = 2
 #: Ids of a block (or one document), and ids of a shard.
 BLOCK_IDS, SHARD_IDS = 1 << 20, 16 << 20
 #: Bytes of words and ids that a worker remembers before it starts anew.
-CACHE_BYTES = 12 << 20
+CACHE_BYTES = 32 << 20
 #: Words encoded in one call of the library, and the word that stands between them.
 TOGETHER, MARK = 500, "\x01"
 #: Characters that words are cut at.
@@ -79,13 +79,15 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 class Words:
     """The library's tokenizer with a cache of words, bounded in bytes."""
 
-    def __init__(self, path: str, special: bool):
+    def __init__(self, path: str, special: bool, end_id: int = END):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
         mark = self.plain([MARK])[0]
+        #: Width of an id before it has a rank.
+        self.kind = "<u2" if max(end_id, *self.tokenizer.get_vocab(with_added_tokens=True).values()) < 1 << 16 else "<u4"
         #: The id that stands between words that are encoded together, if the vocabulary has one for it.
         self.mark = mark[0] if len(mark) == 1 else None
         self.forget()
@@ -118,10 +120,8 @@ class Words:
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all documents of a batch, one after another, and each document's range."""
         raw = shared_case(raw)
-        starts, ends, _ = words(raw, offsets)
         cut = np.flatnonzero(_STOP[raw[1:]] & _PLAIN[raw[:-1]]) + 1  # a stop after a letter or digit is in no token with it
-        cut = np.setdiff1d(cut, starts, assume_unique=True)  # another document may begin there
-        starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+        starts, ends, _ = words(raw, np.concatenate([offsets, cut]))
         which, distinct = encode_words(raw, starts, ends)
         if self.bytes + 4 * len(self.ids) > CACHE_BYTES:
             self.forget()
@@ -149,8 +149,8 @@ def shared_case(raw: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(2)
-def load(path: str, special: bool) -> Words:
-    return Words(path, special)
+def load(path: str, special: bool, end_id: int = END) -> Words:
+    return Words(path, special, end_id)
 
 
 def separable(path: str, sample: list[str] = ("a", "Z", "é", "1", "!", "'s", "'", "́", "<|endoftext|>")) -> bool:
@@ -164,27 +164,27 @@ def separable(path: str, sample: list[str] = ("a", "Z", "é", "1", "!", "'s", "'
 
 
 def _encoded(docs: DataFrame, path: str, end_id: int, special: bool) -> DataFrame:
-    """(doc_id, place, n, ids): each document's ids as unsigned 32-bit integers."""
+    """(doc_id, place, n, ids): each document's ids as unsigned integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = load(path, special)
+        one = load(path, special, end_id)
         for b in chunks(batches):
             ids, at = one.encode(*utf8(b.column("text")))
             ids, at = np.insert(ids, at[1:], end_id), at + np.arange(len(at))  # an end after each document
-            ids = np.ascontiguousarray(ids, "<u4").view(np.uint8)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("place"), pa.array(np.diff(at)), binary_array(ids, 4 * at).cast(pa.binary())], ["doc_id", "place", "n", "ids"])
+            ids = np.ascontiguousarray(ids, one.kind)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("place"), pa.array(np.diff(at)), binary_array(ids.view(np.uint8), ids.itemsize * at).cast(pa.binary())], ["doc_id", "place", "n", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("place"))
     return rows.mapInArrow(run, "doc_id long, place long, n long, ids binary")
 
 
-def _ranks(encoded: DataFrame) -> list[tuple[int, int]]:
+def _ranks(encoded: DataFrame, kind: str) -> list[tuple[int, int]]:
     """(id, rank) of all ids that occur, the commonest first; at most as many as the vocabulary has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in chunks(batches, "ids"):
-            got = np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), "<u4"), minlength=len(total))
+            got = np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), kind), minlength=len(total))
             got[: len(total)] += total
             total = got
         some = np.flatnonzero(total)
@@ -210,9 +210,10 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = END, special: b
     if not separable(path):
         raise ValueError(f"{path} encodes words otherwise when white space stands beside them")
     passing = f"{folder}/encoded"
-    _encoded(docs, path, end_id, special).write.parquet(passing)
+    _encoded(docs, path, end_id, special).write.option("compression", "zstd").parquet(passing)
     encoded = spark.read.schema("doc_id long, place long, n long, ids binary").parquet(passing)
-    table = _ranks(encoded)
+    kind = load(path, special, end_id).kind
+    table = _ranks(encoded, kind)
     spark.createDataFrame(table, "id long, rank long").coalesce(1).write.parquet(f"{folder}/ranks")
     rank_of = np.zeros(max([i for i, _ in table], default=0) + 1, "<u4")
     for i, k in table:
@@ -226,7 +227,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = END, special: b
                 start, block, ids, counts, held, parts = start + held, block + 1, [], [], 0, []
             ids += b.column("doc_id").to_pylist()
             counts += b.column("n").to_pylist()
-            parts.append(rank_of[np.frombuffer(b"".join(b.column("ids").to_pylist()), "<u4")])
+            parts.append(rank_of[np.frombuffer(b"".join(b.column("ids").to_pylist()), kind)])
             held += len(parts[-1])
         if held:
             yield _row(block, start, ids, np.array(counts), np.concatenate(parts))
@@ -234,7 +235,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = END, special: b
     total = encoded.agg(F.sum("n")).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_IDS))
     order = [F.col("doc_id").asc_nulls_first(), "place"]
-    encoded.repartitionByRange(shards, *order).sortWithinPartitions(*order).mapInArrow(run, BLOCKS).write.parquet(f"{folder}/blocks")
+    encoded.repartitionByRange(shards, *order).sortWithinPartitions(*order).mapInArrow(run, BLOCKS).write.option("compression", "zstd").parquet(f"{folder}/blocks")
     remove(spark, passing)
 
 
