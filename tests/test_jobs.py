@@ -5,6 +5,7 @@ import pytest
 
 from tidemark.plans import jobs
 from tidemark.sources import edf, tables
+from tidemark.sources.store import Store, read_rows
 from tidemark.streaming import incremental
 
 
@@ -44,7 +45,7 @@ def test_extract_group_and_compare(spark, cohort):
     n2 = {(r.subject_id, r.channel): r for r in records.filter("stage = 'N2'").collect()}
     assert set(n2) >= {("all", "C3"), ("all", "C4"), ("few", "C3"), ("more", "C3")}
     assert n2[("all", "C3")].bout_n_spindles[0] > 20 and len(n2[("all", "C3")].freqs) == 51 and len(n2[("nobout", "C3")].bout_start) == 0
-    assert len(spark.read.option("header", True).csv(p["out"]).columns) == 25
+    assert len(read_rows(spark, p["out"], "ID", fmt="csv").columns) == 25
     assert run(dry_run=True).count() == 0  # nothing is left to do
     summary = jobs.summaries(records, "N2", "C3")
     tables_ = jobs.group_analysis(spark, summary, "N2", "C3")
@@ -100,22 +101,22 @@ def test_only_what_lacks_is_done_again_and_problems_are_issues(spark, cohort):
     p = {k: str(root / k) for k in ("out", "err", "records")}
     run = lambda **more: jobs.extract(spark, [str(root / "meta.csv")], str(root / "edf"), str(root / "hypno"), p["out"], p["err"], p["records"], **more)
     run()
-    issues = lambda: sorted((r.subject_id, r.error_type) for r in spark.read.option("header", True).csv(p["err"]).collect())
+    issues = lambda: sorted((r.subject_id, r.error_type) for r in read_rows(spark, p["err"], "subject_id", fmt="csv").collect())
     assert issues() == [("broken", "DataLoadError"), ("odd", "AnnotationLoadError")]
     assert sorted(r.ID for r in run(dry_run=True).collect()) == ["broken", "odd"]
     assert jobs.validate(spark, p["out"], p["records"]) == {"subjects": 6, "valid": 4, "invalid": 2}
     # a record that breaks a rule: its subject is done again, its rows are replaced, nothing is there twice
-    stored = spark.read.parquet(p["records"]).checkpoint()
+    stored = tables.read_records(spark, p["records"]).checkpoint()
     from pyspark.sql import functions as F
 
     hurt = stored.withColumn("bout_n_spindles", F.when((F.col("subject_id") == "all") & (F.col("stage") == "N2") & (F.col("channel") == "C3"), F.array(F.lit(1).cast("long"))).otherwise(F.col("bout_n_spindles")))
-    hurt.write.mode("overwrite").partitionBy("stage").parquet(p["records"])
+    Store(spark, p["records"], "subject_id", "stage").write(hurt.filter("subject_id = 'all' AND stage = 'N2'"))
     assert sorted(r.ID for r in run(dry_run=True).collect()) == ["all", "broken", "odd"]
     run()
     spark.catalog.clearCache()
     key = lambda df: sorted((r.subject_id, r.stage, r.channel, len(r.spindle_peak), sum(r.bout_n_spindles)) for r in df.collect())
-    assert key(spark.read.parquet(p["records"])) == key(stored) and len(issues()) == 2
-    rows = spark.read.option("header", True).csv(p["out"]).collect()
+    assert key(tables.read_records(spark, p["records"])) == key(stored) and len(issues()) == 2
+    rows = read_rows(spark, p["out"], "ID", fmt="csv").collect()
     assert sorted(r.ID for r in rows) == ["all", "broken", "few", "more", "nobout", "odd"]
     assert run(subject="few", overwrite=False, dry_run=True).count() == 0 and run(limit=1, stages=("N2",), dry_run=True).count() <= 1
     with pytest.raises(ValueError):

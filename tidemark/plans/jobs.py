@@ -17,6 +17,7 @@ from ..operators import fits, relational, sleep, spectra, statistics, validation
 from ..session import remove, session, shared_folder
 from ..sources import edf, sinks, tables
 from ..sources.recordings import Recordings, safe_id
+from ..sources.store import Store, read_rows
 
 log = logging.getLogger("tidemark")
 # fixed values: channels of the analysis, and the parameters that groups are compared by; the rate makes the groups
@@ -45,20 +46,22 @@ def done(records: DataFrame, stages: tuple[str, ...], key: str = "ID") -> DataFr
 
 def validate(spark: SparkSession, output: str, records: str, stages: tuple[str, ...] = tuple(STAGE_GROUPS)) -> dict[str, int]:
     """How many subjects of an earlier run's output have complete and sound records; nothing is computed or written."""
-    listed = spark.read.option("header", True).csv(output).select("ID").distinct()
-    stored = _existing(lambda: spark.read.parquet(records))
+    listed = read_rows(spark, output, "ID", fmt="csv").select("ID").distinct()
+    stored = _existing(lambda: tables.read_records(spark, records))
     sound = 0 if stored is None else listed.join(done(stored, stages), "ID", "left_semi").count()
     total = listed.count()
     return {"subjects": total, "valid": sound, "invalid": total - sound}
 
 
-def extract(spark: SparkSession, metadata: list[str], edf_dir: str, hypno_dir: str, output: str, errors: str, records: str, subject: str | None = None, limit: int | None = None, shards: tuple[int, int] = (0, 1), overwrite: bool = False, dry_run: bool = False, aliases=None, stages: tuple[str, ...] = tuple(STAGE_GROUPS), recordings: Recordings | None = None) -> DataFrame:
+def extract(spark: SparkSession, metadata: list[str], edf_dir: str, hypno_dir: str, output: str, errors: str, records: str, subject: str | None = None, limit: int | None = None, shards: tuple[int, int] = (0, 1), overwrite: bool = False, dry_run: bool = False, aliases=None, stages: tuple[str, ...] = tuple(STAGE_GROUPS), recordings: Recordings | None = None, counters: dict[str, int] | None = None) -> DataFrame:
     """Metadata, sleep statistics and event records of all subjects that have both files and no sound records yet.
 
     Recordings are opened once and only those of the subjects to do; all failures are rows of the issues, those of a
     subject, of a channel and of a record that breaks its rules. A subject is done when each of ``stages`` has sound
-    records; otherwise it is done again, and its rows in records, metadata and issues are replaced. ``recordings``
-    says how files are read, so readers may be put in. Returns the tasks.
+    records; otherwise (or with ``overwrite``) it is done again, and its rows in records, metadata and issues are
+    replaced, nobody else's. All three are stores (``sources.store``): shards may run at once, and a run that breaks off leaves
+    what was there. ``recordings`` says how files are read, so readers may be put in; ``counters`` gets what was
+    counted as it was written. Returns the tasks.
     """
     if stages_unknown := [s for s in stages if s not in STAGE_GROUPS]:
         raise ValueError(f"unknown stages: {', '.join(stages_unknown)}")
@@ -71,7 +74,12 @@ def extract(spark: SparkSession, metadata: list[str], edf_dir: str, hypno_dir: s
         subjects = subjects.orderBy("ID").limit(limit)
     if shards[1] > 1:
         subjects = relational.shard(subjects, "ID", *shards)
-    stored = None if overwrite else _existing(lambda: spark.read.parquet(records))
+    stored = _existing(lambda: tables.read_records(spark, records))
+    if stored is not None and not Store(spark, records, "subject_id", "stage").commits():  # a plain folder becomes a store
+        Store(spark, records, "subject_id", "stage").write(stored, whole=True)
+        stored = tables.read_records(spark, records)
+    if overwrite:
+        stored = None
     if stored is not None:
         subjects = relational.pending(subjects, done(stored, stages))
     if dry_run:
@@ -79,7 +87,9 @@ def extract(spark: SparkSession, metadata: list[str], edf_dir: str, hypno_dir: s
     folder = f"{shared_folder(spark)}/extract-{uuid.uuid4().hex}"
     subjects = subjects.checkpoint()  # what is to do was found in the records, which change below
     mine = subjects.select(F.col("ID").alias("subject_id"))
-    epochs = tables.hypnogram(tables.read_hypnodensity(spark, hypno_dir)).join(mine, "subject_id", "left_semi")
+    # each of these subjects' files is opened once
+    tables.hypnogram(tables.read_hypnodensity(spark, hypno_dir, subjects=subjects)).drop("probabilities").write.parquet(f"{folder}/epochs")
+    epochs = spark.read.schema("subject_id string, epoch_idx int, ts timestamp, stage string, problem string, code int").parquet(f"{folder}/epochs")
     bad = epochs.filter("code is null").groupBy("subject_id").agg(F.min("problem").alias("error_message"))
     night = epochs.groupBy("subject_id").agg(F.count_if(F.col("code").isNull()).alias("bad"))
     epochs = epochs.join(bad, "subject_id", "left_anti")
@@ -87,40 +97,25 @@ def extract(spark: SparkSession, metadata: list[str], edf_dir: str, hypno_dir: s
     files = sleep.with_codes(edf.files(spark, edf_dir, subjects), epochs)
     sleep.stage_records(recordings.load(files), None, stages=stages).write.parquet(f"{folder}/records")
     found = spark.read.schema(sleep.RECORD).parquet(f"{folder}/records")
-    unsound = sinks.checked_records(found.filter("error_type is null"))[1]
-    new = found.filter("error_type is null").drop("error_type", "error_message")
-    stale = None if stored is None else stored.join(mine, "subject_id", "left_semi")
-    if stale is not None and not stale.isEmpty():  # what is left of earlier attempts is replaced
-        kept = stored.join(mine, "subject_id", "left_anti").unionByName(stale.filter(~F.col("stage").isin(*stages)))
-        kept.write.partitionBy("stage").parquet(f"{folder}/kept")
-        new = spark.read.schema(stored.schema).parquet(f"{folder}/kept").unionByName(new, allowMissingColumns=True)
-        sinks.write_records(new, records, "overwrite")
-    else:
-        sinks.write_records(new, records, "overwrite" if overwrite else "append")
+    new, unsound = sinks.checked_records(found.filter("error_type is null").drop("error_type", "error_message"))
     issue = lambda df, kind, text, state="", channel="": df.select("subject_id", *(F.lit(x).alias(n) if isinstance(x, str) else x.alias(n) for n, x in (("state", state), ("channel", channel), ("error_type", kind), ("error_message", text))))
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     issues = issue(found.filter("error_type is not null"), F.col("error_type"), F.col("error_message"), blank("stage"), blank("channel"))
     issues = issues.unionByName(issue(unsound, "ValueError", F.array_join("problems", "; "), F.col("stage"), F.col("channel")))
     issues = issues.unionByName(issue(bad, "AnnotationLoadError", F.col("error_message")))
     issues = issues.unionByName(issue(mine.join(night, "subject_id", "left_anti"), "AnnotationLoadError", "no epochs"))
-    _replace(spark, issues, errors, "subject_id", mine, overwrite)
+    # whoever reads the store of records sees a subject as done, so these are the last to be committed
+    told = Store(spark, errors, "subject_id", fmt="csv", buckets=1).write(issues, mine, figures={"of_subjects": F.count_if(F.col("channel") == "")})
     rows = sinks.merged(None, sleep.metadata_rows(subjects, epochs), [*tables.METADATA, *sleep.STATISTICS])
-    _replace(spark, rows, output, "ID", subjects.select("ID"), overwrite)
+    listed = Store(spark, output, "ID", fmt="csv", buckets=1).write(rows, subjects.select("ID"))
+    scopes = mine.withColumn("stage", F.explode(F.lit(list(stages))))
+    kept, _ = sinks.write_records(new, records, scopes, {"spectra": F.count_if(F.size("freqs") > 0), "events": F.sum(F.size("spindle_peak"))})
+    if counters is not None:
+        counters |= {"subjects": listed.rows, "issues": told.rows, "issues_of_subjects": told.figures["of_subjects"], "records": kept.rows, "spectra": kept.figures["spectra"], "events": kept.figures["events"]}
     remove(spark, folder)
     return subjects
 
 
-def _replace(spark: SparkSession, rows: DataFrame, path: str, key: str, mine: DataFrame, overwrite: bool) -> None:
-    """Writes rows to a CSV folder in place of earlier ones of the same subjects; other subjects' rows stay."""
-    rows = rows.checkpoint()
-    prior = None if overwrite else _existing(lambda: spark.read.option("header", True).csv(path))
-    if prior is None or prior.join(mine, key, "left_semi").isEmpty():
-        rows.write.mode("overwrite" if overwrite else "append").option("header", True).csv(path)
-        return
-    kept = prior.join(mine, key, "left_anti").checkpoint()
-    kept.unionByName(rows.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in rows.columns))).write.mode("overwrite").option("header", True).csv(path)
-
-
 def summaries(records: DataFrame, stage: str, channel: str, unit: str = "min") -> DataFrame:
     """One summary of each subject's record: fit, area, rate and why it is excluded."""
     rate, error, factor = validation.rate_columns(unit)
@@ -277,14 +272,12 @@ def main(argv: list[str] | None = None) -> None:
             print(" ".join(f"{k}: {n}" for k, n in validate(spark, at(a.output), at(a.records), stages).items()))
             return
         how = Recordings(requested=list(CHANNELS), rate=K.SAMPLE_RATE, strict=a.strict)
-        tasks = extract(spark, [at(m) for m in a.metadata], at(a.edf_dir), at(a.hypno_dir), at(a.output), at(a.error_output), at(a.records), a.subject_id, a.limit, (a.shard_index, a.num_shards), a.overwrite, a.dry_run, stages=stages, recordings=how)
+        counters: dict[str, int] = {}
+        tasks = extract(spark, [at(m) for m in a.metadata], at(a.edf_dir), at(a.hypno_dir), at(a.output), at(a.error_output), at(a.records), a.subject_id, a.limit, (a.shard_index, a.num_shards), a.overwrite, a.dry_run, stages=stages, recordings=how, counters=counters)
         if a.dry_run:
             print(f"{tasks.count()} subjects to do")
         else:
-            issues = spark.read.option("header", True).schema("subject_id string, state string, channel string, error_type string, error_message string").csv(at(a.error_output))
-            whole = F.col("channel").isNull()
-            r = issues.agg(F.count("*").alias("n"), F.count_if(whole).alias("s")).first()
-            print(f"issues: {r.n}, of whole subjects: {r.s}")
+            print(" ".join(f"{k}: {n}" for k, n in counters.items()))
     elif a.job == "group":
         if a.summary_results is not None:
             summary = summaries_of_files(spark, at(a.summary_results), at(a.spectrum_results), a.sleep_stage, a.channel, a.rate_unit, a.subject_id_column)

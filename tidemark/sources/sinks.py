@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.validation import record_problems
+from .store import Commit, Store
 
 RESULTS = ["ID", "Age", "Gender", "BMI"]
 
@@ -16,11 +17,10 @@ def checked_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.filter(F.size("problems") == 0).drop("problems"), marked.filter(F.size("problems") > 0)
 
 
-def write_records(records: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Sound records as Parquet, a folder for each stage; the committer makes a write whole or nothing. Returns the others with their problems."""
+def write_records(records: DataFrame, path: str, replaced: DataFrame | None = None, figures: dict[str, Column] | None = None) -> tuple[Commit, DataFrame]:
+    """Sound records into the store at a path, in place of those of ``replaced`` (subject_id, stage); and the others with their problems."""
     sound, unsound = checked_records(records)
-    sound.write.mode(mode).partitionBy("stage").parquet(path)
-    return unsound
+    return Store(records.sparkSession, path, "subject_id", "stage").write(sound, replaced, figures=figures), unsound
 
 
 def merged(prior: DataFrame | None, new: DataFrame, columns: list[str]) -> DataFrame:
@@ -41,15 +41,15 @@ OUTPUTS = {
     "validation_report": "validation_report_{0}",
     "assignments": "{0}_subject_group_assignments",
     "grouping_report": "grouping_report_{0}",
-    "comparison": "{0}_infraslow_group_comparison",
+    "comparison": "{0}_group_comparison",
     "pretransform": "{0}_spindle_rate_pretransform_distribution",
     "distribution": "{0}_spindle_rate_group_distribution",
     "parameters": "{0}_parameter_group_comparisons",
-    "curves": "{0}_infraslow_group_compare",
-    "bands": "{0}_infraslow_power_by_spindle_group",
+    "curves": "{0}_group_curves",
+    "bands": "{0}_power_by_spindle_group",
     "parameters_before": "{0}_parameter_group_comparisons_before",
-    "curves_before": "{0}_infraslow_group_compare_before",
-    "bands_before": "{0}_infraslow_power_by_spindle_group_before",
+    "curves_before": "{0}_group_curves_before",
+    "bands_before": "{0}_power_by_spindle_group_before",
 }
 
 

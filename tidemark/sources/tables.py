@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import clean_id, finite, stage_code
 from .errors import AnnotationLoadError, SourceError
+from .store import read_rows
 
 METADATA = ("ID", "Age", "Gender", "BMI")
+#: Names of files that go into a scan's filter.
+FILES = 50_000
+
+
+def file_name() -> Column:
+    """The name of the file that a row was read from; Spark gives it with its blanks, brackets and signs encoded, the plus aside."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """ID, Age, Gender, BMI from a CSV with a header; other columns aren't read, absent ones are null, blank ids go."""
     raw = spark.read.option("header", True).csv(path)  # all columns are text: no pass over the data to infer types
@@ -21,17 +31,34 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return out.filter("ID is not null")
 
 
-def read_hypnodensity(spark: SparkSession, path: str, suffix: str = "_Hypnodensity.csv", columns: tuple[str, ...] | None = None, timestamp: str = "Timestamp", relabel: dict[str, str] | None = None, strict: bool = False) -> DataFrame:
+def of_subjects(files: DataFrame, path: str, suffix: str, subjects: DataFrame | None, key: str = "ID") -> DataFrame:
+    """The files that are some subjects' (id + suffix), pruned by name before any is opened.
+
+    The listing joins the subjects; up to FILES names go into the scan's own filter, and more are joined to what was
+    read. ``files`` is what a reader loaded from ``path``.
+    """
+    if subjects is None:
+        return files.filter(file_name().endswith(suffix))
+    listed = files.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(file_name().alias("name"), F.col("_metadata.file_name").alias("raw"))
+    wanted = subjects.select(F.concat(F.col(key), F.lit(suffix)).alias("name")).distinct()
+    names = [r.raw for r in listed.join(wanted, "name", "left_semi").select("raw").limit(FILES + 1).collect()]
+    if len(names) <= FILES:
+        return files.filter(F.col("_metadata.file_name").isin(names))
+    return files.withColumn("_name", file_name()).join(wanted, F.col("_name") == wanted["name"], "left_semi").drop("_name")
+
+
+def read_hypnodensity(spark: SparkSession, path: str, suffix: str = "_Hypnodensity.csv", columns: tuple[str, ...] | None = None, timestamp: str = "Timestamp", relabel: dict[str, str] | None = None, strict: bool = False, subjects: DataFrame | None = None) -> DataFrame:
     """subject_id, epoch_idx, ts, probabilities (a map by column), stage and problem of all files below a path.
 
     An epoch's index is its line's place in its file; a file is read whole, as its lines have no other order. The
     subject is the file's name without the suffix. An epoch's stage is the column with the largest probability, the
     first of equal ones in the order of ``columns`` or else of the file's header; ``relabel`` renames stages. Bad
     probabilities are passed over; an epoch without any has a null stage. A file without the time column, without any
-    other or without one of ``columns`` has a problem in every row, or raises if ``strict``.
+    other or without one of ``columns`` has a problem in every row, or raises if ``strict``. With ``subjects`` (ID) only
+    their files are opened.
     """
-    files = spark.read.format("text").option("wholetext", True).load(path).select(F.col("_metadata.file_name").alias("_file"), F.col("value").alias("_text"))
-    files = files.filter(F.col("_file").endswith(suffix)).withColumn("_lines", F.split("_text", r"\r?\n"))
+    files = of_subjects(spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(path), path, suffix, subjects)
+    files = files.select(file_name().alias("_file"), F.col("value").alias("_text")).withColumn("_lines", F.split("_text", r"\r?\n"))
     files = files.withColumn("_header", F.transform(F.split(F.col("_lines")[0], ","), lambda c: F.trim(c)))
     names = F.array(*(F.lit(c) for c in columns)) if columns else F.filter("_header", lambda c: (c != timestamp) & (c != ""))
     lacking = F.array_except(names, F.col("_header"))
@@ -71,12 +98,12 @@ def require_files(listing: DataFrame, subjects: DataFrame, suffix: str, key: str
 
 def file_names(spark: SparkSession, path: str) -> DataFrame:
     """Names of the files below a path; their contents aren't read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("_metadata.file_name").alias("name"))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(file_name().alias("name"))
 
 
 def read_records(spark: SparkSession, path: str, stage: str | None = None, channel: str | None = None, limit: int | None = None) -> DataFrame:
-    """Event records; stage is a partition and channel a pushed predicate. ``limit`` takes the first subjects by id."""
-    out = spark.read.parquet(path)
+    """Event records that hold now; stage is a partition and channel a pushed predicate. ``limit`` takes the first subjects by id."""
+    out = read_rows(spark, path, "subject_id", "stage")
     if stage is not None:
         out = out.filter(F.col("stage") == stage)
     if channel is not None:
