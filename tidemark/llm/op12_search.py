@@ -9,7 +9,7 @@ largest impact that each has in the shard, and the postings.
 Searching: the largest impacts bound what any document of a shard can score. A task visits shards in order of
 their bounds, query by query, and stops when no bound reaches the tenth best score so far (or reaches it and the
 shard's smallest doc_id can't win the tie), so what it leaves out can't be in the result. It starts from the tenth
-best scores of a few shards. Each task returns ten documents a query at most.
+best scores of a few blocks. Each task returns ten documents a query at most.
 
 Queries are searched for in blocks of QUERY_TERMS (query, term) pairs; only a block is ever sent to the tasks.
 The index holds whole texts and serves any queries.
@@ -45,8 +45,8 @@ SAMPLE, SAMPLE_TERMS, SAMPLE_LEAF = 2048, 16_384, 32
 CLUSTER, BLOCK_POSTINGS, BLOCK_DOCS = 128, 1 << 20, 16_384
 #: (query, term) pairs of one block of queries, and cells (queries times terms) of a tile of one.
 QUERY_TERMS, TILE_CELLS = 1_000_000, 4_000_000
-#: Shards that give the first thresholds, and shards that a task holds while it visits the best of them.
-PILOT, AT_ONCE = 64, 64
+#: Blocks that give the first thresholds, and shards that a task holds while it visits the best of them.
+PILOT, AT_ONCE = 4, 64
 #: Cells of unpacked shards that a task keeps.
 HELD_CELLS = 8_000_000
 #: Results for each query.
@@ -149,18 +149,18 @@ def _shards(block: int, rows: list[pa.RecordBatch], stats: tuple[int, int], clus
 
 
 def build(docs: DataFrame, folder: str, sample: int = SAMPLE, cluster: int = CLUSTER) -> None:
-    """Writes the index of all documents to ``folder``: ``shards``, and ``stats`` (documents and terms counted)."""
+    """Writes the index of all documents to ``folder``: ``shards``, and ``stats`` (documents and terms counted, blocks)."""
     spark = docs.sparkSession
     bounded_batches(spark)
     _counted(docs, sample).write.parquet(f"{folder}/terms")
     counted = spark.read.schema(TERMS).parquet(f"{folder}/terms")
     leaves = counted.groupBy("leaf").agg(F.count("*").alias("docs"), F.sum("n").alias("n"), F.sum("k").alias("k")).collect()  # a row for each leaf of the sample's tree
     stats = (sum(r.docs for r in leaves), sum(r.n for r in leaves))
-    spark.createDataFrame([stats], "docs long, terms long").coalesce(1).write.parquet(f"{folder}/stats")
     parts = {r.leaf: max(1, -(-r.k // BLOCK_POSTINGS), -(-r.docs // BLOCK_DOCS)) for r in leaves}
     begin, total = [0] * (max(parts, default=0) + 1), 0
     for leaf in sorted(parts):
         begin[leaf], total = total, total + parts[leaf]
+    spark.createDataFrame([(*stats, total)], "docs long, terms long, blocks long").coalesce(1).write.parquet(f"{folder}/stats")
     many = [parts.get(i, 1) for i in range(len(begin))]
     block = F.lit(begin)[F.col("leaf")] + F.pmod(F.xxhash64("place"), F.lit(many)[F.col("leaf")].cast("long"))
 
@@ -350,7 +350,8 @@ def search(spark: SparkSession, folder: str, items: DataFrame, best: int = BEST)
     """Per item the ``best`` documents of the index with a score above 0: item_id, rank, doc_id, score."""
     bounded_batches(spark)
     shards = spark.read.schema(SHARDS).parquet(f"{folder}/shards")
-    docs = spark.read.schema("docs long, terms long").parquet(f"{folder}/stats").first()[0]
+    docs, _, total = spark.read.schema("docs long, terms long, blocks long").parquet(f"{folder}/stats").first()
+    some = sorted({i * total // PILOT for i in range(PILOT)})  # blocks of leaves that are far apart
     passing = f"{folder}/queries-{uuid.uuid4().hex}"
     # a query's number is its row's, once written
     items.select("item_id", F.coalesce("text", F.lit("")).alias("text")).distinct().withColumn("number", F.monotonically_increasing_id()).write.parquet(f"{passing}/items")
@@ -362,7 +363,7 @@ def search(spark: SparkSession, folder: str, items: DataFrame, best: int = BEST)
     for i in range(blocks):
         pairs = sorted((r.number, bytes(r.term), r.times) for r in asked.filter(F.pmod(F.xxhash64("number"), F.lit(blocks)) == i).collect())  # one block
         tiles = _tiles(pairs, _frequencies(shards, sorted({t for _, t, _ in pairs})), docs)
-        first = _visited(shards.limit(PILOT), tiles, {}, best).groupBy("number").agg(F.sort_array(F.collect_list("score"), False).alias("scores"))
+        first = _visited(shards.filter(F.col("block").isin(some)), tiles, {}, best).groupBy("number").agg(F.sort_array(F.collect_list("score"), False).alias("scores"))
         floor = {r.number: r.scores[best - 1] for r in first.filter(F.size("scores") >= best).collect()}
         one = _visited(shards, tiles, floor, best)
         found = one if found is None else found.unionByName(one)
