@@ -132,6 +132,12 @@ def test_claims_in_python_and_in_plans_agree(spark):
             assert (x.resolved, x.missing, [c.asDict() for c in x.conflicts], x.unresolved) == (resolved, missing, conflicts, unresolved)
 
 
+def test_spellings_count_where_case_does():
+    for label, channel in (("CHIN", "Chin"), ("chin", "Chin"), ("LLEG", "LLeg"), ("Leg/R", "RLeg"), ("THO", "Thorax"), ("Pflo", "PFlow"), ("mmHg", "CO2"), ("rr", "RR")):
+        assert recordings.claim([label], recordings.ALIASES, ignore_case=False)[0] == {channel: label}
+    assert recordings.claim(["lleg"], recordings.ALIASES, ignore_case=False)[0] == {}
+
+
 def test_recordings(spark, tmp_path):
     from tidemark.sources import errors
 

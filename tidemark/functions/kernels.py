@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 # fixed values: bands and windows of the analysis
@@ -98,24 +100,55 @@ def lfilter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray | Non
     return y
 
 
-def filtfilt(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Forward and backward, with odd padding and steady starting states: zero phase."""
+def steady_state(b: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A filter's transition matrix from one sample to the next, and its state after endless ones."""
     n = max(len(a), len(b))
-    pad = min(3 * n, len(x) - 1)
-    if pad < 1:
-        return x.copy()
-    long = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
     bb, aa = np.pad(b, (0, n - len(b))) / a[0], np.pad(a, (0, n - len(a))) / a[0]
     companion = np.zeros((n - 1, n - 1))
     companion[:, 0] = -aa[1:]
     companion[:-1, 1:] = np.eye(n - 2)
-    steady = np.linalg.solve(np.eye(n - 1) - companion, bb[1:] - aa[1:] * bb[0])
+    return companion, np.linalg.solve(np.eye(n - 1) - companion, bb[1:] - aa[1:] * bb[0])
+
+
+def final_state(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The state in which a recursive filter that started from rest ends: only samples whose trace hasn't died away matter."""
+    n = max(len(a), len(b))
+    b, a = np.pad(b, (0, n - len(b))) / a[0], np.pad(a, (0, n - len(a))) / a[0]
+    step, gain = steady_state(b, a)[0], b[1:] - a[1:] * b[0]
+    slowest = float(np.abs(np.roots(a)).max(initial=0.0))
+    x = x if slowest >= 1 else x[-(int(np.ceil(40 / -np.log(max(slowest, 1e-12)))) + 8 * n) :]
+    state = np.zeros(n - 1)
+    for lo in range(0, len(x), 256):  # 256 samples at once: powers of the step applied to each one's gain
+        part = x[lo : lo + 256]
+        powers = _powers(step.tobytes(), gain.tobytes(), len(part))
+        state = powers[1] @ state + powers[0] @ part
+    return state
+
+
+@lru_cache(32)
+def _powers(step: bytes, gain: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    gain = np.frombuffer(gain)
+    step = np.frombuffer(step).reshape(len(gain), -1)
+    columns, power = np.empty((len(gain), n)), np.eye(len(gain))
+    for k in range(n - 1, -1, -1):
+        columns[:, k] = power @ gain
+        power = power @ step
+    return columns, power
+
+
+def filtfilt(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Forward and backward, with odd padding and steady starting states: zero phase."""
+    pad = min(3 * max(len(a), len(b)), len(x) - 1)
+    if pad < 1:
+        return x.copy()
+    long = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
+    steady = steady_state(b, a)[1]
     y = lfilter(b, a, long, steady * long[0])[::-1]
     return lfilter(b, a, y, steady * y[0])[::-1][pad:-pad]
 
 
-def fir_filter(x: np.ndarray, rate: float, low: float | None, high: float | None, stop: bool = False) -> np.ndarray:
-    """Zero-phase Hamming-windowed band-pass (or band-stop) by FFT; transition bands of a quarter of the edge, 1 to 2 Hz wide at least where they fit."""
+def fir_taps(rate: float, low: float | None, high: float | None, stop: bool = False) -> np.ndarray:
+    """An odd number of Hamming-windowed taps of a band-pass (or band-stop); transition bands of a quarter of the edge, 1 to 2 Hz wide at least where they fit."""
     widths = [w for w in (low and min(max(0.25 * low, 2.0), low), high and min(max(0.25 * high, 2.0), rate / 2 - high)) if w]
     if stop:
         widths = [max(0.5, min(1.0, *(w for w in widths)))]
@@ -124,12 +157,22 @@ def fir_filter(x: np.ndarray, rate: float, low: float | None, high: float | None
     cut = lambda f: 2 * f / rate * np.sinc(2 * f / rate * t)
     unit = (t == 0).astype(float)
     h = (cut(high) if high else unit) - (cut(low) if low else 0)
-    h = (unit - h if stop else h) * np.hamming(n)
+    return (unit - h if stop else h) * np.hamming(n)
+
+
+def convolved(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The full convolution by FFT."""
+    size = len(x) + len(h) - 1
+    return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(h, size), size)
+
+
+def fir_filter(x: np.ndarray, rate: float, low: float | None, high: float | None, stop: bool = False) -> np.ndarray:
+    """Zero-phase band-pass (or band-stop) by ``fir_taps``, the signal continued by its odd reflection."""
+    h = fir_taps(rate, low, high, stop)
+    n = len(h)
     pad = min(n // 2, len(x) - 1)
     long = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]) if pad > 0 else x
-    size = len(long) + n - 1
-    y = np.fft.irfft(np.fft.rfft(long, size) * np.fft.rfft(h, size), size)
-    return y[n // 2 : n // 2 + len(long)][pad : pad + len(x)]
+    return convolved(long, h)[n // 2 : n // 2 + len(long)][pad : pad + len(x)]
 
 
 def analytic(x: np.ndarray) -> np.ndarray:

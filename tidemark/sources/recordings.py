@@ -22,8 +22,8 @@ from ..session import ship
 from . import edf
 from .errors import ChannelResolutionError, DataLoadError, FolderNotFoundError, InvalidSubjectIDError, RootError, SourceError
 
-# fixed values: canonical channels with their labels in files, the first the most wanted; labels are matched
-# without regard to case, so each stands here in one spelling
+# fixed values: canonical channels with their labels in files, the first the most wanted, in all spellings that are
+# known, for those who match them with regard to case
 ALIASES: list[tuple[str, list[str]]] = [
     ("F3", ["F3M2", "F3A2", "F3-M2", "EEG F3-A2", "FZM2", "FZA2", "FP1M2", "FP1A2", "F7M2", "F7A2", "F3:M2", "F3"]),
     ("F4", ["F4M1", "F4A1", "F4-M1", "EEG F4-A1", "FZM2", "FZA2", "FP2M1", "FP2A1", "F8M1", "F8A1", "F4:M1", "F4"]),
@@ -34,30 +34,30 @@ ALIASES: list[tuple[str, list[str]]] = [
     ("A1A2", ["A1A2", "M1M2", "EEG A1-A2", "EEG M1-M2"]),
     ("LEOG", ["LOC", "LEOG", "E1-M2", "EOG LOC-A2", "EOG1:M2", "E1"]),
     ("REOG", ["ROC", "REOG", "E2-M2", "EOG ROC-A1", "EOG ROC-A2", "EOG2:M1", "E2"]),
-    ("Chin", ["Chin", "emg_Chin", "EMG", "CHINEMG", "EMG Chin", "Chin1-Chin2", "Chin 1-Chin 2", "ChinL", "Chin-L", "ChinR", "Chin-R"]),
+    ("Chin", ["Chin", "CHIN", "chin", "emg_Chin", "EMG", "CHINEMG", "ChinEMG", "EMG Chin", "Chin1-Chin2", "Chin 1-Chin 2", "ChinL", "Chin-L", "ChinR", "Chin-R"]),
     ("ECG", ["ECG", "EKG", "ECG1-ECG2"]),
-    ("LLeg", ["LLeg", "emg_LLeg", "LEMG", "L EMG", "LLEGEMG", "LEG/L", "Left Leg", "L-Leg 1-L-Leg 2", "Leg-L", "Leg 1", "LAT", "LEG1"]),
-    ("RLeg", ["RLeg", "emg_RLeg", "R EMG", "RLEGEMG", "LEG/R", "Right Leg", "R-Leg1-R-Leg2", "Leg-R", "Leg 2", "RAT", "LEG2", "LEMG"]),
+    ("LLeg", ["LLeg", "LLEG", "emg_LLeg", "LEMG", "L EMG", "LLEGEMG", "LEG/L", "Left Leg", "L-Leg 1-L-Leg 2", "Leg-L", "Leg 1", "LAT", "Leg/L", "LEG1"]),
+    ("RLeg", ["RLeg", "RLEG", "emg_RLeg", "R EMG", "RLEGEMG", "LEG/R", "Right Leg", "R-Leg1-R-Leg2", "Leg-R", "Leg 2", "RAT", "Leg/R", "LEG2", "LEMG"]),
     ("LArm", ["L-Arm", "ARMLeft", "LArm"]),
     ("RArm", ["R-Arm", "ARMRight", "RArm"]),
-    ("PFlow", ["PFlo", "flow_PFlo", "PTAF", "Nasal Pressure", "PAP Flow", "Pflow", "Flow Patient"]),
-    ("TFlow", ["TFlo", "flow_TFlo", "Flow", "Thermistor", "Thermist", "Airflow", "Therm", "Flow Patient"]),
-    ("CFlow", ["CFlo", "flow_CFlo", "VFLOW", "CFlow", "PAP Flow", "CPAP Flow", "Flow Patient"]),
-    ("Thorax", ["Tho", "Thorax", "Thor", "Effort THO"]),
-    ("Abdomen", ["Abd", "Abdomen", "Abdo", "ABDM", "Effort ABD"]),
+    ("PFlow", ["PFlo", "Pflo", "PFLO", "flow_PFlo", "PTAF", "Nasal Pressure", "PAP Flow", "Pflow", "PFlow", "Ptaf", "Flow Patient"]),
+    ("TFlow", ["TFlo", "Tflo", "TFLO", "flow_TFlo", "Flow", "Thermistor", "FLOW", "Thermist", "Airflow", "Therm", "Flow Patient"]),
+    ("CFlow", ["CFlo", "Cflo", "CFLO", "flow_CFlo", "VFLOW", "CFlow", "PAP Flow", "CPAP Flow", "Flow Patient"]),
+    ("Thorax", ["Tho", "THO", "Thorax", "Thor", "THOR", "Effort THO"]),
+    ("Abdomen", ["Abd", "ABD", "Abdomen", "Abdo", "ABDM", "Effort ABD"]),
     ("SpO2", ["SpO2", "SAO2"]),
-    ("Snoring", ["SNOR", "Snore", "PSNO", "MICR", "Snoring", "Micro", "Snoring Sensor"]),
-    ("Position", ["POS", "Body", "Manual Pos", "ManPosition", "Body Position"]),
+    ("Snoring", ["SNOR", "Snore", "PSNO", "SNORE", "MICR", "Snoring", "Micr", "Micro", "Snoring Sensor"]),
+    ("Position", ["POS", "Body", "BODY", "Manual Pos", "ManPosition", "Body Position"]),
     ("CPAP", ["CPAP", "VPAP", "CPress", "PAP Press", "CPAP Pressure", "PressCheck"]),
     ("IPAP", ["IPAP", "xPAP IPAP", "CPAP IPAP"]),
     ("EPAP", ["EPAP", "xPAP EPAP", "CPAP EPAP"]),
-    ("Leak", ["Leak", "PAP Leak", "Leak Total", "CPAP Leak"]),
+    ("Leak", ["Leak", "PAP Leak", "Leak Total", "CPAP Leak", "LEAK"]),
     ("PPG", ["PPG", "Pleth", "Plethysmogram"]),
-    ("Pulse", ["Pulse", "PulseRate", "PulseR", "HR"]),
-    ("RR", ["RR"]),
+    ("Pulse", ["Pulse", "PulseRate", "PulseR", "PULSE", "HR"]),
+    ("RR", ["RR", "rr"]),
     ("IntercostalEMG", ["ICOSEMG", "INT 1", "InterEMG", "EMG1", "INT"]),
     ("Impedance", ["imp"]),
-    ("CO2", ["CO2", "pCo2", "EtCO2", "ECO2", "EtCO", "CO2_Flow", "tCO2", "mmHG"]),
+    ("CO2", ["CO2", "pCo2", "EtCO2", "ECO2", "EtCO", "CO2_Flow", "tCO2", "mmHG", "mmHg"]),
 ]
 LOADED = (
     "subject_id string, position int, channel string, physical string, sf double, samples array<double>, missing array<string>, "
