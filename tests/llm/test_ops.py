@@ -106,6 +106,30 @@ def test_substring_equals_brute_force(docs, rows):
     assert table(op7_substring.remove_repeats(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=repr)
 
 
+def test_thousands_of_equal_rows_take_linear_work(spark, monkeypatch):
+    """Of m equal rows a task deals out two; the flags of a document are as many as its places, whatever its copies."""
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(9)
+    text = " ".join(f"w{r.randrange(10_000)}" for _ in range(210))
+    part = " ".join(text.split()[50:100])
+    docs = [(7, text)] * 3000 + [(8, "short one")] * 500 + [(9, f"before {part} after"), (None, text), (None, None), (10, " ".join(f"x{k}" for k in range(60)))]
+    got = Counter(map(tuple, op7_substring.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()))
+    want = {(7, 210, 210, sha("")): 3000, (8, 2, 0, sha("short one")): 500, (9, 52, 50, sha("before after")): 1, (None, 210, 210, sha("")): 1, (None, 0, 0, sha("")): 1, (10, 60, 0, sha(docs[-1][1])): 1}
+    assert got == want
+    batch = pa.RecordBatch.from_pydict({"doc_id": [7] * 800, "text": [text] * 800})
+    sent = [x for b in op7_substring._homes(4)(iter([batch])) for x in b.to_pylist()]
+    assert sum(x["kind"] == op7_substring.DONE for x in sent) == 798
+    places = sum(len(x["payload"]) // 14 for b in op7_substring._anchors(4)(iter([batch])) for x in b.to_pylist())
+    assert places < 150
+    n = 400  # flags of as many copies
+    low, place = np.zeros(48 * n, np.uint32), np.tile(np.arange(48, dtype=np.uint32), n)
+    flags = op7_substring._Flags([low.tobytes() + np.zeros(48 * n, np.uint8).tobytes() + place.tobytes()], False)
+    assert len(flags.place) == 48
+
+
 def test_a_passage_in_every_chunk_is_dealt_out_twice_a_task(spark, monkeypatch):
     """And results stay those of brute force, whatever a task remembers."""
     import random

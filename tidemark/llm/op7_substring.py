@@ -8,7 +8,8 @@ extended: the windows that contain it are hashed whole (64 bits and, by its buck
 hash), and those that occur more than once are removed, each after a look at its own text. No pairs are
 made: both steps count keys. Of the equal keys that a task meets only the first two are dealt out by their
 key; the others are known to repeat and go anywhere, so a passage that fills a third of all rows puts about
-two rows for each task into a bucket.
+two rows for each task into a bucket. Of equal rows (doc_id and text) a task sends on two as well: the others are
+repeated whole, so they are done at once.
 
 Defined results: null and empty texts have no words and the hash of nothing; rows with equal doc_id
 and text count as two occurrences; a null doc_id is kept as a document of its own; empty tables give
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -102,6 +104,26 @@ class _Seen:
         return key, other, place
 
 
+class _Copies:
+    """Tells the equal rows that a task has met twice: they are repeated whole, whatever else there is.
+
+    What it remembers is bounded; a row that was forgotten goes the usual way twice more, which changes no result.
+    """
+
+    def __init__(self):
+        self.met: dict[int, int] = {}
+
+    def more(self, documents: np.ndarray) -> np.ndarray:
+        """Which rows are the third or a later of their kind."""
+        if len(self.met) > REMEMBERED:
+            self.met.clear()
+        out = np.zeros(len(documents), bool)
+        for i, key in enumerate(documents.tolist()):
+            self.met[key] = n = self.met.get(key, 0) + 1
+            out[i] = n > 2
+        return out
+
+
 def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
 
@@ -116,8 +138,9 @@ def _anchors(buckets: int):
     cover[list(COVER)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _Seen()
+        seen, copies = _Seen(), _Copies()
         for b in chunks(batches):
+            b = b.filter(pa.array(~copies.more(_documents(b))))
             raw, at = utf8(b.column("text"))
             starts, ends, of = words(raw, at)
             size = np.diff(of)
@@ -185,7 +208,10 @@ class _Flags:
     def __init__(self, payloads: list[bytes], exact: bool):
         low, high, place, *check = unpack(payloads, *FLAG_TYPES[exact])
         doc = _join40(low, high)
-        order = np.argsort(doc, kind="stable")
+        # equal rows flag the same places: each counts once, or m rows would bring m times m
+        order = np.lexsort((*(check if exact else ()), place, doc))
+        same = [x[order][1:] == x[order][:-1] for x in (doc, place, *(check if exact else ()))]
+        order = order[np.append(True, ~np.logical_and.reduce(same))] if len(order) else order
         self.mask = np.uint64((1 << 48) - 1) if exact else LOW40
         self.doc, self.place, self.check = doc[order], place[order].astype(np.int64), check[0][order] if exact else None
 
@@ -229,6 +255,9 @@ def _extend(buckets: int):
             if kind == ARRAYS:
                 payloads += part.column("payload").to_pylist()
                 continue
+            if kind == DONE:
+                yield part
+                continue
             if flags is None:
                 flags, payloads = _Flags(payloads, False), []
             for b in chunks([unpack_texts(part)]):
@@ -276,7 +305,8 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if kind == ARRAYS:
             payloads += part.column("payload").to_pylist()
         elif kind == DONE:
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n"), pa.array(np.zeros(part.num_rows, np.int64)), part.column("sha")], names)
+            whole = pc.if_else(pc.is_valid(part.column("payload")), part.column("n"), pa.scalar(0, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n"), whole, part.column("sha")], names)
         else:
             if flags is None:
                 flags, payloads = _Flags(payloads, True), []
@@ -303,10 +333,23 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def _homes(buckets: int):
-    """Each text to the bucket of its document."""
+    """Each text to the bucket of its document; what a task has met twice already is finished here, and goes anywhere."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        copies, empty = _Copies(), hashlib.sha256(b"").hexdigest()
         for b in chunks(batches):
-            yield pack_texts(_home(_documents(b), buckets), b.column("doc_id"), b.column("text"))
+            key = _documents(b)
+            more = copies.more(key)
+            if more.any():
+                part = b.filter(pa.array(more))
+                raw, at = utf8(part.column("text"))
+                starts, ends, of = words(raw, at)
+                size = np.diff(of)
+                gone = size >= WINDOW  # every word is in a window, and every window starts elsewhere too
+                kept = _finished(part.column("doc_id"), raw, starts, ends, of, np.zeros(len(starts), bool))["kept_sha256"]
+                home = (mix(key[more] + np.arange(more.sum(), dtype=np.uint64)) % np.uint64(buckets)).astype(np.int32)
+                yield rows(bucket=home, kind=np.full(len(home), DONE, np.int32), doc_id=part.column("doc_id"), n=size, sha=[empty if g else k for g, k in zip(gone, kept, strict=True)], payload=[b"" if g else None for g in gone])
+                b, key = b.filter(pa.array(~more)), key[~more]
+            yield pack_texts(_home(key, buckets), b.column("doc_id"), b.column("text"))
 
     return run
