@@ -743,6 +743,22 @@ def test_neighbours_with_equal_cosines_are_those_of_the_smallest_ids(spark):
     assert [r.vec_id for r in got] == [1, 2, 3, 4, 5]
 
 
+def test_repeated_rows_are_found_as_often_as_they_stand_there(spark):
+    r = np.random.default_rng(7)
+    x = r.normal(size=(40, 8)).round(2)
+    rows_ = [(i, v) for i, v in enumerate(x.tolist())]
+    rows_ += [rows_[1]] * 2 + [rows_[7]] + [rows_[0]] * 2 + [(1, x[30].tolist()), (10, x[31].tolist()), (20, x[20].tolist())] + [(50, x[1].tolist())] * 8
+    want = []
+    m = np.array([v for _, v in rows_])
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    for k, (q, _) in enumerate(rows_):
+        if q % 10 == 0:
+            near = sorted((-round(float(u[j] @ u[k]), 10), i) for j, (i, _) in enumerate(rows_) if j != k)[:5]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(near)]
+    got = op6_neighbours.nearest(spark.createDataFrame(rows_, "vec_id long, embedding array<double>").repartition(3), 10).collect()
+    assert sorted((a.query_id, a["rank"], a.vec_id, round(a.score, 10)) for a in got) == sorted(want)
+
+
 def test_neighbours_of_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.vec_id) for r in op6_neighbours.nearest(df).orderBy("rank").collect()] == [(0, 1), (0, 2)]
@@ -1128,3 +1144,15 @@ def test_bisection_halves_nodes():
     assert half.sum() == 50 and max((half == topic).mean(), (half != topic).mean()) > 0.9
     order = reorder(doc, term, 101, 60, 8)
     assert sorted(order.tolist()) == list(range(101))
+
+
+# 8, its sample
+
+
+def test_the_field_is_fitted_to_the_lowest_hashes_of_all_partitions(spark, monkeypatch):
+    monkeypatch.setattr(op8_secrets, "TRAIN_ROWS", 20)
+    docs = spark.createDataFrame([(k, f"text {k} " + ("password=abcdefgh1" if k % 5 == 0 else "nothing here")) for k in range(300)], "doc_id long, text string")
+    at = {r.text: r.at for r in docs.select("text", F.xxhash64("doc_id", "text", F.lit(8)).alias("at")).collect()}
+    want = [sorted((t for t in at if ("password" in t) == found), key=at.get)[:10] for found in (False, True)]
+    for n in (1, 7):
+        assert sorted(op8_secrets._sample(docs.repartition(n))) == sorted(want[0] + want[1])

@@ -15,8 +15,8 @@ Queries meet the index in blocks within their shards; each shard returns a query
 
 Defined results: vectors that are null, empty, zero, or hold a null or a value that isn't finite take no
 part, nor do those of another length than most; a query with fewer candidates gets all; ties go to the
-smaller vec_id; rows that share a vec_id are each a row, but a query never finds its own id; an empty
-table gives an empty result.
+smaller vec_id; every row but a query's own is found, so equal rows are found as often as they stand there, also by
+each other, and each asks by itself; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -140,7 +140,7 @@ def _valid(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(F.col("vec_id").isNotNull() & F.coalesce(ok, F.lit(False)))
 
 
-ROWS = "shard long, kind int, entry long, cells array<int>, ids array<long>, vector array<double>"
+ROWS = "shard long, kind int, entry long, cells array<int>, ids array<array<long>>, vector array<double>"
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -162,8 +162,9 @@ def nearest(vectors: DataFrame, every: int = 50, count: int = NEIGHBOURS) -> Dat
     valid = valid.filter(F.size("embedding") == widths["n"]).select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("vector"))
     # of equal vectors the smallest ids, one more than a result can hold; the limit works before the shuffle too
     same = Window.partitionBy("vector").orderBy("vec_id")
-    few = valid.distinct().withColumn("_n", F.row_number().over(same)).filter(F.col("_n") <= count + 1)
-    entries = few.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.element_at("ids", 1).alias("entry"), "ids", "vector").checkpoint()
+    rows = valid.groupBy("vec_id", "vector").agg(F.count("*").alias("rows"))  # equal rows are one with a number
+    few = rows.withColumn("_n", F.row_number().over(same)).filter(F.col("_n") <= count + 1)
+    entries = few.groupBy("vector").agg(F.sort_array(F.collect_list(F.array("vec_id", "rows"))).alias("ids")).select(F.element_at("ids", 1)[0].alias("entry"), "ids", "vector").checkpoint()
     sample = [r[0] for r in entries.orderBy(F.xxhash64("entry"), "entry", "vector").limit(SAMPLE).select("vector").collect()]
     index = fit(np.array(sample, float))
 
@@ -205,15 +206,19 @@ def nearest(vectors: DataFrame, every: int = 50, count: int = NEIGHBOURS) -> Dat
 
     # a distinct vector asks once, whatever the number of rows that hold it; it goes by a hash, and by itself in the end
     queries = valid.filter(F.col("vec_id") % every == 0).withColumn("entry", F.xxhash64("vector"))
-    asking = queries.groupBy("entry", "vector").agg(F.count("*").alias("_n")).select("entry", F.array().cast("array<long>").alias("ids"), "vector")
+    asking = queries.groupBy("entry", "vector").agg(F.count("*").alias("_n")).select("entry", F.array().cast("array<array<long>>").alias("ids"), "vector")
     dealt = entries.mapInArrow(placed, ROWS).unionByName(asking.mapInArrow(asked, ROWS)).repartition(shuffles, "shard").sortWithinPartitions("shard", "kind")
-    found = dealt.mapInArrow(_search(sent, count + 1), "entry long, vector array<double>, vec_id long, score double")
+    found = dealt.mapInArrow(_search(sent, count + 1), "entry long, vector array<double>, vec_id long, score double, rows long, same boolean")
     best = Window.partitionBy("entry", "vector").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= count + 1).drop("_n")
-    asked_rows = queries.select(F.col("vec_id").alias("query_id"), F.col("entry").alias("_e"), F.col("vector").alias("_q"))
-    pairs = asked_rows.join(found, (F.col("_e") == F.col("entry")) & (F.col("_q") == F.col("vector"))).filter("vec_id <> query_id").select("query_id", "vec_id", "score").distinct()
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= count).select("query_id", "rank", "vec_id", "score")
+    asked_rows = queries.groupBy(F.col("vec_id").alias("query_id"), F.col("entry").alias("_e"), F.col("vector").alias("_q")).agg(F.count("*").alias("_times"))
+    pairs = asked_rows.join(found, (F.col("_e") == F.col("entry")) & (F.col("_q") == F.col("vector")))
+    own = (F.col("vec_id") == F.col("query_id")) & F.col("same")  # one of these rows asks
+    others = F.least(F.col("rows") - own.cast("long"), F.lit(count)).cast("int")
+    each = pairs.withColumn("_row", F.explode(F.array_repeat(F.lit(0), others)))
+    order = Window.partitionBy("query_id", "_q").orderBy(F.desc("score"), "vec_id")
+    ranked = each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= count)
+    return ranked.withColumn("_row", F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int")))).select("query_id", "rank", "vec_id", "score")
 
 
 def _padded(x: np.ndarray) -> np.ndarray:
@@ -241,7 +246,7 @@ class _Shard:
         self.norm = np.sqrt((self.vectors**2).sum(1))
         self.ix = ix
 
-    def nearest(self, q: np.ndarray, visit: list[int], count: int) -> list[tuple[float, int]]:
+    def nearest(self, q: np.ndarray, visit: list[int], count: int) -> list[tuple[float, int, int, bool]]:
         """The nearest rows of one query: asymmetric distances, then exact cosines of all that may be among them."""
         ix = self.ix
         x = _padded(q[None] / np.sqrt((q**2).sum()))[0]
@@ -266,7 +271,8 @@ class _Shard:
         if len(at) > count:  # with all ties
             top = cosine >= np.partition(cosine, len(at) - count)[len(at) - count]
             at, cosine = at[top], cosine[top]
-        rows = [(-s, v) for s, ids in zip(cosine.tolist(), self.ids.take(pa.array(at)).to_pylist(), strict=True) for v in ids]
+        same = (self.vectors[at] == q).all(1)
+        rows = [(-s, v, n, e) for s, e, ids in zip(cosine.tolist(), same.tolist(), self.ids.take(pa.array(at)).to_pylist(), strict=True) for v, n in ids]
         return sorted(rows)[:count]
 
 
@@ -290,14 +296,16 @@ def _search(index, count: int):
                     entries = []
                 if shard is None:
                     continue
-                who, ids, scores = [], [], []
+                who, ids, scores, rows, same = [], [], [], [], []
                 for i, (q, visit) in enumerate(zip(_vectors(part.column("vector")), part.column("cells").to_pylist(), strict=True)):
-                    for s, v in shard.nearest(q, visit, count):
+                    for s, v, n, e in shard.nearest(q, visit, count):
                         who.append(i)
                         ids.append(v)
                         scores.append(-s)
+                        rows.append(n)
+                        same.append(e)
                 if ids:
                     take = pa.array(who, pa.int64())
-                    yield pa.RecordBatch.from_arrays([part.column("entry").take(take), part.column("vector").take(take), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], ["entry", "vector", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([part.column("entry").take(take), part.column("vector").take(take), pa.array(ids, pa.int64()), pa.array(scores, pa.float64()), pa.array(rows, pa.int64()), pa.array(same)], ["entry", "vector", "vec_id", "score", "rows", "same"])
 
     return run

@@ -29,7 +29,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..session import shared_folder
 from .textscan import bounded_batches, chunks, utf8
 
 #: Documents in the training sample, characters of a window of a longer one, and steps of training.
@@ -432,6 +434,7 @@ def fit(docs: DataFrame) -> Field | None:
 def _sample(docs: DataFrame) -> list[str]:
     """Texts for training; of a long one TRAIN_CHARS characters around its first finding or any place, cut at white space."""
     bounded_batches(docs.sparkSession)
+    shared_folder(docs.sparkSession)
     each = TRAIN_ROWS // 2
     named = docs.filter(F.length("text") > 0).select(F.xxhash64("doc_id", "text", F.lit(8)).alias("at"), "text")
 
@@ -451,8 +454,12 @@ def _sample(docs: DataFrame) -> list[str]:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["found", "at", "start"])
 
-    lowest = F.slice(F.array_sort(F.collect_set(F.struct("at", "start"))), 1, each)
-    chosen = [tuple(x) for r in named.mapInArrow(run, "found long, at long, start long").groupBy("found").agg(lowest.alias("x")).collect() for x in r.x]
+    # the lowest of each partition, then of many groups side by side, then of all: no task sees more than a few of them
+    groups = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = Window.partitionBy("found", "group").orderBy("at", "start")
+    low = named.mapInArrow(run, "found long, at long, start long").distinct().withColumn("group", F.pmod("at", F.lit(groups)))
+    low = low.withColumn("n", F.row_number().over(least)).filter(F.col("n") <= each).checkpoint()
+    chosen = [(r.at, r.start) for k in (0, 1) for r in low.filter(F.col("found") == k).orderBy("at", "start").limit(each).collect()]
     if not chosen:
         return []
     chosen_df = F.broadcast(docs.sparkSession.createDataFrame(chosen, "at long, start long"))  # TRAIN_ROWS at most
