@@ -1,7 +1,8 @@
 """From raw documents to tokens: quality, near-duplicates, benchmark leaks, secrets, encoding.
 
 Each stage works on the documents that the one before kept and returns the columns of ``documents``; the
-last adds the tokens. Stages are restartable: each is written as Parquet and read again by the next.
+last adds the tokens. Each stage is written as Parquet and read again by the next. A run that was given its folder
+goes on, when it is called again, after the last stage that was written whole.
 """
 
 from __future__ import annotations
@@ -49,15 +50,24 @@ STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontam
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again; the one before is deleted then."""
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    for k, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-        if before:
-            remove(spark, before)
-        before = path
-    return docs
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a stage was written whole."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """All stages over documents, each written below ``folder`` and read again; only the last one's documents stay there.
+
+    Without a folder a new one in the shared folder is taken. What a stage took is deleted once it is written.
+    """
+    folder = folder or f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    shared_folder(spark)
+    paths = [f"{folder}/{k}-{name}" for k, (name, _) in enumerate(STAGES)]
+    done = max((k + 1 for k, path in enumerate(paths) if written(spark, path)), default=0)
+    for k in range(done, len(STAGES)):
+        docs = spark.read.parquet(paths[k - 1] if k else f"{sf_dir}/documents.parquet")
+        STAGES[k][1](spark, docs, sf_dir).write.mode("overwrite").parquet(paths[k])
+        if k:
+            remove(spark, paths[k - 1])
+    return spark.read.parquet(paths[-1])
