@@ -88,3 +88,27 @@ def test_queries_match_their_sql(spark):
         columns = [d[0] for d in want.description]
         assert sorted(got.columns) == sorted(columns)
         assert sorted(tuple(r[x] for x in columns) for r in got.collect()) == sorted(want.fetchall())
+
+
+def test_a_run_goes_on_where_it_broke_off(spark, tmp_path, monkeypatch, stages):
+    """A stage that failed is done again; those before it aren't."""
+    called = []
+
+    def noted(name, stage, fail):
+        def run(spark, docs, sf_dir):
+            called.append(name)
+            if fail and called.count(name) == 1:
+                raise RuntimeError("lost")
+            return stage(spark, docs, sf_dir)
+
+        return run
+
+    keep = lambda name: lambda spark, docs, sf_dir: docs
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, noted(n, keep(n), n == "c")) for n in "abcd"])
+    folder = f"file://{tmp_path}/run"
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, DIR, folder)
+    got = corpus_pipeline.run(spark, DIR, folder)
+    assert called == ["a", "b", "c", "c", "d"] and rows(got) == rows(stages[0])
+    assert corpus_pipeline.run(spark, DIR, folder).count() == got.count() and len(called) == 5
+    assert [p.name for p in (tmp_path / "run").iterdir()] == ["3-d"]
