@@ -80,7 +80,7 @@ def test_queries_match_their_sql(spark):
     import duckdb
 
     c = duckdb.connect()
-    for name in ("documents", "benchmark"):
+    for name in ("documents", "benchmark", "labels"):
         c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{DIR}/{name}.parquet'")
     for name, sql in queries.ORACLE.items():
         got = queries.QUERIES[name](spark, DIR)
