@@ -16,6 +16,7 @@ from ..functions.scalars import clean_id, finite, first_max, stage_code
 from ..operators import fits, intervals, relational, sleep, spectra, statistics, validation
 from ..session import remove, shared_folder
 from ..sources import recordings
+from ..streaming import bouts as live
 from ..streaming import incremental
 
 # fixed values: events' types as stages
@@ -451,17 +452,36 @@ def resample_signals(spark, d):
     return fits.resampled(_signals(spark, d).withColumn("subject_id", F.col("vec_id") % 10), ["vec_id", "subject_id"], 48.0)
 
 
-@query("SELECT event_id, user_id, event_type, value FROM events WHERE event_id % 3 <> 1")
+@query("SELECT event_id, user_id, event_type, value FROM events")
 def incremental_files(spark, d):
-    """Two deliveries of files, taken up by two calls; the second has rows that came before."""
+    """Two deliveries of files, taken up by two calls; the second has rows that came before. Keys are forgotten when time has passed them."""
     folder = f"{shared_folder(spark)}/incremental-{uuid.uuid4().hex}"
-    e = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
-    for k, part in enumerate((e.filter("event_id % 3 = 0"), e.filter("event_id % 3 = 2 or event_id % 9 = 0"))):
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+    for k, part in enumerate((e.filter("event_id % 3 = 0"), e.filter("event_id % 3 <> 0 or event_id % 9 = 0"))):
         part.write.parquet(f"{folder}/in/{k}")
-        incremental.ingest_new(spark, f"{folder}/in/*", e.schema, f"{folder}/out", f"{folder}/state", key="event_id")
+        incremental.ingest_new(spark, f"{folder}/in/*", e.schema, f"{folder}/out", f"{folder}/state", key="event_id", ts="ts", late="60 days")
     for part in ("in", "state"):
         remove(spark, f"{folder}/{part}")
-    return spark.read.parquet(f"{folder}/out")
+    return spark.read.parquet(f"{folder}/out").drop("ts")
+
+
+@query(_bouts_sql("1, 2, 3", 3) + " SELECT * FROM b")
+def stream_bouts(spark, d):
+    """The epochs of all nights in shuffled deliveries, each taken up by a call; then two that only move the watermark."""
+    folder = f"{shared_folder(spark)}/bouts-{uuid.uuid4().hex}"
+    at = lambda i: F.timestamp_seconds(i * 30 + 1_000_000_000)  # a watermark starts at 0, and what isn't above it is late
+    e = epochs(spark, d).select("subject_id", F.col("epoch_idx").cast("long").alias("epoch_idx"), at(F.col("epoch_idx")).alias("ts"), "code", F.floor((F.col("epoch_idx") + F.col("event_id") % 15) / 100).alias("part"))
+    e.write.partitionBy("part").parquet(f"{folder}/all")
+    whole = spark.read.parquet(f"{folder}/all")
+    last = whole.agg(F.max("part").alias("part"), F.max("epoch_idx").alias("i")).first()
+    # nobody's epochs, far ahead
+    after = [spark.range(1).select(F.lit(-1).cast("long").alias("subject_id"), F.lit(last.i + k).cast("long").alias("epoch_idx"), at(F.lit(last.i + k)).alias("ts"), F.lit(0).alias("code")) for k in (1000, 2000)]
+    for k, part in enumerate([*(whole.filter(F.col("part") == k).drop("part") for k in range(last.part + 1)), *after]):
+        part.write.parquet(f"{folder}/in/{k}")
+        incremental.ingest_new(spark, f"{folder}/in/*", after[0].schema, f"{folder}/out", f"{folder}/state", transform=lambda s: live.closing(s, F.col("code").isin(1, 2, 3), "subject_id", "ts", "10 minutes", min_sec=90.0))
+    for part in ("all", "in", "state"):
+        remove(spark, f"{folder}/{part}")
+    return spark.read.parquet(f"{folder}/out").withColumns({c: F.col(c).cast("int") for c in ("bout_idx", "first", "last")})
 
 
 @query("""SELECT event_type, w AS start, w + INTERVAL 2 HOUR AS "end", round(avg(value), 6) AS mean, count(*) AS n FROM (SELECT event_type, value, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS w FROM events) GROUP BY ALL""")
