@@ -130,6 +130,17 @@ def welch_t(sides: DataFrame) -> DataFrame:
     )
 
 
+def with_welch_p(tested: DataFrame) -> DataFrame:
+    """Adds p, two-sided, of Welch's t and its degrees of freedom; null where there is no t."""
+    ship(tested.sparkSession)
+
+    @F.pandas_udf("double")
+    def p_value(t: pd.Series, df: pd.Series) -> pd.Series:
+        return pd.Series([tails.t_two_sided(a, b) if a == a and a is not None and b == b and b is not None else None for a, b in zip(t, df, strict=True)], dtype="float64")
+
+    return tested.withColumn("p", p_value("t", "df")).withColumn("p", F.when(~F.isnan("p"), F.col("p")))
+
+
 def midranks(df: DataFrame, value: str, by: list[str] | None = None, out: str = "rank") -> DataFrame:
     """Ranks from 1 in which ties share their mean.
 
@@ -267,7 +278,7 @@ def normal_band(mean: Column, error: Column, n: Column, z: float = 1.95996398454
 
 
 def pairwise(df: DataFrame, group: str, value: str) -> DataFrame:
-    """All pairs of a few groups (a < b): n_a, n_b, u of a, effect 1 - 2u / (n_a n_b), p of Mann-Whitney and p_holm."""
+    """All pairs of a few groups (a < b): n_a, n_b, u of a, effect 1 - 2u / (n_a n_b), p of Mann-Whitney and p_holm, the smallest p first."""
     ship(df.sparkSession)
     ok = df.filter(finite(value)).select(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v"))
     names = ok.select("_g").distinct()
@@ -285,7 +296,7 @@ def pairwise(df: DataFrame, group: str, value: str) -> DataFrame:
     def p_value(u: pd.Series, n: pd.Series, m: pd.Series, ties: pd.Series) -> pd.Series:
         return pd.Series([p_of_u(*x) for x in zip(u, n, m, ties, strict=True)], dtype="float64")
 
-    return holm(out.withColumn("p", p_value("u", "n_a", "n_b", "ties")).drop("_r", "ties"), "p")
+    return holm(out.withColumn("p", p_value("u", "n_a", "n_b", "ties")).drop("_r", "ties"), "p").orderBy("p", "a", "b")
 
 
 def paired(df: DataFrame, subject: str, first: str, second: str, digits: int | None = None) -> DataFrame:

@@ -265,16 +265,23 @@ def log1p_cutoff(spark, d):
     return rounded(_rates(spark, d).select("user_id", "rate", "log_rate", "mean", "sd", "group"))
 
 
+# the normal tail beyond z by Simpson's rule, as SQL has no error function
+TAIL = "greatest(0, 1 - 2 * (SELECT sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-power({z} * i / 4000, 2) / 2)) * {z} / 12000 / sqrt(2 * pi()) FROM (SELECT unnest(range(0, 4001)) AS i)))"
+# likewise the tail of Student's t beyond |t|
+T_TAIL = "greatest(0, 1 - 2 * exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt({df} * pi()) * (SELECT sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * power(1 + power({t} * i / 4000, 2) / {df}, -({df} + 1) / 2)) * abs({t}) / 12000 FROM (SELECT unnest(range(0, 4001)) AS i)))"
+
+
 SIDES = """s AS (SELECT l_returnflag AS f, count(*)::DOUBLE AS n, avg(l_quantity) AS m, stddev_samp(l_quantity) AS sd FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY 1),
 p AS (SELECT h.n AS nh, h.m AS mh, h.sd AS sh, l.n AS nl, l.m AS ml, l.sd AS sl FROM s h, s l WHERE h.f = 'R' AND l.f = 'A')"""
 
 
-@query(f"""WITH {SIDES} SELECT 'l_quantity' AS parameter, round((mh - ml) / sqrt(sh * sh / nh + sl * sl / nl), 6) AS t, round(power(sh * sh / nh + sl * sl / nl, 2) / (power(sh * sh / nh, 2) / (nh - 1) + power(sl * sl / nl, 2) / (nl - 1)), 4) AS df,
-round((mh - ml) / sqrt(((nh - 1) * sh * sh + (nl - 1) * sl * sl) / (nh + nl - 2)) * (1 - 3 / (4 * (nh + nl) - 9)), 6) AS hedges_g FROM p""")
+@query(f"""WITH {SIDES}, w AS (SELECT (mh - ml) / sqrt(sh * sh / nh + sl * sl / nl) AS t, power(sh * sh / nh + sl * sl / nl, 2) / (power(sh * sh / nh, 2) / (nh - 1) + power(sl * sl / nl, 2) / (nl - 1)) AS df FROM p)
+SELECT 'l_quantity' AS parameter, round(t, 6) AS t, round(df, 4) AS df, round({T_TAIL.format(t="w.t", df="w.df")}, 6) AS p,
+round((mh - ml) / sqrt(((nh - 1) * sh * sh + (nl - 1) * sl * sl) / (nh + nl - 2)) * (1 - 3 / (4 * (nh + nl) - 9)), 6) AS hedges_g FROM p, w""")
 def welch_t(spark, d):
     x = table(spark, d, "lineitem").withColumn("parameter", F.lit("l_quantity"))
-    s = statistics.welch_t(statistics._sides(x, ["parameter"], "l_returnflag", "l_quantity", "A", "R", moments=True))
-    return s.select("parameter", F.round("t", 6).alias("t"), F.round("df", 4).alias("df"), F.round("hedges_g", 6).alias("hedges_g"))
+    s = statistics.with_welch_p(statistics.welch_t(statistics._sides(x, ["parameter"], "l_returnflag", "l_quantity", "A", "R", moments=True)))
+    return s.select("parameter", F.round("t", 6).alias("t"), F.round("df", 4).alias("df"), F.round("hedges_g", 6).alias("hedges_g"), F.round("p", 6).alias("p"))
 
 
 @query("""WITH x AS (SELECT o_orderpriority AS p, o_orderstatus AS s, o_totalprice AS v FROM orders WHERE o_orderstatus IN ('O', 'F')),
@@ -537,30 +544,36 @@ def confidence_bands(spark, d):
     return rounded(g.select("group", "mean", lower.alias("lower"), upper.alias("upper")))
 
 
-@query(f"""WITH {RATES}, s AS (SELECT "group" AS g, count(amount) AS n, avg(amount) AS m, stddev_samp(amount) AS sd FROM z WHERE "group" <> 'mid' GROUP BY 1)
-SELECT 'amount' AS parameter, l.n AS n_low, h.n AS n_high, round(l.m, 6) AS mean_low, round(h.m, 6) AS mean_high, round((h.m - l.m) / sqrt(h.sd * h.sd / h.n + l.sd * l.sd / l.n), 6) AS t,
-round((h.m - l.m) / sqrt(((h.n - 1) * h.sd * h.sd + (l.n - 1) * l.sd * l.sd) / (h.n + l.n - 2)) * (1 - 3.0::DOUBLE / (4 * (h.n + l.n) - 9)), 6) AS hedges_g FROM s h, s l WHERE h.g = 'high' AND l.g = 'low'""")
+@query(f"""WITH {RATES}, s AS (SELECT "group" AS g, count(amount) AS n, avg(amount) AS m, stddev_samp(amount) AS sd FROM z WHERE "group" <> 'mid' GROUP BY 1),
+w AS (SELECT (h.m - l.m) / sqrt(h.sd * h.sd / h.n + l.sd * l.sd / l.n) AS t, power(h.sd * h.sd / h.n + l.sd * l.sd / l.n, 2) / (power(h.sd * h.sd / h.n, 2) / (h.n - 1) + power(l.sd * l.sd / l.n, 2) / (l.n - 1)) AS df FROM s h, s l WHERE h.g = 'high' AND l.g = 'low')
+SELECT 'amount' AS parameter, l.n AS n_low, h.n AS n_high, round(l.m, 6) AS mean_low, round(h.m, 6) AS mean_high, round(w.t, 6) AS t, round({T_TAIL.format(t="w.t", df="w.df")}, 6) AS p,
+round((h.m - l.m) / sqrt(((h.n - 1) * h.sd * h.sd + (l.n - 1) * l.sd * l.sd) / (h.n + l.n - 2)) * (1 - 3.0::DOUBLE / (4 * (h.n + l.n) - 9)), 6) AS hedges_g FROM s h, s l, w WHERE h.g = 'high' AND l.g = 'low'""")
 def group_compare(spark, d):
-    s = statistics.welch_t(statistics._sides(_rates(spark, d).withColumn("parameter", F.lit("amount")), ["parameter"], "group", "amount", "low", "high", moments=True))
-    return rounded(s.select("parameter", "n_low", "n_high", "mean_low", "mean_high", "t", "hedges_g"))
+    s = statistics.with_welch_p(statistics.welch_t(statistics._sides(_rates(spark, d).withColumn("parameter", F.lit("amount")), ["parameter"], "group", "amount", "low", "high", moments=True)))
+    return rounded(s.select("parameter", "n_low", "n_high", "mean_low", "mean_high", "t", "p", "hedges_g"))
 
 
-@query(f"""WITH {RATES}, v AS (SELECT "group" AS g, unnest(['amount', 'user']) AS parameter, unnest([amount, (user_id % 7)::DOUBLE]) AS v FROM z WHERE "group" <> 'mid'),
+@query(f"""WITH RECURSIVE {RATES}, v AS (SELECT "group" AS g, unnest(['amount', 'user']) AS parameter, unnest([amount, (user_id % 7)::DOUBLE]) AS v FROM z WHERE "group" <> 'mid'),
 q AS (SELECT parameter, g, count(*) AS n, avg(v) AS m, stddev_samp(v) AS sd, quantile_cont(v, 0.5) AS med, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3, min(v) AS lo, max(v) AS hi FROM v GROUP BY ALL),
 o AS (SELECT parameter, g, any_value(n) AS n, any_value(m) AS m, any_value(sd) AS sd, any_value(med) AS med, avg(power(v - m, 3)) / power(avg(power(v - m, 2)), 1.5) AS sk, count_if((v < q1 - 3 * (q3 - q1) OR v > q3 + 3 * (q3 - q1)) AND q3 > q1) AS far FROM v JOIN q USING (parameter, g) GROUP BY parameter, g),
 k AS (SELECT parameter, g, rank() OVER (PARTITION BY parameter ORDER BY v) + (count(*) OVER (PARTITION BY parameter, v) - 1) / 2.0::DOUBLE AS r FROM v), s AS (SELECT parameter, sum(CASE WHEN g = 'high' THEN r END) AS r FROM k GROUP BY 1),
+ties AS (SELECT parameter, sum(power(c, 3) - c) AS t FROM (SELECT parameter, count(*)::DOUBLE AS c FROM v GROUP BY parameter, v) GROUP BY 1),
 b AS (SELECT l.parameter, l.n AS n_low, h.n AS n_high, l.m AS mean_low, h.m AS mean_high, l.med AS median_low, h.med AS median_high, CASE WHEN least(l.n, h.n) < 2 THEN 'none' WHEN least(l.n, h.n) < 8 OR greatest(abs(l.sk), abs(h.sk)) >= 1 OR l.far + h.far > 0 THEN 'mannwhitney' ELSE 'welch' END AS test,
-(h.m - l.m) / sqrt(h.sd * h.sd / h.n + l.sd * l.sd / l.n) AS t, (h.m - l.m) / sqrt(((h.n - 1) * h.sd * h.sd + (l.n - 1) * l.sd * l.sd) / (h.n + l.n - 2)) * (1 - 3.0::DOUBLE / (4 * (h.n + l.n) - 9)) AS g, s.r - h.n * (h.n + 1) / 2 AS u
-FROM o l JOIN o h ON l.parameter = h.parameter AND l.g = 'low' AND h.g = 'high' JOIN s ON s.parameter = l.parameter)
-SELECT parameter, n_low, n_high, round(mean_low, 6) AS mean_low, round(mean_high, 6) AS mean_high, round(median_low, 6) AS median_low, round(median_high, 6) AS median_high, test, round(CASE test WHEN 'welch' THEN t WHEN 'mannwhitney' THEN u END, 6) AS statistic, round(CASE test WHEN 'welch' THEN g WHEN 'mannwhitney' THEN 2 * u / (n_low * n_high) - 1 END, 6) AS effect FROM b""")
+(h.m - l.m) / sqrt(h.sd * h.sd / h.n + l.sd * l.sd / l.n) AS t, (h.m - l.m) / sqrt(((h.n - 1) * h.sd * h.sd + (l.n - 1) * l.sd * l.sd) / (h.n + l.n - 2)) * (1 - 3.0::DOUBLE / (4 * (h.n + l.n) - 9)) AS g, s.r - h.n * (h.n + 1) / 2 AS u,
+power(h.sd * h.sd / h.n + l.sd * l.sd / l.n, 2) / (power(h.sd * h.sd / h.n, 2) / (h.n - 1) + power(l.sd * l.sd / l.n, 2) / (l.n - 1)) AS df, ties.t AS ties
+FROM o l JOIN o h ON l.parameter = h.parameter AND l.g = 'low' AND h.g = 'high' JOIN s ON s.parameter = l.parameter JOIN ties ON ties.parameter = l.parameter),
+ways AS (SELECT parameter, n_high AS n, n_low AS m, 0 AS i, 0 AS j, 0 AS u, 1::DOUBLE AS c FROM b WHERE test = 'mannwhitney' AND least(n_low, n_high) <= 8 AND ties = 0
+ UNION ALL SELECT parameter, n, m, i, j, u, sum(c) FROM (SELECT parameter, n, m, i + 1 AS i, j, u + j AS u, c FROM ways WHERE i < n UNION ALL SELECT parameter, n, m, i, j + 1 AS j, u, c FROM ways WHERE j < m) GROUP BY ALL),
+exact AS (SELECT w.parameter, least(1, 2 * sum(CASE WHEN w.u >= greatest(b.u, n * m - b.u) THEN c ELSE 0 END) / sum(c)) AS p FROM ways w JOIN b ON b.parameter = w.parameter WHERE i = n AND j = m GROUP BY 1),
+w AS (SELECT b.*, greatest((greatest(u, n_low * n_high - u) - n_low * n_high / 2 - 0.5) / nullif(sqrt(n_low * n_high / 12 * (n_low + n_high + 1 - ties / ((n_low + n_high) * (n_low + n_high - 1)))), 0), 0) AS z FROM b),
+y AS (SELECT w.*, CASE test WHEN 'welch' THEN {T_TAIL.format(t="w.t", df="w.df")} WHEN 'mannwhitney' THEN coalesce(exact.p, CASE WHEN w.z IS NULL THEN 1 ELSE least(1, {TAIL.format(z="w.z")}) END) END AS p FROM w LEFT JOIN exact ON exact.parameter = w.parameter),
+f AS (SELECT *, min(p * (SELECT count(*) FROM y WHERE p IS NOT NULL) / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS q FROM (SELECT *, CASE WHEN p IS NOT NULL THEN row_number() OVER (ORDER BY p NULLS LAST) END AS k FROM y))
+SELECT parameter, n_low, n_high, round(mean_low, 6) AS mean_low, round(mean_high, 6) AS mean_high, round(median_low, 6) AS median_low, round(median_high, 6) AS median_high, test, round(CASE test WHEN 'welch' THEN t WHEN 'mannwhitney' THEN u END, 6) AS statistic, round(CASE test WHEN 'welch' THEN g WHEN 'mannwhitney' THEN 2 * u / (n_low * n_high) - 1 END, 6) AS effect,
+round(p, 6) AS p, round(CASE WHEN p IS NOT NULL THEN least(1, q) END, 6) AS q FROM f""")
 def compare_parameters(spark, d):
     groups = _rates(spark, d).withColumn("user", (F.col("user_id") % 7).cast("double"))
     c = statistics.compare(groups, "group", ["amount", "user"])
-    return rounded(c.select("parameter", "n_low", "n_high", "mean_low", "mean_high", "median_low", "median_high", "test", "statistic", "effect"))
-
-
-# the normal tail beyond z by Simpson's rule, as SQL has no error function
-TAIL = "greatest(0, 1 - 2 * (SELECT sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-power({z} * i / 4000, 2) / 2)) * {z} / 12000 / sqrt(2 * pi()) FROM (SELECT unnest(range(0, 4001)) AS i)))"
+    return rounded(c.select("parameter", "n_low", "n_high", "mean_low", "mean_high", "median_low", "median_high", "test", "statistic", "effect", "p", "q"))
 
 
 @query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_custkey LIMIT 50")
@@ -597,10 +610,13 @@ def pairwise_stages(spark, d):
 
 
 @query("""WITH m AS (SELECT l_orderkey, avg(l_extendedprice) AS x, avg(l_quantity) AS y FROM lineitem GROUP BY 1), d AS (SELECT round(x / avg(x) OVER () - y / avg(y) OVER (), 9) AS d FROM m),
-k AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS r FROM d WHERE d <> 0)
-SELECT round(coalesce(sum(CASE WHEN d > 0 THEN r END), 0), 1) AS w_plus, round(coalesce(sum(CASE WHEN d < 0 THEN r END), 0), 1) AS w_minus, count(*) AS n, round((count_if(d > 0) - count_if(d < 0)) / count(*)::DOUBLE, 6) AS effect FROM k""")
+k AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0::DOUBLE AS r FROM d WHERE d <> 0),
+a AS (SELECT coalesce(sum(CASE WHEN d > 0 THEN r END), 0) AS w_plus, coalesce(sum(CASE WHEN d < 0 THEN r END), 0) AS w_minus, count(*) AS n, (count_if(d > 0) - count_if(d < 0)) / count(*)::DOUBLE AS effect FROM k),
+t AS (SELECT coalesce(sum(power(c, 3) - c), 0) AS t FROM (SELECT count(*)::DOUBLE AS c FROM k GROUP BY abs(d))),
+w AS (SELECT *, abs(least(w_plus, w_minus) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - t / 48) AS z FROM a, t)
+SELECT round(w_plus, 1) AS w_plus, round(w_minus, 1) AS w_minus, n, round(effect, 6) AS effect, round(""" + TAIL.format(z="w.z") + """, 6) AS p FROM w""")
 def paired_metrics(spark, d):
-    return rounded(statistics.paired(table(spark, d, "lineitem"), "l_orderkey", "l_extendedprice", "l_quantity", digits=9).select("w_plus", "w_minus", "n", "effect"))
+    return rounded(statistics.paired(table(spark, d, "lineitem"), "l_orderkey", "l_extendedprice", "l_quantity", digits=9).select("w_plus", "w_minus", "n", "effect", "p"))
 
 
 @query("SELECT scale, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd FROM (SELECT unnest(['raw', 'log1p']) AS scale, unnest([o_totalprice, ln(1 + o_totalprice)]) AS x FROM orders) GROUP BY 1")
