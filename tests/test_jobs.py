@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from tidemark.plans import jobs
-from tidemark.sources import edf, tables
+from tidemark.sources import edf, errors, tables
 from tidemark.sources.store import Store, read_rows
 from tidemark.streaming import incremental
 
@@ -78,6 +78,22 @@ def test_extract_group_and_compare(spark, cohort):
     assert "all" in {r.subject_id for r in validated_at(spark, summary, peak)}
     both = jobs.compare(records).collect()
     assert {(r.stage, r.channel, r.subjects) for r in both} >= {("N2", "C3", 3), ("N2", "C4", 2)}
+    one = next(r for r in both if (r.stage, r.channel) == ("N2", "C3"))
+    assert (one.rate, one.rate_sem) == pytest.approx((np.mean(rates), np.std(rates, ddof=1) / 3**0.5))
+    # a subject without the channel is excluded for that
+    reasons = {r.subject_id: r.exclusion_reason for r in jobs.summaries(records, "N2", "C4").collect()}
+    assert reasons["few"] == "missing channel C4" and reasons["all"] is None
+    every = jobs.group_analyses(jobs.summaries(records, None, None))
+    own = every["assignments"].filter("sleep_stage = 'N2' AND channel = 'C3' AND dominant = 'all'")
+    assert sorted((r.subject_id, r["group"]) for r in own.collect()) == sorted((r.subject_id, r["group"]) for r in tables_["assignments"].collect())
+    same = lambda df: {r.parameter: (r.test, r.p, r.q, r.effect) for r in df.collect()}
+    assert same(every["comparison"].filter("sleep_stage = 'N2' AND channel = 'C3' AND dominant = 'all'")) == same(tables_["comparison"])
+    bands = {r.freq: r["mean"] for r in every["bands_before"].filter("sleep_stage = 'N2' AND channel = 'C3' AND dominant = 'all'").collect()}
+    assert bands == pytest.approx({f: m for f, (m, _) in curve.items()})
+    excluded = {(r.subject_id, r.exclusion_reason) for r in every["excluded"].filter("sleep_stage = 'N2' AND channel = 'O2' AND dominant = 'all'").collect()}
+    assert ("all", "missing channel O2") in excluded and {r.dominant for r in every["validated"].collect()} > {"all"}
+    jobs.write_group_analyses(every, f"{cohort}/every")
+    assert spark.read.parquet(f"{cohort}/every/comparison").select("sleep_stage", "channel", "dominant").distinct().count() >= 2
 
 
 def validated_at(spark, summary, peak):
@@ -121,6 +137,39 @@ def test_only_what_lacks_is_done_again_and_problems_are_issues(spark, cohort):
     assert run(subject="few", overwrite=False, dry_run=True).count() == 0 and run(limit=1, stages=("N2",), dry_run=True).count() <= 1
     with pytest.raises(ValueError):
         run(stages=("N9",))
+    # a subject asked for by name must have an id that names a file, and its files
+    (root / "hypno" / "lost_Hypnodensity.csv").write_text("x")
+    (root / "meta.csv").write_text((root / "meta.csv").read_text() + "lost,1,M,20\n")
+    for name, error in (("lost", errors.EDFFileNotFoundError), ("../up", errors.InvalidSubjectIDError)):
+        with pytest.raises(error):
+            run(subject=name, dry_run=True)
+
+
+def test_overwriting_one_subject_leaves_the_others(spark, cohort):
+    """Ids with blanks and brackets from listing to records; shards and single subjects side by side."""
+    import shutil
+
+    root = cohort / "names"
+    (root / "edf").mkdir(parents=True)
+    (root / "hypno").mkdir()
+    for source, name in (("all", "S 2"), ("more", "S[3]"), ("few", "a+b")):
+        shutil.copy(cohort / "edf" / f"{source}.edf", root / "edf" / f"{name}.edf")
+        shutil.copy(cohort / "hypno" / f"{source}_Hypnodensity.csv", root / "hypno" / f"{name}_Hypnodensity.csv")
+    (root / "meta.csv").write_text("ID,Age,Gender,BMI\nS 2,1,M,20\nS[3],2,F,21\na+b,3,F,22\n")
+    p = {k: str(root / k) for k in ("out", "err", "records")}
+    counters: dict = {}
+    run = lambda **more: jobs.extract(spark, [str(root / "meta.csv")], str(root / "edf"), str(root / "hypno"), p["out"], p["err"], p["records"], **more)
+    run(subject="S 2", counters=counters)
+    assert counters["subjects"] == 1 and counters["records"] > 0 and counters["issues"] == 0 and counters["spectra"] > 0
+    run(shards=(0, 2))
+    run(shards=(1, 2))
+    rows = lambda: sorted((r.subject_id, r.stage, r.channel, len(r.spindle_peak)) for r in tables.read_records(spark, p["records"]).collect())
+    before = rows()
+    files = {f: f.stat().st_mtime_ns for f in (root / "records").rglob("part-*")}
+    assert {r[0] for r in before} == {"S 2", "S[3]", "a+b"}
+    run(subject="S[3]", overwrite=True)
+    assert rows() == before and files.items() <= {f: f.stat().st_mtime_ns for f in (root / "records").rglob("part-*")}.items()
+    assert sorted(r.ID for r in read_rows(spark, p["out"], "ID", fmt="csv").collect()) == ["S 2", "S[3]", "a+b"]
 
 
 def test_command_line(monkeypatch):

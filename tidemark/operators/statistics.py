@@ -80,14 +80,17 @@ def describe(df: DataFrame, group: list[str], value: str) -> DataFrame:
     return out.join(counted, group)
 
 
-def rate_groups(df: DataFrame, rate: str, k: float = 0.0, keys: list[str] | None = None) -> DataFrame:
+def rate_groups(df: DataFrame, rate: str, k: float = 0.0, keys: list[str] | None = None, few: str = "raise") -> DataFrame:
     """Adds log_rate, mean, sd, low, high (thresholds: mean -/+ k sd of log1p rates) and group; rates that aren't finite go.
 
-    With k = 0 both thresholds are the mean, and only an exact tie is "mid". Fewer than two finite rates raise.
+    With k = 0 both thresholds are the mean, and only an exact tie is "mid". Fewer than two finite rates raise, or with
+    ``few`` = "drop" their key goes.
     """
     keys = keys or []
     ok = df.filter(finite(rate)).withColumn("log_rate", F.log1p(rate))
     stats = ok.groupBy(*keys).agg(F.count("*").alias("_n"), F.avg("log_rate").alias("mean"), F.stddev_samp("log_rate").alias("sd"))
+    if few == "drop":
+        stats = stats.filter(F.col("_n") >= 2)
     stats = stats.withColumn("mean", F.when(F.col("_n") < 2, F.raise_error(F.lit("fewer than two finite rates"))).otherwise(F.col("mean"))).drop("_n")
     joined = ok.join(stats, keys) if keys else ok.crossJoin(F.broadcast(stats))  # one row
     joined = joined.withColumn("low", F.col("mean") - k * F.col("sd")).withColumn("high", F.col("mean") + k * F.col("sd"))

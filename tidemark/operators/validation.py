@@ -41,16 +41,19 @@ def rate_columns(unit: str = "min") -> tuple[str, str, int]:
     return f"spindle_per_{unit}", f"spindle_per_{unit}_SEM", factors[unit]
 
 
-def reasons(records: DataFrame, stage: str, channel: str, unit: str = "min", tolerance: float = TOLERANCE, spectra: bool = False) -> DataFrame:
-    """Adds ``exclusion_reason``: what the loader found, else the first rule that a record breaks."""
+def reasons(records: DataFrame, stage: str | None, channel: str | None, unit: str = "min", tolerance: float = TOLERANCE, spectra: bool = False, by: list[str] | None = None) -> DataFrame:
+    """Adds ``exclusion_reason``: what the loader found, else the first rule that a record breaks.
+
+    With ``by`` there are many tables in one, a subject stands once in each, and no stage or channel (None) is wrong.
+    """
     rate, error, _ = rate_columns(unit)
     needed = [*REQUIRED, rate, error]
     number = lambda c: F.when(~is_nan(c), F.col(c))
     rules = [
         (F.col("exclusion_reason").isNotNull(), F.col("exclusion_reason")) if "exclusion_reason" in records.columns else (F.lit(False), ""),
-        (F.count("*").over(Window.partitionBy("subject_id")) > 1, "duplicate subject"),
-        (~F.col("sleep_stage").eqNullSafe(stage), "wrong stage"),
-        (~F.col("channel").eqNullSafe(channel), "wrong channel"),
+        (F.count("*").over(Window.partitionBy(*(by or []), "subject_id")) > 1, "duplicate subject"),
+        (F.lit(stage is not None) & ~F.col("sleep_stage").eqNullSafe(stage), "wrong stage"),
+        (F.lit(channel is not None) & ~F.col("channel").eqNullSafe(channel), "wrong channel"),
         (number(rate) < 0, "negative rate"),
         (number(error) < 0, "negative rate error"),
         (number("peak_freq_hz") <= 0, "peak frequency not positive"),

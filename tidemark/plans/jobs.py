@@ -7,7 +7,7 @@ import logging
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
@@ -16,7 +16,8 @@ from ..functions.scalars import STAGE_GROUPS, in_band
 from ..operators import fits, relational, sleep, spectra, statistics, validation
 from ..session import remove, session, shared_folder
 from ..sources import edf, sinks, tables
-from ..sources.recordings import Recordings, safe_id
+from ..sources.errors import EDFFileNotFoundError
+from ..sources.recordings import Recordings, require_safe, safe_id
 from ..sources.store import Store, read_rows
 
 log = logging.getLogger("tidemark")
@@ -67,6 +68,11 @@ def extract(spark: SparkSession, metadata: list[str], edf_dir: str, hypno_dir: s
         raise ValueError(f"unknown stages: {', '.join(stages_unknown)}")
     recordings = recordings or Recordings(aliases=aliases, requested=None if aliases else list(CHANNELS), rate=K.SAMPLE_RATE)
     subjects = relational.coalesce_union([tables.read_metadata(spark, p) for p in metadata], "ID").filter(safe_id("ID"))
+    if subject is not None:  # who is asked for by name must be there
+        require_safe(spark.createDataFrame([(subject,)], "ID string"))
+        mine = subjects.filter(F.col("ID") == subject)
+        tables.require_files(tables.file_names(spark, edf_dir), mine, ".edf", error=EDFFileNotFoundError)
+        tables.require_files(tables.file_names(spark, hypno_dir), mine, "_Hypnodensity.csv")
     subjects = relational.with_files(subjects, [(tables.file_names(spark, edf_dir), ".edf"), (tables.file_names(spark, hypno_dir), "_Hypnodensity.csv")])
     if subject is not None:
         subjects = subjects.filter(F.col("ID") == subject)
@@ -116,22 +122,37 @@ def extract(spark: SparkSession, metadata: list[str], edf_dir: str, hypno_dir: s
     return subjects
 
 
-def summaries(records: DataFrame, stage: str, channel: str, unit: str = "min") -> DataFrame:
-    """One summary of each subject's record: fit, area, rate and why it is excluded."""
-    rate, error, factor = validation.rate_columns(unit)
-    own = records.filter((F.col("stage") == stage) & (F.col("channel") == channel))
+def rates(unit: str = "min") -> tuple[Column, Column]:
+    """A record's events per minute (or hour) of bout, and the standard error of its bouts' own rates."""
+    factor = validation.rate_columns(unit)[2]
     length = F.zip_with("bout_start", "bout_stop", lambda a, b: (b - a) / 60)
     per = F.zip_with("bout_n_spindles", length, lambda n, m: n / m)
-    size = F.size("bout_start")
-    total = F.aggregate(length, F.lit(0.0), lambda a, x: a + x)
+    size, total = F.size("bout_start"), F.aggregate(length, F.lit(0.0), lambda a, x: a + x)
     mean = F.aggregate(per, F.lit(0.0), lambda a, x: a + x) / size
     var = F.aggregate(per, F.lit(0.0), lambda a, x: a + F.pow(x - mean, 2)) / (size - 1)
-    counted = own.select("subject_id", F.col("stage").alias("sleep_stage"), "channel", "freqs", "corr_mean", F.when(total > 0, F.aggregate("bout_n_spindles", F.lit(0).cast("long"), lambda a, n: a + n) / total * factor).alias(rate), F.when(size > 1, F.sqrt(var) / F.sqrt(size) * factor).when(size == 1, 0.0).alias(error))
-    counted = counted.withColumn("load_problem", validation.spectrum_problem())
+    rate = F.when(total > 0, F.aggregate("bout_n_spindles", F.lit(0).cast("long"), lambda a, n: a + n) / total * factor)
+    return rate, F.when(size > 1, F.sqrt(var) / F.sqrt(size) * factor).when(size == 1, 0.0)
+
+
+def summaries(records: DataFrame, stage: str | None, channel: str | None, unit: str = "min", channels: tuple[str, ...] = CHANNELS) -> DataFrame:
+    """One summary of each subject's record: fit, area, rate and why it is excluded.
+
+    A subject that has records of the stage but none of the channel has a summary without values, whose reason says so.
+    Without a stage and a channel all stages and all ``channels`` are summarised, a row for each subject, stage and channel.
+    """
+    rate, error, _ = validation.rate_columns(unit)
+    keys = ["subject_id", "sleep_stage", "channel"]
+    staged = records.withColumnRenamed("stage", "sleep_stage")
+    staged = staged if stage is None else staged.filter(F.col("sleep_stage") == stage)
+    everyone = staged.select("subject_id", "sleep_stage").distinct().withColumn("channel", F.explode(F.lit(list(channels) if channel is None else [channel])))
+    own = staged.filter(F.col("channel").isin(list(channels) if channel is None else [channel]))
+    counted = own.select(*keys, "freqs", "corr_mean", *(c.alias(n) for c, n in zip(rates(unit), (rate, error), strict=True)), F.lit(True).alias("_there"))
+    counted = everyone.join(counted, keys, "left")
+    counted = counted.withColumn("load_problem", F.when(F.col("_there").isNull(), F.concat(F.lit("missing channel "), "channel")).otherwise(validation.spectrum_problem())).drop("_there")
     peak = F.element_at("freqs", F.array_position("corr_mean", F.array_max("corr_mean")).cast("int"))
     counted = counted.withColumn("dominant_freq_hz", F.when(F.col("load_problem").isNull(), peak))
-    fitted = fits.fit_curves(counted.filter("load_problem is null"), ["subject_id"]).withColumnRenamed("bandwidth", "bandwidth_hz")
-    joined = counted.join(fitted, "subject_id", "left")
+    fitted = fits.fit_curves(counted.filter("load_problem is null"), keys).withColumnRenamed("bandwidth", "bandwidth_hz")
+    joined = counted.join(fitted, keys, "left")
     return joined.withColumn("exclusion_reason", F.coalesce("load_problem", "fit_error")).withColumn("power", F.col("amp")).drop("load_problem", "fit_error")
 
 
@@ -147,12 +168,12 @@ def summaries_of_files(spark: SparkSession, summary: str, records: str | None, s
     return out.withColumns({"freqs": nothing, "corr_mean": nothing, "dominant_freq_hz": F.lit(None).cast("double")})
 
 
-def group_curves(subjects: DataFrame, keys: list[str], rate: str) -> tuple[DataFrame, DataFrame]:
+def group_curves(subjects: DataFrame, keys: list[str], rate: str, within: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """The mean curve of each group with errors and confidence band; and its peak's fit, subjects, mean rate and error."""
     named = subjects.withColumn("_all", F.lit("all_subjects"))
     own = keys or ["_all"]
-    # one grid for all groups, that of the first subject, so that their curves can be compared
-    same = spectra.same_grid(named.filter(F.size("freqs") > 0), ["_all"], "subject_id")
+    # one grid for all groups (of one analysis), that of the first subject, so that their curves can be compared
+    same = spectra.same_grid(named.filter(F.size("freqs") > 0), within or ["_all"], "subject_id")
     long = same.select(*own, F.posexplode(F.arrays_zip("freqs", "corr_mean")).alias("k", "v")).select(*own, "k", F.col("v.freqs").alias("freq"), F.col("v.corr_mean").alias("value"))
     curve = spectra.mean_curves(long, own, "value", ["k", "freq"])
     lower, upper = statistics.normal_band(F.col("mean"), F.col("sem"), F.col("n"))
@@ -188,6 +209,37 @@ def group_analysis(spark: SparkSession, summary: DataFrame, stage: str, channel:
     return out
 
 
+def group_analyses(summary: DataFrame, unit: str = "min", alpha: float = 0.05, k: float = 0.0) -> dict[str, DataFrame]:
+    """The tables of the group analyses of all stages, channels and dominant frequencies in one plan, by name.
+
+    Each table has the columns sleep_stage, channel and dominant ("all", or the frequency in Hz); a subject stands in
+    the analysis of all and in that of its own frequency. An analysis with fewer than two rates has only its exclusions.
+    """
+    rate, _, _ = validation.rate_columns(unit)
+    keys = ["sleep_stage", "channel", "dominant"]
+    slow = in_band("dominant_freq_hz", *K.SLOW_BAND)
+    fanned = summary.withColumn("dominant", F.explode(F.array_compact(F.array(F.lit("all"), F.when(slow, F.format_number(F.round("dominant_freq_hz", 2), 2))))))
+    marked = validation.reasons(fanned, None, None, unit, spectra="freqs" in summary.columns, by=keys)
+    bad = F.col("exclusion_reason").isNotNull()
+    out = {"validated": marked.filter(~bad).drop("exclusion_reason"), "excluded": marked.filter(bad)}
+    out["validation_report"] = marked.groupBy(*keys, "exclusion_reason").agg(F.count("*").alias("count"))
+    groups = statistics.rate_groups(out["validated"], rate, k, keys, few="drop")
+    out["assignments"] = groups.select(*keys, "subject_id", rate, "log_rate", "mean", "sd", "low", "high", "group")
+    out["comparison"] = statistics.compare(groups, "group", PARAMETERS, alpha=alpha, by=keys)
+    out["distribution"] = statistics.histogram(groups, rate, group=[*keys, "group"])
+    out["pretransform"] = statistics.histogram(groups, rate, group=keys).join(statistics.normal_fit(groups, rate, keys).filter("scale = 'raw'").withColumnsRenamed({"mean": "fit_mean", "sd": "fit_sd"}).drop("n"), keys)
+    if "freqs" in summary.columns:
+        out["bands"], out["curves"] = group_curves(groups, [*keys, "group"], rate, keys)
+        out["bands_before"], out["curves_before"] = group_curves(groups, keys, rate, keys)
+    return out
+
+
+def write_group_analyses(out: dict[str, DataFrame], folder: str, overwrite: bool = False) -> None:
+    """Each table as Parquet, a folder for each stage, channel and dominant frequency; refuses to replace any unless told to."""
+    for name, df in out.items():
+        df.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("sleep_stage", "channel", "dominant").parquet(f"{folder}/{name}")
+
+
 def write_group_analysis(spark: SparkSession, out: dict[str, DataFrame], folder: str, stage: str, channel: str, unit: str = "min", overwrite: bool = False) -> None:
     """All tables as Parquet and both reports as text; refuses to replace any unless told to."""
     mode = "overwrite" if overwrite else "errorifexists"
@@ -201,14 +253,15 @@ def write_group_analysis(spark: SparkSession, out: dict[str, DataFrame], folder:
 
 
 def compare(records: DataFrame, unit: str = "min") -> DataFrame:
-    """Per stage and channel: subjects, the mean curve's peak fit, and the channel with the largest amplitude in its stage."""
+    """Per stage and channel: subjects, their mean rate with its error, the mean curve's peak fit, and the channel with the largest amplitude in its stage."""
     sound = records.filter((F.size("freqs") > 0) & validation.spectrum_problem().isNull())
     same = spectra.same_grid(sound, ["stage", "channel"], "subject_id")
     long = same.select("stage", "channel", "subject_id", F.posexplode(F.arrays_zip("freqs", "corr_mean")).alias("k", "v")).select("stage", "channel", "subject_id", "k", F.col("v.freqs").alias("freq"), F.col("v.corr_mean").alias("value"))
     curve = spectra.mean_curves(long, ["stage", "channel"], "value", ["k", "freq"])
     arrays = curve.groupBy("stage", "channel").agg(F.array_sort(F.collect_list(F.struct("freq", "mean", "sem"))).alias("c"), F.max("n").alias("subjects"))
     arrays = arrays.select("stage", "channel", "subjects", F.transform("c", lambda x: x["freq"]).alias("freqs"), F.transform("c", lambda x: x["mean"]).alias("corr_mean"))
-    fitted = fits.fit_curves(arrays, ["stage", "channel", "subjects"])
+    of_subjects = sound.withColumn("_rate", rates(unit)[0]).groupBy("stage", "channel").agg(F.avg("_rate").alias("rate"), F.coalesce(statistics.sem("_rate"), F.lit(0.0)).alias("rate_sem"))
+    fitted = fits.fit_curves(arrays, ["stage", "channel", "subjects"]).join(of_subjects, ["stage", "channel"])
     best = fitted.groupBy("stage").agg(F.max_by("channel", F.struct("amp", "channel")).alias("best_channel"))
     return fitted.join(best, "stage").orderBy("stage", "channel")
 
@@ -246,6 +299,7 @@ def arguments() -> argparse.ArgumentParser:
     g.add_argument("--dominant-freq-hz", type=float)
     g.add_argument("--fdr-alpha", type=float, default=0.05)
     g.add_argument("--n-subjects", type=int)
+    g.add_argument("--every", action="store_true", help="all stages, channels and dominant frequencies of --records in one run")
     g.add_argument("--overwrite", action="store_true")
     c = sub.add_parser("compare")
     c.add_argument("--records", required=True)
@@ -278,11 +332,16 @@ def main(argv: list[str] | None = None) -> None:
             print(f"{tasks.count()} subjects to do")
         else:
             print(" ".join(f"{k}: {n}" for k, n in counters.items()))
+    elif a.job == "group" and a.every:
+        if a.records is None:
+            p.error("--every needs --records")
+        summary = summaries(tables.read_records(spark, at(a.records), limit=a.n_subjects), None, None, a.rate_unit)
+        write_group_analyses(group_analyses(summary, a.rate_unit, a.fdr_alpha), at(a.output_dir), a.overwrite)
     elif a.job == "group":
         if a.summary_results is not None:
             summary = summaries_of_files(spark, at(a.summary_results), at(a.spectrum_results), a.sleep_stage, a.channel, a.rate_unit, a.subject_id_column)
         else:
-            summary = summaries(tables.read_records(spark, at(a.records), a.sleep_stage, a.channel, a.n_subjects), a.sleep_stage, a.channel, a.rate_unit)
+            summary = summaries(tables.read_records(spark, at(a.records), a.sleep_stage, limit=a.n_subjects), a.sleep_stage, a.channel, a.rate_unit)
         out = group_analysis(spark, summary, a.sleep_stage, a.channel, a.rate_unit, a.dominant_freq_hz, a.fdr_alpha)
         write_group_analysis(spark, out, at(a.output_dir), a.sleep_stage, a.channel, a.rate_unit, a.overwrite)
     else:

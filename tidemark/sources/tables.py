@@ -87,12 +87,12 @@ def hypnogram(annotations: DataFrame, codes: dict[str, int] | None = None, stric
     return out if strict else out.withColumn("problem", F.coalesce("problem", unknown) if "problem" in out.columns else unknown)
 
 
-def require_files(listing: DataFrame, subjects: DataFrame, suffix: str, key: str = "ID", required: bool = True) -> DataFrame:
+def require_files(listing: DataFrame, subjects: DataFrame, suffix: str, key: str = "ID", required: bool = True, error: type[SourceError] = AnnotationLoadError) -> DataFrame:
     """The subjects that have a file named key + suffix; with ``required`` one without raises."""
     named = listing.select(F.col("name").alias("_name")).distinct()
     mine = F.concat(F.col(key), F.lit(suffix))
     if required and (lost := subjects.join(named, mine == F.col("_name"), "left_anti").select(key).first()) is not None:
-        raise AnnotationLoadError(f"no file {lost[0]}{suffix}")
+        raise error(f"no file {lost[0]}{suffix}")
     return subjects.join(named, mine == F.col("_name"), "left_semi")
 
 
