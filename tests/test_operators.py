@@ -151,6 +151,10 @@ def test_recordings(spark, tmp_path):
     assert len(c3.samples) == len(c4.samples) == 1280 and c3.sf == 64.0 and c3.physical == "C3-M2" and (c4.position, c3.position) == (0, 1)
     assert c3.missing == ["O1"] == c3.unresolved and c3.conflicts == []
     assert got[("none", None)].error_type == "ChannelResolutionError" and got[("bad", None)].error_type == "DataLoadError"
+    loaded = recordings.Recordings(requested=["C4", "C3", "O1"], rate=64.0).load(edf.files(spark, str(tmp_path)))
+    assert [r.subject_id for r in recordings.one_channel(loaded, "C3", strict=True).collect()] == ["good"]
+    with pytest.raises(errors.ChannelResolutionError):
+        recordings.one_channel(loaded, "O1", strict=True)
     own = rows(recordings.Recordings(requested=["C3", "C4"], mains=None))
     assert own[("good", None)].error_type == "DataLoadError" and "differ in length" in own[("good", None)].error_message
     native = recordings.Recordings(requested=["C4"], mains=None).load(edf.files(spark, str(tmp_path)))

@@ -266,6 +266,13 @@ def compare(records: DataFrame, unit: str = "min") -> DataFrame:
     return fitted.join(best, "stage").orderBy("stage", "channel")
 
 
+def stage_curves(records: DataFrame, stages: tuple[str, ...], band: tuple[float, float] = K.SLOW_BAND, channel: str | None = None) -> DataFrame:
+    """(subject_id, stage, freqs, corr_mean) of all sound spectra of the stages, cut to a band; subjects differ from stage to stage."""
+    own = records.filter(F.col("stage").isin(*stages) & validation.spectrum_problem().isNull())
+    own = own if channel is None else own.filter(F.col("channel") == channel)
+    return spectra.crop(own.select("subject_id", "stage", "freqs", "corr_mean"), *band)
+
+
 def dominant_groups(summary: DataFrame, peak: str = "peak_freq_hz") -> DataFrame:
     """Subjects by dominant frequency and in all, as one grouping set."""
     return summary.filter(in_band(peak, *K.SLOW_BAND)).rollup(F.round(peak, 2).alias("dominant_hz")).agg(F.count("*").alias("subjects"))

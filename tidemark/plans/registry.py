@@ -18,6 +18,7 @@ from ..session import remove, shared_folder
 from ..sources import recordings
 from ..streaming import bouts as live
 from ..streaming import incremental
+from . import jobs
 
 # fixed values: events' types as stages
 STAGES = {"error": 0, "view": 1, "click": 2, "purchase": 3, "signup": 4}
@@ -576,6 +577,14 @@ def compare_parameters(spark, d):
     return rounded(c.select("parameter", "n_low", "n_high", "mean_low", "mean_high", "median_low", "median_high", "test", "statistic", "effect", "p", "q"))
 
 
+@query(f"WITH {EPOCHS} SELECT subject_id, event_type AS stage, round(epoch_idx / 1000.0::DOUBLE, 6) AS freq, round(value, 6) AS value FROM e WHERE code IN (1, 2, 3) AND epoch_idx BETWEEN 10 AND 30")
+def stage_curves(spark, d):
+    e = epochs(spark, d).groupBy("subject_id", F.col("event_type").alias("stage")).agg(F.sort_array(F.collect_list(F.struct((F.col("epoch_idx") / 1000).alias("f"), F.col("value").alias("v")))).alias("s"))
+    records = e.select("subject_id", "stage", F.col("s.f").alias("freqs"), F.col("s.v").alias("corr_mean"))
+    rows = jobs.stage_curves(records, ("view", "click", "purchase"), (0.01, 0.03)).select("subject_id", "stage", F.explode(F.arrays_zip("freqs", "corr_mean")).alias("x"))
+    return rounded(rows.select("subject_id", "stage", F.col("x.freqs").alias("freq"), F.col("x.corr_mean").alias("value")))
+
+
 @query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_custkey LIMIT 50")
 def first_subjects(spark, d):
     return table(spark, d, "customer").select("c_custkey", "c_acctbal").orderBy("c_custkey").limit(50)

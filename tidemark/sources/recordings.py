@@ -181,6 +181,14 @@ class Recordings:
         return replace(self, requested=list(channels))
 
 
+def one_channel(loaded: DataFrame, canonical: str, strict: bool = False) -> DataFrame:
+    """The rows of one channel by its canonical name; with ``strict`` a recording that was read and lacks it raises."""
+    own = loaded.filter(F.col("channel") == canonical)
+    if strict and (lost := loaded.filter(F.col("channel").isNotNull()).select("subject_id").distinct().join(own.select("subject_id"), "subject_id", "left_anti").first()) is not None:
+        raise ChannelResolutionError(f"no channel {canonical} in {lost[0]}")
+    return own
+
+
 def native_rate(loaded: DataFrame) -> DataFrame:
     """Per subject: the rate of the first channel that was resolved; null if there is none."""
     return loaded.groupBy("subject_id").agg(F.min_by("sf", "position").alias("sf"))
