@@ -318,3 +318,34 @@ def test_paired_and_pairwise_p(spark):
 def test_crop_keeps_both_ends(spark):
     df = spark.createDataFrame([([0.0, 0.01, 0.05, 0.1, 0.2], [1.0, 2.0, 3.0, 4.0, 5.0])], "freqs array<double>, corr_mean array<double>")
     assert tuple(spectra.crop(df, 0.01, 0.1).first()) == ([0.01, 0.05, 0.1], [2.0, 3.0, 4.0])
+
+
+def test_ranks_of_values_that_an_aggregate_makes_anew_each_time(spark, monkeypatch):
+    """Values whose last bits change from evaluation to evaluation, as those of sums do: nothing may be lost between two of them."""
+    for limit in (statistics.ONE_TASK_BYTES, 0):
+        monkeypatch.setattr(statistics, "ONE_TASK_BYTES", limit)
+        noisy = spark.range(400, numPartitions=4).select(F.when(F.col("id") % 2 == 0, "low").otherwise("high").alias("g"), (F.col("id") % 50 - 20.25 + uniform() * 1e-9).alias("v"))
+        r = statistics.mann_whitney(noisy, "g", "v", "low", "high").first()
+        assert (r.n_low, r.n_high) == (200, 200)
+        r = statistics.signed_ranks(noisy, "v").first()
+        assert r.n == 400 and r.w_plus + r.w_minus == 400 * 401 / 2
+        r = statistics.compare(noisy, "g", ["v"]).first()
+        assert (r.n_low, r.n_high) == (200, 200) and r.ties == 0
+
+
+def uniform():
+    """Other numbers each time that a plan is run."""
+    return F.udf(lambda: __import__("random").random(), "double").asNondeterministic()()
+
+
+def test_ordered_means_have_the_bits_of_a_serial_average(spark):
+    rows = [(g, i, round(((i * 7919 + g) % 1000) / 7 * 10 ** (i % 5), 2)) for g in range(20) for i in range(200)]
+    want = {}
+    for g, i, v in rows:
+        want[g] = want.get(g, 0.0) + v
+    for seed in (1, 2):
+        df = spark.createDataFrame(rows, "g long, i long, v double").orderBy(F.rand(seed)).repartition(7)
+        got = statistics.ordered_means(df, ["g"], ["i"], m=F.col("v"), e=F.when(F.col("i") % 2 == 0, F.col("v")))
+        assert {r.g: (r.n, r.m) for r in got.collect()} == {g: (200, s / 200) for g, s in want.items()}
+    none = statistics.ordered_means(spark.createDataFrame([(1, 1, None)], "g long, i long, v double"), ["g"], ["i"], m=F.col("v")).first()
+    assert (none.n, none.m) == (1, None)

@@ -22,13 +22,24 @@ def _large(df: DataFrame) -> bool:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > ONE_TASK_BYTES
 
 
-def running_counts(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """(by, value, _times, _upto): how often each value occurs, and how many values are as large at most.
+def ordered_means(df: DataFrame, by: list[str], order: list[str], **values: Column) -> DataFrame:
+    """(by, n, names of ``values``): rows and means of each key, summed in a given order, with the bits of a serial average.
+
+    A plain average adds in the order in which rows come in, so its last bits change from run to run, and with them
+    which means tie and where a half is rounded to. One sort by key, and a running mean that holds no rows.
+    """
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = df.select(*by, *order, *(v.alias(n) for n, v in values.items())).withColumn("_m", F.struct(F.count("*").over(w).alias("n"), *(F.avg(n).over(w).alias(n) for n in values)))
+    return running.groupBy(*by).agg(F.max_by("_m", F.struct(*order)).alias("_m")).select(*by, "_m.*")
+
+
+def running_counts(df: DataFrame, value: str, by: list[str], **also: Column) -> DataFrame:
+    """(by, value, _times, _upto): how often each value occurs, and how many values are as large at most; ``also``: further aggregates of equal values.
 
     Equal values are counted first. Where many remain they are dealt out in ranges and sorted there; each range
     counts on from the ranges before it, so no task sees a whole group.
     """
-    times = df.groupBy(*by, value).agg(F.count("*").alias("_times"))
+    times = df.groupBy(*by, value).agg(F.count("*").alias("_times"), *(c.alias(n) for n, c in also.items()))
     if not _large(df):
         order = (Window.partitionBy(*by) if by else Window).orderBy(value)
         return times.withColumn("_upto", F.sum("_times").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -40,7 +51,7 @@ def running_counts(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     order = (Window.partitionBy(*by) if by else Window).orderBy("_part")  # a row for each range
     before = size.withColumn("_before", F.coalesce(F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
     inner = Window.partitionBy("_part", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ranges.withColumn("_within", F.sum("_times").over(inner)).join(before, ["_part", *by]).select(*by, value, "_times", (F.col("_before") + F.col("_within")).alias("_upto"))
+    return ranges.withColumn("_within", F.sum("_times").over(inner)).join(before, ["_part", *by]).select(*by, value, "_times", *also, (F.col("_before") + F.col("_within")).alias("_upto"))
 
 
 def quantiles(df: DataFrame, group: list[str], value: str, shares: tuple[float, ...]) -> DataFrame:
@@ -144,24 +155,40 @@ def with_welch_p(tested: DataFrame) -> DataFrame:
     return tested.withColumn("p", p_value("t", "df")).withColumn("p", F.when(~F.isnan("p"), F.col("p")))
 
 
+def _midrank() -> Column:
+    """The rank from 1 that a row of ``running_counts`` gives to each of its equal values."""
+    return F.col("_upto") - (F.col("_times") - 1) / 2
+
+
+def _ties() -> Column:
+    """The sum of t^3 - t over the rows of ``running_counts``."""
+    t = F.col("_times").cast("double")
+    return F.sum(F.pow(t, 3) - t)
+
+
 def midranks(df: DataFrame, value: str, by: list[str] | None = None, out: str = "rank") -> DataFrame:
     """Ranks from 1 in which ties share their mean.
 
     Equal values are counted before ranking, so what is ranked has one row for each distinct value.
     """
     by = by or []
-    ranked = running_counts(df, value, by).select(*by, value, (F.col("_upto") - (F.col("_times") - 1) / 2).alias(out))
+    ranked = running_counts(df, value, by).select(*by, value, _midrank().alias(out))
     return df.join(ranked, [*by, value])
 
 
-def mann_whitney(df: DataFrame, group: str, value: str, low: str, high: str, by: list[str] | None = None) -> DataFrame:
-    """Per key: n_low, n_high, u (of the high sample) and delta = 2u / (n_low n_high) - 1."""
+def mann_whitney(df: DataFrame, group: str, value: str, low: str, high: str, by: list[str] | None = None, ties: bool = False) -> DataFrame:
+    """Per key: n_low, n_high, u (of the high sample) and delta = 2u / (n_low n_high) - 1; ``ties``: also the sum of t^3 - t.
+
+    Each distinct value is ranked once with the counts of both sides, so values needn't be found again by a join:
+    those that an aggregate made may come out otherwise in their last bits when they are made again.
+    """
     by = by or []
-    ranked = midranks(df.filter(finite(value) & F.col(group).isin(low, high)), value, by)
-    n = lambda side: F.count_if(F.col(group) == side)
-    out = ranked.groupBy(*by).agg(n(low).alias("n_low"), n(high).alias("n_high"), F.sum(F.when(F.col(group) == high, F.col("rank"))).alias("_r"))
+    counts = running_counts(df.filter(finite(value) & F.col(group).isin(low, high)), value, by, _high=F.count_if(F.col(group) == high))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    out = counts.groupBy(*by).agg(total(F.col("_times") - F.col("_high")).alias("n_low"), total(F.col("_high")).alias("n_high"), F.sum(F.when(F.col("_high") > 0, _midrank() * F.col("_high"))).alias("_r"), _ties().alias("ties"))
     u = F.col("_r") - F.col("n_high") * (F.col("n_high") + 1) / 2
-    return out.withColumn("u", u).withColumn("delta", 2 * F.col("u") / F.nullif(F.col("n_low") * F.col("n_high"), F.lit(0)) - 1).drop("_r")
+    out = out.withColumn("u", u).withColumn("delta", 2 * F.col("u") / F.nullif(F.col("n_low") * F.col("n_high"), F.lit(0)) - 1)
+    return out.select(*by, "n_low", "n_high", "u", "delta", *(["ties"] if ties else []))
 
 
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -176,14 +203,17 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     return total.select(h.alias("h"), "groups").withColumn("p", F.when(F.col("groups") == 3, F.exp(-F.col("h") / 2)))
 
 
-def signed_ranks(df: DataFrame, difference: str) -> DataFrame:
-    """One row: w_plus, w_minus, w, n (zeros dropped) and effect."""
+def signed_ranks(df: DataFrame, difference: str, ties: bool = False) -> DataFrame:
+    """One row: w_plus, w_minus, w, n (zeros dropped) and effect; ``ties``: also the sum of t^3 - t.
+
+    As in ``mann_whitney`` each distinct size is ranked once, with the count of its positive differences.
+    """
     d = df.filter(finite(difference) & (F.col(difference) != 0)).withColumn("_abs", F.abs(difference))
-    ranked = midranks(d, "_abs")
-    plus, minus = F.col(difference) > 0, F.col(difference) < 0
-    zero = F.lit(0.0)
-    out = ranked.agg(F.coalesce(F.sum(F.when(plus, F.col("rank"))), zero).alias("w_plus"), F.coalesce(F.sum(F.when(minus, F.col("rank"))), zero).alias("w_minus"), F.count("*").alias("n"), (F.count_if(plus) - F.count_if(minus)).alias("_e"))
-    return out.select("w_plus", "w_minus", F.least("w_plus", "w_minus").alias("w"), "n", (F.col("_e") / F.nullif(F.col("n"), F.lit(0))).alias("effect"))
+    counts = running_counts(d, "_abs", [], _plus=F.count_if(F.col(difference) > 0))
+    plus, minus = F.col("_plus"), F.col("_times") - F.col("_plus")
+    total = lambda c, zero: F.coalesce(F.sum(c), F.lit(zero))
+    out = counts.agg(total(_midrank() * plus, 0.0).alias("w_plus"), total(_midrank() * minus, 0.0).alias("w_minus"), total(F.col("_times"), 0).alias("n"), total(plus - minus, 0).alias("_e"), F.coalesce(_ties(), F.lit(0.0)).alias("ties"))
+    return out.select("w_plus", "w_minus", F.least("w_plus", "w_minus").alias("w"), "n", (F.col("_e") / F.nullif(F.col("n"), F.lit(0))).alias("effect"), *(["ties"] if ties else []))
 
 
 def benjamini_hochberg(df: DataFrame, p: str, by: list[str] | None = None, alpha: float = 0.05) -> DataFrame:
@@ -219,11 +249,12 @@ def compare(df: DataFrame, group: str, parameters: list[str], low: str = "low",
     ship(df.sparkSession)
     ids = [*by, "parameter"]
     long = df.filter(F.col(group).isin(low, high)).select(*by, group, F.explode(F.array(*(F.struct(F.lit(i).alias("position"), F.lit(p).alias("parameter"), F.col(p).cast("double").alias("value")) for i, p in enumerate(parameters)))).alias("_v")).select(*by, group, "_v.*")
+    # kept, as statistics and ranks both look at the values, and those of an aggregate may come out otherwise each time
+    shared_folder(df.sparkSession)
+    long = long.checkpoint()
     sides = welch_t(_sides(long, [*ids, "position"], group, "value", low, high)).withColumn("test", choose_test())
-    u = mann_whitney(long, group, "value", low, high, ids).select(*ids, "u", "delta")
-    ok = long.filter(finite("value"))
-    ties = ok.groupBy(*ids, "value").agg(F.count("*").cast("double").alias("t")).groupBy(*ids).agg(F.sum(F.pow("t", 3) - F.col("t")).alias("ties"))
-    out = sides.join(u, ids, "left").join(ties, ids, "left")
+    u = mann_whitney(long, group, "value", low, high, ids, ties=True).select(*ids, "u", "delta", "ties")
+    out = sides.join(u, ids, "left")
 
     @F.pandas_udf("double")
     def p_value(test: pd.Series, t: pd.Series, d: pd.Series, u: pd.Series, n: pd.Series, m: pd.Series, ties: pd.Series) -> pd.Series:
@@ -315,13 +346,12 @@ def paired(df: DataFrame, subject: str, first: str, second: str, digits: int | N
     scaled = means.crossJoin(F.broadcast(scale)).filter("mx <> 0 and my <> 0").withColumn("d", F.col("x") / F.col("mx") - F.col("y") / F.col("my"))  # one row
     if digits is not None:
         scaled = scaled.withColumn("d", F.round("d", digits))
-    ties = scaled.filter("d <> 0").groupBy(F.abs("d").alias("v")).agg(F.count("*").cast("double").alias("t")).agg(F.coalesce(F.sum(F.pow("t", 3) - F.col("t")), F.lit(0.0)).alias("ties"))
 
     @F.pandas_udf("double")
     def p_value(w: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
         return pd.Series([p_of_w(*x) for x in zip(w, n, ties, strict=True)], dtype="float64")
 
-    return signed_ranks(scaled, "d").crossJoin(F.broadcast(ties)).withColumn("p", p_value("w", "n", "ties")).drop("ties")
+    return signed_ranks(scaled, "d", ties=True).withColumn("p", p_value("w", "n", "ties")).drop("ties")
 
 
 def p_of_w(w: float, n: float, ties: float) -> float:
