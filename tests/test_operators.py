@@ -349,3 +349,20 @@ def test_ordered_means_have_the_bits_of_a_serial_average(spark):
         assert {r.g: (r.n, r.m) for r in got.collect()} == {g: (200, s / 200) for g, s in want.items()}
     none = statistics.ordered_means(spark.createDataFrame([(1, 1, None)], "g long, i long, v double"), ["g"], ["i"], m=F.col("v")).first()
     assert (none.n, none.m) == (1, None)
+
+
+def test_rows_are_compared_with_their_groups_figures_where_they_are(spark, monkeypatch):
+    """A large table of few groups isn't shuffled by group, which would give a task a whole group."""
+    df = spark.range(3000).select((F.col("id") % 3).alias("g"), F.when(F.col("id") == 3, 1e6).otherwise(F.col("id") % 100).cast("double").alias("v"))
+    want = statistics.describe(df, ["g"], "v").orderBy("g").collect()
+    assert [r.outliers for r in want] == [1, 0, 0]
+    monkeypatch.setattr(statistics, "ONE_TASK_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = statistics.describe(df, ["g"], "v")
+        assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+        assert got.orderBy("g").select("g", "n", "median", "q1", "q3", "outliers").collect() == [tuple(r[c] for c in ("g", "n", "median", "q1", "q3", "outliers")) for r in want]
+        monkeypatch.setattr(statistics, "FEW_GROUPS", 2)
+        assert [r.outliers for r in statistics.describe(df, ["g"], "v").orderBy("g").collect()] == [1, 0, 0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -14,6 +14,8 @@ from ..session import shared_folder, ship
 
 #: Estimated bytes of input up to which one task may hold or order a group's values; beyond, they are spread.
 ONE_TASK_BYTES = 32 << 20
+#: Groups up to which a row for each is sent to all tasks.
+FEW_GROUPS = 100_000
 # fixed values: limits of the choice between tests
 SKEW_LIMIT, OUTLIER_IQR, MIN_SIZE = 1.0, 3.0, 8
 
@@ -22,6 +24,21 @@ def _large(df: DataFrame) -> bool:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > ONE_TASK_BYTES
 
 
+def with_group(df: DataFrame, per_group: DataFrame, group: list[str]) -> DataFrame:
+    """Rows with the one row of their group, where they are: a shuffle by group would give a task a whole group.
+
+    Beyond ``FEW_GROUPS`` groups, rows are shuffled; groups are then small beside the input, or left to the adaptive planner.
+    """
+    if not group:
+        return df.crossJoin(F.broadcast(per_group))  # one row
+    if not _large(df):
+        return df.join(per_group, group)
+    shared_folder(df.sparkSession)
+    per_group = per_group.checkpoint()  # kept, as it is counted before it is sent
+    few = per_group.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+    return df.join(F.broadcast(per_group) if few else per_group, group)
+
+
 def ordered_means(df: DataFrame, by: list[str], order: list[str], **values: Column) -> DataFrame:
     """(by, n, names of ``values``): rows and means of each key, summed in a given order, with the bits of a serial average.
 
@@ -58,7 +75,7 @@ def quantiles(df: DataFrame, group: list[str], value: str, shares: tuple[float,
     """(group, quantiles) of finite values with linear interpolation, exact at any size."""
     counts = running_counts(df.filter(finite(value)), value, group)
     total = counts.groupBy(*group).agg(F.max("_upto").alias("_n"))
-    joined = counts.join(total, group) if group else counts.crossJoin(F.broadcast(total))  # one row
+    joined = with_group(counts, total, group)
     at = lambda rank: F.max(F.when((F.col("_upto") - F.col("_times") <= rank) & (rank < F.col("_upto")), F.col(value).cast("double")))
     place = lambda q: (F.col("_n") - 1) * F.lit(float(q))
     ends = [x for q in shares for x in (at(F.floor(place(q))), at(F.ceil(place(q))))]
@@ -83,12 +100,10 @@ def describe(df: DataFrame, group: list[str], value: str) -> DataFrame:
     out = out.select(*group, "n", "missing_n", "mean", "sd", F.col("_q")[1].alias("median"), F.col("_q")[0].alias("q1"), F.col("_q")[2].alias("q3"), "min", "max", "skewness")
     spread = F.col("q3") - F.col("q1")
     beyond = (F.col(value) < F.col("q1") - OUTLIER_IQR * spread) | (F.col(value) > F.col("q3") + OUTLIER_IQR * spread)
-    if not group:
-        joined = df.crossJoin(F.broadcast(out.select("q1", "q3")))  # one row
-        return out.crossJoin(joined.agg(F.count_if(finite(value) & beyond & (spread > 0)).alias("outliers")))
-    limits = out.select(*group, "q1", "q3")
-    counted = df.join(limits, group).groupBy(*group).agg(F.count_if(finite(value) & beyond & (spread > 0)).alias("outliers"))
-    return out.join(counted, group)
+    if large:  # kept, as all rows are compared with it
+        out = out.checkpoint()
+    counted = with_group(df.select(*group, value), out.select(*group, "q1", "q3"), group).groupBy(*group).agg(F.count_if(finite(value) & beyond & (spread > 0)).alias("outliers"))
+    return out.join(counted, group) if group else out.crossJoin(counted)
 
 
 def rate_groups(df: DataFrame, rate: str, k: float = 0.0, keys: list[str] | None = None, few: str = "raise") -> DataFrame:
@@ -103,7 +118,7 @@ def rate_groups(df: DataFrame, rate: str, k: float = 0.0, keys: list[str] | None
     if few == "drop":
         stats = stats.filter(F.col("_n") >= 2)
     stats = stats.withColumn("mean", F.when(F.col("_n") < 2, F.raise_error(F.lit("fewer than two finite rates"))).otherwise(F.col("mean"))).drop("_n")
-    joined = ok.join(stats, keys) if keys else ok.crossJoin(F.broadcast(stats))  # one row
+    joined = with_group(ok, stats, keys)
     joined = joined.withColumn("low", F.col("mean") - k * F.col("sd")).withColumn("high", F.col("mean") + k * F.col("sd"))
     return joined.withColumn("group", F.when(F.col("log_rate") < F.col("low"), "low").when(F.col("log_rate") > F.col("high"), "high").otherwise("mid"))
 
@@ -288,7 +303,7 @@ def histogram(df: DataFrame, value: str, bins: int = 40, group: list[str] | None
     group = group or []
     ok = df.filter(finite(value))
     span = ok.groupBy(*group).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("total"))
-    joined = ok.join(span, group) if group else ok.crossJoin(F.broadcast(span))  # one row
+    joined = with_group(ok, span, group)
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col(value) - F.col("lo")) / width), F.lit(bins - 1))).otherwise(0)
     return joined.withColumn("bin", at.cast("int")).groupBy(*group, "bin", "lo", "hi", "total").agg(F.count("*").alias("count")).withColumn("density", F.col("count") / F.nullif(F.col("total") * width, F.lit(0.0)))
