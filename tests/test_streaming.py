@@ -67,3 +67,22 @@ def test_epochs_beyond_the_lateness_are_dropped(spark, tmp_path):
     deliver(spark, tmp_path, [night, [("a", 200, 0)], [("a", 201, 0)], [("a", 20, 2)]])
     got, _ = run(spark, tmp_path, "1 minute")
     assert [(r["first"], r["last"]) for r in got.orderBy("first").collect()] == [(0, 19), (21, 39)]
+
+
+def test_messages_of_a_key_dont_grow_with_its_runs():
+    """The state is one value and one timer of a key: what is read, written and set doesn't depend on how many runs there are."""
+    from types import SimpleNamespace
+
+    calls, kept, timers = [], {}, set()
+    state = SimpleNamespace(get=lambda: calls.append("get") or kept.get("v"), update=lambda v: calls.append("update") or kept.update(v=v), clear=lambda: calls.append("clear") or kept.clear())
+    handle = SimpleNamespace(getValueState=lambda *a: state, registerTimer=lambda t: calls.append("set") or timers.add(t), deleteTimer=lambda t: calls.append("delete") or timers.remove(t))
+    p = bouts.Runs("subject_id", 30.0, 90.0)
+    p.init(handle)
+    feed = lambda at: list(p.handleInputRows(("a",), iter([SimpleNamespace(epoch_idx=i, due=(i + 1) * 1000, member=True) for i in at]), None))
+    assert feed([i for k in range(50) for i in range(10 * k, 10 * k + 4)][::-1]) == [] and timers == {4000} and len(calls) == 3
+    assert feed([4]) == [] and timers == {5000} and len(calls) == 7
+    fire = lambda t, mark: list(p.handleExpiredTimer(("a",), SimpleNamespace(getCurrentWatermarkInMs=lambda: mark), SimpleNamespace(getExpiryTimeInMs=lambda: t)))
+    got = fire(5000, 200_500)
+    assert [(r.bout_idx, r["first"], r["last"]) for r in got] == [(k, 10 * k, 10 * k + (4 if k == 0 else 3)) for k in range(20)] and len(calls) == 10
+    assert 204_000 in timers
+    assert [r.bout_idx for r in fire(204_000, 10**9)] == list(range(20, 50)) and kept["v"] == (50, []) and len(calls) == 12
