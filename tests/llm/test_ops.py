@@ -902,6 +902,14 @@ def test_lm_learns_from_all_lengths_and_more_from_more(spark, monkeypatch):
     assert len(seen) == 2 and not seen[0] & seen[1] and seen[0] | seen[1] == known
 
 
+def test_lm_learns_from_every_training_document_whole(spark, monkeypatch):
+    seen, refine = [], op10_lm.refine
+    monkeypatch.setattr(op10_lm, "refine", lambda model, part: (seen.extend((r.doc_id, r.text) for r in part.collect()), refine(model, part))[1])
+    df = spark.createDataFrame([(i, "a b c d e " * (i % 7 + 1)) for i in range(200)], "doc_id long, text string").repartition(4)
+    model, _ = op10_lm.fit(df)
+    assert sorted(seen) == sorted(tuple(r) for r in df.filter(~op10_lm.held_out(F.col("doc_id"))).collect()) and model.learned
+
+
 def test_lm_gradients_and_lanes():
     s = op10_lm.symbols([(b"w%d" % i, 1000 - i) for i in range(40)], 50)
     net = op10_lm.Network(s)

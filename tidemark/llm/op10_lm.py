@@ -8,9 +8,8 @@ every text has a probability, whatever its words. Training is truncated backprop
 numpy. Scoring lays many documents side by side and carries the state from window to window, so a document
 is scored as a whole.
 
-The network starts from a bounded sample on the driver (windows of TRAIN_CHARS characters of TRAIN_ROWS training
-documents, whatever their length), and then learns from a share of all training documents that grows with the
-input: in each of ROUNDS rounds one in SHARE documents, others each time, is read whole; every task trains on from
+The network learns from every training document, whole and once: documents are dealt into SHARE parts by a hash, each of
+the first ROUNDS rounds takes one part, and the last takes all others; every task trains on from
 the same weights over its own documents, and the weights are averaged by their tokens, in two steps and in the order of
 the tasks' numbers, so that the driver gets SLOTS sums at most. Scores depend on how the input is cut into tasks; with equal cuts they are equal. Counts cover every training document: they are added up in Spark, the HOT most frequent words
 (a fixed bound) are sent to the workers, and all others are joined by a shuffle with the rarer words of
@@ -37,7 +36,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_folder
-from .sampling import sample_texts
 from .textscan import bounded_batches, chunks, encode_words, lower, utf8, words
 
 #: Frequent words with an output of their own; classes that they are cut into; words whose counts workers get.
@@ -48,10 +46,11 @@ TAIL_LENGTHS = (4, 8, 12)
 HIDDEN, STEPS, LANES = 24, 32, 512
 #: Text bytes scored at once; tokens from which a text waits for others as long, and tokens that wait at most.
 SCORE_BYTES, LONG, WAITING = 2 << 20, 3000, 1_000_000
-#: The training sample, passes over it, its lanes and steps of backpropagation.
-TRAIN_ROWS, TRAIN_CHARS, PASSES, TRAIN_LANES, TRAIN_STEPS = 600, 5_000, 2, 32, 20
-#: Rounds of learning from the corpus, one in how many documents each, its text bytes at once, rate and lanes; sums that the driver gets.
+#: Passes over texts, lanes and steps of backpropagation.
+PASSES, TRAIN_LANES, TRAIN_STEPS = 2, 32, 20
+#: First rounds of learning, of how many parts of the documents they take one each, text bytes at once, rate and lanes (the first round's rate: START_RATE); sums that the driver gets.
 ROUNDS, SHARE, REFINE_BYTES, REFINE_RATE, REFINE_LANES, SLOTS = 2, 20, 1 << 20, 0.004, 96, 4
+START_RATE = 0.01
 LOG10 = np.log(10.0)
 
 
@@ -349,6 +348,8 @@ class Model:
     #: counts and distinct words of each class of words outside the head
     tail_tokens: np.ndarray
     tail_distinct: np.ndarray
+    #: whether the network has seen any document
+    learned: bool = False
 
     def base(self, count):
         return np.log10((count + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
@@ -401,10 +402,11 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
         distinct[k] -= 1
     network = Network(symbols(head, documents))
     model = Model(network, {w: i for i, w in enumerate(hot)}, np.fromiter(hot.values(), np.int64, len(hot)), all_tokens, all_distinct, documents, tokens, distinct)
-    reader = Reader(model)
-    network.train([reader.read(*utf8(pa.array([t], pa.string())))[0] for _, t in sample_texts(known, TRAIN_ROWS, 10, TRAIN_CHARS)])
+    part = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(SHARE))
     for k in range(ROUNDS):
-        refine(model, known.filter(F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(SHARE)) == k % SHARE))
+        refine(model, known.filter(part == k))
+    if SHARE > ROUNDS:
+        refine(model, known.filter(part >= ROUNDS))
     return model, counts
 
 
@@ -413,6 +415,8 @@ def refine(model: Model, docs: DataFrame) -> None:
     spark, w = docs.sparkSession, model.network.w
     names, shapes = list(w), [v.shape for v in w.values()]
     ends = np.cumsum([v.size for v in w.values()])
+    # from random weights the first part takes larger steps
+    rate = REFINE_RATE if model.learned else START_RATE
     sent = spark.sparkContext.broadcast(model)  # HOT words at most
     schema = "slot int, part int, tokens long, weights binary"
 
@@ -423,7 +427,7 @@ def refine(model: Model, docs: DataFrame) -> None:
         moments, tokens = Moments(network.w), 0
         for b in chunks(batches, limit=REFINE_BYTES):
             flow, of, *_ = reader.read(*utf8(b.column("text")))
-            network.train([flow[i:j] for i, j in zip(of, of[1:], strict=False)], 1, REFINE_RATE, moments, REFINE_LANES)
+            network.train([flow[i:j] for i, j in zip(of, of[1:], strict=False)], 1, rate, moments, REFINE_LANES)
             tokens += len(flow)
         if moments.steps:
             flat = np.concatenate([network.w[k].ravel() for k in names])
@@ -443,6 +447,7 @@ def refine(model: Model, docs: DataFrame) -> None:
     got.sort(key=lambda r: r.slot)  # sums in the order of the tasks' numbers, so a run can be repeated
     sent.unpersist()
     if got:
+        model.learned = True
         flat = sum(np.frombuffer(r.weights, np.float64) for r in got) / sum(r.tokens for r in got)
         model.network.w = {k: x.reshape(shape).astype(np.float32) for k, shape, x in zip(names, shapes, np.split(flat, ends[:-1]), strict=True)}
 
