@@ -934,6 +934,25 @@ def test_lm_gradients_and_lanes():
     assert net.score(np.array([1, 2, 3, 0]), np.array([0, 4]))[0] > 4 * before
 
 
+def test_lm_classes_keep_outputs_few():
+    """A token costs as many outputs as there are classes and members of its own; every head word keeps its output."""
+    count = [1_000_000 // (i + 2) for i in range(op10_lm.HEAD)]
+    s = op10_lm.symbols([(b"w%d" % i, c) for i, c in enumerate(count)], 1_000_000)
+    weight, size = np.array([1_000_000, *count], float), np.diff(s.ranges)
+    assert len(size) == op10_lm.CLASSES and size.sum() == op10_lm.HEAD + 1 and (np.bincount(s.class_of) == size).all()
+    assert (size[s.class_of] * weight).sum() / weight.sum() < 40
+
+
+def test_lm_sums_of_repeated_rows():
+    r = np.random.default_rng(3)
+    for rows in (r.integers(0, 9, 500), r.integers(0, 400, 500), np.array([3]), np.arange(20)):
+        values = r.normal(size=(len(rows), 6))
+        got, want = np.ones((400, 6)), np.ones((400, 6))
+        op10_lm._add_rows(got, rows, values)
+        np.add.at(want, rows, values)
+        assert np.allclose(got, want)
+
+
 # all
 
 

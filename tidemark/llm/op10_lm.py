@@ -23,9 +23,9 @@ alike; empty tables give empty results.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from heapq import heapify, heapreplace
-from itertools import repeat
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,13 +44,16 @@ HEAD, CLASSES, HOT = 2500, 48, 200_000
 TAIL_LENGTHS = (4, 8, 12)
 #: Hidden units, steps of a window, documents side by side.
 HIDDEN, STEPS, LANES = 24, 32, 512
-#: Text bytes scored at once; tokens from which a text waits for others as long, and tokens that wait at most.
-SCORE_BYTES, LONG, WAITING = 2 << 20, 3000, 1_000_000
+#: Text bytes read at once for scores; tokens from which a text waits for others as long, and tokens from which those that wait are scored.
+SCORE_BYTES, LONG, WAITING = 4 << 20, 2000, 1_000_000
 #: Passes over texts, lanes and steps of backpropagation.
 PASSES, TRAIN_LANES, TRAIN_STEPS = 2, 32, 20
-#: First rounds of learning, of how many parts of the documents they take one each, text bytes at once, rate and lanes (the first round's rate: START_RATE); sums that the driver gets.
-ROUNDS, SHARE, REFINE_BYTES, REFINE_RATE, REFINE_LANES, SLOTS = 2, 20, 1 << 20, 0.004, 96, 4
-START_RATE = 0.01
+#: First rounds of learning, of how many parts of the documents they take one each, text bytes at once; sums that the driver gets.
+ROUNDS, SHARE, REFINE_BYTES, SLOTS = 2, 20, 1 << 20, 4
+#: Rate and lanes of each round, and of all others: few lanes make many steps of few documents, many lanes cost less.
+REFINE = ((0.01, 48), (0.006, 96), (0.008, 256))
+#: Weights that the optimiser moves at once.
+RUN = 1 << 15
 LOG10 = np.log(10.0)
 
 
@@ -77,10 +80,13 @@ class Symbols:
 
 
 def symbols(head: list[tuple[bytes, int]], ends: int) -> Symbols:
-    """Cuts the end and the head words, by falling frequency, into classes of about equal weight."""
-    weight = np.array([max(ends, 1), *(c for _, c in head)], float)
-    share = np.cumsum(weight) / weight.sum()
-    class_of = np.minimum((np.sqrt(share - share[0] * 0.999) * CLASSES).astype(np.int64), CLASSES - 1)
+    """Cuts the end and the head words, by falling frequency, into classes whose sizes grow evenly.
+
+    A word of rank r has a weight of about 1/r, and a token costs as many outputs as its class has members: their mean
+    is least if the class of rank r has about as many members as the square root of r says.
+    """
+    rank = np.arange(1 + len(head))
+    class_of = (CLASSES * np.sqrt(rank / len(rank))).astype(np.int64)
     _, class_of = np.unique(class_of, return_inverse=True)
     return Symbols([w for w, _ in head], class_of, np.searchsorted(class_of, np.arange(class_of.max() + 2)))
 
@@ -93,19 +99,25 @@ class Moments:
         self.steps = 0
 
     def move(self, w: np.ndarray, grad: np.ndarray, rate: float) -> None:
-        """One step of all weights at once; the gradients are used up."""
+        """One step of all weights at once, in runs that stay in the processor's cache; the gradients are used up."""
         self.steps += 1
-        self.first *= 0.9
-        self.first += 0.1 * grad
-        grad *= grad
-        self.second *= 0.999
-        self.second += 0.001 * grad
-        np.sqrt(self.second, out=grad)
-        grad *= np.float32(1 / np.sqrt(1 - 0.999**self.steps))
-        grad += np.float32(1e-8)
-        np.divide(self.first, grad, out=grad)
-        grad *= np.float32(rate / (1 - 0.9**self.steps))
-        w += grad
+        # both moments are kept without their factors 0.1 and 0.001, which go into the step
+        second = np.sqrt(0.001 / (1 - 0.999**self.steps))
+        rate = np.float32(rate * 0.1 / (1 - 0.9**self.steps) / second)
+        least = np.float32(1e-8 / second)
+        for lo in range(0, len(w), RUN):
+            at = slice(lo, lo + RUN)
+            g, m, v = grad[at], self.first[at], self.second[at]
+            m *= np.float32(0.9)
+            m += g
+            g *= g
+            v *= np.float32(0.999)
+            v += g
+            np.sqrt(v, out=g)
+            g += least
+            np.divide(m, g, out=g)
+            g *= rate
+            w[at] += g
 
 
 def _views(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -114,29 +126,26 @@ def _views(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarra
     return {k: x.reshape(v.shape) for (k, v), x in zip(like.items(), np.split(flat, ends[:-1]), strict=True)}
 
 
-def _softmax(logit: np.ndarray, pick: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Log probabilities of the picked outputs and the rows' sums; the logits become their exponentials in place."""
-    if not safe:
-        logit -= logit.max(1, keepdims=True)
-    own = logit[np.arange(len(pick)), pick]
-    np.exp(logit, out=logit)
-    total = logit @ np.ones(logit.shape[1], logit.dtype)
-    return own - np.log(total), total
-
-
-def _residual(e: np.ndarray, total: np.ndarray, pick: np.ndarray) -> np.ndarray:
-    """What the outputs lack, in place of their exponentials."""
-    e /= -total[:, None]
-    e[np.arange(len(pick)), pick] += 1
-    return e
+def _ones(h: np.ndarray) -> np.ndarray:
+    """States with a last column of ones, for the outputs' own weights."""
+    out = np.ones((len(h), h.shape[1] + 1), h.dtype)
+    out[:, :-1] = h
+    return out
 
 
 def _add_rows(to: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """Adds values to rows that may repeat: equal rows are summed first."""
-    order = np.argsort(rows, kind="stable")
+    """Adds values to rows that may repeat: those that repeat often are summed first."""
+    order = np.argsort(rows.astype(np.min_scalar_type(len(to))), kind="stable")
     rows = rows[order]
     first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-    to[rows[first]] += np.add.reduceat(values[order], first)
+    times = np.diff(first, append=len(rows))
+    often = times > 8
+    for k, n in zip(first[often].tolist(), times[often].tolist(), strict=True):
+        to[rows[k]] += np.ones(n, values.dtype) @ values[order[k : k + n]]
+    first, times = first[~often], times[~often]
+    for k in range(int(times.max(initial=0))):  # each time adds to different rows
+        at = first[times > k] + k
+        to[rows[at]] += values[order[at]]
 
 
 class Network:
@@ -152,23 +161,28 @@ class Network:
             "c": r.normal(0, 0.1, (h, s.classes)).astype(f), "cb": np.zeros(s.classes, f), "m": r.normal(0, 0.1, (h, 1 + len(s.head))).astype(f), "mb": np.zeros(1 + len(s.head), f),
         }
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        n = HIDDEN
-        g = h @ self.w["u"]
-        gate = x[:, : 2 * n] + g[:, : 2 * n]
-        np.negative(gate, out=gate)
+    def by_gate(self) -> tuple[np.ndarray, np.ndarray]:
+        """Input and state weights of the gates (both signs turned) and the new state, one after another."""
+        sign = np.array([-1, -1, 1], self.w["x"].dtype)[:, None, None]
+        apart = lambda k: self.w[k].reshape(-1, 3, HIDDEN).transpose(1, 0, 2) * sign
+        return apart("x"), apart("u")
+
+    def step(self, x: list[np.ndarray], u: np.ndarray, h: np.ndarray, gate: np.ndarray, q: np.ndarray, new: np.ndarray, after: np.ndarray) -> None:
+        """The states after inputs ``x`` (of both gates and the new state) with the state weights ``u``, into ``after``; what leads to them is left in the arrays before."""
+        np.matmul(h, u[:2], out=gate)
+        gate[0] += x[0]
+        gate[1] += x[1]
         np.exp(gate, out=gate)
         gate += 1
         np.reciprocal(gate, out=gate)
-        z, r = gate[:, :n], gate[:, n:]
-        q = g[:, 2 * n :] + self.w["b"]
-        new = r * q
-        new += x[:, 2 * n :]
+        np.matmul(h, u[2], out=q)
+        q += self.w["b"]
+        np.multiply(gate[1], q, out=new)
+        new += x[2]
         np.tanh(new, out=new)
-        after = h - new
-        after *= z
+        np.subtract(h, new, out=after)
+        after *= gate[0]
         after += new
-        return after, z, r, q, new
 
     def classes_of(self, target: np.ndarray) -> np.ndarray:
         s = self.symbols
@@ -177,37 +191,69 @@ class Network:
 
     def log_probability(self, h: np.ndarray, target: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probability of each target after each state; with ``grad``, adds gradients there and returns the states'."""
-        w, s = self.w, self.symbols
+        w, s, n = self.w, self.symbols, len(target)
         # states lie between -1 and 1, so weights bound the logits: mostly none is too large for exp
-        safe = lambda k, b: float((np.abs(w[k]).sum(0) + np.abs(w[b])).max(initial=0)) < 60
+        safe = lambda v: float(np.abs(v).sum(0).max(initial=0)) < 60
         cls = self.classes_of(target).astype(np.int16)
-        logit = h @ w["c"]
-        logit += w["cb"]
-        out, total = _softmax(logit, cls, safe("c", "cb"))
+        order = np.argsort(cls, kind="stable")
+        cls = cls[order].astype(np.int64)
+        h, target = _ones(h[order]), target[order]
+        cut = np.searchsorted(cls, np.arange(len(s.ranges))).tolist()
+        weights = np.vstack([w["c"], w["cb"]])
+        logit = h @ weights
+        if not safe(weights):
+            logit -= logit.max(1, keepdims=True)
+        pick = np.arange(n) * logit.shape[1] + cls
+        got = logit.ravel()[pick]
+        np.exp(logit, out=logit)
+        total = logit @ np.ones(logit.shape[1], logit.dtype)
+        got -= np.log(total)
         back = None
         if grad is not None:
-            d = _residual(logit, total, cls)
-            grad["c"] += h.T @ d
-            grad["cb"] += d.sum(0)
-            back = d @ w["c"].T
-        order = np.argsort(cls, kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(len(s.ranges)))
-        plain = safe("m", "mb")
-        for k in range(len(s.ranges) - 1):
-            lo, hi = s.ranges[k], s.ranges[k + 1]
-            if hi - lo < 2 or cut[k] == cut[k + 1]:
-                continue
-            at = order[cut[k] : cut[k + 1]]
-            mine, member = h[at], target[at] - lo
-            logit = mine @ w["m"][:, lo:hi]
-            logit += w["mb"][lo:hi]
-            own, total = _softmax(logit, member, plain)
-            out[at] += own
+            logit *= (-1 / total)[:, None]
+            logit.ravel()[pick] += 1
+            g = h.T @ logit
+            grad["c"] += g[:-1]
+            grad["cb"] += g[-1]
+            back = logit @ w["c"].T
+        # the members of all classes' outputs lie in one array, a class after another
+        size = np.diff(s.ranges)
+        parts = [(a, b, lo, hi) for a, b, lo, hi in zip(cut, cut[1:], s.ranges.tolist(), s.ranges[1:].tolist(), strict=False) if hi - lo > 1 and b > a]
+        if parts:
+            weights = np.vstack([w["m"], w["mb"]])
+            plain = safe(weights)
+            weights = weights.T.copy()  # a class's weights adjoin
+            head = np.concatenate([np.arange(a, b) for a, b, *_ in parts])
+            wide = size[cls[head]]
+            starts = np.cumsum(wide) - wide
+            flat = np.empty(int(wide.sum()), logit.dtype)
+            outs, at = [], 0
+            for a, b, lo, hi in parts:
+                outs.append(flat[at : (at := at + (b - a) * (hi - lo))].reshape(b - a, hi - lo))
+                np.matmul(h[a:b], weights[lo:hi].T, out=outs[-1])
+                if not plain:
+                    outs[-1] -= outs[-1].max(1, keepdims=True)
+            pick = starts + target[head] - s.ranges[cls[head]]
+            own = flat[pick]
+            np.exp(flat, out=flat)
+            total = np.add.reduceat(flat, starts)
+            got[head] += own - np.log(total)
             if grad is not None:
-                d = _residual(logit, total, member)
-                grad["m"][:, lo:hi] += mine.T @ d
-                grad["mb"][lo:hi] += d.sum(0)
-                back[at] += d @ w["m"][:, lo:hi].T
+                flat *= np.repeat(-1 / total, wide)
+                flat[pick] += 1
+                g, own = np.zeros_like(weights), np.zeros_like(h)
+                for o, (a, b, lo, hi) in zip(outs, parts, strict=True):
+                    np.matmul(o.T, h[a:b], out=g[lo:hi])
+                    np.matmul(o, weights[lo:hi], out=own[a:b])
+                grad["m"] += g[:, :-1].T
+                grad["mb"] += g[:, -1]
+                back += own[:, :-1]
+        out = np.empty_like(got)
+        out[order] = got
+        if back is not None:
+            apart = np.empty_like(back)
+            apart[order] = back
+            back = apart
         return out, back
 
     def train(self, texts: list[np.ndarray], passes: int = PASSES, rate: float = 0.01, moments: Moments | None = None, lanes: int = TRAIN_LANES) -> None:
@@ -227,38 +273,53 @@ class Network:
         flat = np.concatenate([v.ravel() for v in self.w.values()])
         self.w = _views(flat, self.w)
         ins, outs, new = (x[: steps * lanes].reshape(lanes, steps).T for x in (flow_in, flow_out, fresh))
-        n = HIDDEN
+        n, kind = HIDDEN, flat.dtype
+        most = min(TRAIN_STEPS, steps)
+        begins, going = new.any(1).tolist(), (~new).astype(kind)[:, :, None]
+        gate, q, hat, state = (np.empty((most, *s), kind) for s in ((2, lanes, n), (lanes, n), (lanes, n), (lanes, n)))
+        before, ways = np.empty((most, lanes, n), kind), np.empty((most, lanes, 4, n), kind)
         for _ in range(passes):
-            h = np.zeros((lanes, n), np.float32)
+            h = np.zeros((lanes, n), kind)
             for lo in range(0, steps, TRAIN_STEPS):
-                window = range(lo, min(lo + TRAIN_STEPS, steps))
-                kept = []
-                for k in window:
-                    h = np.where(new[k][:, None], np.float32(0), h)
-                    after, *parts = self.step(self.w["x"][ins[k]], h)
-                    kept.append((h, *parts))
-                    h = after
-                    kept[-1] += (h,)
+                size = min(TRAIN_STEPS, steps - lo)
+                x, u = self.by_gate()
+                x = [g.take(ins[lo : lo + size], 0) for g in x]
+                for k in range(size):
+                    np.multiply(h, going[lo + k], out=before[k])
+                    h = state[k]
+                    self.step([g[k] for g in x], u, before[k], gate[k], q[k], hat[k], h)
+                h = h.copy()
                 slope = np.zeros_like(flat)
                 grad = _views(slope, self.w)
-                states = np.concatenate([k[-1] for k in kept])
-                _, back = self.log_probability(states, outs[window.start : window.stop].ravel(), grad)
-                back = back.reshape(len(window), lanes, n)
-                carry = np.zeros((lanes, n), np.float32)
-                inputs = []
-                for i in range(len(window) - 1, -1, -1):
-                    before, z, r, q, hat, _ = kept[i]
-                    d = back[i] + carry
-                    dz, dhat = d * (before - hat) * z * (1 - z), d * (1 - z) * (1 - hat * hat)
-                    dr, dq = dhat * q * r * (1 - r), dhat * r
-                    gates = np.concatenate([dz, dr, dq], 1)
-                    grad["u"] += before.T @ gates
-                    grad["b"] += dq.sum(0)
-                    inputs.append(np.concatenate([dz, dr, dhat], 1))
-                    carry = np.where(new[window[i]][:, None], np.float32(0), d * z + gates @ self.w["u"].T)
-                _add_rows(grad["x"], ins[window.start : window.stop][::-1].ravel(), np.concatenate(inputs))
-                size = np.sqrt(float(slope @ slope)) / len(states)
-                slope *= np.float32(1 / len(states) * min(1, 0.5 / max(size, 1e-9)))
+                count = size * lanes
+                _, back = self.log_probability(state[:size].reshape(count, n), outs[lo : lo + size].ravel(), grad)
+                back = back.reshape(size, lanes, n)
+                # what a state's slope is multiplied by on its four ways: to the old state's part of the new one, both gates, and the new one
+                z, r, f = gate[:size, 0], gate[:size, 1], ways[:size]
+                to_new = (1 - z) * (1 - hat[:size] * hat[:size])
+                np.multiply(to_new, r, out=f[:, :, 0])
+                np.multiply((before[:size] - hat[:size]) * z, 1 - z, out=f[:, :, 1])
+                np.multiply(f[:, :, 0] * q[:size], 1 - r, out=f[:, :, 2])
+                f[:, :, 3] = to_new
+                back_u = np.concatenate([self.w["u"][:, 2 * n :], self.w["u"][:, : 2 * n]], 1).T.copy()
+                carry = np.zeros((lanes, n), kind)
+                for k in range(size - 1, -1, -1):
+                    d = back[k]
+                    d += carry
+                    f[k] *= d[:, None]
+                    np.matmul(f[k].reshape(lanes, 4 * n)[:, : 3 * n], back_u, out=carry)
+                    d *= z[k]
+                    carry += d
+                    if begins[lo + k]:
+                        carry *= going[lo + k]
+                f = f.reshape(count, 4 * n)
+                g = before[:size].reshape(count, n).T @ f[:, : 3 * n]
+                grad["u"][:, : 2 * n] += g[:, n:]
+                grad["u"][:, 2 * n :] += g[:, :n]
+                grad["b"] += f[:, :n].sum(0)
+                _add_rows(grad["x"], ins[lo : lo + size].ravel(), f[:, n:])
+                norm = np.sqrt(float(slope @ slope)) / count
+                slope *= np.float32(1 / count * min(1, 0.5 / max(norm, 1e-9)))
                 moments.move(flat, slope, rate)
 
     def score(self, flow: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -281,27 +342,32 @@ class Network:
         by_length = np.argsort(-length, kind="stable")
         rank[by_length] = np.arange(lanes)
         length = length[by_length]
-        doc = np.repeat(np.arange(count), size)
-        row, column = at[doc] + np.arange(len(flow)) - of[:-1][doc], rank[lane_of][doc]
+        place = np.repeat((at - of[:-1]) * lanes + rank[lane_of], size) + np.arange(len(flow)) * lanes
         start = self.symbols.count
-        previous = np.append(start, flow[:-1])
+        previous = np.append(np.int32(start), flow[:-1].astype(np.int32))
         previous[of[:-1]] = start
-        grid_in, grid_out, grid_doc = (np.zeros((int(length[0]), lanes), np.int32) for _ in range(3))
-        grid_in[row, column], grid_out[row, column], grid_doc[row, column] = previous, flow, doc
+        grids = np.zeros((3, int(length[0]) * lanes), np.int32)
+        for grid, x in zip(grids, (previous, flow, np.repeat(np.arange(count, dtype=np.int32), size)), strict=True):
+            grid[place] = x
+        grid_in, grid_out, grid_doc = grids.reshape(3, -1, lanes)
+        del place, previous
+        inputs, u = self.by_gate()
         h = np.zeros((lanes, HIDDEN), np.float32)
         for lo in range(0, len(grid_in), STEPS):
             live = int(np.searchsorted(-length, -lo, "left"))
             hi = min(lo + STEPS, len(grid_in))
             h = h[:live]
             ins = grid_in[lo:hi, :live]
-            x = self.w["x"][ins]
+            gate, q, new = (np.empty(s, np.float32) for s in ((2, live, HIDDEN), (live, HIDDEN), (live, HIDDEN)))
             states = np.empty((hi - lo, live, HIDDEN), np.float32)
             begin = ins == start
+            begins = begin.any(1).tolist()
+            x = [g.take(ins, 0) for g in inputs]
             for k in range(hi - lo):
-                if begin[k].any():
+                if begins[k]:
                     h = np.where(begin[k][:, None], np.float32(0), h)
-                h = self.step(x[k], h)[0]
-                states[k] = h
+                self.step([g[k] for g in x], u, h, gate, q, new, states[k])
+                h = states[k]
             real = (np.arange(lo, hi)[:, None] < length[None, :live]).ravel()
             got, _ = self.log_probability(states.reshape(-1, HIDDEN)[real], grid_out[lo:hi, :live].ravel()[real])
             total += np.bincount(grid_doc[lo:hi, :live].ravel()[real], got, count)
@@ -348,8 +414,8 @@ class Model:
     #: counts and distinct words of each class of words outside the head
     tail_tokens: np.ndarray
     tail_distinct: np.ndarray
-    #: whether the network has seen any document
-    learned: bool = False
+    #: rounds in which the network has seen documents
+    learned: int = 0
 
     def base(self, count):
         return np.log10((count + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
@@ -415,9 +481,10 @@ def refine(model: Model, docs: DataFrame) -> None:
     spark, w = docs.sparkSession, model.network.w
     names, shapes = list(w), [v.shape for v in w.values()]
     ends = np.cumsum([v.size for v in w.values()])
-    # from random weights the first part takes larger steps
-    rate = REFINE_RATE if model.learned else START_RATE
-    sent = spark.sparkContext.broadcast(model)  # HOT words at most
+    rate, lanes = REFINE[min(model.learned, len(REFINE) - 1)]
+    # symbols need the head words alone, which are the first at hand
+    known = len(model.network.symbols.head)
+    sent = spark.sparkContext.broadcast(replace(model, hot=dict(islice(model.hot.items(), known)), counts=model.counts[:known]))
     schema = "slot int, part int, tokens long, weights binary"
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,7 +494,7 @@ def refine(model: Model, docs: DataFrame) -> None:
         moments, tokens = Moments(network.w), 0
         for b in chunks(batches, limit=REFINE_BYTES):
             flow, of, *_ = reader.read(*utf8(b.column("text")))
-            network.train([flow[i:j] for i, j in zip(of, of[1:], strict=False)], 1, rate, moments, REFINE_LANES)
+            network.train([flow[i:j] for i, j in zip(of, of[1:], strict=False)], 1, rate, moments, lanes)
             tokens += len(flow)
         if moments.steps:
             flat = np.concatenate([network.w[k].ravel() for k in names])
@@ -447,7 +514,7 @@ def refine(model: Model, docs: DataFrame) -> None:
     got.sort(key=lambda r: r.slot)  # sums in the order of the tasks' numbers, so a run can be repeated
     sent.unpersist()
     if got:
-        model.learned = True
+        model.learned += 1
         flat = sum(np.frombuffer(r.weights, np.float64) for r in got) / sum(r.tokens for r in got)
         model.network.w = {k: x.reshape(shape).astype(np.float32) for k, shape, x in zip(names, shapes, np.split(flat, ends[:-1]), strict=True)}
 
@@ -458,6 +525,8 @@ class Reader:
     def __init__(self, model: Model):
         self.model = model
         self.heads = 1 + len(model.network.symbols.head)
+        # head words stand first among those at hand
+        self.at_hand = pa.array(list(model.hot), pa.large_binary())
 
     def read(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         """Symbols with ends and each document's range of them; each document's range of words; each word's distinct word; of these the symbol, the count (-1: not at hand) and the text."""
@@ -465,9 +534,8 @@ class Reader:
         starts, ends, of = words(raw, offsets)
         code, distinct = encode_words(raw, starts, ends)
         size = len(distinct)
-        at = np.fromiter(map(self.model.hot.get, distinct.to_pylist(), repeat(-1, size)), np.int64, size)
+        at = pc.fill_null(pc.index_in(distinct, self.at_hand), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         length = pc.binary_length(distinct).to_numpy(zero_copy_only=False) if size else np.zeros(0, np.int64)
-        # head words stand first among those at hand
         symbol = np.where((at >= 0) & (at < self.heads - 1), at + 1, self.heads + np.searchsorted(TAIL_LENGTHS, length))
         count = np.where(at >= 0, np.append(self.model.counts, 0)[at], -1)
         n = len(of) - 1
@@ -495,19 +563,22 @@ def score(docs: DataFrame) -> DataFrame:
         r = Reader(sent.value)
         m = r.model
         names = ["word", "doc_id", "key", "times", "n_tokens", "known", "base", "lm"]
-        waiting: list[tuple[pa.RecordBatch, np.ndarray]] = []
+        # short and long texts wait apart
+        waiting: tuple[list[tuple[pa.RecordBatch, np.ndarray]], ...] = ([], [])
+        tokens = [0, 0]
 
         def scored(part: pa.RecordBatch, flow: np.ndarray) -> pa.RecordBatch:
             of = np.append(0, np.cumsum(part.column("n_tokens").to_numpy()))
             lm = part.column("lm").to_numpy() + m.network.score(flow, of) / LOG10
             return pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lm)], names)
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            """Long texts side by side: alone each would take as many steps as it has tokens."""
-            if waiting:
-                part = pa.Table.from_batches([b for b, _ in waiting]).combine_chunks().to_batches()[0]
-                yield scored(part, np.concatenate([f for _, f in waiting]))
-                waiting.clear()
+        def flush(kind: int) -> Iterator[pa.RecordBatch]:
+            """Texts of like length side by side: alone each would take as many steps as it has tokens."""
+            if waiting[kind]:
+                part = pa.Table.from_batches([b for b, _ in waiting[kind]]).combine_chunks().to_batches()[0]
+                yield scored(part, np.concatenate([f for _, f in waiting[kind]]))
+                waiting[kind].clear()
+                tokens[kind] = 0
 
         for b in chunks(batches, limit=SCORE_BYTES):
             raw, offsets = utf8(b.column("text"))
@@ -525,14 +596,12 @@ def score(docs: DataFrame) -> DataFrame:
             own_word = pa.array([b" " + k.tobytes() for k in key], pa.binary())
             mine = pa.RecordBatch.from_arrays([own_word, ids, pa.array(key), pa.nulls(n, pa.int64()), *(pa.array(x) for x in (np.diff(flow_of), known.astype(np.int64), base, lm))], names)
             length = np.diff(flow_of)
-            short, long = np.flatnonzero(length <= LONG), np.flatnonzero(length > LONG)
-            if len(short):
-                keep = np.repeat(length <= LONG, length)
-                yield scored(mine.take(pa.array(short)), flow[keep])
-            for i in long.tolist():
-                waiting.append((mine.slice(i, 1), flow[flow_of[i] : flow_of[i + 1]].astype(np.int32)))
-            if sum(len(f) for _, f in waiting) > WAITING:
-                yield from flush()
+            for kind, some in enumerate((length <= LONG, length > LONG)):
+                if some.any():
+                    waiting[kind].append((mine.take(pa.array(np.flatnonzero(some))), flow[np.repeat(some, length)].astype(np.int32)))
+                    tokens[kind] += len(waiting[kind][-1][1])
+                if tokens[kind] > WAITING:
+                    yield from flush(kind)
             rare = np.flatnonzero(~at_hand)
             if not len(rare):
                 continue
@@ -541,7 +610,8 @@ def score(docs: DataFrame) -> DataFrame:
                 part, k = pair[i : i + 50_000], len(pair[i : i + 50_000])
                 who = part // len(distinct)
                 yield pa.RecordBatch.from_arrays([distinct.take(pa.array(part % len(distinct))).cast(pa.binary()), ids.take(pa.array(who)), pa.array(key[who]), pa.array(times[i : i + k]), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names)
-        yield from flush()
+        for kind in range(2):
+            yield from flush(kind)
 
     rows = docs.mapInArrow(run, "word binary, doc_id long, key long, times long, n_tokens long, known long, base double, lm double")
     joined = rows.join(counts, "word", "left").withColumn("count", F.coalesce("count", F.lit(0)))
